@@ -1,0 +1,32 @@
+"""The registered queries of the audit operators over the test tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+QUERIES = {}
+ORACLES = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query and, where SQL can express it, the SQL it must agree with."""
+
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+@query(
+    "dup_person_day",
+    """SELECT o_custkey AS employee_id, CAST(o_orderdate AS DATE) AS expense_date, COUNT(*) AS n_rows, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_amount
+    FROM orders GROUP BY 1, 2 HAVING COUNT(*) > 1""",
+)
+def dup_person_day(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    grouped = orders.groupBy(F.col("o_custkey").alias("employee_id"), F.to_date("o_orderdate").alias("expense_date"))
+    counted = grouped.agg(F.count("*").alias("n_rows"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_amount"))
+    return counted.filter("n_rows > 1")
