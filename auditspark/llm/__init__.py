@@ -1 +1,9 @@
-"""Operators for preparing language-model training data."""
+"""Operators for preparing language-model training data.
+
+Functions that run in Python workers are sent by value, so executors need no copy of the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

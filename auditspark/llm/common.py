@@ -135,3 +135,15 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
 def as_bytes(text: str | None) -> bytes:
     """UTF-8 bytes; a null text is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def cached(key: tuple, make):
+    """make(), kept for the later tasks of the same Python worker. Only for small fixed tables, such as
+    a vocabulary; it lives in an attribute of sys, as these functions travel by value."""
+    import sys
+
+    held = sys.__dict__.setdefault("_auditspark_held", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]

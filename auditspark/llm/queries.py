@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, tokencount, urls
 
 QUERIES = {
+    "op1_url_filter": urls.op1_url_filter,
+    "op2_token_count": tokencount.op2_token_count,
     "op6_mix": mixing.op6_mix,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filter": urls.oracle()}
