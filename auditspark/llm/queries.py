@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, tokencount, urls
+from . import mixing, rules, tokencount, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_token_count": tokencount.op2_token_count,
+
     "op6_mix": mixing.op6_mix,
+    "op9_quality_rules": rules.op9_quality_rules,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
