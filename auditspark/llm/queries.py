@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, rules, tokencount, urls
+from . import jaccard, mixing, packing, quality, rules, tokencount, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_token_count": tokencount.op2_token_count,
     "op4_pack": packing.op4_pack,
     "op6_mix": mixing.op6_mix,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
