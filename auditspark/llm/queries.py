@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, rules, tokencount, urls
+from . import jaccard, mixing, packing, quality, repeats, rules, tokencount, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_token_count": tokencount.op2_token_count,
     "op4_pack": packing.op4_pack,
+    "op5_remove_repeats": repeats.op5_remove_repeats,
     "op6_mix": mixing.op6_mix,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_quality_rules": rules.op9_quality_rules,
