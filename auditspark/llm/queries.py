@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, repeats, rules, tokencount, urls
+from . import jaccard, lm, mixing, packing, quality, repeats, rules, tokencount, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pack": packing.op4_pack,
     "op5_remove_repeats": repeats.op5_remove_repeats,
     "op6_mix": mixing.op6_mix,
+    "op7_lm_score": lm.op7_lm_score,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_quality_classifier": quality.op10_quality_classifier,
