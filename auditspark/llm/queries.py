@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, lm, mixing, packing, quality, repeats, rules, tokencount, urls
+from . import jaccard, lm, mixing, neighbours, packing, quality, repeats, rules, tokencount, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_token_count": tokencount.op2_token_count,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_pack": packing.op4_pack,
     "op5_remove_repeats": repeats.op5_remove_repeats,
     "op6_mix": mixing.op6_mix,
