@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cached, checkpoint, salted_rank, table, tasks
+from .tokencount import byte_symbols
 
 CAPACITY = 2048
 #: Pieces that are packed together; islands of a block, their populations, and how they evolve.
@@ -31,10 +33,17 @@ class Encoder:
     """Token ids of texts. Every word is encoded by the library once and remembered, within a bound;
     texts with other scripts or special strings go to the library whole."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.known = Tokenizer.from_file(path), remembered, {}
+        self.model, self.symbol = self.tokenizer.model, {b: c for c, b in byte_symbols().items()}
+
+    def _encoded(self, word: str) -> bytes:
+        """The ids of one word as the pattern cut it, from the library's merges alone: the word's bytes in
+        the characters that stand for them need no further normalising or splitting."""
+        symbols = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.symbol)
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words: list[list[str] | None] = []
@@ -44,10 +53,8 @@ class Encoder:
             words.append(_WORDS.findall(unicodedata.normalize("NFC", text).lower()) if plain else None)
         if len(self.known) > self.remembered:
             self.known = {}
-        fresh = list(set().union(*(w for w in words if w)).difference(self.known))
-        for a in range(0, len(fresh), 50_000):
-            part = fresh[a : a + 50_000]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        fresh = set().union(*(w for w in words if w)).difference(self.known)
+        self.known.update((w, self._encoded(w)) for w in fresh)
         got, end = self.known.__getitem__, np.array([END], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(got, w)) + end if w is not None else np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END], "<u4").tobytes(), "<u4") for t, w in zip(texts, words, strict=True)]
 
