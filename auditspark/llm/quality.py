@@ -71,8 +71,8 @@ def measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     next_same = np.zeros(len(words), bool)
     if len(words) > 1:
         next_same[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1]) & has[1:]
-    unique_words = np.unique(np.stack([doc[has].astype(np.uint64), words[has]], 1), axis=0) if has.any() else np.zeros((0, 2), np.uint64)
-    distinct = np.bincount(unique_words[:, 0].astype(np.int64), minlength=n_docs)
+    word_doc, word_hash = distinct_pairs(doc[has], words[has])
+    distinct = np.bincount(word_doc, minlength=n_docs)
     stops = total((data == 46) | (data == 44))
     marks = np.bincount(doc, weights=~(((low[end - 1] >= 97) & (low[end - 1] <= 122)) | (data[end - 1] >= 0x80)) if len(end) else None, minlength=n_docs)
 
@@ -84,8 +84,7 @@ def measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line_doc = np.searchsorted(begin, line_from, "right") - 1
     lines = np.bincount(line_doc, minlength=n_docs)
     line_hash = Rolling(data).spans(line_from, line_at)
-    unique_lines = np.unique(np.stack([line_doc.astype(np.uint64), line_hash], 1), axis=0) if len(line_from) else np.zeros((0, 2), np.uint64)
-    repeats = 1 - np.bincount(unique_lines[:, 0].astype(np.int64), minlength=n_docs) / np.maximum(lines, 1)
+    repeats = 1 - np.bincount(distinct_pairs(line_doc, line_hash)[0], minlength=n_docs) / np.maximum(lines, 1)
 
     stats = np.stack(
         [total(symbol) / chars, total(upper) / chars, total(digit) / chars, chars / some, np.bincount(doc, weights=next_same, minlength=n_docs) / some, -np.where(n_words > 0, distinct / some, 1.0), np.where(lines > 0, repeats, 0.0), stops / some, marks / some, n_words.astype(float)],
@@ -94,11 +93,22 @@ def measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bins = np.stack([np.digitize(stats[:, j], _edges(j)) + 16 * j for j in range(stats.shape[1])], 1)
     bin_bucket = HALF + (bins.astype(np.uint64) * np.uint64(2654435761) % np.uint64(HALF)).astype(np.int64)
     shape_bucket = HALF + (shapes % np.uint64(HALF)).astype(np.int64)
-    pairs = np.concatenate([unique_words[:, 0].astype(np.int64) * BUCKETS + (unique_words[:, 1] % np.uint64(HALF)).astype(np.int64), doc * BUCKETS + shape_bucket, (np.arange(n_docs)[:, None] * BUCKETS + bin_bucket).ravel()])
+    pairs = np.concatenate([word_doc * BUCKETS + (word_hash % np.uint64(HALF)).astype(np.int64), doc * BUCKETS + shape_bucket, (np.arange(n_docs)[:, None] * BUCKETS + bin_bucket).ravel()])
     pairs = np.unique(pairs)
     return stats, pairs // BUCKETS, pairs % BUCKETS
 
 
+def distinct_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each text. Text numbers rise, so sorting by value is enough before a stable
+    sort by text."""
+    order = np.argsort(value)
+    order = order[np.argsort(doc[order].astype(np.int32), kind="stable")]
+    d, v = doc[order], value[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+    return d[new], v[new]
+
+
 def _edges(j: int) -> np.ndarray:
     name = STATS[j]
     if name == "word_length":
