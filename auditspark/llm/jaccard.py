@@ -35,9 +35,9 @@ def subset_signatures(tokens: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, cid, head): the size of each row's set, 64 bits of its fingerprint, and its first
+    """(rid, doc_id, n, cid, head): a hash of the row's id and text, the size of each row's set, 64 bits of its fingerprint, and its first
     shingles in the order of their hashes, as many as survivors() needs."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -45,9 +45,14 @@ def classes(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", te
                 sets = shingle_sets(list(part["text"]), size)
                 n = np.array([len(s) for s in sets])
                 head = spare(n, percent) + np.maximum(1, spare(n, percent) // 2)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "cid": [class_id(s) for s in sets], "head": [s[:k].view(np.int64) for s, k in zip(sets, head, strict=True)]})
+                yield pd.DataFrame({"rid": part["rid"], "doc_id": part["doc_id"], "n": n, "cid": [class_id(s) for s in sets], "head": [s[:k].view(np.int64) for s, k in zip(sets, head, strict=True)]})
 
-    return narrow.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n long, cid long, head array<long>")
+    return narrow.mapInPandas(run, f"rid long, doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n long, cid long, head array<long>")
+
+
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """A key that only rows of the same id and text share."""
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(text_col).isNull())
 
 
 def class_id(s: np.ndarray) -> int:
@@ -206,24 +211,44 @@ def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id
     (class_id: 64 bits of a fingerprint) and link always; classes are formed before any shuffle, so a
     group of copies counts once. Rows of one id with different texts are documents of their own. An
     empty table gives no row."""
+    rows, held, labels = clustered(docs, size, percent, id_col, text_col)
+    return assigned(rows, held, labels).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def clustered(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = checkpoint(classes(source, size, percent))
     held = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
     wanted = checkpoint(survivors(held, percent).join(held.select("cid", "rep"), "cid"))
-    sets = checkpoint(fetch_sets(source, wanted, size))
-    live = checkpoint(alive(sets, percent))
-    labels = linked(live, signatures(live, percent), percent)
-    return assigned(rows, held, labels)
+    live = checkpoint(alive(checkpoint(fetch_sets(source, wanted, size)), percent))
+    return rows, held, linked(live, signatures(live, percent), percent)
 
 
 def assigned(rows: DataFrame, held: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with n_shingles, component_id, class_id and group, the class that stands for the component."""
     named = held.select("cid", "rep").join(labels, held["cid"] == labels["node"]).select("cid", "label", "rep")
     smallest = named.groupBy("label").agg(F.min("rep").alias("smallest"))
-    of_class = named.join(smallest, "label").select(F.col("cid").alias("c"), "smallest")
-    reps = held.select(F.col("cid").alias("c"), "rep").join(of_class, "c", "left").select("c", F.coalesce("smallest", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "cid")
+    of_class = named.join(smallest, "label").select(F.col("cid").alias("c"), "label", "smallest")
+    reps = held.select(F.col("cid").alias("c"), "rep").join(of_class, "c", "left").select("c", F.coalesce("label", "c").alias("group"), F.coalesce("smallest", "rep").alias("component"))
+    out = rows.select("rid", "doc_id", "n", "cid")
     out = out.join(reps, (out["cid"] == reps["c"]) & (out["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"))
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"), "group")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of which one of each group of linked documents stays: the one with
+    the smallest id, then key. Rows without words are linked with nothing and stay; of equal rows with
+    words one stays."""
+    rows, held, labels = clustered(docs, size, percent, id_col, text_col)
+    found = assigned(rows, held, labels)
+    first = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("_rid"), F.lit(True).alias("_one"))
+    stay = checkpoint(first.unionByName(found.filter("n_shingles = 0").select(F.col("rid").alias("_rid"), F.lit(False).alias("_one")).distinct()))
+    repeated = rows.join(stay.filter("_one"), rows["rid"] == stay["_rid"]).groupBy("rid").count().filter("count > 1").isEmpty()
+    small = F.broadcast(stay) if stay.count() <= SENT else stay
+    kept = docs.withColumn("_rid", row_key(id_col, text_col)).join(small, "_rid")
+    if not repeated:
+        kept = kept.filter("NOT _one").unionByName(kept.filter("_one").dropDuplicates(["_rid"]))
+    return kept.select(*[kept[c] for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

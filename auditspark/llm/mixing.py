@@ -115,5 +115,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, t
     return out.select("r.doc_id", "r.size", "p.source_size", F.col("p.target").cast("double").alias("target"), copies.cast("long").alias("copies"), "p.rate").withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, tilt: str = "mass", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sent: int = 500_000) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them; rows without words, of which there
+    is nothing to take, once. Equal rows share their copies."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col), F.col(source_col).isNull())
+    keyed = docs.withColumn("_key", key)
+    plan = mix(keyed.select("_key", text_col, source_col), weights, cap, tilt, "_key", text_col, source_col)
+    times = F.when(F.max("size") == 0, F.count("*")).otherwise(F.sum("copies"))
+    plan = checkpoint(plan.groupBy(F.col("doc_id").alias("_key")).agg(times.alias("_times"), F.count("*").alias("_rows")))
+    size = plan.agg(F.count("*"), F.max("_rows")).first()
+    if (size[1] or 1) > 1:
+        keyed = keyed.dropDuplicates(["_key"])
+    wanted = plan.filter("_times > 0").select("_key", "_times")
+    rows = keyed.join(F.broadcast(wanted) if size[0] <= sent else wanted, "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

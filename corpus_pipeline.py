@@ -1,18 +1,54 @@
-"""The corpus pipeline: ordered stages, each one operator of auditspark.llm."""
+"""The corpus pipeline: ordered stages, each one operator of auditspark.llm.
+
+Every stage takes (spark, docs, sf_dir) and gives what the next one reads; run() writes each result to
+the shared folder and reads it again, so that no stage is computed twice."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditspark.llm import jaccard, mixing, packing, quality, repeats
+from auditspark.llm.common import stored, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model, keep_columns=True).filter("_accepted").drop("_accepted")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return jaccard.keep_one(docs, size=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 400-byte strings that occur again anywhere; n_chars follows the text."""
+    left = repeats.remove_repeats(docs, keep_columns=True)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-from auditspark.llm import mixing
 
-STAGES = []
+STAGES = [("quality_classifier", quality_classifier), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("packing", packed)]
 #: The stages cannot be expressed in SQL; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
