@@ -18,8 +18,8 @@ SIZE, PERCENT = 4, 85
 SUBSET = 2
 #: Classes whose ids are sent to every task to fetch their texts; more go through a shuffle.
 SENT = 500_000
-#: Rounds of comparing with one hub a list before the rest is compared in full.
-HUB_ROUNDS = 6
+#: Shingles of the sets of one cluster that a task takes; larger clusters are dealt over blocks.
+TASK_SHINGLES = 400_000
 
 
 def spare(n, percent: int):
@@ -150,57 +150,61 @@ def signatures(live: DataFrame, percent: int) -> DataFrame:
     return signed.join(shared, "sig")
 
 
-def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that link. The sets of b travel to a; a hub's set is read once a partition."""
-    right = pairs.join(live.select(F.col("cid").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    both = right.join(live.select(F.col("cid").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.select("a", "b", shared.alias("shared"), (F.size("tokens_a") + F.size("tokens_b")).alias("sizes")).filter(F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).select("a", "b")
+def clusters(signed: DataFrame, percent: int) -> DataFrame:
+    """(node, label): sets that may link share a label. Sets of one signature and size class are tied to the
+    smallest of them, one row each; sizes of linked sets lie in one class or in neighbouring ones, and
+    a set stands in its own and the next."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent)) + 1e-9)
+    keyed = signed.select("sig", "cid", F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
+    hubs = keyed.groupBy("sig", "size_class").agg(F.min("cid").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    return components(keyed.join(hubs, ["sig", "size_class"]).select("a", F.col("cid").alias("b")).filter("a <> b").distinct())
+
+
+def local_links(sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links among some sets, thinned to a forest with the same components. The inverted lists are
+    scanned a thousand shingles at a time; each scan adds to the sizes of all intersections."""
+    ids, n = sets["cid"].to_numpy(np.int64), sets["n"].to_numpy(np.int64)
+    m = len(ids)
+    tokens, owner = np.concatenate([np.asarray(t, np.int64) for t in sets["tokens"]]), np.repeat(np.arange(m), n)
+    _, place, seen = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = seen[place] > 1
+    place, owner = np.unique(place[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    both = np.zeros((m, m), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 1000):
+        a, b = np.searchsorted(place, [low, low + 1000])
+        lists = np.zeros((m, 1000), np.float32)
+        lists[owner[a:b], place[a:b] - low] = 1
+        both += lists @ lists.T
+    both = both.astype(np.int64)
+    link = 100 * both >= percent * (n[:, None] + n[None] - both)
+    label = np.arange(m)
+    while True:
+        least = np.where(link, label[None], m).min(1)
+        least = np.minimum(least, label)
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    far = label != np.arange(m)
+    return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
 
 
 def linked(live: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the components of the linked sets.
 
-    Every pair of sets with a common signature and fitting sizes is either compared or already in one
-    component. Each round, the members of a list that are in another component than its hub are
-    compared with it, the hub coming from the list's largest component by a new hash; components
-    are joined, and lists of one component drop out. A large group of near copies so costs a few
-    comparisons a member. When few pairs are left, or after HUB_ROUNDS, all pairs left are compared:
-    those of a list's members outside its largest component with all others."""
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    lists = checkpoint(signed)
-    links, tested, labels = None, None, None
-    rows = lists.count()
-    for turn in range(HUB_ROUNDS + 1):
-        members = lists if labels is None else lists.join(labels, lists["cid"] == labels["node"], "left").drop("node")
-        members = members.withColumn("comp", F.col("cid") if labels is None else F.coalesce("label", "cid")).select("sig", "cid", "n", "comp")
-        parts = members.groupBy("sig", "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "n")).alias("hub"))
-        top = parts.groupBy("sig").agg(F.max(F.struct("k", "comp", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))).alias("top"), F.sum("k").alias("k"), F.count("*").alias("comps")).filter("comps > 1")
-        top = checkpoint(top.select("sig", F.col("top.comp").alias("top"), F.col("top.hub").alias("hub"), F.col("top.hub_n").alias("hub_n"), "k", (F.col("k") - F.col("top.k")).alias("outside")))
-        left = top.agg(F.sum(F.col("outside") * F.col("k"))).first()[0]
-        if not left:
-            break
-        outside = members.join(top, "sig").filter("comp <> top")
-        last = turn == HUB_ROUNDS or (turn > 0 and left <= 4 * rows)
-        if last:
-            a = outside.select("sig", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            b = members.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = a.join(b, "sig").filter((F.col("ca") != F.col("cb")) & fits)
-        else:
-            pairs = outside.select(F.col("hub").alias("a"), F.col("cid").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).filter(fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = checkpoint(verified(pairs, live, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = checkpoint(components(links))
-        if last:
-            break
-    if labels is None:
-        return live.sparkSession.createDataFrame([], "node long, label long")
-    return labels
+    The sets of a cluster meet in one task if they have TASK_SHINGLES shingles at most. A larger cluster is
+    dealt over blocks by a hash, and every two blocks meet in a task of their own, so none grows with
+    the cluster. A task gives fewer links than it has sets, however many pairs link."""
+    tied = checkpoint(clusters(signed, percent))
+    held = live.join(tied, live["cid"] == tied["node"]).select("cid", "n", "tokens", "label")
+    size = tied.join(live.select("cid", "n"), tied["node"] == F.col("cid")).groupBy("label").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = held.join(size, "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cid", "n", "tokens")
+    links = dealt.groupBy("label", "x", "y").applyInPandas(lambda sets: local_links(sets, percent), "a long, b long")
+    return checkpoint(components(links))
 
 
 def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
