@@ -156,7 +156,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     goes into a collection for column-wise construction, about COLLECTION a task."""
     spark = rows.sparkSession
     places = occurrences(rows, length, gram)
-    twice = places.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    # Stored apart from its aggregation, so that the join can split a hot anchor's rows over tasks.
+    twice = checkpoint(places.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"))
     held = checkpoint(places.join(twice, "anchor").select("rid", "anchor", "p", "lo", "hi", "seg"))
     kinds = held.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("kinds"))
     hot = checkpoint(kinds.filter(F.col("kinds") > HOT).select("anchor"))
@@ -165,7 +166,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         held = checkpoint(held.join(hot, "anchor", "left_anti").unionByName(apart))
         kinds = held.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("kinds"))
 
-    segments = held.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "p", "lo", "hi")).alias("at"))
+    segments = checkpoint(held.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "p", "lo", "hi")).alias("at")))
     by_anchor = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).filter("kinds > 1 AND fewest = 1").select("anchor")
     open_ = checkpoint(segments.join(by_anchor, "anchor").select("anchor", "seg", "at.*"))
     total = open_.count()
@@ -225,9 +226,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     key = F.xxhash64(docs[id_col], docs[text_col])
     rows = docs.select(key.alias("rid"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     spans = checkpoint(repeated_spans(rows.filter(F.octet_length("text") >= length), length, gram))
-    few = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    if few[0] <= SENT and (few[1] or 0) <= 10 * SENT:
-        spans = F.broadcast(spans)
     if keep_columns:
         held = docs.select(key.alias("_rid"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
         found = spans.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
