@@ -201,7 +201,7 @@ def large_amount(e: DataFrame, p: Policy) -> DataFrame:
 @rule("self-approval", 4, "strong", needs=("approver",))
 def self_approval(e: DataFrame, p: Policy) -> DataFrame:
     names = F.array_compact(F.array("employee_id", *(["employee_name"] if "employee_name" in e.columns else [])))
-    tokens = F.transform(F.split("approver", "[;；,，、]"), F.trim)
+    tokens = F.transform(F.split("approver", "[;；,，、]"), lambda x: F.trim(x))
     return members(e.filter(F.arrays_overlap(tokens, names)))
 
 

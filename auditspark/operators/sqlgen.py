@@ -44,7 +44,7 @@ DIALECTS = {
     "sqlserver": Dialect("[", "]", "DATEPART(weekday, {d}) IN (1,7)", _CONCAT, tuples=False),
     "oracle": Dialect('"', '"', "TRIM(TO_CHAR({d}, 'D')) IN ('1','7')", _PIPES),
     "spark": Dialect("`", "`", "WEEKDAY({d}) >= 5", "ARRAY_CONTAINS(TRANSFORM(SPLIT({a}, '[;；,，、]'), x -> TRIM(x)), CAST({e} AS STRING))"),
-    "duckdb": Dialect('"', '"', "ISODOW({d}) >= 6", "LIST_CONTAINS(LIST_TRANSFORM(REGEXP_SPLIT_TO_ARRAY({a}, '[;；,，、]'), x -> TRIM(x)), CAST({e} AS VARCHAR))"),
+    "duckdb": Dialect('"', '"', "ISODOW({d}) >= 6", "LIST_CONTAINS(LIST_TRANSFORM(REGEXP_SPLIT_TO_ARRAY({a}, '[;；,，、]'), lambda x: TRIM(x)), CAST({e} AS VARCHAR))"),
 }
 
 
