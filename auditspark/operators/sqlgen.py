@@ -70,20 +70,19 @@ def key(text: str) -> str:
     return re.sub("[^0-9a-z一-鿿]+", "", unicodedata.normalize("NFKC", text or "").lower())
 
 
-def suggest(columns: list[tuple[str, str]]) -> dict[str, list[tuple[float, str, str]]]:
-    """For each field the three best (confidence, table, column): 1.0 for an alias, 0.7 for one that holds an
-    alias or is held by one."""
+def suggest(columns: list[tuple]) -> dict[str, list[tuple[float, str, str]]]:
+    """columns (table, column) or (table, column, label) -> for each field the three best (confidence,
+    table, column): 1.0 where the column or its label is an alias, 0.7 where one holds the other."""
     out = {}
     for name, aliases in FIELDS.items():
         known = [key(a) for a in aliases]
-        scored = []
-        for place, (t, c) in enumerate(columns):
-            k = key(c)
-            if k in known:
-                scored.append((1.0, -place, t, c))
-            elif k and any(len(a) > 1 and (a in k or k in a) for a in known):
-                scored.append((0.7, -place, t, c))
-        out[name] = [(s, t, c) for s, _, t, c in sorted(scored, reverse=True)[:3]]
+        best: dict[tuple[str, str], float] = {}
+        for t, c, *label in columns:
+            for k in filter(None, map(key, (c, *label))):
+                value = 1.0 if k in known else 0.7 if any(a in k or k in a for a in known) else 0.0
+                if value > best.get((t, c), 0.0):
+                    best[t, c] = value
+        out[name] = [(s, t, c) for (t, c), s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]]
     return out
 
 

@@ -139,7 +139,7 @@ def test_scope_gate():
 
 def test_generated_sql():
     out = sqlgen.build([("t", "emp_id"), ("t", "date"), ("t", "amount")], "mysql")
-    assert out["mapping"] == {"employee_id": ("t", "emp_id"), "expense_date": ("t", "date"), "amount": ("t", "amount")}
+    assert out["mapping"] == {"employee_id": ("t", "emp_id"), "expense_date": ("t", "date"), "amount": ("t", "amount"), "submit_date": ("t", "date")}
     assert "`emp_id`" in out["sql"]["duplicate-claim"] and out["missing"]["self-approval"] == ["approver"]
 
 
