@@ -56,8 +56,9 @@ def measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     symbol = np.isin(data, np.frombuffer(b"#*$%&|<>{}[]\\^~=_@", np.uint8))
     total = lambda mask: np.add.reduceat(np.append(mask, 0).astype(np.int64), begin) if n_docs else np.zeros(0)
 
-    upto = np.concatenate([[0], np.cumsum(letter)])
-    words = Rolling(low[letter]).spans(upto[start], upto[end])
+    spelt = letter | digit  # a word is known by these, without its marks
+    upto = np.concatenate([[0], np.cumsum(spelt)])
+    words = Rolling(low[spelt]).spans(upto[start], upto[end])
     has = upto[end] > upto[start]
     shape = np.where(letter, np.where(upper, 65, 97), np.where(digit, 48, data)).astype(np.uint8)
     first = np.ones(len(shape), bool)
