@@ -441,8 +441,8 @@ def bid_price_subcluster(spark, sf_dir):
 @query("bid_text_similarity")
 def bid_text_similarity(spark, sf_dir):
     """The turns of conversations as bids, their roles as lots."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("turn = 0")
-    bids = turns.select(F.col("conv_id").alias("bid_id"), F.concat_ws("/", "role", (F.col("conv_id") % 20).cast("string")).alias("lot_id"), "text")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    bids = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("bid_id"), F.concat_ws("/", "role", (F.col("conv_id") % 100).cast("string")).alias("lot_id"), "text")
     return procurement.bid_similarity(bids, {"bid_similarity": 0.2, "ngram_max": 3})
 
 
