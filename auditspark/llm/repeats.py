@@ -168,7 +168,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     segments = checkpoint(held.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "p", "lo", "hi")).alias("at")))
     by_anchor = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).filter("kinds > 1 AND fewest = 1").select("anchor")
-    open_ = checkpoint(segments.join(by_anchor, "anchor").select("anchor", "seg", "at.*"))
+    open_ = checkpoint(segments.join(by_anchor, "anchor").select("anchor", "seg", "copies", "at.*"))
     total = open_.count()
     parts = max(1, -(-total // COLLECTION), min(total // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -177,11 +177,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             out = []
             for text, wants in zip(batch["text"], batch["wants"], strict=True):
                 data = as_bytes(text)
-                out += [(w["anchor"], w["seg"], w["p"] - w["lo"], data[w["lo"] : w["hi"] + length]) for w in wants]
+                out += [(w["anchor"], w["seg"], w["copies"], w["p"] - w["lo"], data[w["lo"] : w["hi"] + length]) for w in wants]
             for a in range(0, max(1, len(out)), 20_000):
-                yield pd.DataFrame(out[a : a + 20_000], columns=["anchor", "seg", "centre", "bytes"])
+                yield pd.DataFrame(out[a : a + 20_000], columns=["anchor", "seg", "copies", "centre", "bytes"])
 
-    texts = with_text(rows, open_, ["anchor", "seg", "p", "lo", "hi"]).mapInPandas(fetch, "anchor long, seg long, centre int, bytes binary")
+    texts = with_text(rows, open_, ["anchor", "seg", "copies", "p", "lo", "hi"]).mapInPandas(fetch, "anchor long, seg long, copies long, centre int, bytes binary")
 
     def construct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         everything = [b for b in batches if len(b)]
@@ -192,7 +192,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         centre = rows_["centre"].to_numpy(np.int64)
         out = []
         for k, starts in enumerate(columnwise(list(rows_["bytes"]), centre, length)):
-            if len(starts):
+            if len(starts) and rows_["copies"][k] == 1:  # others repeat whole in any case
                 a, b = runs(starts)
                 out += [(rows_["anchor"][k], rows_["seg"][k], x, y) for x, y in zip((a - centre[k]).tolist(), (b - centre[k]).tolist(), strict=True)]
         yield pd.DataFrame(out, columns=["anchor", "seg", "a", "b"])
