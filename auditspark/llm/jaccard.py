@@ -64,20 +64,22 @@ def slices(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame
         yield part
 
 
-def survivors(held: DataFrame, percent: int) -> DataFrame:
-    """held(cid, n, head) -> (cid, n) of sets that may link with another.
+def survivors(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """rows(cid, n, head), held(cid, n, rep) -> held of the sets that may link with another.
 
     Two sets that link share all but spare(n) shingles of either, so the first L they share, in any one
     order, lie among the first spare(n) + L of each. With L half of spare(n), a set survives if so
-    many of its head's shingles are in another head; the L of the smallest partner counts. Shingles
-    are counted before the shuffle, and those of one set only, known by the smallest set that has
-    them, are taken off its head: no list of sets is ever formed."""
-    tokens = held.select("cid", F.explode("head").alias("token"))
-    alone = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("cid").alias("cid")).filter("df = 1")
+    many of its head's shingles are in another head; the L of the smallest partner counts. A shingle
+    is alone if the smallest and the largest set that have it are one, which copies do not change:
+    heads need no grouping by set, and no list of sets is ever formed."""
+    tokens = rows.select("cid", F.explode("head").alias("token"))
+    alone = tokens.groupBy("token").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")).filter("cid = other")
     alone = alone.groupBy("cid").agg(F.count("*").alias("alone"))
     least = F.floor((F.col("n") * percent + 99) / 100)
+    slack = F.col("n") - least
+    head = F.least(F.col("n"), slack + F.greatest(F.lit(1), F.floor(slack / 2)))
     rest = F.floor((least - F.floor((least * percent + 99) / 100)) / 2)
-    return held.join(alone, "cid", "left").filter(F.size("head") - F.coalesce("alone", F.lit(0)) >= F.greatest(F.lit(1), rest)).select("cid", "n")
+    return held.join(alone, "cid", "left").filter(head - F.coalesce("alone", F.lit(0)) >= F.greatest(F.lit(1), rest)).drop("alone")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -222,8 +224,8 @@ def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id
 def clustered(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = checkpoint(classes(source, size, percent))
-    held = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"))
-    wanted = checkpoint(survivors(held, percent).join(held.select("cid", "rep"), "cid"))
+    held = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"))
+    wanted = checkpoint(survivors(rows, held, percent))
     live = checkpoint(alive(checkpoint(fetch_sets(source, wanted, size)), percent))
     return rows, held, linked(live, signatures(live, percent), percent)
 
