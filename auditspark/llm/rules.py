@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,15 +10,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from .common import checkpoint, table, word_bounds
-
-#: The model reads characters in 32 classes: blank, a to z without case and accents, digits, sentence
-#: marks, symbols, two for all other letters. Four of them make at most 2**20 n-grams a language.
-CLASSES, ORDER, BITS = 32, 4, 5
+from pyspark.sql.window import Window
+
+from .common import BASE, U64, checkpoint, mix, table
+
+#: The model reads code points as they are, four at a time: three of CODE bits make a context of 63 bits.
+ORDER, CODE = 4, 21
+#: Characters of the small alphabet of kneser_ney(), and their bits.
+CLASSES, BITS = 32, 5
+#: Weights that a scan of the texts holds; a larger model takes more scans.
+SLICE = 2_000_000
+#: N-grams that a counting task holds before it gives them out.
+HELD = 2_000_000
+#: Parts over which the rows of a language are dealt to meet what is known of the language.
+SALTS = 64
 SYMBOLS = b"#*$%&|<>"
-#: Languages with a model of their own, by characters; the others share one.
-MAX_LANGUAGES = 32
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 #: Half the width of a band: so many median deviations, and this over the root of the characters (the
 #: mean of n characters varies by about 0.5 / sqrt(n)).
@@ -25,51 +32,33 @@ WIDTH, SHORT = 1.0, 2.5
 STEP = 1000
 
 
-def _classes() -> np.ndarray:
-    import unicodedata
-
-    out = np.empty(0x3000, np.uint8)
-    for cp in range(len(out)):
-        c = unicodedata.normalize("NFKD", chr(cp).lower())[:1] or " "
-        if c.isspace() or cp < 32:
-            out[cp] = 0
-        elif "a" <= c <= "z":
-            out[cp] = ord(c) - 96
-        elif c.isdigit():
-            out[cp] = 27
-        elif c in ".,;:!?'\"()-":
-            out[cp] = 28
-        elif c.isalpha():
-            out[cp] = 30 + cp % 2
-        else:
-            out[cp] = 29
-    return out
-
-
-def grams(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed n-grams that end at each character, each text begun after blanks, and how many
-    characters each text has."""
+def grams(lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each character, a 64-bit hash of the language and the n-gram that ends there, the three
+    characters before it packed, and its code point; then how many characters each text has. Texts
+    begin after blanks."""
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-    flat = np.zeros(int(sizes.sum()) + (ORDER - 1) * len(codes), np.int32)
+    flat = np.full(int(sizes.sum()) + (ORDER - 1) * len(codes), 32, U64)
     inside = np.zeros(len(flat), bool)
     at = 0
     for c in codes:
         at += ORDER - 1
-        flat[at : at + len(c)] = np.where(c < len(classes), classes[np.minimum(c, len(classes) - 1)], 30 + (c & 1))
+        flat[at : at + len(c)] = c
         inside[at : at + len(c)] = True
         at += len(c)
-    key = flat.copy()
+    context = np.zeros(len(flat), U64)
     for back in range(1, ORDER):
-        key[back:] |= flat[:-back] << (BITS * back)
-    return key[inside], sizes
+        context[back:] |= flat[:-back] << U64(CODE * (back - 1))
+    context, flat = context[inside], flat[inside]
+    seed = U64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+    key = mix(context * U64(BASE) + mix(flat + seed))
+    return key.view(np.int64), context.view(np.int64), flat.astype(np.int32), sizes
 
 
 @dataclass
 class Model:
     """Interpolated modified Kneser-Ney probabilities in sorted arrays, one set for each order: the
-    n-gram's hash (its classes packed, which is a perfect hash), log10 probability, and the log10
-    weight of backing off from it as a context."""
+    packed n-gram, log10 probability, and the log10 weight of backing off from it as a context."""
 
     keys: list[np.ndarray]
     logp: list[np.ndarray]
@@ -103,7 +92,8 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """The model of one language from its packed n-grams of the highest order and their counts."""
+    """The model of an alphabet of CLASSES characters, in dense tables, from packed n-grams of the highest
+    order and their counts. train() gives the same for any alphabet, in joins; tests hold it against this."""
     full = np.zeros(CLASSES**ORDER, np.int64)
     full[keys] = counts
     tables = [full.reshape(-1, CLASSES)]
@@ -161,26 +151,35 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
 
 
 def count_grams(narrow: DataFrame) -> DataFrame:
-    """(lang, gram, n): counts of n-grams over all texts, summed in each task before the shuffle."""
+    """(lang, context, last, key, n): counts of n-grams over all texts, summed in each task before the
+    shuffle; a task holds HELD of them at a time."""
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        key, context, last, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        code, found = pd.factorize(key)
+        first = np.empty(len(found), np.int64)
+        first[code[::-1]] = np.arange(len(key))[::-1]
+        return found, context[first], last[first], np.bincount(code, weights=n, minlength=len(found)).astype(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, held = _classes(), {}
+        held: dict[str, tuple[np.ndarray, ...]] = {}
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                total = held.setdefault(lang, np.zeros(CLASSES**ORDER, np.int64))
                 for texts in chunks(part["text"]):
-                    total += np.bincount(grams(texts, classes)[0], minlength=len(total))
-            if len(held) > 8:
-                yield from emitted(held)
+                    key, context, last, _ = grams(lang, texts)
+                    new = summed([(key, context, last, np.ones(len(key), np.int64))])
+                    held[lang] = summed([held[lang], new]) if lang in held else new
+                    if sum(len(x[0]) for x in held.values()) > HELD:
+                        yield from emitted(held)
         yield from emitted(held)
 
     def emitted(held: dict) -> Iterator[pd.DataFrame]:
         while held:
-            lang, total = held.popitem()
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": total[at]})
+            lang, (key, context, last, n) = held.popitem()
+            yield pd.DataFrame({"lang": lang, "context": context, "last": last, "key": key, "n": n})
 
-    return narrow.select("lang", "text").mapInPandas(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = narrow.select("lang", "text").mapInPandas(run, "lang string, context long, last int, key long, n long")
+    return counted.groupBy("lang", "context", "last").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
 
 
 def chunks(texts, chars: int = 1_000_000) -> Iterator[list[str]]:
@@ -195,62 +194,100 @@ def chunks(texts, chars: int = 1_000_000) -> Iterator[list[str]]:
         yield held
 
 
-def train(narrow: DataFrame, languages: int = MAX_LANGUAGES) -> dict[str | None, Model]:
-    """Models by language; under None the one of all languages together, for those without their own.
-    At most (languages + 1) * 2**20 counts come back, 12 bytes each."""
-    counted = checkpoint(count_grams(narrow))
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    own = [r["lang"] for r in sizes]
-    models, pooled = {}, np.zeros(CLASSES**ORDER, np.int64)
-    for lang in own:
-        got = counted.filter(F.col("lang") == lang).select("gram", "n").toPandas()
-        models[lang] = kneser_ney(got["gram"].to_numpy(), got["n"].to_numpy())
-        pooled[got["gram"].to_numpy()] += got["n"].to_numpy()
-    rest = counted.filter(~F.col("lang").isin(own)).groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    pooled[rest["gram"].to_numpy()] += rest["n"].to_numpy()
-    at = np.flatnonzero(pooled)
-    models[None] = kneser_ney(at, pooled[at])
-    return models
-
+def by_language(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with known(lang, ...), a row a language. The rows of a language are dealt over SALTS parts,
+    so that no task gets a whole language."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "lang"]), F.lit(SALTS)).cast("int"))
+    return dealt.join(known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "_salt"], how).drop("_salt")
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, and then lang, n_chars, log_perplexity (log10 a character), band_low, band_high.
 
-    Only the three named columns are read. Null text has no words and fails the base; null language is
-    "und". Each language's band lies around the median over its documents that pass the base: WIDTH
-    median deviations each way and, as short texts vary more, SHORT over the root of the length. Bands
-    come from a histogram of the scores over all documents. Repeated rows are judged each by itself;
-    an empty table gives no row."""
-    narrow = docs.select(F.col(id_col), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    held = narrow.sparkSession.sparkContext.broadcast({k: (m.keys, m.logp, m.back) for k, m in train(narrow).items()})
-    kind = narrow.schema[id_col].dataType.simpleString()
+def cuts(counts: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): discounts() of the counts n of each language."""
+    n1, n2, n3, n4 = (F.col(f"_n{k}") for k in (1, 2, 3, 4))
+    of = counts.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"_n{k}") for k in (1, 2, 3, 4)])
+    y = n1 / (n1 + 2 * n2)
+    full = (n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)
+    got = [F.when(full, F.greatest(F.lit(0.0), F.least(F.lit(k - 0.01), k - (k + 1) * y * b / a))).otherwise(k / 2) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return of.select("lang", *[d.alias(f"d{k}") for k, d in enumerate(got, 1)])
+
+
+def train(narrow: DataFrame) -> DataFrame:
+    """narrow(lang, text) -> (key, logp): log10 of the probability that interpolated modified Kneser-Ney
+    smoothing gives the last character of each n-gram of each language, by the n-gram's hash.
+
+    Every language has its own counts of its own characters. Each order is a table of its n-grams, joined
+    with the next lower one, so the model grows with the data and no task holds a language. As the
+    texts that are scored are those that are counted, n-grams of the highest order are all that is
+    looked up."""
+    rest = F.shiftleft(F.col("context").bitwiseAND(F.lit((1 << 2 * CODE) - 1)), CODE).bitwiseOR(F.col("last").cast("long"))
+    tables = [checkpoint(count_grams(narrow).select("lang", "key", "context", rest.alias("rest"), "n"))]
+    for n in range(ORDER - 1, 0, -1):  # below the highest order, how many characters precede the n-gram
+        below = tables[0].groupBy("lang", F.col("rest").alias("key")).agg(F.count("*").alias("n"))
+        tables.insert(0, checkpoint(below.select("lang", "key", F.shiftrightunsigned("key", CODE).alias("context"), F.col("key").bitwiseAND(F.lit((1 << (n - 1) * CODE) - 1)).alias("rest"), "n")))
+    # All characters that a language has, and one that it has not, are alike below the lowest order.
+    lower = tables[0].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("lower")).withColumn("rest", F.lit(0).cast("long"))
+    for c in tables:
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        same = Window.partitionBy("lang", "context")
+        c = by_language(c, cuts(c)).withColumn("cut", cut).withColumn("all", F.sum("n").over(same)).withColumn("weight", F.sum("cut").over(same) / F.col("all"))
+        prob = F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("all") + F.col("weight") * F.col("lower")
+        lower = c.join(lower, ["lang", "rest"]).select("lang", F.col("key").alias("rest"), prob.alias("lower"))
+    return lower.select(F.col("rest").alias("key"), F.log10(F.greatest(F.col("lower"), F.lit(1e-12))).alias("logp"))
+
+
+def scores(narrow: DataFrame, weights: DataFrame, kind: str, id_col: str, whole: bool) -> DataFrame:
+    """narrow(rid, id, lang, text) -> rid and logp, the sum over the n-grams of each text that weights(key, logp)
+    has; whole adds the other columns of a scored row."""
+    got = weights.toArrow()
+    held = narrow.sparkSession.sparkContext.broadcast((got["key"].to_numpy(), got["logp"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, models = _classes(), {k: Model(*m) for k, m in held.value.items()}
-        scratch = np.zeros(CLASSES**ORDER)
+        keys, weight = pd.Index(held.value[0]), np.append(held.value[1], 0.0)  # the last for all others
         for batch in batches:
             logp, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             place = pd.Series(np.arange(len(batch)), index=batch.index)
             for lang, part in batch.groupby("lang"):
-                model, at = models.get(lang) or models[None], place[part.index].to_numpy()
+                at = place[part.index].to_numpy()
                 for texts in chunks(part["text"]):
-                    key, sizes = grams(texts, classes)
-                    used = np.flatnonzero(np.bincount(key, minlength=len(scratch)))
-                    scratch[used] = model.score(used.astype(np.int32))
+                    key, _, _, sizes = grams(lang, texts)
                     end = np.cumsum(sizes)
-                    total = np.concatenate([[0.0], np.cumsum(scratch[key])])
+                    total = np.concatenate([[0.0], np.cumsum(weight[keys.get_indexer(key)])])
                     here, at = at[: len(texts)], at[len(texts) :]
                     logp[here], size[here] = total[end] - total[end - sizes], sizes
+            if not whole:
+                yield pd.DataFrame({"rid": batch["rid"], "logp": logp})
+                continue
             out = pd.DataFrame([measures(t) for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], index=batch.index)
-            yield pd.concat([batch[[id_col, "lang"]], out], axis=1).assign(n_chars=size, log_perplexity=-logp / np.maximum(size, 1))
+            yield pd.concat([batch[["rid", id_col, "lang"]], out], axis=1).assign(n_chars=size, logp=logp)
 
-    scored = narrow.mapInPandas(run, f"`{id_col}` {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_perplexity double")
+    if not whole:
+        return narrow.select("rid", "lang", "text").mapInPandas(run, "rid long, logp double")
+    return narrow.mapInPandas(run, f"rid long, `{id_col}` {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, logp double")
+
+
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per input row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, and then lang, n_chars, log_perplexity (log10 a character), band_low, band_high.
+
+    Only the three named columns are read. Null text has no words and fails the base; null language is
+    "und". Each language's band lies around the median over its documents that pass the base: WIDTH
+    median deviations each way and, as short texts vary more, SHORT over the root of the length. Bands
+    come from a histogram of the scores over all documents. Repeated rows are judged each by itself;
+    an empty table gives no row."""
+    lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.xxhash64(F.col(id_col), lang, text).alias("rid"), F.col(id_col), lang.alias("lang"), text.alias("text"))
+    model = checkpoint(train(narrow))
+    slices = max(1, -(-model.count() // SLICE))
+    own = [model.filter(F.pmod("key", F.lit(slices)) == k) for k in range(slices)]
+    kind = narrow.schema[id_col].dataType.simpleString()
+    scored = checkpoint(scores(narrow, own[0], kind, id_col, True))
+    for weights in own[1:]:
+        more = scores(narrow, weights, kind, id_col, False).groupBy("rid").agg(F.max("logp").alias("more"))
+        scored = checkpoint(scored.join(more, "rid").withColumn("logp", F.col("logp") + F.col("more")).drop("more"))
+    scored = scored.withColumn("log_perplexity", -F.col("logp") / F.greatest(F.col("n_chars"), F.lit(1))).drop("logp")
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    scored = checkpoint(scored)
-    bands = F.broadcast(band_centres(scored))  # at most one row a language of the bounded set, and one
     key = F.col("lang")
-    out = scored.join(bands, scored["lang"].eqNullSafe(bands["b_lang"]), "left")
+    out = scored.join(F.broadcast(band_centres(scored)), "lang", "left")
     half = WIDTH * F.coalesce(F.col("deviation"), F.lit(0.05)) + SHORT / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     centre = F.coalesce(F.col("centre"), F.col("log_perplexity"))
     out = out.withColumn("band_low", centre - half).withColumn("band_high", centre + half)
@@ -259,10 +296,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def band_centres(scored: DataFrame) -> DataFrame:
-    """(b_lang, centre, deviation): median and median absolute deviation of each language's scores, from
+    """(lang, centre, deviation): median and median absolute deviation of each language's scores, from
     a histogram in steps of 1 / STEP, so that a task holds buckets, not documents."""
-    from pyspark.sql.window import Window
-
     hist = scored.filter(~F.col("base_failed")).groupBy("lang", F.round(F.col("log_perplexity") * STEP).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
     def median(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -276,7 +311,7 @@ def band_centres(scored: DataFrame) -> DataFrame:
     away = away.groupBy("lang", "_centre", "_away").agg(F.sum("n").alias("n"))
     spread = median(away, "_away", "_spread")
     out = centre.join(spread, "lang")
-    return out.select(F.col("lang").alias("b_lang"), (F.col("_centre") / STEP).alias("centre"), (F.greatest(F.col("_spread"), F.lit(1)) / STEP).alias("deviation"))
+    return out.select("lang", (F.col("_centre") / STEP).alias("centre"), (F.greatest(F.col("_spread"), F.lit(1)) / STEP).alias("deviation"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

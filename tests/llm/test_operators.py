@@ -304,6 +304,44 @@ def test_kneser_ney_is_a_distribution():
         assert p.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_joined_model_agrees_with_dense(spark):
+    rng, symbols = random.Random(3), " абвгдежзийклмнопрстуфхцчшщъыьэ"
+    texts = [symbols[1:]] + ["".join(rng.choices(symbols, weights=[1 + 31 // (1 + i) for i in range(31)], k=rng.randint(5, 400))) for _ in range(60)]
+    found = collections.Counter()
+    for t in texts:
+        padded = [0, 0, 0] + [symbols.index(c) for c in t]
+        found.update((a << 15) | (b << 10) | (c << 5) | d for a, b, c, d in zip(padded, padded[1:], padded[2:], padded[3:]))
+    keys = np.array(sorted(found))
+    dense = dict(zip(keys.tolist(), rules.kneser_ney(keys, np.array([found[k] for k in keys.tolist()])).score(keys.astype(np.int32)).tolist(), strict=True))
+    other = [("xx", "noise " * 50)]
+    got = {r["key"]: r["logp"] for r in rules.train(spark.createDataFrame([("ru", t) for t in texts] + other, "lang string, text string")).collect()}
+    for t in texts:
+        padded = [0, 0, 0] + [symbols.index(c) for c in t]
+        want = [dense[(a << 15) | (b << 10) | (c << 5) | d] for a, b, c, d in zip(padded, padded[1:], padded[2:], padded[3:])]
+        assert [got[k] for k in rules.grams("ru", [t])[0].tolist()] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("room", [2_000_000, 300])
+def test_every_script_keeps_its_letters(spark, monkeypatch, room):
+    """Letters dealt anew within their parity are worse than prose; a model in slices gives the same."""
+    monkeypatch.setattr(rules, "SLICE", room)
+    rng, rows = random.Random(8), []
+    for lang, first in (("ru", 0x430), ("zh", 0x4E00)):
+        letters = [chr(first + i) for i in range(30)]
+        vocabulary = ["".join(rng.choices(letters, k=rng.randint(3, 6))) for _ in range(60)]
+        swap = {0: letters[::2], 1: letters[1::2]}
+        for i in range(60):
+            text = " ".join(rng.choices(vocabulary, k=80))
+            if i >= 55:
+                text = "".join(c if c == " " else rng.choice(swap[(ord(c) - first) % 2]) for c in text)
+            rows.append((i, text, lang))
+    got = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    for lang in ("ru", "zh"):
+        mine = got[got.lang == lang]
+        assert mine[mine.doc_id >= 55].log_perplexity.min() > 1.2 * mine[mine.doc_id < 55].log_perplexity.max()
+        assert not mine[mine.doc_id >= 55].kept.any() and mine[mine.doc_id < 55].kept.mean() > 0.8
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(9)
     clean = lambda: " ".join(rng.choices(["the", "house", "stands", "near", "a", "quiet", "river,", "and", "people", "walk."], k=80)) + " " + " ".join(f"w{rng.randint(0, 999)}x" for _ in range(60))
