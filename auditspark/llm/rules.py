@@ -287,7 +287,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = scored.withColumn("log_perplexity", -F.col("logp") / F.greatest(F.col("n_chars"), F.lit(1))).drop("logp")
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     key = F.col("lang")
-    out = scored.join(F.broadcast(band_centres(scored)), "lang", "left")
+    out = by_language(scored, band_centres(scored), "left")
     half = WIDTH * F.coalesce(F.col("deviation"), F.lit(0.05)) + SHORT / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     centre = F.coalesce(F.col("centre"), F.col("log_perplexity"))
     out = out.withColumn("band_low", centre - half).withColumn("band_high", centre + half)

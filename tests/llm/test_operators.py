@@ -342,6 +342,20 @@ def test_every_script_keeps_its_letters(spark, monkeypatch, room):
         assert not mine[mine.doc_id >= 55].kept.any() and mine[mine.doc_id < 55].kept.mean() > 0.8
 
 
+def test_every_language_has_its_own_model(spark):
+    """The scores of the smallest of 40 languages do not depend on the other languages."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(30)]
+        rows += [(1000 * k + i, " ".join(rng.choices(vocabulary, k=30)), f"l{k:02d}") for i in range(45 - k)]
+    schema = "doc_id long, text string, lang string"
+    columns = ["doc_id", "log_perplexity", "band_low", "band_high", "kept"]
+    got = rules.apply_rules(spark.createDataFrame(rows, schema)).filter("lang = 'l39'").select(*columns).toPandas().sort_values("doc_id")
+    alone = rules.apply_rules(spark.createDataFrame([r for r in rows if r[2] == "l39"], schema)).select(*columns).toPandas().sort_values("doc_id")
+    assert len(got) == 6 and got.to_numpy(float) == pytest.approx(alone.to_numpy(float), abs=1e-9)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(9)
     clean = lambda: " ".join(rng.choices(["the", "house", "stands", "near", "a", "quiet", "river,", "and", "people", "walk."], k=80)) + " " + " ".join(f"w{rng.randint(0, 999)}x" for _ in range(60))
