@@ -163,8 +163,11 @@ def clusters(signed: DataFrame, percent: int) -> DataFrame:
 
 
 def local_links(sets: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The links among some sets, thinned to a forest with the same components. The inverted lists are
-    scanned a thousand shingles at a time; each scan adds to the sizes of all intersections."""
+    """sets(cid, n, tokens, own, copies) -> (a, b, rows): the links among the sets, thinned to a forest with
+    the same components (a, b); and for each set a, with b null, how many rows the sets have that it
+    links with. If sets of two blocks `own` are given, only links between the blocks are counted, as those
+    inside a block count where it meets itself. The inverted lists are scanned a thousand shingles at a time;
+    each scan adds to the sizes of all intersections."""
     ids, n = sets["cid"].to_numpy(np.int64), sets["n"].to_numpy(np.int64)
     m = len(ids)
     tokens, owner = np.concatenate([np.asarray(t, np.int64) for t in sets["tokens"]]), np.repeat(np.arange(m), n)
@@ -181,6 +184,11 @@ def local_links(sets: pd.DataFrame, percent: int) -> pd.DataFrame:
         both += lists @ lists.T
     both = both.astype(np.int64)
     link = 100 * both >= percent * (n[:, None] + n[None] - both)
+    np.fill_diagonal(link, False)
+    own = sets["own"].to_numpy()
+    count = link & (own[:, None] != own[None]) if (own != own[0]).any() else link
+    linked_rows = np.where(count, sets["copies"].to_numpy(np.int64)[None], 0).sum(1)
+    some = np.flatnonzero(linked_rows)
     label = np.arange(m)
     while True:
         least = np.where(link, label[None], m).min(1)
@@ -190,63 +198,72 @@ def local_links(sets: pd.DataFrame, percent: int) -> pd.DataFrame:
             break
         label = least
     far = label != np.arange(m)
-    return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
+    forest = pd.DataFrame({"a": ids[label[far]], "b": pd.array(ids[far], "Int64"), "rows": pd.array([0] * int(far.sum()), "Int64")})
+    counts = pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "rows": pd.array(linked_rows[some], "Int64")})
+    return pd.concat([forest, counts], ignore_index=True)
 
 
-def linked(live: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the components of the linked sets.
+def linked(live: DataFrame, signed: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of the components of the linked sets, and (cid, linked_rows): how many rows the sets have
+    that a set links with, by the rows of each set in copies(cid, copies).
 
     The sets of a cluster meet in one task if they have TASK_SHINGLES shingles at most. A larger cluster is
     dealt over blocks by a hash, and every two blocks meet in a task of their own, so none grows with
-    the cluster. A task gives fewer links than it has sets, however many pairs link."""
+    the cluster. Every pair is counted in one task; a task gives fewer links and counts than twice its sets,
+    however many pairs link."""
     tied = checkpoint(clusters(signed, percent))
-    held = live.join(tied, live["cid"] == tied["node"]).select("cid", "n", "tokens", "label")
+    known = tied.join(copies, tied["node"] == copies["cid"]).select("node", "label", "copies")
+    held = live.join(known, live["cid"] == known["node"]).select("cid", "n", "tokens", "label", "copies")
     size = tied.join(live.select("cid", "n"), tied["node"] == F.col("cid")).groupBy("label").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = held.join(size, "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cid", "n", "tokens")
-    links = dealt.groupBy("label", "x", "y").applyInPandas(lambda sets: local_links(sets, percent), "a long, b long")
-    return checkpoint(components(links))
+    dealt = dealt.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cid", "n", "tokens", "own", "copies")
+    links = checkpoint(dealt.groupBy("label", "x", "y").applyInPandas(lambda sets: local_links(sets, percent), "a long, b long, rows long"))
+    counts = links.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("rows").alias("linked_rows"))
+    return checkpoint(components(links.filter("b IS NOT NULL").select("a", "b"))), counts
 
 
 def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, class_id.
+    """One row per input row: doc_id, n_shingles, component_id, class_id, n_links.
 
     Only the two named columns are read. A null text or one without words has an empty set, links with
     nothing and is its own component. Rows with equal sets, repeated rows included, are one class
     (class_id: 64 bits of a fingerprint) and link always; classes are formed before any shuffle, so a
-    group of copies counts once. Rows of one id with different texts are documents of their own. An
-    empty table gives no row."""
-    rows, held, labels = clustered(docs, size, percent, id_col, text_col)
-    return assigned(rows, held, labels).select("doc_id", "n_shingles", "component_id", "class_id")
+    group of copies counts once. n_links is the number of other rows that a row links with itself, not
+    over others. Rows of one id with different texts are documents of their own. An empty table gives no
+    row."""
+    rows, held, labels, counts = clustered(docs, size, percent, id_col, text_col)
+    return assigned(rows, held, labels, counts).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
-def clustered(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def clustered(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = checkpoint(classes(source, size, percent))
-    held = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"))
+    held = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     wanted = checkpoint(survivors(rows, held, percent))
     live = checkpoint(alive(checkpoint(fetch_sets(source, wanted, size)), percent))
-    return rows, held, linked(live, signatures(live, percent), percent)
+    return rows, held, *linked(live, signatures(live, percent), held.select("cid", "copies"), percent)
 
 
-def assigned(rows: DataFrame, held: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with n_shingles, component_id, class_id and group, the class that stands for the component."""
+def assigned(rows: DataFrame, held: DataFrame, labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with n_shingles, component_id, class_id, n_links and group, the class that stands for the component."""
     named = held.select("cid", "rep").join(labels, held["cid"] == labels["node"]).select("cid", "label", "rep")
     smallest = named.groupBy("label").agg(F.min("rep").alias("smallest"))
     of_class = named.join(smallest, "label").select(F.col("cid").alias("c"), "label", "smallest")
-    reps = held.select(F.col("cid").alias("c"), "rep").join(of_class, "c", "left").select("c", F.coalesce("label", "c").alias("group"), F.coalesce("smallest", "rep").alias("component"))
+    links = F.col("copies") - 1 + F.coalesce("linked_rows", F.lit(0))
+    reps = held.select(F.col("cid").alias("c"), "rep", "copies").join(of_class, "c", "left").join(counts.withColumnRenamed("cid", "c"), "c", "left")
+    reps = reps.select("c", F.coalesce("label", "c").alias("group"), F.coalesce("smallest", "rep").alias("component"), links.alias("links"))
     out = rows.select("rid", "doc_id", "n", "cid")
     out = out.join(reps, (out["cid"] == reps["c"]) & (out["n"] > 0), "left")
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"), "group")
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "group")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of which one of each group of linked documents stays: the one with
     the smallest id, then key. Rows without words are linked with nothing and stay; of equal rows with
     words one stays."""
-    rows, held, labels = clustered(docs, size, percent, id_col, text_col)
-    found = assigned(rows, held, labels)
+    rows, held, labels, counts = clustered(docs, size, percent, id_col, text_col)
+    found = assigned(rows, held, labels, counts)
     first = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("_rid"), F.lit(True).alias("_one"))
     stay = checkpoint(first.unionByName(found.filter("n_shingles = 0").select(F.col("rid").alias("_rid"), F.lit(False).alias("_one")).distinct()))
     repeated = rows.join(stay.filter("_one"), rows["rid"] == stay["_rid"]).groupBy("rid").count().filter("count > 1").isEmpty()

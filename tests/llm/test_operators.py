@@ -264,6 +264,27 @@ def test_jaccard(docs, empty, monkeypatch, size, percent, room):
     assert jaccard.join_documents(empty, size, percent).count() == 0
 
 
+def brute_links(rows, size, percent):
+    sets = []
+    for r in rows:
+        w = words((r["text"] or "").translate(ASCII))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    linked = lambda a, b: len(a & b) and 100 * len(a & b) >= percent * len(a | b)
+    return sorted((r["doc_id"], sum(bool(linked(a, b)) for j, b in enumerate(sets) if i != j)) for i, (r, a) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize("size,percent,room", [(4, 85, 400_000), (5, 80, 300)])
+def test_jaccard_counts_links(spark, docs, monkeypatch, size, percent, room):
+    """A chain is not a clique, and copies count as often as they occur, in one task or over blocks."""
+    monkeypatch.setattr(jaccard, "TASK_SHINGLES", room)
+    w = [f"w{i}" for i in range(160)]
+    chain = [(900 + k, " ".join(w[4 * k : 4 * k + 60])) for k in range(8)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*chain, (950, chain[2][1])], "doc_id long, text string"))
+    got = jaccard.join_documents(rows, size, percent)
+    want = brute_links(rows.collect(), size, percent)
+    assert sorted((r["doc_id"], r["n_links"]) for r in got.collect()) == want and max(n for i, n in want if i >= 900) < 8
+
+
 def test_keep_one(docs):
     kept = jaccard.keep_one(docs)
     groups = collections.defaultdict(set)
