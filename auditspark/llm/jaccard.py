@@ -37,7 +37,9 @@ def subset_signatures(tokens: np.ndarray) -> np.ndarray:
 def classes(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, n, cid, head): a hash of the row's id and text, the size of each row's set, 64 bits of its fingerprint, and its first
     shingles in the order of their hashes, as many as survivors() needs."""
-    narrow = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    through = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make floats of integers beside nulls
+    narrow = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).cast(through).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -47,7 +49,7 @@ def classes(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", te
                 head = spare(n, percent) + np.maximum(1, spare(n, percent) // 2)
                 yield pd.DataFrame({"rid": part["rid"], "doc_id": part["doc_id"], "n": n, "cid": [class_id(s) for s in sets], "head": [s[:k].view(np.int64) for s, k in zip(sets, head, strict=True)]})
 
-    return narrow.mapInPandas(run, f"rid long, doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n long, cid long, head array<long>")
+    return narrow.mapInPandas(run, f"rid long, doc_id {through}, n long, cid long, head array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def row_key(id_col: str, text_col: str) -> F.Column:
@@ -65,7 +67,7 @@ def slices(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame
 
 
 def survivors(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """rows(cid, n, head), held(cid, n, rep) -> held of the sets that may link with another.
+    """rows(cid, n, head), held(cid, n, ...) -> held of the sets that may link with another.
 
     Two sets that link share all but spare(n) shingles of either, so the first L they share, in any one
     order, lie among the first spare(n) + L of each. With L half of spare(n), a set survives if so
@@ -83,12 +85,13 @@ def survivors(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cid, n, tokens) of the wanted(cid, rep): the sets again, from the texts of the documents rep."""
-    narrow = docs.select(F.col("doc_id"), F.col("text"))
-    small = wanted.select(F.col("rep").alias("doc_id"), F.col("cid").alias("wanted"))
+    """(cid, n, tokens) of the wanted(cid, rid): the sets again, from the text of the rows rid. A row key is never
+    null and names one text, so a set is fetched from one text, whatever ids are null or shared."""
+    narrow = docs.select(row_key("doc_id", "text").alias("rid"), F.col("text"))
+    small = wanted.select("rid", F.col("cid").alias("wanted"))
     if small.count() <= SENT:
         small = F.broadcast(small)
-    texts = narrow.join(small, "doc_id").select("wanted", "text")
+    texts = narrow.join(small, "rid").select("wanted", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -230,8 +233,9 @@ def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id
     nothing and is its own component. Rows with equal sets, repeated rows included, are one class
     (class_id: 64 bits of a fingerprint) and link always; classes are formed before any shuffle, so a
     group of copies counts once. n_links is the number of other rows that a row links with itself, not
-    over others. Rows of one id with different texts are documents of their own. An empty table gives no
-    row."""
+    over others. Rows of one id with different texts are documents of their own, and so are rows with a null
+    id, which link like all others; component_id is the smallest id that is not null, and null only if the
+    component has none. An empty table gives no row."""
     rows, held, labels, counts = clustered(docs, size, percent, id_col, text_col)
     return assigned(rows, held, labels, counts).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
@@ -239,7 +243,7 @@ def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id
 def clustered(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = checkpoint(classes(source, size, percent))
-    held = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    held = rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count("*").alias("copies"))
     wanted = checkpoint(survivors(rows, held, percent))
     live = checkpoint(alive(checkpoint(fetch_sets(source, wanted, size)), percent))
     return rows, held, *linked(live, signatures(live, percent), held.select("cid", "copies"), percent)
@@ -260,7 +264,7 @@ def assigned(rows: DataFrame, held: DataFrame, labels: DataFrame, counts: DataFr
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of which one of each group of linked documents stays: the one with
-    the smallest id, then key. Rows without words are linked with nothing and stay; of equal rows with
+    the smallest id (null comes first), then key. Rows without words are linked with nothing and stay; of equal rows with
     words one stays."""
     rows, held, labels, counts = clustered(docs, size, percent, id_col, text_col)
     found = assigned(rows, held, labels, counts)

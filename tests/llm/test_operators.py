@@ -285,6 +285,19 @@ def test_jaccard_counts_links(spark, docs, monkeypatch, size, percent, room):
     assert sorted((r["doc_id"], r["n_links"]) for r in got.collect()) == want and max(n for i, n in want if i >= 900) < 8
 
 
+def test_jaccard_with_null_and_shared_ids(spark):
+    big, w = 2**53 + 1, [f"w{i}" for i in range(400)]
+    near = lambda a, k: " ".join(w[a : a + 60 + k])
+    rows = [(None, near(0, 0)), (None, near(0, 0)), (None, near(0, 2)), (big, near(0, 3)), (None, near(100, 0)), (None, near(100, 1)), (None, near(200, 0)), (None, None), (7, near(300, 0)), (7, near(300, 1)), (7, near(250, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join_documents(docs).collect()
+    key = lambda x: (x[0] is None, *[-1 if v is None else v for v in x])
+    want = [(None, 57, big, 3), (None, 57, big, 3), (None, 59, big, 3), (big, 60, big, 3), (None, 57, None, 1), (None, 58, None, 1), (None, 57, None, 0), (None, 0, None, 0), (7, 57, 7, 1), (7, 58, 7, 1), (7, 62, 7, 0)]
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=key) == sorted(want, key=key)
+    kept = sorted((r["text"] or "").split(" ")[0] for r in jaccard.keep_one(docs).collect())
+    assert kept == ["", "w0", "w100", "w200", "w250", "w300"]
+
+
 def test_keep_one(docs):
     kept = jaccard.keep_one(docs)
     groups = collections.defaultdict(set)
