@@ -20,8 +20,6 @@ SAMPLE = 8_000
 #: A document is rejected above these probabilities.
 JUNK, TOXIC = 0.7, 0.9
 ROUNDS = 50
-#: Texts with fewer words hold no evidence.
-FEW = 5
 STATS = ("symbols", "upper", "digits", "word_length", "same_next", "distinct", "line_repeats", "stops", "marks", "n_words")
 #: Labellers: a measure and the value from which it votes junk; below, it votes good. Measures of
 #: repetition abstain below 20 words, and all abstain on texts without words.
@@ -296,8 +294,8 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
     """One row per input row: the id, junk_score, toxic_score, accepted; with keep_columns all input
     columns and accepted.
 
-    Documents score by their own text alone. Null, empty or tiny text (under FEW words) holds no evidence and
-    is accepted; repeated rows score alike; an empty table gives no row."""
+    Documents score by their own text alone. Null text or text without words holds no evidence and is
+    accepted; repeated rows score alike; an empty table gives no row."""
     d_junk, d_toxic = model.junk.dense(), model.toxic.dense() if model.toxic else None
     b_junk, b_toxic = model.junk.bias, model.toxic.bias if model.toxic else 0.0
     held = docs.sparkSession.sparkContext.broadcast((d_junk, d_toxic))  # BUCKETS doubles each
@@ -307,7 +305,7 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
         stats, doc, bucket = measures(texts)
         p = 1 / (1 + np.exp(-np.clip(b_junk + np.bincount(doc, weights=w_junk[bucket], minlength=len(texts)), -30, 30)))
         t = np.zeros(len(texts)) if w_toxic is None else 1 / (1 + np.exp(-np.clip(b_toxic + np.bincount(doc, weights=w_toxic[bucket], minlength=len(texts)), -30, 30)))
-        empty = stats[:, STATS.index("n_words")] < FEW
+        empty = stats[:, STATS.index("n_words")] == 0
         return np.where(empty, 0.0, p), np.where(empty, 0.0, t)
 
     base = docs if keep_columns else docs.select(F.col(id_col))

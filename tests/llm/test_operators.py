@@ -407,6 +407,19 @@ def test_quality(spark, docs, empty):
     assert quality.classify(docs.filter("text IS NULL"), none).filter("accepted").count() == docs.filter("text IS NULL").count()
 
 
+def test_quality_of_tiny_texts(spark):
+    """Texts of few words are scored like all others; only those without words are accepted unseen."""
+    rng = random.Random(9)
+    clean = lambda k: " ".join(rng.choices(["the", "house", "stands", "near", "a", "quiet", "river,", "and", "people", "walk."], k=k))
+    rows = [(i, clean(80), 1, 0) for i in range(200)] + [(200 + i, "".join(f"{w} ### $$$ *** " for w in clean(20).split()), 0, 0) for i in range(60)] + [(260 + i, clean(rng.randint(1, 80)) + " idiot scum idiot moron", 1, 1) for i in range(100)]
+    rows += [(360 + i, clean(rng.randint(1, 4)), 1, 0) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    model = quality.fit(labelled.select("doc_id", "text"), labelled.select("doc_id", "quality", "toxic"))
+    tiny = [(0, "idiot scum moron", False), (1, "### $$$ ***", False), (2, "the quiet house", True), (3, "", True), (4, None, True), (5, " \n", True)]
+    got = quality.classify(spark.createDataFrame([t[:2] for t in tiny], "doc_id long, text string"), model).toPandas().set_index("doc_id")
+    assert got.accepted.to_dict() == {i: a for i, _, a in tiny} and (got.loc[[3, 4, 5], ["junk_score", "toxic_score"]] == 0).all(axis=None)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(4)
     truth = rng.random(4000) < 0.2
