@@ -15,7 +15,7 @@ from .common import Rolling, as_bytes, checkpoint, lower_bytes, table, word_boun
 #: Hashed features: word presence in the lower half, word shapes and binned measures in the upper.
 BUCKETS = 1 << 18
 HALF = BUCKETS // 2
-#: Rows the linear scorers are fitted on, labelled ones first, by a hash of the id.
+#: Rows of either kind, with gold labels and without, that the linear scorers are fitted on, by a hash of the id.
 SAMPLE = 8_000
 #: A document is rejected above these probabilities.
 JUNK, TOXIC = 0.7, 0.9
@@ -249,7 +249,8 @@ def vote_table(narrow: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
     """Votes on every document are counted by pattern (3**9 at most come back) and weighed by
     expectation-maximisation; gold labels, where `labels` has them, are one more labeller. The linear
-    scorers are then fitted on at most `sample` rows: labelled rows first, in the order of a hash."""
+    scorers are then fitted on at most `sample` rows with gold labels and as many without, each in the
+    order of a hash, so labels never crowd out what the votes teach. Toxicity is learnt from gold labels."""
     narrow = _narrow(docs, id_col, text_col)
     gold = labels.groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("l_id IS NOT NULL")
     seen = checkpoint(vote_table(narrow))
@@ -260,7 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = expectation_maximisation(all_votes, patterns["n"].to_numpy(float))
 
     key = F.xxhash64("doc_id")
-    picked = joined.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy((F.col("gold") == 2) & F.col("toxic").isNull(), key, "doc_id").limit(sample)
+    weak = (F.col("gold") == 2) & F.col("toxic").isNull()
+    once = joined.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    picked = once.filter(~weak).orderBy(key, "doc_id").limit(sample).unionByName(once.filter(weak).orderBy(key, "doc_id").limit(sample))
     picked = checkpoint(picked.withColumnRenamed("doc_id", "p_id"))
     texts = narrow.join(F.broadcast(picked), narrow["doc_id"] == picked["p_id"]).select("doc_id", "text", "pattern", "gold", F.coalesce("toxic", F.lit(-1)).cast("int").alias("toxic"))
 
@@ -268,6 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in _chunks(batch):
                 _, doc, bucket = measures(list(part["text"]))
+                used = (bucket >= HALF) | (part["toxic"].to_numpy() >= 0)[doc]  # words teach toxicity only
+                doc, bucket = doc[used], bucket[used]
                 ends = np.searchsorted(doc, np.arange(len(part) + 1))
                 yield part[["doc_id", "pattern", "gold", "toxic"]].assign(buckets=[bucket[a:b].astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 

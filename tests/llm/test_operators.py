@@ -420,6 +420,18 @@ def test_quality_of_tiny_texts(spark):
     assert got.accepted.to_dict() == {i: a for i, _, a in tiny} and (got.loc[[3, 4, 5], ["junk_score", "toxic_score"]] == 0).all(axis=None)
 
 
+def test_weak_labels_teach_beside_gold(spark):
+    """Junk of a kind that no gold label covers is learnt from the votes, though gold rows would fill the sample."""
+    rng = random.Random(11)
+    clean = lambda: " ".join(rng.choices(["the", "house", "stands", "near", "a", "quiet", "river,", "and", "people", "walk."], k=80)) + " " + " ".join(f"w{rng.randint(0, 999)}x" for _ in range(60))
+    gold = [(i, clean(), 1, 0) for i in range(120)] + [(120 + i, "spam " * 150, 0, 0) for i in range(40)]
+    weak = [(200 + i, clean(), None, None) for i in range(60)] + [(260 + i, "".join(f"{w}### " for w in clean().split()), None, None) for i in range(40)]
+    rows = spark.createDataFrame(gold + weak, "doc_id long, text string, quality int, toxic int")
+    model = quality.fit(rows.select("doc_id", "text"), rows.filter("quality IS NOT NULL").select("doc_id", "quality", "toxic"), sample=100)
+    got = quality.classify(rows, model).toPandas().set_index("doc_id").accepted
+    assert got.loc[260:].mean() <= 0.1 and got.loc[:119].mean() >= 0.95 and got.loc[200:259].mean() >= 0.95 and got.loc[120:159].mean() <= 0.1
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(4)
     truth = rng.random(4000) < 0.2
