@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, t
     a, b = hist.alias("a"), goals.alias("b")
     classes = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("b.sid", "a.source", "a.size", "a.n", "b.source_size", "b.target")
     dual = solve(classes.select("sid", "size", "n"), goals, tilt, cap)
-    mean = F.lit(1.0) if tilt == "mass" else F.col("size") / (F.col("source_size") / F.sum("n").over(Window.partitionBy("sid")))
+    mean = F.lit(1.0) if tilt == "mass" else F.col("size") / (F.col("source_size") / F.sum(F.when(F.col("size") > 0, F.col("n"))).over(Window.partitionBy("sid")))
     rate = F.when(F.col("dual").isNull(), F.lit(float(cap))).otherwise(cap / (1 + (cap - 1) * F.exp(-F.col("dual") * mean)))
     rated = classes.join(dual, "sid", "left").withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(rate))
     whole = rounded(rated.select("sid", "size", "n", "rate", "target"), cap)
@@ -132,4 +132,4 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP,
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(table(spark, sf_dir, "documents"), tilt="size").select("doc_id", "size", "source_size", "target", "taken", "copies")

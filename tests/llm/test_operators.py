@@ -338,6 +338,28 @@ def test_kneser_ney_is_a_distribution():
         assert p.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_mixing_tilts_documents(docs, spark, monkeypatch):
+    """With the document tilt, rates follow one logistic of the length in each source and meet the targets."""
+    got = mixing.mix(docs, tilt="size").toPandas()
+    plain = mixing.mix(docs).toPandas()
+    assert sorted(got.target) == pytest.approx(sorted(plain.target)) and (got.taken <= 3 * got["size"]).all()
+    tilted = 0
+    for _, rows in got[got["size"] > 0].groupby("source_size"):
+        if rows.target.iloc[0] >= 3 * rows.source_size.iloc[0] * (1 - 1e-9):
+            continue
+        assert (rows.rate * rows["size"]).sum() == pytest.approx(rows.target.iloc[0], rel=1e-6)
+        inner = rows[rows.rate.between(1e-6, 3 - 1e-6)]
+        slope = (np.log(inner.rate / (3 - inner.rate)) + math.log(2)) / inner["size"]
+        assert np.ptp(slope) <= 1e-6 * max(1, abs(slope).max())
+        tilted += rows.rate.nunique() > 1
+    assert tilted
+    used = []
+    monkeypatch.setattr(mixing, "table", lambda *_: docs)
+    monkeypatch.setattr(mixing, "solve", lambda hist, goals, tilt, cap, f=mixing.solve: used.append(tilt) or f(hist, goals, tilt, cap))
+    mixing.op6_mix(spark, "")
+    assert used == ["size"]
+
+
 def test_joined_model_agrees_with_dense(spark):
     rng, symbols = random.Random(3), " абвгдежзийклмнопрстуфхцчшщъыьэ"
     texts = [symbols[1:]] + ["".join(rng.choices(symbols, weights=[1 + 31 // (1 + i) for i in range(31)], k=rng.randint(5, 400))) for _ in range(60)]
