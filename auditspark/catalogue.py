@@ -216,7 +216,8 @@ TRIPS = "trips AS (SELECT _src_row, employee_id, expense_date AS start_date, che
 
 
 def trips_of(e: DataFrame) -> DataFrame:
-    return e.filter("_src_row % 3 = 0").select("_src_row", "employee_id", F.col("expense_date").alias("start_date"), F.col("check_out").alias("end_date"))
+    """A trip for every row; two in three have no dates."""
+    return e.selectExpr("_src_row", "employee_id", "CASE WHEN _src_row % 3 = 0 THEN expense_date END AS start_date", "CASE WHEN _src_row % 3 = 0 THEN check_out END AS end_date")
 
 
 @query(
@@ -236,7 +237,7 @@ def expense_without_travel_request(spark, sf_dir):
 )
 def office_swipe_on_offsite_claim(spark, sf_dir):
     e = ledger(spark, sf_dir)
-    swipes = e.filter("_src_row % 2 = 0").select("employee_id", F.col("expense_date").alias("swipe_date"), F.lit(True).alias("in_office"))
+    swipes = e.selectExpr("employee_id", "expense_date AS swipe_date", "_src_row % 2 = 0 AS in_office")
     return external.office_swipe(e, swipes, {"company_cities": ["City 0"]}).select("_src_row", "amount")
 
 
@@ -248,7 +249,7 @@ def office_swipe_on_offsite_claim(spark, sf_dir):
 )
 def attendance_city_mismatch(spark, sf_dir):
     e = ledger(spark, sf_dir)
-    swipes = e.filter("_src_row % 2 = 1").selectExpr("_src_row", "employee_id", "expense_date AS swipe_date", "'gate, City ' || (_src_row % 4) AS location")
+    swipes = e.selectExpr("_src_row", "employee_id", "expense_date AS swipe_date", "'gate, City ' || CASE WHEN _src_row % 2 = 1 THEN _src_row % 4 ELSE 0 END AS location")
     return external.swipe_city_mismatch(e, swipes, ["City 1", "City 2", "City 3"], {"company_cities": ["City 0"]}).select("_src_row", "amount")
 
 
@@ -259,7 +260,8 @@ def attendance_city_mismatch(spark, sf_dir):
 )
 def days_without_swipe(spark, sf_dir):
     e = ledger(spark, sf_dir)
-    return external.days_without_swipe(trips_of(e), e.filter("_src_row % 2 = 0").select("employee_id", F.col("expense_date").alias("swipe_date"))).withColumn("first_missing", F.col("first_missing").cast("string"))
+    swipes = e.selectExpr("employee_id", "CASE WHEN _src_row % 2 = 0 THEN expense_date END AS swipe_date")
+    return external.days_without_swipe(trips_of(e), swipes).withColumn("first_missing", F.col("first_missing").cast("string"))
 
 
 @query(
@@ -268,15 +270,15 @@ def days_without_swipe(spark, sf_dir):
 )
 def travel_verification_mismatch(spark, sf_dir):
     e = ledger(spark, sf_dir).withColumn("flight_no", F.lit("MU 1"))
-    checks = e.filter("_src_row % 4 < 3").selectExpr("_src_row", "expense_id", "'mu-1' AS flight_no", "CASE WHEN _src_row % 4 = 1 THEN date_add(expense_date, 1) ELSE expense_date END AS flight_date", "origin_city", "dest_city", "CASE WHEN _src_row % 4 = 2 THEN 'someone' ELSE employee_name END AS passenger")
+    checks = e.selectExpr("_src_row", "expense_id", "'mu-1' AS flight_no", "CASE WHEN _src_row % 4 = 1 THEN date_add(expense_date, 1) ELSE expense_date END AS flight_date", "origin_city", "dest_city", "CASE WHEN _src_row % 4 = 2 THEN 'someone' ELSE employee_name END AS passenger")
     return external.travel_verification(e, checks)[0].select("_src_row", "amount", F.concat_ws("+", "differs").alias("differs"))
 
 
 @query("travel_verification_not_found", f"WITH {LEDGER_SQL} SELECT _src_row, amount FROM e WHERE _src_row % 10 = 3")
 def travel_verification_not_found(spark, sf_dir):
     e = ledger(spark, sf_dir).withColumn("flight_no", F.lit("MU 1"))
-    none = [F.lit(None).cast("string").alias(c) for c in ("flight_no", "origin_city", "dest_city", "passenger")]
-    checks = e.filter("_src_row % 10 = 3").select("_src_row", "expense_id", F.lit(None).cast("date").alias("flight_date"), *none)
+    found = {"flight_no": "flight_no", "flight_date": "expense_date", "origin_city": "origin_city", "dest_city": "dest_city", "passenger": "employee_name"}
+    checks = e.selectExpr("_src_row", "expense_id", *[f"CASE WHEN _src_row % 10 <> 3 THEN {c} END AS {name}" for name, c in found.items()])
     return external.travel_verification(e, checks)[1].select("_src_row", "amount")
 
 
@@ -511,10 +513,12 @@ def investigation_leads(spark, sf_dir):
 
 
 def company_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Customers tied to suppliers of their nation by number: a sparse graph with paths of every length."""
+    """Customers tied to suppliers of their nation by number: a sparse graph with paths of every length. Nodes
+    and pairs grow with the customers."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    edges = c.selectExpr("c_custkey AS _src_row", "'c' || (c_custkey % 300) AS `from`", "'s' || (c_custkey * 7 % 180) AS `to`", "CASE WHEN c_custkey % 3 = 0 THEN 'shareholder' WHEN c_custkey % 3 = 1 THEN '历史董事' ELSE 'SAME_PHONE' END AS relation_type")
-    pairs = spark.range(60).selectExpr("'c' || (id * 3) AS source", "'c' || (id * 3 + 60) AS target")
+    k = max(1, c.count() // 25)
+    edges = c.selectExpr("c_custkey AS _src_row", f"'c' || (c_custkey % {5 * k}) AS `from`", f"'s' || (c_custkey * 7 % {3 * k}) AS `to`", "CASE WHEN c_custkey % 3 = 0 THEN 'shareholder' WHEN c_custkey % 3 = 1 THEN '历史董事' ELSE 'SAME_PHONE' END AS relation_type")
+    pairs = spark.range(k).selectExpr("'c' || (id * 3) AS source", f"'c' || (id * 3 + {k}) AS target")
     return edges, pairs
 
 
