@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import re._constants as rc
-import re._parser as rp
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +20,9 @@ MAX_RULES = 100_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule of either kind. With `site` (like www.example.com/en/) it fits that host and its
-    subdomains where the path starts with the rest; otherwise `pattern` is searched, ASCII case
-    ignored, in the whole URL."""
+    """A rule of either kind. With `site` (like www.example.com/en/) it fits that host, whatever its case,
+    and its subdomains where the path starts with the rest, in the same case; otherwise `pattern` is
+    searched, ASCII case ignored, in the whole URL."""
 
     verdict: str
     site: str | None = None
@@ -39,6 +37,7 @@ class Rule:
         if self.site is None:
             return self.pattern
         host, _, path = self.site.partition("/")
+        host = host.translate(_LOWER)
         return rf"\A(?:[^/]*\.)?{re.escape(host)}{re.escape('/' + path) if '/' in self.site else '(?=/|$)'}"
 
 
@@ -54,35 +53,46 @@ PATTERNS = (
 )
 
 
-def _separates(item) -> bool:
-    """Whether a part of a pattern matches only where a token must end: separators or anchors."""
-    op, arg = item
-    if op is rc.LITERAL:
-        return not (chr(arg).isascii() and chr(arg).isalnum())
-    if op is rc.AT:
-        return arg is not rc.AT_NON_BOUNDARY
-    if op is rc.IN:
-        return all(o is rc.LITERAL and _separates((o, a)) for o, a in arg)
-    if op is rc.SUBPATTERN:
-        return len(arg[-1]) > 0 and _separates(arg[-1][0]) and _separates(arg[-1][-1])
-    if op is rc.BRANCH:
-        return all(len(x) > 0 and _separates(x[0]) and _separates(x[-1]) for x in arg[1])
-    if op is rc.ASSERT:
-        return len(arg[1]) > 0 and _separates(arg[1][0])
-    return False
+#: Parts of a pattern: escapes, classes, flat groups, quantifiers, single characters.
+_PART = re.compile(r"\\.|\[\^?\]?(?:[^\]\\]|\\.)*\]|\(\?:(?:[^()\\\[]|\\.|\[(?:[^\]\\]|\\.)*\])*\)|[*+?]|\{[^}]*\}|.", re.DOTALL)
+
+
+def _separates(part: str) -> bool:
+    """Whether a part of a pattern matches only where a token ends: separators, anchors, and groups of
+    which every alternative begins and ends with one."""
+    if part in ("^", "$", r"\A", r"\Z", r"\b"):
+        return True
+    if part.startswith("(?:"):
+        ways = [_PART.findall(x) for x in part[3:-1].split("|")]
+        return all(len(w) == 1 and _separates(w[0]) for w in ways)
+    if part.startswith("["):
+        inner = re.sub(r"\\[^A-Za-z0-9]", "", part[1:-1])  # without its escaped marks
+        return not inner.startswith("^") and not re.search(r"[A-Za-z0-9\\]|.-.", inner)
+    if part.startswith("\\"):
+        return not part[1].isalnum()
+    return len(part) == 1 and part not in "*+?.()|{}" and not (part.isascii() and part.isalnum())
 
 
 def literal_tokens(pattern: str) -> list[str]:
-    """Tokens that every match holds whole: alphanumeric runs of the pattern between separators."""
+    """Tokens that every match holds whole: alphanumeric runs of the pattern between separators. None are
+    given for patterns with alternatives or nested groups outside flat ones."""
+    parts = _PART.findall(pattern)
+    if any(x in ("(", ")", "|") for x in parts):
+        return []
     found, run, open_left = [], "", False
-    for item in rp.parse(pattern):
-        op, arg = item
-        if op is rc.LITERAL and not _separates(item):
-            run += chr(arg).lower()
+    for k, part in enumerate([*parts, "."]):
+        after = parts[k + 1] if k + 1 < len(parts) else ""
+        if part in ("*", "+", "?") or part.startswith("{"):
+            continue
+        loose = after in ("*", "?") or after.startswith("{")
+        literal = len(part) == 1 and part.isascii() and part.isalnum()
+        if literal and not loose and after != "+":
+            run += part.lower()
             continue
-        if run and open_left and _separates(item):
+        ends = not literal and not loose and _separates(part)
+        if run and open_left and ends:
             found.append(run)
-        run, open_left = "", _separates(item)
+        run, open_left = "", ends
     return [t for t in dict.fromkeys(found) if _TOKEN.fullmatch(t)]
 
 
@@ -90,7 +100,7 @@ class RuleIndex:
     """Rules by their rarest token. Rules without a whole literal token are tried on every URL."""
 
     def __init__(self, rules: tuple[Rule, ...], counts: dict[str, int]):
-        self.rules = [(i, r, re.compile(r.regex, re.ASCII | re.IGNORECASE)) for i, r in enumerate(rules)]
+        self.rules = [(i, r, re.compile(r.regex, re.ASCII | (re.IGNORECASE if r.site is None else 0))) for i, r in enumerate(rules)]
         self.by_token: dict[str, list] = {}
         self.always = []
         for entry in self.rules:
@@ -153,17 +163,19 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
     rows are judged each by itself; an empty table gives none."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; the index is sent to every task and holds {MAX_RULES} at most")
-    narrow = df.select(F.col(id_col), F.col(url_col).alias("_url"))
-    counts = token_counts(narrow, "_url", rules)
+    narrow = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    counts = token_counts(narrow, "url", rules)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = RuleIndex(rules, counts)
         for batch in batches:
-            got = pd.DataFrame([index.judge(u) for u in batch["_url"]], columns=["host", "path", "rule", "verdict", "pattern"], index=batch.index)
-            yield pd.concat([batch[[id_col]], got], axis=1)
+            got = pd.DataFrame([index.judge(u) for u in batch["url"]], columns=["host", "path", "rule", "verdict", "pattern"], index=batch.index)
+            yield pd.concat([batch[["id"]], got], axis=1)
 
-    kind = narrow.schema[id_col].dataType.simpleString()
-    return narrow.mapInPandas(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern string")
+    kind = narrow.schema["id"].dataType.simpleString()
+    through = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make floats of integers beside nulls
+    out = narrow.withColumn("id", F.col("id").cast(through)).mapInPandas(run, f"id {through}, host string, path string, rule string, verdict string, pattern string")
+    return out.select(F.col("id").cast(kind).alias(id_col), "host", "path", "rule", "verdict", "pattern")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,9 +55,9 @@ def empty(docs):
 
 
 def test_urls(spark):
-    rows = [(1, "https://WWW.Example.com/en/x?y#z"), (2, "http://a.example.com/en/"), (3, "http://b.net/es/1"), (4, None), (5, "no scheme/login"), (6, "http://x.org/Login?next=1"), (7, "http://com"), (8, "http://xexample.com/en/"), (9, "ftp://a.org#://b.net/es/"), (1, "https://WWW.Example.com/en/x?y#z")]
+    rows = [(1, "https://WWW.Example.com/en/x?y#z"), (2, "http://a.example.com/en/"), (3, "http://b.net/es/1"), (4, None), (5, "no scheme/login"), (6, "http://x.org/Login?next=1"), (7, "http://com"), (8, "http://xexample.com/en/"), (9, "ftp://a.org#://b.net/es/"), (1, "https://WWW.Example.com/en/x?y#z"), (10, "https://b.net/ES/1"), (11, "https://www.example.com/EN/x"), (12, "https://EXAMPLE.com/en/"), (None, "https://c.NET/fr/?a=/cart")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = sorted(tuple(r) for r in urls.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    got = sorted((tuple(r) for r in urls.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
     by_id = {r[0]: r[1:] for r in got}
     assert by_id[1] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
     assert by_id[2] == ("a.example.com", "/en/", "example.com/en/", "block")
@@ -65,12 +65,23 @@ def test_urls(spark):
     assert by_id[4] == ("", "", None, "allow") and by_id[5] == ("", "", None, "block")
     assert by_id[6] == ("x.org", "/Login", None, "block") and by_id[7] == ("com", "", None, "allow")
     assert by_id[8] == ("xexample.com", "/en/", "com/", "allow") and by_id[9] == ("a.org", "", None, "allow")
+    assert by_id[10] == ("b.net", "/ES/1", None, "allow") and by_id[11] == ("www.example.com", "/EN/x", "com/", "allow")
+    assert by_id[12] == ("example.com", "/en/", "example.com/en/", "block") and by_id[None] == ("c.net", "/fr/", "net/fr/", "block")
     assert len(got) == len(rows) and urls.judge_urls(df.filter("false")).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url").toPandas().astype({"page_id": "Int64"}))
+    cells = lambda table: sorted((tuple(None if x is None or x != x else x for x in r) for r in table), key=str)
+    assert cells(con.execute(urls.oracle()).fetchall()) == cells(tuple(r) for r in urls.judge_urls(df).collect())
+    renamed = urls.judge_urls(df.withColumnRenamed("page_id", "url_").withColumnRenamed("url", "id").withColumnRenamed("url_", "verdict_"), "verdict_", "id")
+    assert renamed.columns[0] == "verdict_" and renamed.count() == len(rows)
 
 
 def test_url_tokens_come_from_the_pattern():
     assert urls.literal_tokens(r"/login(?:[/?#.]|$)") == ["login"]
-    assert urls.literal_tokens(r"casino") == []
+    assert urls.literal_tokens(r"casino") == [] and urls.literal_tokens(r"[/.\-_]xxx(?:[/.\-_]|$)") == ["xxx"]
+    assert urls.literal_tokens(r"foo?/bar/") == ["bar"] and urls.literal_tokens(r"/a(b|c)/") == [] and urls.literal_tokens(r"/foo[a-z]/") == []
     index = urls.RuleIndex((urls.Rule("block", pattern=r"/tag/[a-z]+/page/"), urls.Rule("block", pattern="casino")), {"tag": 100, "page": 2})
     assert list(index.by_token) == ["page"] and len(index.always) == 1
 
