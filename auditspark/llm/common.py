@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts. Spark takes it from spark.checkpoint.dir; only a session
-    without that setting (local tests) gets a folder of its own."""
+    """The shared folder for lineage cuts. Spark takes it from spark.checkpoint.dir; only a local session
+    without that setting (tests) gets a folder of its own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -73,6 +75,22 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], rank: str = "r
     return a.join(b, same).select(*kept, (F.col("a._inner") + F.col("b._before")).cast("long").alias(rank))
 
 
+#: Words of 64 bits in a sieve: so many rows at most are sent to every task.
+SIEVE = 1 << 17
+
+
+def sieved(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with `maybe`, which is true wherever keys(key) has the row's key, and for few other rows. The keys
+    are known by 64 * SIEVE bits, sent to every task; with many more keys than that most rows pass, so a join
+    must follow. Rows that do not pass need not be shuffled for it."""
+    h = F.xxhash64(F.col(key), F.lit(1))
+    word, bit = F.pmod(h, F.lit(SIEVE)).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
+    held = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    bits = held.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    both = rows.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    return both.select(*rows.columns, F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False)).alias("maybe"))
+
+
 # --- numpy helpers for Python stages -------------------------------------------------------------
 
 #: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,17 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, mix, table
+from .common import U64, checkpoint, mix, sieved, table
 from .graph import components
 from .shingles import fingerprint, shingle_sets
 
 SIZE, PERCENT = 4, 85
-#: Sets are signed by subsets of so many shingles if they are small.
-SUBSET = 2
-#: Classes whose ids are sent to every task to fetch their texts; more go through a shuffle.
-SENT = 500_000
-#: Shingles of the sets of one cluster that a task takes; larger clusters are dealt over blocks.
-TASK_SHINGLES = 400_000
+#: Small sets are signed by subsets of so many shingles.
+SUBSET = 3
+#: Shingles of the sets of one cluster, and sets, that a block takes; larger clusters have several blocks,
+#: and two of them meet in a task.
+TASK_SHINGLES, TASK_SETS = 200_000, 1_500
 
 
 def spare(n, percent: int):
@@ -27,11 +27,32 @@ def spare(n, percent: int):
     return n - (percent * n + 99) // 100
 
 
-def subset_signatures(tokens: np.ndarray) -> np.ndarray:
-    """One hash for each pair of shingles, given rarest first."""
-    a, b = np.triu_indices(len(tokens), 1)
+def most_apart(n, percent: int):
+    """How many shingles at most are in one of two linked sets only, one of them of n shingles."""
+    return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+
+
+@functools.cache
+def subset_sizes(n: int, percent: int) -> tuple[int, ...]:
+    """The sizes of the subsets by which a set of n shingles finds all sets that it may link with.
+
+    Lay the shingles that two linked sets share, in any one order, along a line: at most d shingles of either
+    set alone fall between them. If (d + 1)(k - 1) + 1 are shared, some k of them follow each other in
+    both sets with nothing between. Most sizes allow k = SUBSET; pairs of the smallest sets, and of
+    sets that may differ much, take what they allow."""
+    m = np.arange(-(-percent * n // 100), 100 * n // percent + 1)
+    both = -(-percent * (n + m) // (100 + percent))
+    return tuple(np.unique(np.clip(1 + (both - 1) // (n + m - 2 * both + 1), 1, SUBSET)).tolist())
+
+
+def subset_signatures(tokens: np.ndarray, size: int) -> np.ndarray:
+    """One hash for each `size` tokens that follow each other."""
     t = tokens.view(U64)
-    return mix(t[a] * U64(3) + mix(t[b])).view(np.int64)
+    count = max(0, len(t) - size + 1)
+    h = np.full(count, size, U64)
+    for i in range(size):
+        h = mix(h * U64(3) + mix(t[i : i + count] + U64(i)))
+    return h.view(np.int64)
 
 
 def classes(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,10 +109,8 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(cid, n, tokens) of the wanted(cid, rid): the sets again, from the text of the rows rid. A row key is never
     null and names one text, so a set is fetched from one text, whatever ids are null or shared."""
     narrow = docs.select(row_key("doc_id", "text").alias("rid"), F.col("text"))
-    small = wanted.select("rid", F.col("cid").alias("wanted"))
-    if small.count() <= SENT:
-        small = F.broadcast(small)
-    texts = narrow.join(small, "rid").select("wanted", "text")
+    keys = wanted.select("rid", F.col("cid").alias("wanted"))
+    texts = sieved(narrow, "rid", keys).filter("maybe").drop("maybe").join(keys, "rid").dropDuplicates(["rid"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -99,7 +118,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 rows = [(w, len(s), s.view(np.int64)) for w, s in zip(part["wanted"], shingle_sets(list(part["text"]), size), strict=True) if class_id(s) == w]
                 yield pd.DataFrame(rows, columns=["cid", "n", "tokens"])
 
-    return texts.mapInPandas(run, "cid long, n long, tokens array<long>").dropDuplicates(["cid"])
+    return texts.select("wanted", "text").mapInPandas(run, "cid long, n long, tokens array<long>")
 
 
 def alive(sets: DataFrame, percent: int) -> DataFrame:
@@ -113,24 +132,25 @@ def alive(sets: DataFrame, percent: int) -> DataFrame:
 def signatures(live: DataFrame, percent: int) -> DataFrame:
     """live(cid, n, tokens) -> (sig, cid, n).
 
-    In the order rarest shingle first, linked sets share K shingles among the first spare(n) + K of
-    each. Light sets, of `boundary` shingles at most, are signed by all their SUBSET-subsets of that
-    prefix; heavy ones go with K = 1 into the inverted lists of single shingles, which are scanned.
-    Light sets that may link with heavy ones are in the lists too. The boundary is the size at which
-    the sum of subsets formed below and list entries read above is least, from a histogram by size."""
+    Shingles are ordered rarest first; those of no other set, which come first, are left out. Light sets,
+    of `boundary` shingles at most, are signed by subsets of shingles that follow each other in the
+    prefix in which subset_sizes() promises one that linked sets have alike. Heavy ones go into the
+    inverted lists of the shingles of the prefix of which linked sets share one; light sets that may link
+    with heavy ones are in the lists too. The boundary is the size at which the sum of subsets formed
+    below and list entries read above is least, from a histogram by size."""
     from pyspark.sql.window import Window
 
     tokens = live.select("cid", F.explode("tokens").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     common = tokens.join(df, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     slack = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
-    lists = live.select("cid", "n").join(common, "cid").withColumn("first", F.greatest(F.lit(0), slack - (F.col("n") - F.size("common"))).cast("int"))
-    # Of the prefix spare(n) + K, the shingles of no other set come first and are left out.
-    lists = checkpoint(lists.select("cid", "n", F.col("first"), F.slice("common", F.lit(1), F.col("first") + SUBSET).alias("common")))
-    p = F.least(F.col("first") + SUBSET, F.size("common"))
-    light = p * (p - 1) / 2
-    heavy = F.aggregate(F.slice("common", F.lit(1), F.col("first") + 1), F.lit(0).cast("long"), lambda x, c: x + c["df"])
-    hist = lists.groupBy("n").agg(F.sum(light).alias("light"), F.sum(heavy).alias("heavy"))
+    own = F.col("n") - F.size("common")
+    apart = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent))
+    lists = live.select("cid", "n").join(common, "cid").withColumn("first", F.greatest(F.lit(0), slack - own).cast("int")).withColumn("apart", F.greatest(F.lit(0), apart - own).cast("int"))
+    # At most `first` of these are in the set alone, and `apart` in one of two linked sets alone.
+    prefix = ((F.col("apart") + 1) * (SUBSET - 1) + 1 + F.col("first")).cast("int")
+    lists = checkpoint(lists.select("cid", "n", "first", "apart", F.slice(F.transform("common", lambda c: c["token"]), F.lit(1), prefix).alias("common"), F.aggregate(F.slice("common", F.lit(1), F.col("first") + 1), F.lit(0).cast("long"), lambda x, c: x + c["df"]).alias("heavy")))
+    hist = lists.groupBy("n").agg(F.sum(F.size("common")).alias("light"), F.sum("heavy").alias("heavy"))
     upto, after = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("n").rowsBetween(1, Window.unboundedFollowing)
     best = hist.select("n", (F.sum("light").over(upto) + F.coalesce(F.sum("heavy").over(after), F.lit(0))).alias("cost"), F.sum("heavy").over(Window.partitionBy()).alias("all")).orderBy("cost", "n").first()
     boundary = 0 if best is None or best["cost"] >= best["all"] else best["n"]
@@ -139,19 +159,18 @@ def signatures(live: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for part in (batch.iloc[a : a + 200] for a in range(0, len(batch), 200)):
                 found, owner = [], []
-                for i, (n, first, common) in enumerate(zip(part["n"], part["first"], part["common"], strict=True)):
-                    tokens = np.array([c["token"] for c in common], np.int64)
+                for i, (n, first, apart_, common_) in enumerate(zip(part["n"], part["first"], part["apart"], part["common"], strict=True)):
+                    tokens_ = np.asarray(common_, np.int64)
+                    each = [tokens_[: first + 1]] if n > boundary or n * 100 >= percent * (boundary + 1) else []
                     if n <= boundary:
-                        found.append(subset_signatures(tokens))
-                        owner.append(np.full(len(found[-1]), i))
-                    if n > boundary or n * 100 >= percent * (boundary + 1):
-                        found.append(tokens[: first + 1])
-                        owner.append(np.full(len(found[-1]), i))
+                        each += [subset_signatures(tokens_[: (apart_ + 1) * (k - 1) + 1 + first], k) for k in subset_sizes(int(n), percent)]
+                    found += each
+                    owner.append(np.full(sum(map(len, each)), i))
                 at = np.concatenate(owner) if owner else np.zeros(0, int)
                 yield pd.DataFrame({"sig": np.concatenate(found) if found else np.zeros(0, np.int64), "cid": part["cid"].to_numpy()[at], "n": part["n"].to_numpy()[at]})
 
     signed = lists.mapInPandas(run, "sig long, cid long, n long")
-    shared = signed.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1").select("sig")
+    shared = signed.groupBy("sig").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("sig")
     return signed.join(shared, "sig")
 
 
@@ -185,21 +204,22 @@ def local_links(sets: pd.DataFrame, percent: int) -> pd.DataFrame:
         lists = np.zeros((m, 1000), np.float32)
         lists[owner[a:b], place[a:b] - low] = 1
         both += lists @ lists.T
-    both = both.astype(np.int64)
-    link = 100 * both >= percent * (n[:, None] + n[None] - both)
-    np.fill_diagonal(link, False)
-    own = sets["own"].to_numpy()
-    count = link & (own[:, None] != own[None]) if (own != own[0]).any() else link
-    linked_rows = np.where(count, sets["copies"].to_numpy(np.int64)[None], 0).sum(1)
+    own, copies = sets["own"].to_numpy(), sets["copies"].to_numpy(np.int64)
+    apart = (own != own[0]).any()
+    link, linked_rows = np.empty((m, m), bool), np.zeros(m, np.int64)
+    for a in range(0, m, 500):  # a strip at a time, so that little stands beside the two matrices
+        strip = slice(a, a + 500)
+        link[strip] = (100 + percent) * both[strip].astype(np.int64) >= percent * (n[strip, None] + n[None])
+        link[strip][np.arange(min(500, m - a)), np.arange(a, min(a + 500, m))] = False
+        linked_rows[strip] = (link[strip] & (own[strip, None] != own[None]) if apart else link[strip]) @ copies
     some = np.flatnonzero(linked_rows)
     label = np.arange(m)
-    while True:
-        least = np.where(link, label[None], m).min(1)
-        least = np.minimum(least, label)
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
+    new = link.any(1)
+    for i in np.flatnonzero(new):
+        reached = np.array([i]) if new[i] else np.zeros(0, int)
+        while len(reached):
+            label[reached], new[reached] = i, False
+            reached = np.flatnonzero(link[reached].any(0) & new)
     far = label != np.arange(m)
     forest = pd.DataFrame({"a": ids[label[far]], "b": pd.array(ids[far], "Int64"), "rows": pd.array([0] * int(far.sum()), "Int64")})
     counts = pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "rows": pd.array(linked_rows[some], "Int64")})
@@ -217,7 +237,7 @@ def linked(live: DataFrame, signed: DataFrame, copies: DataFrame, percent: int)
     tied = checkpoint(clusters(signed, percent))
     known = tied.join(copies, tied["node"] == copies["cid"]).select("node", "label", "copies")
     held = live.join(known, live["cid"] == known["node"]).select("cid", "n", "tokens", "label", "copies")
-    size = tied.join(live.select("cid", "n"), tied["node"] == F.col("cid")).groupBy("label").agg(F.ceil(F.sum("n") / TASK_SHINGLES).cast("int").alias("blocks"))
+    size = tied.join(live.select("cid", "n"), tied["node"] == F.col("cid")).groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / TASK_SHINGLES), F.ceil(F.count("*") / TASK_SETS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = held.join(size, "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cid", "n", "tokens", "own", "copies")
@@ -267,15 +287,16 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     the smallest id (null comes first), then key. Rows without words are linked with nothing and stay; of equal rows with
     words one stays."""
     rows, held, labels, counts = clustered(docs, size, percent, id_col, text_col)
-    found = assigned(rows, held, labels, counts)
-    first = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("_rid"), F.lit(True).alias("_one"))
-    stay = checkpoint(first.unionByName(found.filter("n_shingles = 0").select(F.col("rid").alias("_rid"), F.lit(False).alias("_one")).distinct()))
-    repeated = rows.join(stay.filter("_one"), rows["rid"] == stay["_rid"]).groupBy("rid").count().filter("count > 1").isEmpty()
-    small = F.broadcast(stay) if stay.count() <= SENT else stay
-    kept = docs.withColumn("_rid", row_key(id_col, text_col)).join(small, "_rid")
-    if not repeated:
-        kept = kept.filter("NOT _one").unionByName(kept.filter("_one").dropDuplicates(["_rid"]))
-    return kept.select(*[kept[c] for c in docs.columns])
+    found = assigned(rows, held, labels, counts).filter("n_shingles > 0")
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+    keys = found.groupBy("rid", "group").agg(F.count("*").alias("times")).join(first, "group")
+    # Rows that stay as they are need no shuffle: only keys that go, or that several rows have, are looked up.
+    special = checkpoint(keys.select("rid", (F.col("rid") == F.col("first.rid")).alias("stays"), "times").filter("NOT stays OR times > 1").select("rid", "stays"))
+    whole = docs.select(row_key(id_col, text_col).alias("rid"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    looked = sieved(whole, "rid", special)
+    met = looked.filter("maybe").join(special, "rid", "left")
+    kept = looked.filter("NOT maybe").select("row").unionByName(met.filter("stays IS NULL").select("row")).unionByName(met.filter("stays").dropDuplicates(["rid"]).select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpoint, salted_rank, table
+from .common import WORD, checkpoint, salted_rank, sieved, table
 
 CAP = 3
 ROUNDS = 40
@@ -115,20 +115,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, t
     return out.select("r.doc_id", "r.size", "p.source_size", F.col("p.target").cast("double").alias("target"), copies.cast("long").alias("copies"), "p.rate").withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, tilt: str = "mass", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sent: int = 500_000) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, tilt: str = "size", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them; rows without words, of which there
-    is nothing to take, once. Equal rows share their copies."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col), F.col(source_col).isNull())
-    keyed = docs.withColumn("_key", key)
-    plan = mix(keyed.select("_key", text_col, source_col), weights, cap, tilt, "_key", text_col, source_col)
+    is nothing to take, once. Nulls count as in mix(). Rows that are equal in id, text and source share their
+    copies, so one of them may stay for all; an empty table gives no row."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(text_col).isNull(), F.col(source_col), F.col(source_col).isNull())
+    keyed = docs.select(key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    source = docs.select(key.alias("key"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    plan = mix(source, weights, cap, tilt, "key", "text", "source")
     times = F.when(F.max("size") == 0, F.count("*")).otherwise(F.sum("copies"))
-    plan = checkpoint(plan.groupBy(F.col("doc_id").alias("_key")).agg(times.alias("_times"), F.count("*").alias("_rows")))
-    size = plan.agg(F.count("*"), F.max("_rows")).first()
-    if (size[1] or 1) > 1:
-        keyed = keyed.dropDuplicates(["_key"])
-    wanted = plan.filter("_times > 0").select("_key", "_times")
-    rows = keyed.join(F.broadcast(wanted) if size[0] <= sent else wanted, "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    plan = checkpoint(plan.groupBy("doc_id").agg(times.alias("times"), F.count("*").alias("rows")))
+    once = keyed.join(plan.filter("rows = 1 AND times > 0"), keyed["key"] == plan["doc_id"]).select("row", "times")
+    # Rows that repeat are few keys; one row of each stands for them.
+    shared = plan.filter("rows > 1 AND times > 0").select("doc_id", "times")
+    again = sieved(keyed.select("key", "row"), "key", shared.select(F.col("doc_id").alias("key"))).filter("maybe")
+    again = again.join(shared, again["key"] == shared["doc_id"]).dropDuplicates(["key"]).select("row", "times")
+    out = once.unionByName(again).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, as_bytes, checkpoint, mix, table
+from .common import U64, Rolling, as_bytes, checkpoint, mix, sieved, table
 
 LENGTH = 400
 #: Anchors are grams of this many bytes, the least by hash among all in LENGTH bytes.
 GRAM = 100
 #: Different segments of one anchor that one task takes; an anchor with more is split by content.
 HOT, SUB = 20_000, 16
-#: Segments a task takes together, and the rows that may be sent to every task instead of a shuffle.
-COLLECTION, SENT = 20_000, 300_000
+#: Segments a task takes together.
+COLLECTION = 20_000
 #: No byte of UTF-8 text; stands before the first and behind the last byte of a segment.
 NONE = 0xFF
 
@@ -117,12 +117,10 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_text(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """(rid, text, wants): the texts that `wanted` names, each with the list of its wants. Only so many
-    ids as SENT are sent to every task; the lists, bounded by the text, and the texts they need meet
-    in a shuffle."""
+    """(rid, text, wants): the texts that `wanted` names, each with the list of its wants. The lists, bounded
+    by the text, and the texts that pass the sieve meet in a shuffle."""
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias("wants"))
-    ids = checkpoint(wanted.select("rid").distinct())
-    texts = rows.join(F.broadcast(ids), "rid", "left_semi") if ids.count() <= SENT else rows
+    texts = sieved(rows, "rid", wanted).filter("maybe").drop("maybe")
     return texts.dropDuplicates(["rid"]).join(lists, "rid")
 
 
@@ -162,7 +160,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     kinds = held.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("kinds"))
     hot = checkpoint(kinds.filter(F.col("kinds") > HOT).select("anchor"))
     if not hot.isEmpty():
-        apart = split_hot(rows, held.join(F.broadcast(hot) if hot.count() <= SENT else hot, "anchor"), length)
+        apart = split_hot(rows, held.join(hot, "anchor"), length)
         held = checkpoint(held.join(hot, "anchor", "left_anti").unionByName(apart))
         kinds = held.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("kinds"))
 
