@@ -206,42 +206,69 @@ def test_mixing(docs, empty):
     assert mixing.mixed(docs).columns == docs.columns
 
 
-def test_lm_scores(docs, empty):
+@pytest.fixture(scope="module")
+def all_ways():
+    """The logarithm of a word's probability, every segmentation, from the sentencepiece model alone."""
+    import functools
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    usual = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    weight = {i: 1 / (10 - model.get_score(i)) for i in usual} | {i: 1 / (10 + model.get_piece_size()) for i in range(model.get_piece_size()) if model.is_byte(i)}
+    total = sum(weight.values())
+    pieces = {model.id_to_piece(i): weight[i] / total for i in usual}
+    spelt = {int(model.id_to_piece(i)[3:-1], 16): weight[i] / total for i in weight if model.is_byte(i)}
+    longest = max(map(len, pieces))
+
+    @functools.cache
+    def ways(word):
+        word = "▁" + word
+        alpha = [0.0]
+        for b in range(1, len(word) + 1):
+            terms = [alpha[a] + math.log(pieces[word[a:b]]) for a in range(max(0, b - longest), b) if word[a:b] in pieces]
+            if word[b - 1] not in pieces:
+                terms.append(alpha[b - 1] + sum(math.log(spelt[x]) for x in word[b - 1].encode()))
+            alpha.append(max(terms) + math.log(math.fsum(math.exp(t - max(terms)) for t in terms)))
+        return alpha[-1]
+
+    return ways
+
+
+@pytest.mark.parametrize("top", [0, 25, 100_000])
+def test_lm_scores(docs, empty, all_ways, top):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    got = lm.score_documents(docs, path).toPandas()
+    got = lm.score_documents(docs, path, top=top).toPandas()
     rows = [(r["doc_id"], words((r["text"] or "").translate(ASCII))) for r in docs.collect()]
-    seen = collections.Counter(w for i, ws in rows if zlib.crc32(str(i).encode()) % 10 for w in [*ws, None])
+    training = [ws for i, ws in rows if zlib.crc32(str(i).encode()) % 10]
+    seen = collections.Counter(w for ws in training for w in [*ws, None])
     n, v = sum(seen.values()), len(seen)
-    want = sorted((i, zlib.crc32(str(i).encode()) % 10 == 0, len(ws) + 1, sum(seen[w] > 0 for w in [*ws, None]), n, round(sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, None]), 6)) for i, ws in rows)
-    mine = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got.itertuples())
-    assert mine == want and np.isfinite(got.score).all() and (got.score < 0).all()
-    assert lm.score_documents(empty, path).count() == 0
+    n_words, p_end = n - len(training), (len(training) + 0.5) / (n + 1)
 
+    def score(ws):
+        each = [math.log10(1 - p_end) + np.logaddexp(math.log(0.95) + all_ways(w), math.log(0.05 * seen[w] / n_words) if seen[w] else -np.inf) / math.log(10) for w in ws]
+        return round(math.fsum([*each, math.log10(p_end)]), 5)
 
-def test_lattice_adds_up_all_segmentations():
-    vocabulary = lm.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    with np.errstate(divide="ignore"):
-        lattice = lm.Lattice(vocabulary, np.log(vocabulary.prior))
-    import sentencepiece
+    want = sorted((i, zlib.crc32(str(i).encode()) % 10 == 0, len(ws) + 1, sum(seen[w] > 0 for w in [*ws, None]), n, round(sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, None]), 5), score(ws)) for i, ws in rows)
+    mine = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got.itertuples())
+    assert [x[:5] for x in mine] == [x[:5] for x in want]
+    assert np.allclose([x[5:] for x in mine], [x[5:] for x in want], rtol=1e-9, atol=2e-5)
+    assert lm.score_documents(empty, path, top=top).count() == 0
 
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    pieces = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
 
-    def all_ways(word):
-        if not word:
-            return 1.0
-        out = 0.0
-        for k in range(1, len(word) + 1):
-            if word[:k] in pieces:
-                out += vocabulary.prior[pieces[word[:k]]] * all_ways(word[k:])
-            elif k == 1:
-                out += float(np.prod([vocabulary.prior[vocabulary.bytes[b]] for b in word[0].encode()])) * all_ways(word[1:])
-        return out
+def test_lm_with_null_ids_and_no_training(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = lm.score_documents(spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string"), path).collect()
+    assert {r["train_tokens"] for r in got} == {0} and all(r["doc_id"] is None and r["held_out"] and r["n_known"] == 0 and math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
+    assert sorted(r["n_tokens"] for r in got) == [1, 3, 3]
+
 
-    for word in ("the", "inertia", "größe", "\U0001f600x", ""):
-        assert lattice.forward([word])[0] == pytest.approx(math.log(all_ways("▁" + word)), abs=1e-9)
-    used = lattice.expected(["inertia", "the"], np.array([2.0, 1.0]))
-    assert used.sum() > 3 and (used >= 0).all()
+def test_lattice_adds_up_all_segmentations(all_ways, monkeypatch):
+    lattice = lm.Lattice(lm.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    each = ["the", "inertia", "größe", "\U0001f600x", "", "漢字かな", "z" * 300, "internationalisation" * 8]
+    for long_ in (64, 0, 1000):
+        monkeypatch.setattr(lm, "LONG", long_)
+        assert lattice.forward(each) == pytest.approx([all_ways(w) for w in each], abs=1e-8)
 
 
 def brute_components(rows, size, percent):
@@ -267,14 +294,52 @@ def brute_components(rows, size, percent):
     return sorted((r["doc_id"], len(s), least[root(i)]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
 
 
-@pytest.mark.parametrize("size,percent,room", [(4, 85, 400_000), (5, 80, 300), (2, 50, 400_000)])
+@pytest.mark.parametrize("size,percent,room", [(4, 85, 400_000), (5, 80, 300), (2, 50, 400_000), (1, 30, 400_000), (3, 95, 3)])
 def test_jaccard(docs, empty, monkeypatch, size, percent, room):
     monkeypatch.setattr(jaccard, "TASK_SHINGLES", room)
+    monkeypatch.setattr(jaccard, "TASK_SETS", room)
     got = jaccard.join_documents(docs, size, percent)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(docs.collect(), size, percent)
     assert jaccard.join_documents(empty, size, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [30, 50, 67, 80, 85, 95])
+def test_linked_sets_share_a_signature(percent):
+    """Any two linked sets have one subset alike, however their shingles are ordered, also without those of no
+    other set."""
+    rng = random.Random(percent)
+    for _ in range(3000):
+        n = rng.randint(1, 60)
+        a, shared = list(range(n)), rng.randint(0, n)
+        b = a[:shared] + list(range(1000, 1000 + rng.randint(0, n)))
+        if 100 * shared < percent * len({*a, *b}):
+            continue
+        alone = {x for x in {*a, *b} if (x >= shared) and rng.random() < 0.4}  # these are in no third set
+        place = {x: rng.random() for x in {*a, *b}}
+        found = []
+        for t in (a, b):
+            common = np.array(sorted((x for x in t if x not in alone), key=place.get), np.int64)
+            own = len(t) - len(common)
+            first, apart = max(0, int(jaccard.spare(len(t), percent)) - own), max(0, jaccard.most_apart(len(t), percent) - own)
+            found.append({(k, s) for k in jaccard.subset_sizes(len(t), percent) for s in jaccard.subset_signatures(common[: (apart + 1) * (k - 1) + 1 + first], k).tolist()})
+        assert found[0] & found[1]
+
+
+def test_many_short_near_copies(spark, monkeypatch):
+    """One cluster of many blocks: every set has one word of its own, and links with all others."""
+    monkeypatch.setattr(jaccard, "TASK_SETS", 400)
+    rows = [(i, " ".join([*(f"w{k}" for k in range(30)), f"own{i}"])) for i in range(1500)]
+    got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.min("n_links"), F.max("n_links"), F.max("component_id")).first()
+    assert tuple(got) == (1499, 1499, 0)
+
+
+def test_sieve_passes_every_key(spark):
+    from auditspark.llm.common import sieved
+
+    got = sieved(spark.range(50_000).withColumnRenamed("id", "k"), "k", spark.range(0, 50_000, 100).withColumnRenamed("id", "k"))
+    assert got.filter("maybe AND k % 100 = 0").count() == 500 and got.filter("maybe").count() < 600 and got.count() == 50_000
+
+
 def brute_links(rows, size, percent):
     sets = []
     for r in rows:
