@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from .common import WORD, checkpoint, salted_rank, sieved, table
 
 CAP = 3
-ROUNDS = 40
+ROUNDS, STEP = 100, 8.0
 TOLERANCE = 1e-9
 
 
@@ -38,33 +40,37 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float
     return w.select("source", "sid", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * F.col("_level")).alias("target"))
 
 
-def solve(hist: DataFrame, goals: DataFrame, tilt: str = "mass", cap: float = CAP) -> DataFrame:
+def solve(hist: DataFrame, goals: DataFrame, tilt: str = "size", cap: float = CAP) -> DataFrame:
     """hist(sid, size, n), goals(sid, source_size, target) -> (sid, dual).
 
     The mix minimises the relative entropy of the taken words against one copy of everything, each
     rate in (0, cap), subject to sum(rate * size) = target in every source. Its dual is convex, one
     multiplier a source, and gives rate = cap * logistic(dual * x - log(cap - 1)): an exponential
-    tilt exp(dual * x), saturating at the cap. x is 1 for tilt "mass" (entropy over words, rates
-    within a source alike) or size / mean size for tilt "size" (entropy over documents). Each Newton
-    step is one distributed aggregation over the histogram; steps are clipped to 3."""
-    import math
-
+    tilt exp(dual * x), saturating at the cap. x is size / mean size for tilt "size" (entropy over
+    documents), or 1 for "mass" (entropy over words, rates within a source alike). Each Newton step is one
+    distributed aggregation over the histogram; as the taken words grow with the multiplier, the values
+    tried so far bracket it, and a step that leaves the bracket halves it instead. Raises if ROUNDS steps
+    do not reach the targets."""
     data = hist.join(goals.select("sid", "target", "source_size"), "sid").filter((F.col("size") > 0) & (F.col("target") < F.col("source_size") * F.lit(cap * (1 - 1e-12))))
     mean = Window.partitionBy("sid")
     x = F.lit(1.0) if tilt == "mass" else F.col("size") / (F.sum(F.col("size") * F.col("n")).over(mean) / F.sum("n").over(mean))
     data = checkpoint(data.withColumn("x", x))
-    dual = data.select("sid").distinct().withColumn("dual", F.lit(0.0))
+    dual = data.select("sid").distinct().select("sid", F.lit(0.0).alias("dual"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
     for _ in range(ROUNDS):
         share = 1 / (1 + F.exp(F.lit(math.log(cap - 1)) - F.col("dual") * F.col("x")))
         words = F.col("size") * F.col("n") * cap
-        step = data.join(dual, "sid").groupBy("sid", "dual").agg(F.sum(words * share).alias("_got"), F.sum(words * share * (1 - share) * F.col("x")).alias("_slope"), F.first("target").alias("_t"))
-        moved = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col("_t") - F.col("_got")) / F.greatest(F.col("_slope"), F.lit(1e-300))))
-        step = checkpoint(step.select("sid", (F.col("dual") + moved).alias("dual"), (F.abs(F.col("_got") - F.col("_t")) / F.greatest(F.col("_t"), F.lit(1.0))).alias("_off")))
-        dual = step.select("sid", "dual")
-        off = step.agg(F.max("_off")).first()[0]
-        if off is None or off < TOLERANCE:
-            break
-    return dual
+        step = data.join(dual, "sid").groupBy("sid", "dual", "low", "high").agg(F.sum(words * share).alias("_got"), F.sum(words * share * (1 - share) * F.col("x")).alias("_slope"), F.first("target").alias("_t"))
+        step = step.withColumn("low", F.when(F.col("_got") < F.col("_t"), F.col("dual")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("_got") > F.col("_t"), F.col("dual")).otherwise(F.col("high")))
+        moved = F.col("dual") + F.greatest(F.lit(-STEP), F.least(F.lit(STEP), (F.col("_t") - F.col("_got")) / F.greatest(F.col("_slope"), F.lit(1e-300))))
+        inside = (moved > F.col("low")) & (moved < F.col("high"))
+        off = F.abs(F.col("_got") - F.col("_t")) / F.greatest(F.col("_t"), F.lit(1.0))
+        next_ = F.when(off < TOLERANCE, F.col("dual")).when(inside, moved).otherwise((F.col("low") + F.col("high")) / 2)
+        step = checkpoint(step.select("sid", next_.alias("dual"), "low", "high", off.alias("_off")))
+        dual = step.drop("_off")
+        worst = step.agg(F.max("_off")).first()[0]
+        if worst is None or worst < TOLERANCE:
+            return dual.select("sid", "dual")
+    raise RuntimeError(f"the mix missed a target by a share of {worst} after {ROUNDS} steps")
 
 
 def rounded(hist: DataFrame, cap: int = CAP) -> DataFrame:
@@ -88,7 +94,7 @@ def rounded(hist: DataFrame, cap: int = CAP) -> DataFrame:
     return h.select("sid", "size", "n", "copies")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, tilt: str = "mass", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, tilt: str = "size", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, copies, taken = copies * size, rate.
 
     Only the three named columns are read, so other columns may have any name. Null text counts 0
@@ -135,4 +141,4 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP,
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), tilt="size").select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -70,9 +70,12 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
             for _, part in batch.groupby(batch["text"].str.len().cumsum() // 1_000_000, sort=False):
                 rows = [(d, i, a, min(capacity, len(x) - a), zlib.crc32(x[a : a + capacity].tobytes())) for d, x in zip(part["doc_id"], encode(list(part["text"])), strict=True) for i, a in enumerate(range(0, len(x), capacity))]
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"}) if part["doc_id"].isna().any() else out
+                yield out
 
-    return narrow.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    through = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make floats of integers beside nulls
+    cut_ = narrow.withColumn("doc_id", F.col("doc_id").cast(through)).mapInPandas(run, f"doc_id {through}, piece int, start long, length long, ids_crc32 long")
+    return cut_.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 class Bins:
@@ -189,6 +192,11 @@ def shares(counts: np.ndarray, block: int, blocks: int) -> tuple[np.ndarray, np.
     return low, counts * (block + 1) // blocks - low
 
 
+def with_migrants(state: DataFrame) -> DataFrame:
+    """The islands, and on each the elite of the island before it, alone."""
+    return state.unionByName(state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int")).withColumn("population", F.array("elite")))
+
+
 def pack_lengths(spark: SparkSession, counts: np.ndarray, capacity: int = CAPACITY) -> DataFrame:
     """(length, rank, sequence_id, offset) for every rank below counts[length].
 
@@ -223,8 +231,7 @@ def pack_lengths(spark: SparkSession, counts: np.ndarray, capacity: int = CAPACI
     state = spark.range(0, blocks * ISLANDS, 1, parts).mapInPandas(begin, schema)
     for _ in range(EPOCHS - 1):
         state = checkpoint(state)
-        migrants = state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int")).withColumn("population", F.array("elite"))
-        state = state.unionByName(migrants).groupBy("block", "island").applyInPandas(go_on, schema)
+        state = with_migrants(state).groupBy("block", "island").applyInPandas(go_on, schema)
     state = checkpoint(state)
     best = state.groupBy("block").agg(F.max_by("elite", F.struct("fewest", "fill", F.negative("island"))).alias("elite"))
 
@@ -262,7 +269,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted_rank(held, ["length"], ["doc_id", "piece", "start", "ids_crc32"])
     whole = ranked.filter(F.col("length") >= capacity).select(*held.columns, (-1 - F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     places = pack_lengths(spark, counts, capacity)
-    short = ranked.filter(F.col("length") < capacity).join(places, ["length", "rank"]).select(*held.columns, "sequence_id", "offset")
+    short = ranked.filter(F.col("length") < capacity).join(places.hint("merge"), ["length", "rank"]).select(*held.columns, "sequence_id", "offset")
     return whole.unionByName(short)
 
 

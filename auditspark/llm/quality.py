@@ -226,7 +226,8 @@ class QualityModel:
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Ids as text, as pandas would make floats of integers beside nulls."""
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _chunks(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
@@ -243,7 +244,7 @@ def vote_table(narrow: DataFrame) -> DataFrame:
             for part in _chunks(batch):
                 yield pd.DataFrame({"doc_id": part["doc_id"], "pattern": pack(votes(measures(list(part["text"]))[0]))})
 
-    return narrow.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, pattern long")
+    return narrow.mapInPandas(run, "doc_id string, pattern long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
@@ -252,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scorers are then fitted on at most `sample` rows with gold labels and as many without, each in the
     order of a hash, so labels never crowd out what the votes teach. Toxicity is learnt from gold labels."""
     narrow = _narrow(docs, id_col, text_col)
-    gold = labels.groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("l_id IS NOT NULL")
+    gold = labels.groupBy(F.col("doc_id").cast("string").alias("l_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("l_id IS NOT NULL")
     seen = checkpoint(vote_table(narrow))
     joined = checkpoint(seen.join(gold, seen["doc_id"] == gold["l_id"], "left").select("doc_id", "pattern", F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).otherwise(2).alias("gold"), F.col("toxic")))
     patterns = joined.groupBy("pattern", "gold").agg(F.count("*").alias("n")).orderBy("pattern", "gold").toPandas()
@@ -276,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 ends = np.searchsorted(doc, np.arange(len(part) + 1))
                 yield part[["doc_id", "pattern", "gold", "toxic"]].assign(buckets=[bucket[a:b].astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
-    rows = texts.mapInPandas(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, pattern long, gold int, toxic int, buckets array<int>")
+    rows = texts.mapInPandas(run, "doc_id string, pattern long, gold int, toxic int, buckets array<int>")
     got = rows.toPandas().sort_values("doc_id", ignore_index=True)
     if not len(got):
         return QualityModel(model, Scorer(np.zeros(0, np.int64), np.zeros(0), -10.0), None)
@@ -297,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """One row per input row: the id, junk_score, toxic_score, accepted; with keep_columns all input
-    columns and accepted.
+    columns and _accepted, which clashes with an input column of that name; accepted() does not.
 
     Documents score by their own text alone. Null text or text without words holds no evidence and is
     accepted; repeated rows score alike; an empty table gives no row."""
@@ -313,8 +314,7 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
         empty = stats[:, STATS.index("n_words")] == 0
         return np.where(empty, 0.0, p), np.where(empty, 0.0, t)
 
-    base = docs if keep_columns else docs.select(F.col(id_col))
-    source = docs.select(F.struct(*[docs[c] for c in base.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text")) if keep_columns else docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(docs[id_col].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     if keep_columns:
 
         @F.pandas_udf("struct<junk_score double, toxic_score double>")
@@ -322,16 +322,26 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
             parts = [score(list(p["text"])) for p in _chunks(pd.DataFrame({"text": text}))]
             return pd.DataFrame({"junk_score": np.concatenate([p[0] for p in parts]) if parts else [], "toxic_score": np.concatenate([p[1] for p in parts]) if parts else []})
 
-        out = source.withColumn("_s", scored("text")).select("row", "_s")
-        return out.select(*[F.col("row").getField(c).alias(c) for c in base.columns], ((F.col("_s.junk_score") <= JUNK) & (F.col("_s.toxic_score") <= TOXIC)).alias("_accepted"))
+        out = source.select("row", scored("text").alias("s"))
+        return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], ((F.col("s.junk_score") <= JUNK) & (F.col("s.toxic_score") <= TOXIC)).alias("_accepted"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _chunks(batch):
                 p, t = score(list(part["text"]))
-                yield pd.DataFrame({id_col: part["id"].to_numpy(), "junk_score": p, "toxic_score": t, "accepted": (p <= JUNK) & (t <= TOXIC)})
+                yield pd.DataFrame({"id": part["id"], "junk_score": p, "toxic_score": t, "accepted": (p <= JUNK) & (t <= TOXIC)})
 
-    return source.mapInPandas(run, f"`{id_col}` {base.schema[id_col].dataType.simpleString()}, junk_score double, toxic_score double, accepted boolean")
+    kind = docs.schema[id_col].dataType.simpleString()
+    through = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make floats of integers beside nulls
+    scored_ = source.select(F.col("id").cast(through), "text").mapInPandas(run, f"id {through}, junk_score double, toxic_score double, accepted boolean")
+    return scored_.select(F.col("id").cast(kind).alias(id_col), "junk_score", "toxic_score", "accepted")
+
+
+def accepted(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that classify() accepts, all columns, whatever their names."""
+    one = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = classify(one, model, "id", "text", keep_columns=True).filter("_accepted")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,54 @@ def test_crossover_keeps_every_document():
     assert sorted(s for x in child for s in x) == sorted(sizes) and max(map(sum, child)) <= 1000
 
 
+def triplets(bins, rng):
+    """Sizes that fill `bins` bins of 1000 by threes, which best fit by decreasing size seldom finds."""
+    out = []
+    for _ in range(bins):
+        a = rng.randint(380, 490)
+        b = rng.randint(max(250, 1000 - a - 370), (1000 - a) // 2)
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+def test_generations_improve_where_best_fit_misses_the_bound():
+    rng = random.Random(11)
+    sizes = triplets(20, rng)
+    first = [packing.first_packing(sizes, 1000, rng, 0.05 * k) for k in range(6)]
+    least = min(map(len, first))
+    assert least > 20
+    later = packing.evolve(first, 1000, rng, 600)
+    assert len(later[0]) < least and sorted(s for b in later[0] for s in b) == sorted(sizes) and max(map(sum, later[0])) <= 1000
+    assert [packing.fitness(p, 1000) for p in later] == sorted((packing.fitness(p, 1000) for p in later), reverse=True)
+    changed = packing.mutation(first[0], 1000, rng)
+    assert sorted(s for b in changed for s in b) == sorted(sizes)
+
+
+def test_islands_beat_best_fit(spark, monkeypatch):
+    """Where best fit needs more sequences than the bound, several islands and epochs find fewer."""
+    rng = random.Random(11)
+    counts = np.bincount(triplets(20, rng), minlength=1000)
+    sizes = np.repeat(np.arange(1000), counts).tolist()
+    plain = len(packing.first_packing(sizes, 1000, rng, 0.0))
+    monkeypatch.setattr(packing, "GENERATIONS", 200)
+    monkeypatch.setattr(packing, "EPOCHS", 3)
+    got = packing.pack_lengths(spark, counts, 1000).toPandas()
+    assert got.sequence_id.nunique() < plain and len(got) == len(sizes) and got.groupby("sequence_id").length.sum().max() <= 1000
+
+
+def test_elites_migrate(spark):
+    state = spark.createDataFrame([(0, i, 0, -5, 1.0, bytes([i]), [bytes([i]), bytes([i + 10])]) for i in range(packing.ISLANDS)], "block long, island int, epoch int, fewest long, fill double, elite binary, population array<binary>")
+    got = collections.defaultdict(list)
+    for r in packing.with_migrants(state).collect():
+        got[r["island"]] += [p[0] for p in r["population"]]
+    assert {i: sorted(p) for i, p in got.items()} == {i: sorted([i, i + 10, (i - 1) % packing.ISLANDS]) for i in range(packing.ISLANDS)}
+
+
+def test_packing_with_null_ids(spark):
+    got = packing.pack_documents(spark.createDataFrame([(None, "a b"), (2**53 + 1, None)], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 3), (2**53 + 1, 1)]
+
+
 def brute_repeats(rows, length):
     data = [(r["text"] or "").encode() for r in rows]
     seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
@@ -374,8 +422,13 @@ def test_jaccard_with_null_and_shared_ids(spark):
     assert kept == ["", "w0", "w100", "w200", "w250", "w300"]
 
 
-def test_keep_one(docs):
+def test_keep_one(docs, empty):
+    odd = docs.withColumn("row", F.col("doc_id") * 3).withColumn("rid", F.lit("r")).withColumn("maybe", F.lit(False))
+    same = jaccard.keep_one(odd)
+    assert same.columns == odd.columns and same.filter("row <> doc_id * 3 OR rid <> 'r' OR maybe OR _rid <> 'clash' OR rank * 3 <> doc_id").count() == 0
+    assert jaccard.keep_one(empty).count() == 0
     kept = jaccard.keep_one(docs)
+    assert same.count() == kept.count()
     groups = collections.defaultdict(set)
     for i, n, c in brute_components(docs.collect(), 5, 80):
         groups[c if n else (i, "no words")].add(i)
@@ -415,18 +468,23 @@ def test_kneser_ney_is_a_distribution():
 
 
 def test_mixing_tilts_documents(docs, spark, monkeypatch):
-    """With the document tilt, rates follow one logistic of the length in each source and meet the targets."""
-    got = mixing.mix(docs, tilt="size").toPandas()
-    plain = mixing.mix(docs).toPandas()
+    """Rates follow one logistic of the length in each source, found here by bisection, and meet the targets."""
+    got = mixing.mix(docs).toPandas()
+    plain = mixing.mix(docs, tilt="mass").toPandas()
     assert sorted(got.target) == pytest.approx(sorted(plain.target)) and (got.taken <= 3 * got["size"]).all()
     tilted = 0
     for _, rows in got[got["size"] > 0].groupby("source_size"):
-        if rows.target.iloc[0] >= 3 * rows.source_size.iloc[0] * (1 - 1e-9):
+        target = rows.target.iloc[0]
+        if target >= 3 * rows.source_size.iloc[0] * (1 - 1e-9):
+            assert (rows.rate == 3).all()
             continue
-        assert (rows.rate * rows["size"]).sum() == pytest.approx(rows.target.iloc[0], rel=1e-6)
-        inner = rows[rows.rate.between(1e-6, 3 - 1e-6)]
-        slope = (np.log(inner.rate / (3 - inner.rate)) + math.log(2)) / inner["size"]
-        assert np.ptp(slope) <= 1e-6 * max(1, abs(slope).max())
+        x = rows["size"] / rows["size"].mean()
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            dual = (low + high) / 2
+            rate = 3 / (1 + np.exp(np.clip(math.log(2) - dual * x, -700, 700)))
+            low, high = (dual, high) if (rate * rows["size"]).sum() < target else (low, dual)
+        assert np.allclose(rows.rate, rate, rtol=1e-5, atol=1e-7)
         tilted += rows.rate.nunique() > 1
     assert tilted
     used = []
@@ -436,6 +494,31 @@ def test_mixing_tilts_documents(docs, spark, monkeypatch):
     assert used == ["size"]
 
 
+def test_mixing_of_uneven_lengths(spark, monkeypatch):
+    """One long document beside many short ones: the multiplier must saturate some rates; too few steps raise."""
+    rows = [(i, "w " * n, f"s{i % 3}") for i, n in enumerate([1] * 300 + [20_000, 5, 7_000] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    for _, of in got.groupby("source_size"):
+        assert abs(of.taken.sum() - of.target.iloc[0]) <= 0.5 * of["size"].max() + 1
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs)
+
+
+def test_mixed_keeps_columns_and_repeats(docs, empty):
+    odd = docs.withColumnRenamed("_rid", "_key").withColumn("key", F.lit("k")).withColumn("times", F.col("doc_id") * 7)
+    got = mixing.mixed(odd)
+    assert got.columns == odd.columns and mixing.mixed(odd.filter("false")).count() == 0
+    assert got.filter("_key <> 'clash' OR key <> 'k' OR times <> doc_id * 7").count() == 0
+    plan = mixing.mix(docs).toPandas().groupby("doc_id")
+    want = {i: int(p.copies.sum()) if p["size"].max() else len(p) for i, p in plan}
+    mine = collections.Counter(r["doc_id"] for r in got.collect())
+    odd_ids = {r["doc_id"] for r in docs.groupBy("doc_id").count().filter("count > 1").collect()}
+    assert all(mine[i] == n for i, n in want.items() if i not in odd_ids)
+    assert all(mine[i] <= 6 for i in odd_ids)
+
+
 def test_joined_model_agrees_with_dense(spark):
     rng, symbols = random.Random(3), " абвгдежзийклмнопрстуфхцчшщъыьэ"
     texts = [symbols[1:]] + ["".join(rng.choices(symbols, weights=[1 + 31 // (1 + i) for i in range(31)], k=rng.randint(5, 400))) for _ in range(60)]
@@ -530,6 +613,103 @@ def test_weak_labels_teach_beside_gold(spark):
     assert got.loc[260:].mean() <= 0.1 and got.loc[:119].mean() >= 0.95 and got.loc[200:259].mean() >= 0.95 and got.loc[120:159].mean() <= 0.1
 
 
+def test_label_model_agrees_with_brute_force():
+    """Expectation-maximisation document by document, in plain loops."""
+    rng = random.Random(4)
+    rows = [[rng.choice([0, 1, 2]) for _ in range(3)] + [rng.choice([0, 1, 2, 2])] for _ in range(120)]
+    seen = collections.Counter(map(tuple, rows))
+    model = quality.expectation_maximisation(np.array(list(seen)), np.array(list(seen.values()), float), rounds=7)
+    k = 4
+    start = [[[0.99, 0.01], [0.7, 0.3]] for _ in range(k - 1)] + [[[0.99, 0.01], [0.01, 0.99]]]
+    silent = [(sum(r[j] == 2 for r in rows) + 1) / (len(rows) + 2) for j in range(k)]
+    spoken, prior = [[list(c) for c in lab] for lab in start], 0.1
+
+    def junk(r):
+        p = [1 - prior, prior]
+        for c in (0, 1):
+            for j, v in enumerate(r):
+                p[c] *= silent[j] if v == 2 else spoken[j][c][v] * (1 - silent[j])
+        return p[1] / (p[0] + p[1])
+
+    for _ in range(7):
+        post = [junk(r) for r in rows]
+        for j in range(k - 1):
+            for c in (0, 1):
+                votes = [spoken[j][c][v] + sum((q if c else 1 - q) for r, q in zip(rows, post, strict=True) if r[j] == v) for v in (0, 1)]
+                spoken[j][c] = [x / sum(votes) for x in votes]
+        prior = min(max(sum(post) / len(rows), 1e-4), 0.5)
+    assert model.prior == pytest.approx(prior, abs=1e-9)
+    assert model.posterior(np.array(rows)) == pytest.approx([junk(r) for r in rows], abs=1e-9)
+
+
+def test_linear_scorer_agrees_with_brute_force():
+    """The weights are where the gradient of the penalised loss, taken by differences, vanishes."""
+    rng = np.random.default_rng(8)
+    n, features = 600, np.array([3, 70, 999, 5000])
+    has = rng.random((n, 4)) < 0.4
+    target = 1 / (1 + np.exp(-(has @ np.array([2.0, -1.5, 1.0, -2.0]) - 0.2)))
+    target = np.where(rng.random(n) < 0.5, (rng.random(n) < target).astype(float), target)
+    doc, col = np.nonzero(has)
+    chosen, w, bias = quality.linear(doc, features[col], target, passes=20_000, penalty=1e-3)
+    assert set(chosen) <= set(features)
+    x = has[:, np.searchsorted(features, chosen)].astype(float)
+
+    def loss(v):
+        p = 1 / (1 + np.exp(-(x @ v[:-1] + v[-1])))
+        return -np.mean(target * np.log(p) + (1 - target) * np.log(1 - p)) + 0.5e-3 * (v[:-1] ** 2).sum()
+
+    at = np.append(w, bias)
+    for i in range(len(at)):
+        step = np.zeros(len(at))
+        step[i] = 1e-4
+        assert abs(loss(at + step) - loss(at - step)) / 2e-4 < 2e-4
+
+
+def test_quality_measures_agree_with_plain_python(texts):
+    stats, doc, bucket = quality.measures([t or "" for t in texts])
+    for i, t in enumerate(texts):
+        t = t or ""
+        ws, data = words(t), t.encode()
+        low = data.lower()
+        chars = max(1, sum(b not in b" \t\n\x0b\x0c\r" for b in data))
+        spelt = ["".join(chr(b) for b in w.encode().lower() if b >= 0x80 or chr(b).isalnum()) for w in ws]
+        lines = [x for x in data.split(b"\n") if x.strip(b" \t\x0b\x0c\r")]
+        want = [
+            sum(b in b"#*$%&|<>{}[]\\^~=_@" for b in data) / chars,
+            sum(65 <= b <= 90 for b in data) / chars,
+            sum(48 <= b <= 57 for b in data) / chars,
+            chars / max(1, len(ws)),
+            sum(a == b != "" for a, b in zip(spelt, spelt[1:])) / max(1, len(ws)),
+            -len({x for x in spelt if x}) / len(ws) if ws else -1.0,
+            1 - len(set(lines)) / len(lines) if lines else 0.0,
+            sum(b in b".," for b in data) / max(1, len(ws)),
+            sum(not (97 <= w.encode().lower()[-1] <= 122 or w.encode()[-1] >= 0x80) for w in ws) / max(1, len(ws)),
+            len(ws),
+        ]
+        assert stats[i] == pytest.approx(want), t[:40]
+        assert len(low) == len(data) and len(np.unique(bucket[doc == i])) == (doc == i).sum()
+
+
+def test_classify_scores_by_its_weights(spark, docs, empty):
+    """Scores are the logistic of the sums of the model's weights, row by row, and decide what stays."""
+    labels = docs.select("doc_id", (F.length("text") % 3 > 0).cast("int").alias("quality"), (F.length("text") % 5 == 0).cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    model = quality.fit(docs, labels)
+    got = {(r["doc_id"]): r for r in quality.classify(docs, model).collect()}
+    for r in docs.collect():
+        t = r["text"] or ""
+        _, _, bucket = quality.measures([t])
+        for name, scorer in (("junk_score", model.junk), ("toxic_score", model.toxic)):
+            weight = dict(zip(scorer.buckets.tolist(), scorer.weights.tolist(), strict=True)) if scorer else {}
+            z = scorer.bias + sum(weight.get(b, 0.0) for b in bucket.tolist()) if scorer else -math.inf
+            want = 0.0 if not words(t) else 1 / (1 + math.exp(-max(-30, min(30, z))))
+            assert got[r["doc_id"]][name] == pytest.approx(want, abs=1e-9)
+    odd = docs.withColumn("_accepted", F.lit("no")).withColumn("row", F.col("rank") + 1).withColumn("_s", F.lit(1))
+    kept = quality.accepted(odd, model)
+    assert kept.columns == odd.columns and kept.filter("_accepted <> 'no' OR row <> rank + 1").count() == 0
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.collect() if got[r["doc_id"]]["accepted"])
+    assert quality.accepted(empty, model).count() == 0
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(4)
     truth = rng.random(4000) < 0.2

@@ -4,6 +4,7 @@ import collections
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditspark.llm.common import stored, table
@@ -43,3 +44,26 @@ def test_stages(spark):
     for r in rows[5]:
         filled[r["sequence_id"]] += r["length"]
     assert max(filled.values()) <= 2048
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows, texts empty and long, and columns named like the operators' own."""
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a b c", None, None, 5), (2, "a b c", None, None, 5), (3, long, "en", "s", len(long)), (4, long + " end", "en", "t", None), (None, "prose of a null id, some words long.", "en", "s", 1), (7, "  \n", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("_rid", "_key", "_accepted", "row", "rid", "key", "maybe", "size", "rank", "copies", "part"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, held, SF))
+        assert after.columns == docs.columns, name
+        for r in after.collect():
+            assert all(r[c] == c + ("-" if r["doc_id"] is None else str(r["doc_id"])) for c in docs.columns[5:]), name
+        assert set(r["doc_id"] for r in after.collect()) <= {None, 1, 2, 3, 4, 7}
+        assert stage(spark, docs.filter("false"), SF).count() == 0, name
+        if name == "near_duplicates":
+            assert sorted(str(r["doc_id"]) for r in after.collect()) == sorted(str(i) for i in {r["doc_id"]: 0 for r in held.collect() if r["doc_id"] not in (4, None)}) + ["None"] * sum(r["doc_id"] is None for r in held.collect())
+        held = after
+    name, stage = corpus_pipeline.STAGES[-1]
+    pieces = stage(spark, docs, SF).collect()
+    assert sum(r["piece"] == 0 for r in pieces) == len(rows) and stage(spark, docs.filter("false"), SF).count() == 0
