@@ -1,7 +1,8 @@
 """The corpus pipeline: ordered stages, each one operator of auditspark.llm.
 
 Every stage takes (spark, docs, sf_dir) and gives what the next one reads; run() writes each result to
-the shared folder and reads it again, so that no stage is computed twice."""
+the shared folder and reads it again, so that no stage is computed twice. All but the last give the
+columns of docs, whatever their names, in their order; an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -14,18 +15,21 @@ from auditspark.llm.common import stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, keep_columns=True).filter("_accepted").drop("_accepted")
+    """Documents that the classifier accepts. Null texts and texts without words hold no evidence and stay;
+    rows that repeat fare alike; a null id has no gold label."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles."""
+    """One document of each group that shares four fifths of its five-word shingles: the one with the
+    smallest id, null first. Texts null or without words are linked with nothing and stay, all of them; of
+    rows that repeat one stays."""
     return jaccard.keep_one(docs, size=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that occur again anywhere; n_chars follows the text."""
+    """Texts without the 400-byte strings that occur again anywhere; n_chars follows the text. Null texts
+    stay null; rows that repeat are each other's copies, so such strings go from all of them."""
     left = repeats.remove_repeats(docs, keep_columns=True)
     if "n_chars" not in docs.columns:
         return left
@@ -33,12 +37,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed(docs, tilt="size")
+    """Documents as often as the mix of sources takes them. Null sources are one source; documents without
+    words, of which there is nothing to take, stay; rows that repeat share their copies."""
+    return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences. A null text is empty, its end id alone; rows that
+    repeat are packed each by itself."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
