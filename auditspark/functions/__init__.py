@@ -91,20 +91,21 @@ def currency(c: Column, default: str = "CNY") -> Column:
     return F.upper(F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default)))
 
 
-#: Names of weekdays, Monday first.
+#: Names of weekdays, Monday first, and words before them.
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 HAN_DAYS = ("一", "二", "三", "四", "五", "六", "日")
+WEEK = "星期|礼拜|周|week"
 
 
 def weekday_of(c: Column) -> Column:
-    """0 for Monday to 6 for Sunday from Chinese or English names; digits need a prefix such as week."""
+    """0 for Monday to 6 for Sunday from Chinese or English names, with or without a word such as week before
+    them; digits need one."""
     text = F.lower(F.trim(c))
-    bare = F.regexp_replace(text, r"^(周|星期|礼拜|week)\s*", "")
-    out = F.lit(None).cast("int")
+    bare = F.trim(F.regexp_replace(text, f"^({WEEK})", ""))
+    out = F.when(text.rlike(f"^({WEEK})") & bare.rlike("^0*[1-7]$"), bare.try_cast("int") - 1)
     for i, (en, han) in enumerate(zip(WEEKDAYS, HAN_DAYS, strict=True)):
-        named = (bare == han) | text.startswith(en) | ((bare != text) & (bare == str(i + 1)))
-        out = F.when(named, i).otherwise(out)
-    return F.when((bare == "天") & (bare != text), 6).otherwise(out)
+        out = F.when((bare == han) | bare.startswith(en), i).otherwise(out)
+    return F.when(bare == "天", 6).otherwise(out)
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -112,13 +113,24 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * 6371000.0 * F.asin(F.sqrt(a))
 
 
-def office_verdict(flag: Column, lat: Column, lon: Column, place: Column, offices: list[tuple[float, float]], keywords: list[str], radius: float = 1000.0) -> Column:
-    """True or false by an explicit flag, else by the distance to the offices, else true by a keyword of
-    the place; null where nothing tells."""
+#: Words that say whether a swipe was in the office.
+INSIDE = ("是", "y", "yes", "true", "1", "在公司", "公司", "内勤", "office")
+OUTSIDE = ("否", "n", "no", "false", "0", "不在公司", "外勤", "外出", "field")
+
+
+def office_verdict(flag: Column, lat: Column, lon: Column, place: Column, offices: list[tuple[float, ...]], keywords: list[str], radius: float = 1000.0) -> Column:
+    """True or false by an explicit flag, else by the distance to the offices (latitude, longitude and, if
+    other than `radius`, metres), else by a keyword of the place; null where nothing tells."""
     said = F.lower(F.trim(flag))
-    by_flag = F.when(said.isin("1", "true", "yes", "y", "是"), True).when(said.isin("0", "false", "no", "n", "否"), False)
-    near = F.array_min(F.array(*[haversine_m(lat, lon, F.lit(a), F.lit(b)) for a, b in offices])) <= radius if offices else F.lit(None).cast("boolean")
-    by_word = F.when(contains_any(place, keywords), True) if keywords else F.lit(None).cast("boolean")
+    by_flag = F.when(said.isin(*INSIDE), True).when(said.isin(*OUTSIDE), False)
+    near = F.lit(None).cast("boolean")
+    for a, b, *r in offices:
+        one = haversine_m(lat, lon, F.lit(float(a)), F.lit(float(b))) <= (r[0] if r else radius)
+        near = F.when(lat.isNotNull() & lon.isNotNull(), F.coalesce(near, F.lit(False)) | one)
+    found = F.lit(False)
+    for w in keywords:
+        found = found | F.contains(place, F.lit(w))
+    by_word = F.when(F.nullif(F.trim(place), F.lit("")).isNotNull(), found) if keywords else F.lit(None).cast("boolean")
     return F.coalesce(by_flag, near, by_word)
 
 

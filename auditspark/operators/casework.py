@@ -41,9 +41,11 @@ def in_scope(rows: DataFrame, at: str, actors: F.Column, scope: dict) -> tuple[D
 
 def timeline(messages: DataFrame, logs: DataFrame) -> DataFrame:
     """Messages(message_id, at, sender, content) and logs(event_id, at, actor, event_type, object) in one order of
-    time; texts are cut to 120 characters."""
-    m = messages.select("at", F.lit("message").alias("kind"), F.col("message_id").cast("string").alias("source_id"), F.col("sender").cast("string").alias("actor"), F.substring("content", 1, 120).alias("object"))
-    e = logs.select("at", F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("source_id"), F.col("actor").cast("string").alias("actor"), F.substring("object", 1, 120).alias("object"))
+    time; texts are cut to 120 characters. If either side has observed_at, the time of record, it stands beside."""
+    both = "observed_at" in messages.columns or "observed_at" in logs.columns
+    seen = lambda df: [F.col("observed_at") if "observed_at" in df.columns else F.lit(None).cast("string").alias("observed_at")] if both else []
+    m = messages.select("at", *seen(messages), F.lit("message").alias("kind"), F.col("message_id").cast("string").alias("source_id"), F.col("sender").cast("string").alias("actor"), F.substring("content", 1, 120).alias("object"))
+    e = logs.select("at", *seen(logs), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("source_id"), F.col("actor").cast("string").alias("actor"), F.substring("object", 1, 120).alias("object"))
     return m.unionByName(e).orderBy("at", "kind", "source_id")
 
 
@@ -102,3 +104,13 @@ def interview_plan(matrix: DataFrame, corpus: DataFrame) -> DataFrame:
     each = j.groupBy("actor", "summary").agg(F.min("evidence_id").alias("_first"), F.collect_set("issue").alias("_issues"))
     top = each.withColumn("_rn", F.row_number().over(by)).filter("_rn <= 8")
     return top.groupBy("actor").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "summary"))), lambda x: x["summary"]).alias("summaries"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_issues")))).alias("issues"))
+
+
+def interviews(plan: DataFrame, interviewees: list[dict], issues: list[dict]) -> DataFrame:
+    """A row for each interviewee of the scope: objective, known facts from interview_plan(), and what is missing in
+    all issues together. Both lists are short."""
+    missing = list(dict.fromkeys(x for i in issues for x in i.get("missing_evidence", []) if x))
+    spark = plan.sparkSession
+    asked = spark.createDataFrame([(i["id"], i.get("objective", ""), missing) for i in interviewees], "interviewee string, objective string, unknown_facts array<string>")
+    known = plan.select(F.col("actor").alias("interviewee"), F.col("summaries").alias("known_facts"))
+    return asked.join(known, "interviewee", "left").select("interviewee", "objective", F.coalesce("known_facts", F.array().cast("array<string>")).alias("known_facts"), "unknown_facts")

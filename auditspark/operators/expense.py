@@ -14,9 +14,9 @@ from auditspark.plans import Policy, Registry, members
 
 EXPENSE = Registry()
 rule = EXPENSE.rule
-#: Words by which lodging is known.
+#: Words by which lodging is known, and the types that are transport.
 LODGING = ("住宿", "酒店", "宾馆", "旅馆", "民宿", "住宿费", "房费", "hotel", "lodging")
-TRANSPORT = ("flight", "train", "transport", "机票", "高铁", "火车", "交通")
+TRANSPORT = ("flight", "train", "bus", "transport", "机票", "火车", "高铁", "大巴", "动车")
 
 
 def day(c: str = "expense_date"):
@@ -35,6 +35,24 @@ def in_groups(e: DataFrame, *keys: str, least: int = 2, extra=None) -> DataFrame
     return e.join(right, same, "left_semi")
 
 
+def has_word(e: DataFrame, words) -> F.Column:
+    """Whether the expense type holds one of the words, in their own case."""
+    if not words or "expense_type" not in e.columns:
+        return F.lit(False)
+    out = F.lit(False)
+    for w in words:
+        out = out | F.coalesce(F.contains(F.col("expense_type"), F.lit(w)), F.lit(False))
+    return out
+
+
+def number(value) -> float | None:
+    """A number of the policy, given as such or as text."""
+    try:
+        return float(str(value).replace(",", "").lstrip("¥￥ "))
+    except ValueError:
+        return None
+
+
 def islands(e: DataFrame, keys: list[str], position, order: list) -> DataFrame:
     """Adds _run: rows of a group whose positions follow each other by one share it."""
     by = Window.partitionBy(*keys).orderBy(*order)
@@ -52,16 +70,17 @@ def duplicate_invoice(e: DataFrame, p: Policy) -> DataFrame:
 def duplicate_claim(e: DataFrame, p: Policy) -> DataFrame:
     keys = ("employee_id", "expense_date", "currency", "amount")
     words = p.get("multi_occurrence_types", [])
-    extra = ~F.bool_and(contains_any(F.col("expense_type"), words)) if words else None
+    extra = ~F.bool_and(has_word(e, words)) if words else None
     return members(in_groups(e, *keys, extra=extra), *keys)
 
 
 def near_duplicate_pairs(e: DataFrame, p: Policy) -> DataFrame:
-    """(row_a, row_b) of one employee, vendor and currency, days apart at most `near_duplicate_days`, amounts
-    apart at most `near_duplicate_ratio` of the larger, and no exact duplicates. Rows are dealt by week-
-    like buckets of days, each row meeting its own and the next, so a busy employee is split up."""
-    span, ratio = int(p.get("near_duplicate_days", 7)), float(p.get("near_duplicate_ratio", 0.15))
-    rows = e.select("_src_row", "employee_id", "currency", "amount", day().alias("d"), match_key(F.col("vendor_name")).alias("vendor"), *(["invoice_number"] if "invoice_number" in e.columns else [F.lit(None).cast("string").alias("invoice_number")])).filter("vendor IS NOT NULL")
+    """(row_a, row_b) of one employee, vendor and currency, days apart at most near_duplicate_window_days,
+    amounts apart at most near_duplicate_amount_tolerance of the larger, and no exact duplicates; pairs of
+    which both rows are of fixed_amount_types, or of multi_occurrence_types, are left out. Rows are dealt by
+    week-like buckets of days, each row meeting its own and the next, so a busy employee is split up."""
+    span, ratio = int(p.get("near_duplicate_window_days", 7)), float(p.get("near_duplicate_amount_tolerance", 0.15))
+    rows = e.select("_src_row", "employee_id", "currency", "amount", has_word(e, p.get("fixed_amount_types")).alias("fixed"), has_word(e, p.get("multi_occurrence_types")).alias("often"), day().alias("d"), match_key(F.col("vendor_name")).alias("vendor"), *(["invoice_number"] if "invoice_number" in e.columns else [F.lit(None).cast("string").alias("invoice_number")])).filter("vendor IS NOT NULL")
     rows = rows.withColumn("bucket", F.floor(F.col("d") / (span + 1)))
     a = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))).select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
@@ -70,53 +89,91 @@ def near_duplicate_pairs(e: DataFrame, p: Policy) -> DataFrame:
     near = F.abs(F.col("a_amount") - F.col("b_amount")) / F.greatest(F.abs("a_amount"), F.abs("b_amount"), F.lit(0.01)) <= ratio
     same = (F.col("a_amount") == F.col("b_amount")) & ((gap == 0) | F.coalesce(F.col("a_invoice_number") == F.col("b_invoice_number"), F.lit(False)))
     ordered = (gap > 0) | ((gap == 0) & (F.col("a__src_row") < F.col("b__src_row")))
-    return joined.filter(ordered & (gap <= span) & near & ~same).select(F.col("a__src_row").alias("row_a"), F.col("b__src_row").alias("row_b"))
+    exempt = (F.col("a_fixed") & F.col("b_fixed")) | (F.col("a_often") & F.col("b_often"))
+    return joined.filter(ordered & (gap <= span) & near & ~same & ~exempt).select(F.col("a__src_row").alias("row_a"), F.col("b__src_row").alias("row_b"))
 
 
 @rule("near-duplicate", 2, "moderate", needs=("vendor_name",))
 def near_duplicate(e: DataFrame, p: Policy) -> DataFrame:
+    """One finding of all rows in some pair, if they are three or more."""
     pairs = near_duplicate_pairs(e, p)
     rows = pairs.select(F.col("row_a").alias("_src_row")).union(pairs.select("row_b")).distinct()
-    by = ["employee_id"] if p.get("near_duplicate_per_employee") else []
-    return members(e.join(rows, "_src_row", "left_semi"), *by)
+    hit = members(e.join(rows, "_src_row", "left_semi"))
+    return hit.filter(hit.agg(F.count("*")).scalar() >= 3)
 
 
 @rule("policy-threshold", 3, "strong", needs=("expense_type",))
 def policy_threshold(e: DataFrame, p: Policy) -> DataFrame:
-    hit = F.lit(False)
-    for limit in p.get("policy_limits", []):
-        one = F.col("amount") > float(limit["max"])
-        if limit.get("type"):
-            one = one & (match_key(F.col("expense_type")) == match_key(F.lit(limit["type"])))
+    """One finding for each row and limit that it is above."""
+    hits = []
+    for i, limit in enumerate(p.get("limits", [])):
+        most = number(limit.get("max_amount"))
+        if most is None:
+            continue
+        one = F.col("amount") > most
+        if limit.get("expense_type"):
+            one = one & F.coalesce(match_key(F.col("expense_type")) == match_key(F.lit(limit["expense_type"])), F.lit(False))
         if limit.get("currency"):
-            one = one & (F.col("currency") == limit["currency"])
-        hit = hit | F.coalesce(one, F.lit(False))
-    return members(e.filter(hit), "_src_row")
-
-
-def split_windows(e: DataFrame, keys: list[str], limit: float, span: int, distinct: str | None = None) -> DataFrame:
-    """The starts of forward windows of `span` days, in date then row order, with two rows or more, each under
-    the limit, together above it: group keys, _src_row of the start, n_rows, total. One RANGE frame; rows
-    of the start's own day that come before it are filtered out of the collected frame."""
-    by = Window.partitionBy(*keys).orderBy(day())
-    ahead = by.rangeBetween(0, span)
-    numbered = e.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("expense_date", "_src_row")))
-    cell = F.struct(F.col("_rn").alias("rn"), F.col("amount").cast("decimal(18,2)").alias("amount"), (F.col(distinct) if distinct else F.lit(None).cast("string")).alias("v"), F.col("_src_row").alias("row"))
-    w = numbered.withColumn("_win", F.collect_list(cell).over(ahead)).withColumn("_win", F.expr("filter(_win, x -> x.rn >= _rn)"))
-    total = F.aggregate("_win", F.lit(0).cast("decimal(28,2)"), lambda s, x: (s + x["amount"]).cast("decimal(28,2)"))
-    w = w.withColumn("n_rows", F.size("_win")).withColumn("total", total)
-    good = (F.col("n_rows") >= 2) & (F.col("total") > limit) & F.forall("_win", lambda x: x["amount"] < limit)
+            one = one & (F.col("currency") == str(limit["currency"]).upper())
+        hits.append(F.when(one, F.lit(i)))
+    above = e.withColumn("_limit", F.explode(F.array_compact(F.array(*hits)))) if hits else e.filter("false").withColumn("_limit", F.lit(0))
+    return members(above, "_src_row", "_limit")
+
+
+#: Rows of a group that stand in one bucket when the rows of its windows are fetched.
+CELL = 64
+
+
+def split_windows(e: DataFrame, keys: list[str], limit: float, span: int, distinct: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(starts, numbered). starts: the rows from which the rows of their group within `span` days, themselves
+    included, in date then row order, are two or more, each under the limit, together above it, and of two
+    known `distinct` values or more; with _rn, the place in the group, _end, the last row's, n_rows and total.
+
+    Every figure of a window is a difference of running figures at its two ends, so no frame is collected."""
+    order = ["expense_date", "_src_row"]
+    rows = Window.partitionBy(*keys).orderBy(*order)
+    upto = rows.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(day()).rangeBetween(Window.unboundedPreceding, span)
+    money = F.col("amount").cast("decimal(18,2)")
+    large = (F.col("amount") >= limit).cast("long")
+    w = e.withColumn("_rn", F.row_number().over(rows)).withColumn("_sum", F.sum(money).over(upto)).withColumn("_large", F.sum(large).over(upto))
+    if distinct:  # a window holds two values if the known value changes between two of its rows
+        before = F.last(distinct, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
+        w = w.withColumn("_turn", F.coalesce((F.col(distinct) != before).cast("long"), F.lit(0)))
+        w = w.withColumn("_turns", F.sum("_turn").over(upto))
+        back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        w = w.withColumn("_from", F.last(F.when(F.col(distinct).isNotNull(), F.col("_turns")), ignorenulls=True).over(back))
+    w = w.withColumn("_end", F.count("*").over(ahead)).withColumn("_sum_end", F.sum(money).over(ahead)).withColumn("_large_end", F.sum(large).over(ahead))
+    w = w.withColumn("n_rows", (F.col("_end") - F.col("_rn") + 1).cast("int")).withColumn("total", (F.col("_sum_end") - F.col("_sum") + money).cast("decimal(28,2)"))
+    good = (F.col("n_rows") >= 2) & (F.col("total") > limit) & (F.col("_large_end") - F.col("_large") + large == 0)
     if distinct:
-        good = good & (F.size(F.array_distinct(F.transform("_win", lambda x: x["v"]))) >= 2)
-    return w.filter(good)
+        w = w.withColumn("_turns_end", F.sum("_turn").over(ahead))
+        good = good & (F.col("_turns_end") > F.col("_from"))
+    return w.filter(good), w.select(*keys, "_rn", "_src_row", "amount")
+
+
+def window_rows(starts: DataFrame, numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """(_start, _src_row, amount): the rows of each start's window, met by buckets of CELL places in the group."""
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    s = starts.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_src_row").alias("_start"), F.col("_rn").alias("_first"), "_end", F.explode(F.sequence(cell("_rn"), cell("_end"))).alias("_cell"))
+    same = (cell("_rn") == F.col("_cell")) & F.col("_rn").between(F.col("_first"), F.col("_end"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    return numbered.join(s, same).select("_start", "_src_row", "amount")
+
+
+def thresholds(p: Policy) -> list[tuple[float, str]]:
+    """(amount, currency or "") of the approval thresholds."""
+    out = [(number(t.get("amount")), str(t.get("currency") or "").upper()) for t in p.get("approval_thresholds", [])]
+    return [t for t in out if t[0] is not None]
 
 
 def _split(e: DataFrame, p: Policy, keys: list[str], distinct: str | None) -> DataFrame:
-    out = None
-    for limit in p.get("approval_thresholds", [5000.0]):
-        rows = split_windows(e, keys, float(limit), int(p.get("split_window_days", 0)), distinct)
-        one = rows.select(F.concat_ws("|", F.lit(str(limit)), F.col("_src_row")).alias("finding_key"), F.explode("_win").alias("w")).select("finding_key", F.col("w.row").alias("_src_row"), F.col("w.amount").cast("double").alias("amount"))
-        out = one if out is None else out.unionByName(one)
+    out = members(e.filter("false"), "_src_row")
+    for i, (limit, currency) in enumerate(thresholds(p)):
+        rows = e.filter(F.col("currency") == currency) if currency else e
+        held = window_rows(*split_windows(rows, keys, limit, int(p.get("split_window_days", 0)), distinct), keys)
+        out = out.unionByName(held.select(F.concat_ws("|", F.lit(str(i)), F.col("_start")).alias("finding_key"), "_src_row", F.col("amount").cast("double").alias("amount")))
     return out
 
 
@@ -130,26 +187,59 @@ def split_cross_merchant(e: DataFrame, p: Policy) -> DataFrame:
     return _split(e.withColumn("_vendor", match_key(F.col("vendor_name"))), p, ["employee_id", "currency"], "_vendor")
 
 
-@rule("weekend-signal", 1, "weak", switch="weekend_check")
-def weekend(e: DataFrame, p: Policy) -> DataFrame:
-    return members(e.filter(F.weekday("expense_date") >= 5), "_src_row")
+@rule.each("weekend-signal", 1, "weak", switch="weekend_check")
+def weekend(e: DataFrame, p: Policy) -> F.Column:
+    return F.weekday("expense_date") >= 5
 
 
-@rule("holiday-signal", 1, "weak", switch="weekend_check")
-def holiday(e: DataFrame, p: Policy) -> DataFrame:
+@rule.each("holiday-signal", 1, "weak", switch="weekend_check")
+def holiday(e: DataFrame, p: Policy) -> F.Column:
     days = [str(d) for d in p.get("holidays", [])]
-    return members(e.filter((F.weekday("expense_date") < 5) & F.col("expense_date").cast("string").isin(days or [""])), "_src_row")
+    return (F.weekday("expense_date") < 5) & F.col("expense_date").cast("string").isin(days or [""])
+
+
+def medians(hist: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """hist(keys, value, _n), a row for each value of a group -> (keys, name): the exact median, the mean of the
+    two middle values of an even number.
+
+    Values are first counted in classes a sixteenth of a doubling wide; only the classes that hold a middle
+    value are then gone through value by value, so a task holds little of a hot group."""
+    v = F.col(value)
+    scale = F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 16) + 20_000)).cast("int")
+    classed = hist.withColumn("_class", scale)
+    whole = Window.partitionBy(*keys)
+    sums = classed.groupBy(*keys, "_class").agg(F.sum("_n").alias("_k")).withColumn("_upto", F.sum("_k").over(whole.orderBy("_class").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_k").over(whole))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # places of the middle values
+    middle = sums.filter((F.col("_upto") >= low) & (F.col("_upto") - F.col("_k") < high)).withColumn("_before", F.col("_upto") - F.col("_k")).select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate([*keys, "_class"])], "_before", "_all")
+    same = F.col("_class") == F.col(f"_g{len(keys)}")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    inner = Window.partitionBy(*keys, "_class").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    at = classed.join(middle, same).withColumn("_to", F.sum("_n").over(inner) + F.col("_before"))
+    holds = lambda place: (F.col("_to") >= place) & (F.col("_to") - F.col("_n") < place)
+    return at.groupBy(*keys).agg((0.5 * F.min(F.when(holds(low), v)) + 0.5 * F.min(F.when(holds(high), v))).alias(name))
+
+
+def on_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a joined with the other columns of b, a row for each group; null keys are equal."""
+    right = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return a.join(right, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def robust_outliers(e: DataFrame, keys: list[str], value: str, least: int = 5, z: float = 3.5, flat_ratio: float | None = None) -> DataFrame:
     """Rows far above the median of their group: 0.6745 (x - median) / MAD above z, the MAD not 0; with
     flat_ratio, groups of MAD 0 give rows of so many times the group's least. Adds _median, _mad, _z.
-    The medians are two aggregations joined back, exact, without a window over a whole group."""
-    n = F.count("*")
-    first = e.groupBy(*keys).agg(n.alias("_n"), F.median(value).alias("_median"), F.min(value).alias("_least")).filter(F.col("_n") >= least)
-    joined = e.join(first, keys)
-    second = joined.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_median"))).alias("_mad"))
-    scored = joined.join(second, keys).withColumn("_z", F.when(F.col("_mad") != 0, 0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad")))
+    Both medians come from one histogram of the groups, which is counted before any shuffle."""
+    hist = e.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    size = hist.groupBy(*keys).agg(F.sum("_n").alias("_size"), F.min(value).alias("_least")).filter(F.col("_size") >= least)
+    hist = on_keys(hist, size.select(*keys, "_size"), keys).drop("_size")
+    known = on_keys(size, medians(hist, keys, value, "_median"), keys)
+    away = on_keys(hist, known.select(*keys, "_median"), keys).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
+    known = on_keys(known, medians(away.groupBy(*keys, "_away").agg(F.sum("_n").alias("_n")), keys, "_away", "_mad"), keys)
+    scored = on_keys(e, known, keys).withColumn("_z", F.when(F.col("_mad") != 0, 0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad")))
     hit = F.coalesce(F.col("_z") > z, F.lit(False))
     if flat_ratio is not None:
         hit = hit | ((F.col("_mad") == 0) & (F.col(value) >= flat_ratio * F.col("_least")) & (F.col("_least") > 0))
@@ -158,51 +248,55 @@ def robust_outliers(e: DataFrame, keys: list[str], value: str, least: int = 5, z
 
 @rule("robust-outlier", 2, "moderate", needs=("expense_type",))
 def outlier(e: DataFrame, p: Policy) -> DataFrame:
-    rows = e.withColumn("_type", match_key(F.col("expense_type"))).filter("_type IS NOT NULL")
-    rows = robust_outliers(rows, ["_type", "currency"], "amount", int(p.get("outlier_min_group", 5)), float(p.get("outlier_z", 3.5)))
-    return members(rows.filter((F.col("amount") < float(p.get("large_amount_threshold", 5000))) & (F.col("amount") >= float(p.get("outlier_min_amount", 0)))), "_src_row")
+    rows = e.filter(~has_word(e, p.get("fixed_amount_types"))).withColumn("_type", match_key(F.col("expense_type"))).filter("_type IS NOT NULL")
+    rows = robust_outliers(rows, ["_type", "currency"], "amount", int(p.get("outlier_min_group_size", 5)), float(p.get("outlier_robust_z", 3.5)))
+    return members(rows.filter((F.col("amount") < float(p.get("large_amount_threshold", 5000))) & (F.col("amount") >= float(p.get("outlier_min_amount", 0) or float("-inf")))), "_src_row")
 
 
 @rule("sequential-invoice", 3, "moderate", needs=("invoice_number", "vendor_name"))
 def sequential_invoice(e: DataFrame, p: Policy) -> DataFrame:
-    """The first run, in each vendor and currency, of three invoices or more whose numbers rise by one, dated
-    within sequential_invoice_window_days."""
+    """In each vendor and currency, the first invoices, three or more, whose numbers rise by one up to the end of
+    their run and that are dated within sequential_invoice_window_days. A number that repeats ends a run.
+
+    Numbers without a neighbour are left out before the runs are numbered."""
     rows = e.withColumn("_vendor", match_key(F.col("vendor_name"))).withColumn("_no", F.regexp_extract("invoice_number", r"(\d{2,})", 1).try_cast("decimal(38,0)")).filter("_no IS NOT NULL")
     keys = ["_vendor", "currency"]
+    numbers = rows.select(*keys, "_no").distinct()
+    beside = numbers.select(*keys, F.explode(F.array(F.col("_no") - 1, F.col("_no") + 1)).alias("_no")).withColumn("_no", F.col("_no").cast("decimal(38,0)")).distinct()
+    right = beside.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate([*keys, "_no"])])
+    rows = rows.join(right, F.col("_vendor").eqNullSafe(F.col("_b0")) & F.col("currency").eqNullSafe(F.col("_b1")) & (F.col("_no") == F.col("_b2")), "left_semi")
     runs = islands(rows, keys, F.col("_no"), [F.col("_no"), F.col("expense_date"), F.col("_src_row")])
-    size = runs.groupBy(*keys, "_run").agg(F.count("*").alias("_k"), F.datediff(F.max("expense_date"), F.min("expense_date")).alias("_span"))
-    good = size.filter((F.col("_k") >= 3) & (F.col("_span") <= int(p.get("sequential_invoice_window_days", 3))))
-    first = good.groupBy(*keys).agg(F.min("_run").alias("_run"))
-    right = first.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate([*keys, "_run"])])
-    same = F.col("_vendor").eqNullSafe(F.col("_g0")) & F.col("currency").eqNullSafe(F.col("_g1")) & (F.col("_run") == F.col("_g2"))
+    back = Window.partitionBy(*keys, "_run").orderBy(F.desc("_no")).rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("_left", F.count("*").over(back)).withColumn("_span", F.datediff(F.max("expense_date").over(back), F.min("expense_date").over(back)))
+    good = runs.filter((F.col("_left") >= 3) & (F.col("_span") <= int(p.get("sequential_invoice_window_days", 3))))
+    first = good.groupBy(*keys).agg(F.min(F.struct("_run", "_no")).alias("_at"))
+    right = first.select(F.col("_vendor").alias("_g0"), F.col("currency").alias("_g1"), F.col("_at._run").alias("_g2"), F.col("_at._no").alias("_g3"))
+    same = F.col("_vendor").eqNullSafe(F.col("_g0")) & F.col("currency").eqNullSafe(F.col("_g1")) & (F.col("_run") == F.col("_g2")) & (F.col("_no") >= F.col("_g3"))
     return members(runs.join(right, same, "left_semi"), *keys)
 
 
-@rule("invoice-format-anomaly", 3, "moderate", needs=("invoice_number",))
-def invoice_format(e: DataFrame, p: Policy) -> DataFrame:
+@rule.each("invoice-format-anomaly", 3, "moderate", needs=("invoice_number",), key=())
+def invoice_format(e: DataFrame, p: Policy) -> F.Column:
     no = F.col("invoice_number")
-    odd = (F.length(no) < 4) | (F.length(no) > 40) | no.rlike(r"[^A-Za-z0-9\-_. ]") | (F.length(F.regexp_replace(no, r"[^@#$%^&*!]", "")) >= 2)
-    return members(e.filter(odd))
+    return (F.length(no) < 4) | (F.length(no) > 40) | no.rlike(r"[^A-Za-z0-9\-_. ]")
 
 
-@rule("large-amount-low-level-approval", 4, "strong", switch="low_level_approvers", needs=("approver",))
-def low_level_approval(e: DataFrame, p: Policy) -> DataFrame:
-    return members(e.filter((F.col("amount") >= float(p.get("large_amount_threshold", 5000))) & contains_any(F.col("approver"), p["low_level_approvers"])))
+@rule.each("large-amount-low-level-approval", 4, "strong", switch="low_level_approver_keywords", needs=("approver",), key=())
+def low_level_approval(e: DataFrame, p: Policy) -> F.Column:
+    return (F.col("amount") >= float(p.get("large_amount_threshold", 5000))) & contains_any(F.col("approver"), p["low_level_approver_keywords"])
 
 
-@rule("large-amount", 3, "moderate", switch="large_amount_check")
-def large_amount(e: DataFrame, p: Policy) -> DataFrame:
-    rows = e.filter(F.col("amount") >= float(p.get("large_amount_threshold", 5000)))
-    if p.get("low_level_approvers") and "approver" in e.columns:
-        rows = rows.filter(~contains_any(F.col("approver"), p["low_level_approvers"]))
-    return members(rows)
+@rule.each("large-amount", 3, "moderate", switch="large_amount_check", key=())
+def large_amount(e: DataFrame, p: Policy) -> F.Column:
+    large = F.col("amount") >= float(p.get("large_amount_threshold", 5000))
+    words = p.get("low_level_approver_keywords")
+    return large & ~contains_any(F.col("approver"), words) if words and "approver" in e.columns else large
 
 
-@rule("self-approval", 4, "strong", needs=("approver",))
-def self_approval(e: DataFrame, p: Policy) -> DataFrame:
+@rule.each("self-approval", 4, "strong", needs=("approver",), key=())
+def self_approval(e: DataFrame, p: Policy) -> F.Column:
     names = F.array_compact(F.array("employee_id", *(["employee_name"] if "employee_name" in e.columns else [])))
-    tokens = F.transform(F.split("approver", "[;；,，、]"), lambda x: F.trim(x))
-    return members(e.filter(F.arrays_overlap(tokens, names)))
+    return F.arrays_overlap(F.transform(F.split("approver", "[;；,，、]"), lambda x: F.trim(x)), names)
 
 
 @rule("cross-employee-invoice", 4, "strong", needs=("invoice_number",))
@@ -212,20 +306,20 @@ def cross_employee_invoice(e: DataFrame, p: Policy) -> DataFrame:
     return members(rows.join(shared.select("invoice_number"), "invoice_number", "left_semi"))
 
 
-@rule("submit-before-expense", 2, "moderate", needs=("submit_date",))
-def submit_before(e: DataFrame, p: Policy) -> DataFrame:
-    return members(e.filter("submit_date < expense_date"))
+@rule.each("submit-before-expense", 2, "moderate", needs=("submit_date",), key=())
+def submit_before(e: DataFrame, p: Policy) -> F.Column:
+    return F.col("submit_date") < F.col("expense_date")
 
 
-@rule("future-date", 3, "moderate", switch="as_of_date")
-def future_date(e: DataFrame, p: Policy) -> DataFrame:
-    return members(e.filter(F.col("expense_date") > F.lit(str(p["as_of_date"])).cast("date")))
+@rule.each("future-date", 3, "moderate", switch="as_of_date", key=())
+def future_date(e: DataFrame, p: Policy) -> F.Column:
+    return F.col("expense_date") > F.lit(str(p["as_of_date"])).cast("date")
 
 
-@rule("missing-expense-type", 2, "moderate", needs=("expense_type",))
-def missing_type(e: DataFrame, p: Policy) -> DataFrame:
-    least = min([float(x["max"]) for x in p.get("policy_limits", []) if float(x["max"]) > 0], default=None)
-    return members(e.filter(F.lit(False) if least is None else F.col("expense_type").isNull() & (F.col("amount") > least)))
+@rule.each("missing-expense-type", 2, "moderate", needs=("expense_type",), key=())
+def missing_type(e: DataFrame, p: Policy) -> F.Column:
+    least = min([m for x in p.get("limits", []) if (m := number(x.get("max_amount"))) and m > 0], default=None)
+    return F.lit(False) if least is None else F.col("expense_type").isNull() & (F.col("amount") > least)
 
 
 @rule("space-time-conflict", 3, "strong", needs=("dest_city",))
@@ -237,11 +331,11 @@ def space_time(e: DataFrame, p: Policy) -> DataFrame:
     return members(in_groups(rows, *keys, extra=F.min("dest_city") != F.max("dest_city")), *keys)
 
 
-@rule("cross-period", 2, "moderate", needs=("submit_date",))
-def cross_period(e: DataFrame, p: Policy) -> DataFrame:
+@rule.each("cross-period", 2, "moderate", needs=("submit_date",), key=())
+def cross_period(e: DataFrame, p: Policy) -> F.Column:
     months = F.year("submit_date") * 12 + F.month("submit_date") - F.year("expense_date") * 12 - F.month("expense_date")
     least = int(p.get("cross_period_months", 3))
-    return members(e.filter((months >= least) & F.lit(least > 0)), "_src_row")
+    return (months >= least) & F.lit(least > 0)
 
 
 def busy_rows(e: DataFrame, keys: list[str], span: int, least: int) -> DataFrame:
@@ -261,18 +355,21 @@ def busy_rows(e: DataFrame, keys: list[str], span: int, least: int) -> DataFrame
 
 @rule("high-frequency-small-amount", 3, "moderate", needs=("expense_type",))
 def high_frequency(e: DataFrame, p: Policy) -> DataFrame:
-    rows = e.filter(F.col("amount") <= float(p.get("small_amount", 100))).withColumn("_type", match_key(F.col("expense_type")))
+    least = int(p.get("high_frequency_min_count", 10))
+    rows = e.filter((F.col("amount") <= float(p.get("high_frequency_max_amount", 100))) & F.lit(least > 1)).withColumn("_type", match_key(F.col("expense_type")))
     keys = ["employee_id", "_type"]
-    return members(busy_rows(rows, keys, int(p.get("high_frequency_days", 30)), int(p.get("high_frequency_count", 10))), *keys)
+    return members(busy_rows(rows, keys, int(p.get("high_frequency_window_days", 30)), least), *keys)
 
 
-@rule("vendor-concentration", 2, "weak", switch="vendor_concentration", needs=("vendor_name",))
+@rule("vendor-concentration", 2, "weak", switch="vendor_concentration_check", needs=("vendor_name",))
 def vendor_concentration(e: DataFrame, p: Policy) -> DataFrame:
-    scope = p.get("concentration_scope", "employee_id")
+    scope = "department" if p.get("vendor_concentration_scope") == "department" else "employee_id"
+    least = int(p.get("vendor_concentration_min_count", 5))
+    e = e.filter(F.col(scope).isNotNull())
     rows = e.withColumn("_vendor", match_key(F.col("vendor_name")))
     counted = rows.groupBy(scope, "_vendor").agg(F.count("*").alias("k"), F.min("_src_row").alias("first"))
-    top = counted.groupBy(scope).agg(F.sum("k").alias("n"), F.max(F.struct("k", -F.col("first"), F.col("_vendor").alias("v"))).alias("top"))
-    hit = top.filter((F.col("n") >= int(p.get("concentration_min_rows", 5))) & (F.col("top.k") >= int(p.get("concentration_min_top", 5))) & (F.col("top.k") >= F.col("n") * float(p.get("concentration_share", 0.6))) & F.col("top.v").isNotNull())
+    top = counted.groupBy(scope).agg(F.sum("k").alias("n"), F.max(F.when(F.col("_vendor").isNotNull(), F.struct("k", -F.col("first"), F.col("_vendor").alias("v")))).alias("top"))
+    hit = top.filter((F.col("n") >= least) & (F.col("top.k") >= least) & (F.col("top.k") >= F.col("n") * float(p.get("vendor_concentration_share", 0.6))))
     right = hit.select(F.col(scope).alias("_s"), F.col("top.v").alias("_v"))
     return members(rows.join(right, (F.col(scope) == F.col("_s")) & (F.col("_vendor") == F.col("_v")), "left_semi"), scope)
 
@@ -295,41 +392,47 @@ def resubmitted(e: DataFrame, rejected: DataFrame, p: Policy) -> DataFrame:
     gap = F.datediff("expense_date", "r_date")
     window = int(p.get("resubmit_window_days", 90))
     near = F.abs(gap) <= window if p.get("either_direction") else gap.between(0, window)
-    return e.join(r, keys).filter((F.col("amount") > F.col("r_amount")) & near).select("rejected_row", "_src_row", "amount")
+    return e.join(r, keys).filter((F.col("amount") > F.col("r_amount")) & near & F.lit(window > 0)).select("rejected_row", "_src_row", "amount")
 
 
-@rule("shared-voucher-multiple-employees", 4, "strong", switch="voucher_checks", needs=("pnr",))
+@rule("shared-voucher-multiple-employees", 4, "strong", switch="shared_voucher_check", needs=("pnr",))
 def shared_voucher(e: DataFrame, p: Policy) -> DataFrame:
     rows = e.withColumn("_pnr", match_key(F.col("pnr"))).filter("_pnr IS NOT NULL")
     return members(in_groups(rows, "_pnr", extra=F.min("employee_id") != F.max("employee_id")), "_pnr")
 
 
-@rule("voucher-incomplete", 2, "weak", switch="voucher_checks")
+@rule("voucher-incomplete", 2, "weak", switch="voucher_completeness_check")
 def voucher_incomplete(e: DataFrame, p: Policy) -> DataFrame:
-    column = next((c for c in ("invoice_number", "invoice_date") if c in e.columns and not e.filter(F.col(c).isNull()).isEmpty()), None)
-    return members(e.filter(F.lit(False) if column is None else F.col(column).isNull()))
+    """Rows without an invoice number, or, if all have one, without an invoice date."""
+    blank = lambda c: F.col(c).isNull() if c in e.columns else F.lit(True)
+    some = F.coalesce(e.agg(F.bool_or(blank("invoice_number"))).scalar(), F.lit(False))
+    return members(e.filter(F.when(some, blank("invoice_number")).otherwise(blank("invoice_date"))))
 
 
-@rule("ticket-number-reused", 4, "strong", switch="voucher_checks", needs=("ticket_number",))
+@rule("ticket-number-reused", 4, "strong", switch="voucher_consistency_check", needs=("ticket_number",))
 def ticket_reused(e: DataFrame, p: Policy) -> DataFrame:
     rows = e.withColumn("_ticket", match_key(F.col("ticket_number"))).filter("_ticket IS NOT NULL")
     return members(in_groups(rows, "_ticket"), "_ticket")
 
 
-@rule("ticket-issue-after-flight", 3, "moderate", switch="voucher_checks", needs=("issue_date",))
-def issued_after(e: DataFrame, p: Policy) -> DataFrame:
-    return members(e.filter("issue_date > expense_date"))
+@rule.each("ticket-issue-after-flight", 3, "moderate", switch="voucher_consistency_check", needs=("issue_date",), key=())
+def issued_after(e: DataFrame, p: Policy) -> F.Column:
+    return F.col("issue_date") > F.col("expense_date")
 
 
-@rule("itinerary-segment-conflict", 3, "moderate", switch="voucher_checks", needs=("pnr", "origin_city", "dest_city"))
+@rule("itinerary-segment-conflict", 3, "moderate", switch="voucher_consistency_check", needs=("pnr", "origin_city", "dest_city"))
 def itinerary_conflict(e: DataFrame, p: Policy) -> DataFrame:
     route = F.concat_ws(">", F.coalesce(match_key(F.col("origin_city")), F.lit("")), F.coalesce(match_key(F.col("dest_city")), F.lit("")))
     rows = e.withColumn("_pnr", match_key(F.col("pnr"))).withColumn("_route", route).filter("_pnr IS NOT NULL AND _route <> '>'")
     return members(in_groups(rows, "_pnr", "expense_date", extra=F.min("_route") != F.max("_route")), "_pnr", "expense_date")
 
 
+def is_lodging(p: Policy) -> F.Column:
+    return contains_any(F.col("expense_type"), list(p.get("lodging_types") or LODGING))
+
+
 def lodging(e: DataFrame, p: Policy) -> DataFrame:
-    return e.filter(contains_any(F.col("expense_type"), list(p.get("lodging_types", LODGING))))
+    return e.filter(is_lodging(p))
 
 
 def consecutive_days(e: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -339,63 +442,78 @@ def consecutive_days(e: DataFrame, keys: list[str], least: int) -> DataFrame:
     return runs.groupBy(*keys, "_run").agg(F.min("expense_date").alias("first_day"), F.max("expense_date").alias("last_day"), F.count("*").alias("n_days")).filter(F.col("n_days") >= least).drop("_run")
 
 
-@rule("consecutive-nightly-invoicing", 3, "moderate", switch="lodging_checks", needs=("expense_type",))
+@rule("consecutive-nightly-invoicing", 3, "moderate", switch="lodging_cross_check", needs=("expense_type",))
 def nightly(e: DataFrame, p: Policy) -> DataFrame:
     rows = lodging(e, p)
-    runs = consecutive_days(rows, ["employee_id"], int(p.get("nightly_run", 3))).withColumnRenamed("employee_id", "_emp")
+    runs = consecutive_days(rows, ["employee_id"], int(p.get("lodging_min_nights", 3))).withColumnRenamed("employee_id", "_emp")
     hit = rows.join(runs, (F.col("employee_id") == F.col("_emp")) & F.col("expense_date").between(F.col("first_day"), F.col("last_day")))
     return members(hit, "employee_id", "first_day")
 
 
-@rule("same-amount-no-invoice", 3, "moderate", switch="lodging_checks", needs=("expense_type", "vendor_name", "invoice_number"))
+@rule("same-amount-no-invoice", 3, "moderate", switch="lodging_cross_check", needs=("expense_type", "vendor_name", "invoice_number"))
 def same_amount(e: DataFrame, p: Policy) -> DataFrame:
-    rows = lodging(e, p).withColumn("_vendor", match_key(F.col("vendor_name"))).withColumn("_cents", F.col("amount").cast("decimal(18,2)"))
+    rows = lodging(e, p).withColumn("_vendor", match_key(F.col("vendor_name"))).filter("_vendor IS NOT NULL").withColumn("_cents", F.col("amount").cast("decimal(18,2)"))
     keys = ("employee_id", "_vendor", "_cents")
-    return members(in_groups(rows, *keys, least=int(p.get("same_amount_count", 3)), extra=F.bool_and(F.col("invoice_number").isNull())), *keys)
+    return members(in_groups(rows, *keys, least=int(p.get("lodging_same_amount_min_count", 3)), extra=F.bool_and(F.col("invoice_number").isNull())), *keys)
 
 
-@rule("lodging-night-mismatch", 3, "moderate", switch="lodging_checks", needs=("check_in", "check_out", "nights"))
-def night_mismatch(e: DataFrame, p: Policy) -> DataFrame:
+@rule.each("lodging-night-mismatch", 3, "moderate", switch="lodging_cross_check", needs=("expense_type", "check_in", "check_out", "nights"))
+def night_mismatch(e: DataFrame, p: Policy) -> F.Column:
     between = F.datediff("check_out", "check_in")
-    return members(e.filter((between > 0) & (F.col("nights").cast("int") != between)), "_src_row")
+    return is_lodging(p) & (between > 0) & (F.col("nights").cast("int") != between)
 
 
-@rule("weekday-mismatch", 3, "moderate", switch="weekday_check", needs=("weekday",))
-def weekday_mismatch(e: DataFrame, p: Policy) -> DataFrame:
-    return members(e.filter(weekday_of(F.col("weekday")) != F.weekday("expense_date")), "_src_row")
+@rule.each("weekday-mismatch", 3, "moderate", switch="weekday_check", needs=("weekday",))
+def weekday_mismatch(e: DataFrame, p: Policy) -> F.Column:
+    return weekday_of(F.col("weekday")) != F.weekday("expense_date")
 
 
-@rule("row-limit-exceeded", 3, "strong", switch="row_limit_check", needs=("row_limit",))
-def row_limit(e: DataFrame, p: Policy) -> DataFrame:
+@rule.each("row-limit-exceeded", 3, "strong", switch="row_limit_check", needs=("row_limit",))
+def row_limit(e: DataFrame, p: Policy) -> F.Column:
     value = F.coalesce(F.col("unit_price"), F.col("amount")) if "unit_price" in e.columns else F.col("amount")
-    return members(e.filter(value > F.col("row_limit") * (1 + float(p.get("row_limit_tolerance", 0)))), "_src_row")
+    return (F.col("row_limit") > 0) & (value > F.col("row_limit") * (1 + float(p.get("row_limit_tolerance", 0))))
+
+
+def transport(e: DataFrame) -> DataFrame:
+    return e.filter(F.lower(F.trim("expense_type")).isin(*TRANSPORT))
 
 
 @rule("checkout-before-transport", 4, "strong", needs=("expense_type", "check_out_at", "depart_at", "origin_city", "dest_city"))
 def checkout_after_departure(e: DataFrame, p: Policy) -> DataFrame:
-    stay = lodging(e, p).filter("check_out_at IS NOT NULL").select("employee_id", F.col("dest_city").alias("_city"), "check_out_at", F.to_date("check_out_at").alias("_day"))
-    move = e.filter(contains_any(F.col("expense_type"), list(TRANSPORT))).drop("check_out_at").filter("depart_at IS NOT NULL").withColumn("_day", F.to_date("depart_at"))
-    hit = move.join(stay, (move["employee_id"] == stay["employee_id"]) & (move["origin_city"] == stay["_city"]) & (move["_day"] == stay["_day"]) & (move["depart_at"] < stay["check_out_at"]), "left_semi")
-    return members(hit, "_src_row")
+    """A stay and a journey of one person from the city of the stay that departs before the stay is over: one
+    finding for each such pair, both rows its members."""
+    stay = e.filter("check_out_at IS NOT NULL AND dest_city IS NOT NULL").select(F.col("employee_id").alias("_emp"), F.col("dest_city").alias("_city"), F.col("check_out_at").alias("_out"), F.col("_src_row").alias("_stay"))
+    move = transport(e).filter("depart_at IS NOT NULL")
+    hit = move.join(stay, (F.col("employee_id") == F.col("_emp")) & (F.col("origin_city") == F.col("_city")) & (F.col("depart_at") < F.col("_out")))
+    pairs = hit.select(F.concat_ws("-", "_stay", "_src_row").alias("_pair"), F.explode(F.array_distinct(F.array("_stay", "_src_row"))).alias("_row"))
+    return members(e.join(pairs, F.col("_src_row") == F.col("_row")), "_pair")
 
 
 def overlaps(rows: DataFrame, key: str, start: str, end: str, span_seconds: int) -> DataFrame:
-    """(row_a, row_b) of one key whose half-open times overlap. Rows are dealt over buckets of span_seconds,
-    each to all it touches; a pair counts in the bucket where the later one starts."""
+    """(row_a, row_b) of one key each of which begins before the other ends. Rows are dealt over buckets of
+    span_seconds, each to all it touches, also where it ends before it begins; a pair counts in the bucket
+    where the later one begins to touch."""
     cell = lambda c: F.floor(F.unix_timestamp(c) / span_seconds)
-    r = rows.filter(F.col(start) < F.col(end)).select("_src_row", F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"))
-    r = r.withColumn("b", F.explode(F.sequence(cell("s"), cell("e"))))
+    r = rows.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select("_src_row", F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"))
+    r = r.withColumn("lo", cell(F.least("s", "e"))).withColumn("b", F.explode(F.sequence(F.col("lo"), cell(F.greatest("s", "e")))))
     a, b = r.select(*[F.col(c).alias(f"a_{c}") for c in r.columns]), r.select(*[F.col(c).alias(f"b_{c}") for c in r.columns])
     pairs = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_b") == F.col("b_b")))
-    later = F.greatest(cell("a_s"), cell("b_s"))
-    hit = pairs.filter((F.col("a__src_row") < F.col("b__src_row")) & (F.col("a_s") < F.col("b_e")) & (F.col("b_s") < F.col("a_e")) & (F.col("a_b") == later))
+    hit = pairs.filter((F.col("a__src_row") < F.col("b__src_row")) & (F.col("a_s") < F.col("b_e")) & (F.col("b_s") < F.col("a_e")) & (F.col("a_b") == F.greatest("a_lo", "b_lo")))
     return hit.select(F.col("a__src_row").alias("row_a"), F.col("b__src_row").alias("row_b"))
 
 
 @rule("segment-overlap", 4, "strong", needs=("expense_type", "depart_at", "arrive_at"))
 def segment_overlap(e: DataFrame, p: Policy) -> DataFrame:
-    rows = e.filter(contains_any(F.col("expense_type"), list(TRANSPORT)))
-    pairs = overlaps(rows, "employee_id", "depart_at", "arrive_at", 6 * 3600)
+    pairs = overlaps(transport(e), "employee_id", "depart_at", "arrive_at", 6 * 3600)
     key = F.concat_ws("-", "row_a", "row_b")
-    both = pairs.select(key.alias("_pair"), F.explode(F.array("row_a", "row_b")).alias("_src_row"))
-    return members(e.join(both, "_src_row"), "_pair")
+    both = pairs.select(key.alias("_pair"), F.explode(F.array("row_a", "row_b")).alias("_row"))
+    return members(e.join(both, F.col("_src_row") == F.col("_row")), "_pair")
+
+
+def approval_coverage(e: DataFrame) -> DataFrame:
+    """One row: the shares of approvers and of employee ids with Chinese characters, and hint, whether ids and
+    names stand against each other, so that self-approval cannot be seen."""
+    named = F.bool_or(F.col("employee_name").isNotNull()) if "employee_name" in e.columns else F.lit(False)
+    han = lambda c: F.avg(F.when(F.col(c).isNotNull(), F.col(c).rlike("[一-鿿]").cast("double")))
+    shares = e.agg(han("approver").alias("approvers"), han("employee_id").alias("employees"), F.coalesce(named, F.lit(False)).alias("named"))
+    return shares.select("approvers", "employees", F.coalesce((F.col("approvers") >= 0.6) & (F.col("employees") <= 0.2) & ~F.col("named"), F.lit(False)).alias("hint"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditspark.functions import char_ngrams, match_key
-from auditspark.operators.expense import robust_outliers
+from auditspark.operators.expense import robust_outliers, split_windows, thresholds
 from auditspark.operators.external import one_of_each
 from auditspark.plans import Policy
 
@@ -22,7 +22,7 @@ def attributes(parties: DataFrame, id_col: str, names: tuple[str, ...], p: Polic
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), match_key(F.col(n).cast("string"), "@").alias("key")) for n in have])).alias("x")
     out = parties.select(F.col(id_col).alias("party"), "_src_row", pairs).select("x.attribute", "x.key", "party", "_src_row").filter("key IS NOT NULL")
     for n in have:
-        white = [w for w in p.get("whitelist", {}).get(n, [])]
+        white = p.get("whitelists", {}).get(n, [])
         if white:
             out = out.filter(~((F.col("attribute") == n) & F.col("key").isin(*[match_key(F.lit(w), "@") for w in white])))
     return out
@@ -36,103 +36,139 @@ def shared_attributes(vendors: DataFrame, p: Policy) -> DataFrame:
 
 
 def shared_edges(vendors: DataFrame, p: Policy) -> DataFrame:
-    """(attribute, source, target) for every pair of vendors of a group, in source order; with edge_chains in
-    the policy only between neighbours, which links a group of any size by one edge fewer than it has."""
+    """(attribute, source, target): edges that tie each group of vendors to its first row, one fewer than it has
+    vendors. With all_pairs in the policy, every pair in source order, the square of a group."""
     a = shared_attributes(vendors, p)
-    if p.get("edge_chains"):
-        by = Window.partitionBy("attribute", "key").orderBy("_src_row")
-        return a.withColumn("target", F.lead("party").over(by)).filter("target IS NOT NULL").select("attribute", F.col("party").alias("source"), "target")
-    b = a.select("attribute", "key", F.col("party").alias("target"), F.col("_src_row").alias("_later"))
-    return a.join(b, ["attribute", "key"]).filter("_src_row < _later").select("attribute", F.col("party").alias("source"), "target")
+    if p.get("all_pairs"):
+        b = a.select("attribute", "key", F.col("party").alias("target"), F.col("_src_row").alias("_later"))
+        return a.join(b, ["attribute", "key"]).filter("_src_row < _later").select("attribute", F.col("party").alias("source"), "target")
+    first = a.groupBy("attribute", "key").agg(F.min(F.struct("_src_row", "party")).alias("f"))
+    tied = a.join(first, ["attribute", "key"]).filter("_src_row > f._src_row")
+    return tied.select("attribute", F.col("f.party").alias("source"), F.col("party").alias("target"))
 
 
 def employee_vendor_shared(vendors: DataFrame, employees: DataFrame, p: Policy) -> DataFrame:
-    """employee-vendor-shared-<attribute>: (attribute, key, employee, vendor), one row per pair."""
+    """employee-vendor-shared-<attribute>: (attribute, key, employee, vendor). Every employee and every vendor of a
+    value that both sides have stands in a row with the other side's first, so a value costs as many rows as it
+    has parties; with all_pairs in the policy, a row for each pair."""
     names = ("bank_account", "phone", "email", "address")
-    v = attributes(vendors, "vendor_id", names, p).select("attribute", "key", F.col("party").alias("vendor"))
-    e = attributes(employees, "employee_id", names, p).select("attribute", "key", F.col("party").alias("employee"))
-    return e.join(v, ["attribute", "key"])
+    v = attributes(vendors, "vendor_id", names, p).select("attribute", "key", F.col("party").alias("vendor"), F.col("_src_row").alias("v"))
+    e = attributes(employees, "employee_id", names, p).select("attribute", "key", F.col("party").alias("employee"), F.col("_src_row").alias("e"))
+    if p.get("all_pairs"):
+        return e.join(v, ["attribute", "key"]).select("attribute", "key", "employee", "vendor")
+    first_v = v.groupBy("attribute", "key").agg(F.min(F.struct("v", "vendor")).alias("f"))
+    first_e = e.groupBy("attribute", "key").agg(F.min(F.struct("e", "employee")).alias("f"))
+    by_employee = e.join(first_v, ["attribute", "key"]).select("attribute", "key", "employee", F.col("f.vendor").alias("vendor"))
+    by_vendor = v.join(first_e, ["attribute", "key"]).select("attribute", "key", F.col("f.employee").alias("employee"), "vendor")
+    return by_employee.union(by_vendor).distinct()
 
 
 def price_outliers(po: DataFrame, p: Policy) -> DataFrame:
     """price-outlier among orders of one item (else category), unit, region and currency."""
     item = F.coalesce(match_key(F.col("item")), F.concat(F.lit("category:"), match_key(F.col("category"))))
     rows = po.withColumn("_item", item).withColumn("_unit", F.coalesce(match_key(F.col("unit")), F.lit(""))).withColumn("_region", F.coalesce(match_key(F.col("region")), F.lit(""))).filter("_item IS NOT NULL AND unit_price IS NOT NULL")
-    return robust_outliers(rows, ["_item", "_unit", "_region", "currency"], "unit_price", int(p.get("price_min_group", 5)), float(p.get("price_z", 3.5)), 1.3)
+    return robust_outliers(rows, ["_item", "_unit", "_region", "currency"], "unit_price", int(p.get("price_outlier_min_group_size", 5)), float(p.get("price_outlier_robust_z", 3.5)), 1.3)
 
 
 def split_orders(po: DataFrame, p: Policy) -> DataFrame:
     """split-order: the first start in each month, group and threshold."""
-    from auditspark.operators.expense import split_windows
-
-    out = None
     keys = ["buyer", "vendor_id", "_category", "currency"]
     rows = po.withColumn("_category", match_key(F.col("category"))).withColumn("expense_date", F.col("order_date"))
-    for limit in p.get("approval_thresholds", [10000.0]):
-        w = split_windows(rows, keys, float(limit), int(p.get("split_window_days", 7)))
-        by = Window.partitionBy(*keys, F.trunc("expense_date", "month")).orderBy("expense_date", "_src_row")
-        w = w.withColumn("_first", F.row_number().over(by)).filter("_first = 1").select(F.lit(float(limit)).alias("threshold"), *keys[:2], F.col("_category").alias("category"), "currency", "_src_row", "order_date", "n_rows", F.col("total").cast("double").alias("total"))
-        out = w if out is None else out.unionByName(w)
-    return out
+    out = None
+    for limit, currency in thresholds(p):
+        w, _ = split_windows(rows.filter(F.col("currency") == currency) if currency else rows, keys, limit, int(p.get("split_window_days", 7)))
+        month = F.trunc("order_date", "month")
+        first = w.groupBy(*keys, month.alias("month")).agg(F.min(F.struct("_rn", "_src_row", "order_date", "n_rows", "total")).alias("f"))
+        one = first.select(F.lit(limit).alias("threshold"), *keys[:2], F.col("_category").alias("category"), "currency", "f._src_row", "f.order_date", "f.n_rows", F.col("f.total").cast("double").alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else rows.filter("false").select(F.lit(0.0).alias("threshold"), *keys[:2], F.col("_category").alias("category"), "currency", "_src_row", "order_date", F.lit(0).alias("n_rows"), F.lit(0.0).alias("total"))
 
 
 def process_order(po: DataFrame, payments: DataFrame, p: Policy) -> DataFrame:
-    """(finding_type, _src_row, days): steps out of order. direction: forward, either, or strict, which
-    reports nothing of orders against approvals; the last order of an id counts for payments."""
-    direction, grace = p.get("approval_direction", "forward"), bool(p.get("same_day_grace", False))
+    """(finding_type, _src_row, days): steps out of order. order_approval_direction: forward reports orders before
+    their approval, either only those by over 30 days, strict none; same_day_approval_grace forgives a day. The
+    last order of an id counts for payments."""
+    direction, grace = p.get("order_approval_direction", "forward"), bool(p.get("same_day_approval_grace", True))
     gap = F.datediff("approval_date", "order_date")
     row = lambda df, kind, days: df.select(F.lit(kind).alias("finding_type"), "_src_row", days.alias("days"))
-    out = row(po.filter("receipt_date < order_date"), "process-receipt-before-order", F.datediff("order_date", "receipt_date"))
-    out = out.unionByName(row(po.filter("receipt_date < approval_date"), "process-receipt-before-approval", F.datediff("approval_date", "receipt_date")))
-    if direction == "forward":
-        early = po.filter((gap > 0) & ~(F.lit(grace) & (gap <= 1)))
-        out = out.unionByName(row(early, "process-order-before-approval", gap))
+    kinds = [
+        ("process-receipt-before-order", F.datediff("order_date", "receipt_date"), F.lit(0)),
+        ("process-receipt-before-approval", F.datediff("approval_date", "receipt_date"), F.lit(0)),
+    ]
     if direction == "either":
-        out = out.unionByName(row(po.filter(F.abs(gap) > int(p.get("stale_days", 30))), "process-order-stale-approval", F.abs(gap)))
+        kinds.append(("process-order-stale-approval", gap, F.lit(30)))
+    elif direction != "strict":
+        kinds.append(("process-order-before-approval", gap, F.lit(1 if grace else 0)))
+    steps = F.array_compact(F.array(*[F.when(days > least, F.struct(F.lit(kind).alias("finding_type"), days.alias("days"))) for kind, days, least in kinds]))
+    out = po.select("_src_row", F.explode(steps).alias("x")).select("x.finding_type", "_src_row", "x.days")
     last = one_of_each(po.select("po_id", "_src_row", "approval_date"), "po_id", last=True).select("po_id", "approval_date")
     paid = payments.join(last, "po_id").filter("payment_date < approval_date")
     return out.unionByName(row(paid, "process-payment-before-approval", F.datediff("approval_date", "payment_date")))
 
 
 def buyer_vendor_concentration(po: DataFrame, p: Policy) -> DataFrame:
-    """buyer-vendor-concentration: vendors with a share of a buyer's amount, from totals by buyer and vendor."""
+    """buyer-vendor-concentration: vendors with enough orders and a large share of a buyer's amount, from totals by
+    buyer and vendor."""
     by_vendor = po.groupBy("buyer", "vendor_id").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("vendor_total"), F.count("*").alias("n_orders"))
     total = F.sum("vendor_total").over(Window.partitionBy("buyer"))
-    orders = F.sum("n_orders").over(Window.partitionBy("buyer"))
-    r = by_vendor.withColumn("total", total).withColumn("buyer_orders", orders).withColumn("share", (F.col("vendor_total") / F.col("total")).cast("double"))
-    return r.filter((F.col("buyer_orders") >= int(p.get("concentration_min_orders", 3))) & (F.col("vendor_total") >= F.col("total") * F.lit(str(p.get("concentration_share", 0.7))).cast("decimal(6,4)")))
+    r = by_vendor.withColumn("total", total).withColumn("share", (F.col("vendor_total") / F.col("total")).cast("double"))
+    return r.filter((F.col("n_orders") >= int(p.get("concentration_min_orders", 3))) & (F.col("vendor_total") >= F.col("total") * F.lit(str(p.get("concentration_share", 0.7))).cast("decimal(6,4)")))
 
 
 def bid_similarity(bids: DataFrame, p: Policy) -> DataFrame:
     """bid-text-similarity: (lot_id, bid_a, bid_b, similarity) of bids(bid_id, lot_id, text) in one lot. Character
-    n-grams weigh tf (share of the text's n-grams) times ln((1 + N) / (1 + df)) + 1 over all documents;
-    the dot products run over the n-grams that two bids of a lot share."""
-    low, high, least = int(p.get("ngram_min", 2)), int(p.get("ngram_max", 5)), float(p.get("bid_similarity", 0.78))
-    text = F.col("text")
-    for phrase in p.get("template_phrases", []):
-        text = F.replace(text, F.lit(phrase), F.lit(""))
+    n-grams weigh tf (share of the text's n-grams) times ln((1 + N) / (1 + df)) + 1 over all documents.
+
+    Weights are scaled to vectors of length one and ordered rarest first. Past a bid's prefix its weights are
+    shorter than the threshold, so two bids that share no n-gram of both prefixes cannot reach it; only
+    pairs that share one are multiplied out."""
+    low, high, least = int(p.get("bid_ngram_min", 2)), int(p.get("bid_ngram_max", 5)), float(p.get("bid_similarity_threshold", 0.78))
+    text = F.lower(F.col("text"))
+    for phrase in p.get("common_template_phrases", []):
+        text = F.replace(text, F.lit(phrase.lower()), F.lit(""))
     grams = bids.select("bid_id", "lot_id", char_ngrams(text, low, high).alias("g")).filter(F.size("g") > 0)
     n = grams.agg(F.count("*")).first()[0]
     tf = grams.withColumn("size", F.size("g")).select("bid_id", "lot_id", "size", F.explode("g").alias("t")).groupBy("bid_id", "lot_id", "size", "t").agg(F.count("*").alias("k"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    w = tf.join(df, "t").select("bid_id", "lot_id", "t", (F.col("k") / F.col("size") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+    w = tf.join(df, "t").select("bid_id", "lot_id", "t", "df", (F.col("k") / F.col("size") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = w.groupBy("bid_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a, b = w.select("lot_id", "t", F.col("bid_id").alias("bid_a"), F.col("w").alias("wa")), w.select("lot_id", "t", F.col("bid_id").alias("bid_b"), F.col("w").alias("wb"))
-    dots = a.join(b, ["lot_id", "t"]).filter("bid_a < bid_b").groupBy("lot_id", "bid_a", "bid_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    na, nb = norm.select(F.col("bid_id").alias("bid_a"), F.col("norm").alias("na")), norm.select(F.col("bid_id").alias("bid_b"), F.col("norm").alias("nb"))
-    return dots.join(na, "bid_a").join(nb, "bid_b").select("lot_id", "bid_a", "bid_b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("similarity")).filter(F.col("similarity") >= least)
+    w = w.join(norm, "bid_id").select("bid_id", "lot_id", "t", "df", (F.col("w") / F.col("norm")).alias("w"))
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("bid_id").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))
+    prefix = w.filter("df > 1").withColumn("rest", rest).filter(F.col("rest") >= (least - 1e-9) ** 2)
+    a, b = prefix.select("lot_id", "t", F.col("bid_id").alias("bid_a")), prefix.select("lot_id", "t", F.col("bid_id").alias("bid_b"))
+    pairs = a.join(b, ["lot_id", "t"]).filter("bid_a < bid_b").select("lot_id", "bid_a", "bid_b").distinct()
+    wa, wb = w.select(F.col("bid_id").alias("bid_a"), "t", F.col("w").alias("wa")), w.select(F.col("bid_id").alias("bid_b"), "t", F.col("w").alias("wb"))
+    dots = pairs.join(wa, "bid_a").join(wb, ["bid_b", "t"]).groupBy("lot_id", "bid_a", "bid_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+    return dots.filter(F.col("similarity") >= least)
+
+
+def bid_documents(bids: DataFrame, documents: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(bids with text, warnings(bid_id, document_path, warning)): bids(bid_id, document_path) and the texts
+    documents(path, text) below root. Paths that lead out of it, other files than .txt and .md, texts that
+    are not there and texts of under 20 characters are warned of."""
+    name = F.col("document_path")
+    steps = F.filter(F.split(name, "[/\\\\]"), lambda x: (x != "") & (x != "."))
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(False).alias("out")), lambda s, x: F.struct((s["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), (s["out"] | (s["at"] + F.when(x == "..", -1).otherwise(1) < 0)).alias("out")))["out"]
+    given = bids.filter(name.isNotNull())
+    relative = F.concat_ws("/", steps)
+    known = documents.select(F.regexp_replace(F.col("path"), "^.*" + "\\Q" + root.rstrip("/") + "\\E" + "/", "").alias("_path"), F.col("text").alias("_text"))
+    j = given.join(known, relative == F.col("_path"), "left")
+    plain = F.lower("_text")
+    warning = F.when(depth | name.startswith("/"), "leads out of the folder").when(~F.lower(name).rlike(r"\.(txt|md)$"), "neither .txt nor .md").when(F.col("_text").isNull(), "not found").when(F.length(F.regexp_replace("_text", r"(?U)\s+", "")) < 20, "too short")
+    j = j.withColumn("warning", warning)
+    return j.filter("warning IS NULL").select(*bids.columns, plain.alias("text")), j.filter("warning IS NOT NULL").select("bid_id", "document_path", "warning")
 
 
 def bid_price_pattern(bids: DataFrame, p: Policy) -> DataFrame:
     """bid-price-pattern: lots of three bids or more within a narrow band."""
     r = bids.filter("price IS NOT NULL").groupBy("lot_id").agg(F.count("*").alias("n_bids"), F.min("price").alias("low"), F.max("price").alias("high"), F.median("price").alias("median"))
-    return r.filter((F.col("n_bids") >= 3) & (F.col("median") > 0) & ((F.col("high") - F.col("low")) / F.col("median") <= float(p.get("bid_price_ratio", 0.01))))
+    return r.filter((F.col("n_bids") >= 3) & (F.col("median") > 0) & ((F.col("high") - F.col("low")) / F.col("median") <= float(p.get("bid_price_close_ratio", 0.01))))
 
 
 def bid_price_clusters(bids: DataFrame, p: Policy) -> DataFrame:
     """bid-price-subcluster: (lot_id, prices) of three near prices or more in a lot, found by one pass over the
     sorted prices: a price joins while it is within three ratios of the cluster's first."""
-    ratio = float(p.get("bid_price_ratio", 0.01))
+    ratio = float(p.get("bid_price_close_ratio", 0.01))
     prices = bids.filter("price IS NOT NULL").groupBy("lot_id").agg(F.array_sort(F.collect_list("price")).alias("prices"))
     start = F.struct(F.array().cast("array<array<double>>").alias("done"), F.array().cast("array<double>").alias("open"))
 
@@ -155,14 +191,14 @@ def new_vendor_large_order(vendors: DataFrame, po: DataFrame, p: Policy) -> Data
     """new-vendor-large-order: the first order of a vendor soon after its registration, of a large amount."""
     first = po.groupBy("vendor_id").agg(F.min(F.struct("order_date", "_src_row", "amount")).alias("f")).select("vendor_id", "f.*")
     days = F.datediff("order_date", "registered_date")
-    return first.join(vendors.select("vendor_id", "registered_date"), "vendor_id").withColumn("days", days).filter(F.col("days").between(0, int(p.get("new_vendor_days", 90))) & (F.col("amount") >= float(p.get("new_vendor_amount", 20000))))
+    return first.join(vendors.select("vendor_id", "registered_date"), "vendor_id").withColumn("days", days).filter(F.col("days").between(0, int(p.get("new_vendor_days_threshold", 90))) & (F.col("amount") >= float(p.get("new_vendor_amount_threshold", 20000))))
 
 
 def payment_findings(po: DataFrame, payments: DataFrame, p: Policy) -> DataFrame:
     """(finding_type, _src_row, po_id): overpayment and payment-before-order, against the last order of an id."""
     last = one_of_each(po.select("po_id", "_src_row", "amount", "order_date"), "po_id", last=True).select("po_id", F.col("amount").alias("po_amount"), "order_date")
     j = payments.join(last, "po_id")
-    over = j.filter(F.col("amount") > F.col("po_amount") * (1 + float(p.get("overpayment_tolerance", 0.01)))).select(F.lit("overpayment").alias("finding_type"), "_src_row", "po_id")
+    over = j.filter(F.col("amount") > F.col("po_amount") * (1 + float(p.get("order_amount_tolerance", 0.01)))).select(F.lit("overpayment").alias("finding_type"), "_src_row", "po_id")
     return over.unionByName(j.filter("payment_date < order_date").select(F.lit("payment-before-order").alias("finding_type"), "_src_row", "po_id"))
 
 

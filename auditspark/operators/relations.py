@@ -116,18 +116,94 @@ def decide(pairs: DataFrame, found: DataFrame, c: Context) -> DataFrame:
     return j.select("source", "target", status.alias("status"), "n_paths", F.coalesce("historical", F.lit(False)).alias("historical"))
 
 
+#: Pairs of names and nodes that are compared by containment at most.
+COMPARED = 50_000_000
+
+
 def match_nodes(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, node_id): names(name) found in nodes(node_id, name, canonical_id) by registration number, else
-    equal name, else containment either way; the smallest id of equally good ones. The nodes of one
-    case are a short list."""
-    n = nodes.select("node_id", F.col("name").alias("node_name"), "canonical_id")
-    code = F.regexp_extract("name", REGISTRATION, 0)
-    clean = company_name(F.col("name"))
-    how = F.when((code != "") & (code == F.col("canonical_id")), 1).when(clean == company_name(F.col("node_name")), 2).when(F.contains(clean, F.col("node_name")) | F.contains(F.col("node_name"), clean), 3)
-    j = names.join(n, how.isNotNull(), "inner").withColumn("how", how)
-    return j.groupBy("name").agg(F.min(F.struct("how", "node_id")).alias("m")).select("name", "m.node_id")
+    equal name, else containment either way; the smallest id of equally good ones. Only names that neither
+    number nor equality finds are held against all nodes, and no more than COMPARED pairs of them."""
+    n = nodes.select("node_id", company_name(F.col("name")).alias("node_name"), "canonical_id")
+    wanted = names.select("name").distinct().withColumn("clean", company_name(F.col("name"))).withColumn("code", F.regexp_extract("name", REGISTRATION, 0))
+    by_code = wanted.filter("code <> ''").join(n.select("node_id", F.col("canonical_id").alias("code")), "code").groupBy("name").agg(F.min("node_id").alias("by_code"))
+    by_name = wanted.join(n.select("node_id", F.col("node_name").alias("clean")), "clean").groupBy("name").agg(F.min("node_id").alias("by_name"))
+    sure = wanted.join(by_code, "name", "left").join(by_name, "name", "left").select("name", "clean", F.coalesce("by_code", "by_name").alias("node_id"))
+    left = sure.filter("node_id IS NULL").select("name", "clean")
+    if left.count() * n.count() > COMPARED:
+        raise ValueError(f"more than {COMPARED} pairs of names and nodes to compare by containment")
+    held = F.contains(F.col("clean"), F.col("node_name")) | F.contains(F.col("node_name"), F.col("clean"))
+    near = left.filter("clean <> ''").join(n.filter("node_name <> ''"), held).groupBy("name").agg(F.min("node_id").alias("node_id"))
+    return sure.filter("node_id IS NOT NULL").select("name", "node_id").unionByName(near)
 
 
 def registration_number(text: str) -> str | None:
     found = re.search(REGISTRATION, text or "")
     return found.group(0) if found else None
+
+
+def anchored(people: DataFrame) -> DataFrame:
+    """people(name, company, person_id) -> name, anchor, canonical_id, resolved, identity_confirmed: a person is known
+    by the company that is known to employ them, and confirmed by a provider's id."""
+    person = entity_type(F.col("name")) == "person"
+    anchor = F.when(person, company_name(F.col("company")))
+    return people.select("name", anchor.alias("anchor"), F.when(person, F.col("person_id")).alias("canonical_id"), (person & anchor.isNotNull()).alias("resolved"), (person & anchor.isNotNull() & F.col("person_id").isNotNull()).alias("identity_confirmed"))
+
+
+#: What a provider may say that it can do.
+CAPABILITIES = ("structured_company_data", "company_entity_resolution", "company_shareholders", "company_key_people", "company_investments", "company_controller", "company_history", "person_resolution", "person_related_companies", "shortest_path", "web_search")
+
+
+class Provider:
+    """Where relations come from. A provider gives nodes and edges as frames, and says what it can do and whether
+    it vouches for relations that it does not have."""
+
+    def nodes(self) -> DataFrame:
+        raise NotImplementedError
+
+    def edges(self) -> DataFrame:
+        raise NotImplementedError
+
+    def capabilities(self) -> dict[str, bool]:
+        return dict.fromkeys(CAPABILITIES, False)
+
+    def negative_semantics(self) -> bool:
+        return False
+
+    def resolve(self, names: DataFrame) -> DataFrame:
+        """(name, node_id) of names(name)."""
+        return match_nodes(names, self.nodes())
+
+    def paths(self, pairs: DataFrame, max_depth: int = 3) -> DataFrame:
+        return paths(self.edges(), pairs, max_depth)
+
+    def decide(self, pairs: DataFrame, **known: bool) -> DataFrame:
+        """decide() for pairs of node ids, with what the provider says of itself."""
+        can = self.capabilities()
+        c = Context(**{"structured_provider_used": can.get("structured_company_data", False), "only_web_search": can.get("web_search", False) and not can.get("structured_company_data", False), "negative_semantics": self.negative_semantics()} | known)
+        return decide(pairs, self.paths(pairs), c)
+
+
+class FileProvider(Provider):
+    """Relations from a JSON file with nodes, edges, capabilities and negative_semantics_supported."""
+
+    def __init__(self, spark, path: str):
+        from auditspark.sources import read_relations
+
+        self._nodes, self._edges = read_relations(spark, path)
+        top = spark.read.json(path, multiLine=True)
+        said = top.first().asDict(recursive=True)
+        self._can, self._vouches = said.get("capabilities") or {}, bool(said.get("negative_semantics_supported"))
+
+    def nodes(self) -> DataFrame:
+        known = self._nodes if "canonical_id" in self._nodes.columns else self._nodes.withColumn("canonical_id", F.lit(None).cast("string"))
+        return known.select("node_id", "name", "canonical_id")
+
+    def edges(self) -> DataFrame:
+        return self._edges
+
+    def capabilities(self) -> dict[str, bool]:
+        return super().capabilities() | {k: bool(v) for k, v in self._can.items()}
+
+    def negative_semantics(self) -> bool:
+        return self._vouches

@@ -25,37 +25,67 @@ class Rule:
     #: The switch in the policy that turns an optional rule on, and columns it cannot do without.
     switch: str | None = None
     needs: tuple[str, ...] = ()
+    #: For a rule over single rows: its condition, and the columns whose values part its findings.
+    test: Callable[[DataFrame, Policy], F.Column] | None = None
+    key: tuple[str, ...] = ()
 
 
 @dataclass
 class Registry:
     rules: dict[str, Rule] = field(default_factory=dict)
 
-    def rule(self, finding_type: str, score: int, strength: str, switch: str | None = None, needs: tuple[str, ...] = ()):
+    def __call__(self, finding_type: str, score: int, strength: str, switch: str | None = None, needs: tuple[str, ...] = ()):
         def register(f):
             self.rules[finding_type] = Rule(finding_type, score, strength, f, switch, needs)
             return f
 
         return register
 
+    def each(self, finding_type: str, score: int, strength: str, switch: str | None = None, needs: tuple[str, ...] = (), key: tuple[str, ...] = ("_src_row",)):
+        """Registers a condition on single rows: a finding for each row, or, without a key, one of all rows."""
+
+        def register(f):
+            rows = lambda e, p: members(e.filter(f(e, p)), *key)
+            self.rules[finding_type] = Rule(finding_type, score, strength, rows, switch, needs, f, key)
+            return f
+
+        return register
+
+    @property
+    def rule(self):
+        return self
+
+
+def finding_key(*key) -> F.Column:
+    """The parts of a key, joined, or "all"."""
+    return F.concat_ws("|", *[F.coalesce(k.cast("string") if hasattr(k, "cast") else F.col(k).cast("string"), F.lit("")) for k in key]) if key else F.lit("all")
+
 
 def members(df: DataFrame, *key) -> DataFrame:
-    """finding_key, _src_row, amount; the key is text, its parts joined, or "all"."""
-    text = F.concat_ws("|", *[F.coalesce(k.cast("string") if hasattr(k, "cast") else F.col(k).cast("string"), F.lit("")) for k in key]) if key else F.lit("all")
-    return df.select(text.alias("finding_key"), "_src_row", F.col("amount").cast("double").alias("amount"))
+    """finding_key, _src_row, amount."""
+    return df.select(finding_key(*key).alias("finding_key"), "_src_row", F.col("amount").cast("double").alias("amount"))
 
 
 def run_rules(registry: Registry, ledger: DataFrame, policy: Policy) -> tuple[DataFrame, list[str]]:
-    """The member rows of every enabled rule, and notes on the rules left out."""
-    out, notes = None, []
+    """The member rows of every enabled rule, and notes on the rules left out. The conditions on single rows are
+    tried in one scan."""
+    out, notes, tests = [], [], []
+    about = lambda order, rule: [F.lit(order).alias("rule_order"), F.lit(rule.finding_type).alias("finding_type"), F.lit(rule.score).alias("score"), F.lit(rule.strength).alias("strength")]
     for order, rule in enumerate(registry.rules.values()):
         missing = [c for c in rule.needs if c not in ledger.columns]
         if missing or (rule.switch and not policy.get(rule.switch)):
             notes.append(f"{rule.finding_type}: " + (f"no column {', '.join(missing)}" if missing else f"off ({rule.switch})"))
-            continue
-        rows = rule.rows(ledger, policy).select(F.lit(order).alias("rule_order"), F.lit(rule.finding_type).alias("finding_type"), F.lit(rule.score).alias("score"), F.lit(rule.strength).alias("strength"), "finding_key", "_src_row", "amount")
-        out = rows if out is None else out.unionByName(rows)
-    return out, notes
+        elif rule.test:
+            tests.append(F.when(rule.test(ledger, policy), F.struct(*about(order, rule), finding_key(*rule.key).alias("finding_key"))))
+        else:
+            out.append(rule.rows(ledger, policy).select(*about(order, rule), "finding_key", "_src_row", "amount"))
+    if tests:
+        hit = ledger.select("_src_row", F.col("amount").cast("double").alias("amount"), F.explode(F.array_compact(F.array(*tests))).alias("hit"))
+        out.append(hit.select("hit.*", "_src_row", "amount"))
+    whole = out[0]
+    for rows in out[1:]:
+        whole = whole.unionByName(rows)
+    return whole, notes
 
 
 def priority(score) -> F.Column:
@@ -67,25 +97,100 @@ def adjusted(score, strength, amount, large: float = 5000.0) -> F.Column:
     return F.when((strength == "strong") & (amount >= large), F.greatest(score, F.lit(4))).when((strength == "weak") & (amount < large / 10), F.least(score, F.lit(2))).otherwise(score)
 
 
+#: Positions that are numbered together.
+CELL = 100_000
+
+
+def numbered(df: DataFrame, groups: list[str], position: str, order: list[str], name: str) -> DataFrame:
+    """df with `name`, 1 for the first row in the order of groups, position and order. Rows are numbered in cells
+    of CELL positions and shifted by the rows of the cells before, so only counts of cells meet in one task."""
+    celled = df.withColumn("_cell", F.floor(F.col(position) / CELL))
+    counts = celled.groupBy(*groups, "_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*groups, "_cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*groups, "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy(position, *order))
+    return celled.withColumn("_in", inner).join(counts, [*groups, "_cell"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_cell", "_in", "_before")
+
+
 def findings(rows: DataFrame, policy: Policy, prefix: str = "EXP", adjust: bool = True) -> DataFrame:
     """One row per finding from member rows: id in the order of rules and first rows, counts, score and
-    priority. Ids are numbered over the findings, which are few, after their rows were counted."""
+    priority."""
     found = rows.groupBy("rule_order", "finding_type", "score", "strength", "finding_key").agg(F.count("*").alias("n_rows"), F.max("amount").alias("max_amount"), F.min("_src_row").alias("first_row"))
     scored = found.withColumn("risk_score_base", F.col("score"))
     if adjust:
         scored = scored.withColumn("score", adjusted(F.col("score"), F.col("strength"), F.col("max_amount"), float(policy.get("large_amount_threshold", 5000))))
-    order = Window.orderBy("rule_order", "first_row", "finding_key")
-    scored = scored.withColumn("finding_id", F.format_string(f"{prefix}-%06d", F.row_number().over(order)))
+    scored = numbered(scored, ["rule_order"], "first_row", ["finding_key"], "_no").withColumn("finding_id", F.format_string(f"{prefix}-%06d", "_no"))
     return scored.select("finding_id", "finding_type", "finding_key", F.col("score").alias("risk_score"), "risk_score_base", priority(F.col("score")).alias("risk_priority"), F.col("strength").alias("evidence_strength"), "n_rows", "max_amount", "first_row", F.lit(True).alias("human_review_required"))
 
 
-def evidence(rows: DataFrame, ledger: DataFrame, fields: list[str]) -> DataFrame:
-    """(evidence_id, _src_row, field, value, links): one row per cell that findings point to, numbered by
-    row and field."""
-    cells = rows.select("_src_row").distinct().join(ledger.select("_src_row", *fields), "_src_row")
-    stack = ", ".join(f"'{f}', cast(`{f}` as string)" for f in fields)
-    out = cells.selectExpr("_src_row", f"stack({len(fields)}, {stack}) as (field, value)").filter("value IS NOT NULL")
-    return out.withColumn("evidence_id", F.format_string("EV-%06d", F.row_number().over(Window.orderBy("_src_row", "field"))))
+#: The fields of a finding's rows that are its evidence, in their order.
+EVIDENCE_FIELDS = {
+    "exact-duplicate-invoice": ("expense_id", "invoice_number", "amount"),
+    "exact-duplicate-employee-date-amount": ("expense_id", "employee_id", "expense_date", "amount", "vendor_name"),
+    "near-duplicate": ("expense_id", "employee_id", "expense_date", "vendor_name", "amount", "invoice_number"),
+    "policy-threshold": ("expense_id", "expense_type", "amount", "currency"),
+    "split-expense": ("expense_id", "employee_id", "expense_date", "vendor_name", "amount"),
+    "split-expense-cross-merchant": ("expense_id", "employee_id", "expense_date", "vendor_name", "amount"),
+    "weekend-signal": ("expense_id", "expense_date", "business_purpose"),
+    "holiday-signal": ("expense_id", "expense_date", "business_purpose"),
+    "robust-outlier": ("expense_id", "expense_type", "amount", "currency"),
+    "sequential-invoice": ("expense_id", "vendor_name", "invoice_number", "expense_date", "amount"),
+    "invoice-format-anomaly": ("expense_id", "vendor_name", "invoice_number"),
+    "large-amount-low-level-approval": ("expense_id", "amount", "approver", "currency"),
+    "large-amount": ("expense_id", "employee_id", "amount", "currency", "expense_type"),
+    "self-approval": ("expense_id", "employee_id", "approver", "amount", "expense_type"),
+    "cross-employee-invoice": ("expense_id", "invoice_number", "employee_id", "amount"),
+    "submit-before-expense": ("expense_id", "employee_id", "expense_date", "submit_date"),
+    "future-date": ("expense_id", "employee_id", "expense_date", "amount"),
+    "missing-expense-type": ("expense_id", "amount", "expense_type"),
+    "space-time-conflict": ("expense_id", "employee_id", "expense_date", "origin_city", "dest_city"),
+    "cross-period": ("expense_id", "employee_id", "expense_date", "submit_date", "amount"),
+    "high-frequency-small-amount": ("expense_id", "employee_id", "expense_type", "expense_date", "amount"),
+    "vendor-concentration": ("expense_id", "employee_id", "vendor_name", "amount", "expense_date"),
+    "shared-voucher-multiple-employees": ("expense_id", "employee_id", "pnr", "amount", "expense_date"),
+    "voucher-incomplete": ("expense_id", "employee_id", "amount", "invoice_number", "invoice_date"),
+    "ticket-number-reused": ("expense_id", "employee_id", "ticket_number", "expense_date", "amount"),
+    "ticket-issue-after-flight": ("expense_id", "employee_id", "ticket_number", "issue_date", "expense_date"),
+    "itinerary-segment-conflict": ("expense_id", "employee_id", "pnr", "expense_date", "origin_city", "dest_city"),
+    "consecutive-nightly-invoicing": ("expense_id", "employee_id", "expense_date", "vendor_name", "amount"),
+    "same-amount-no-invoice": ("expense_id", "employee_id", "vendor_name", "amount", "expense_date", "room_number"),
+    "lodging-night-mismatch": ("expense_id", "employee_id", "vendor_name", "check_in", "check_out", "nights", "amount"),
+    "weekday-mismatch": ("expense_id", "employee_id", "expense_date", "weekday"),
+    "row-limit-exceeded": ("expense_id", "employee_id", "expense_type", "expense_date", "amount", "unit_price", "row_limit"),
+    "checkout-before-transport": ("expense_id", "employee_id", "expense_date", "check_out", "origin_city"),
+    "segment-overlap": ("expense_id", "employee_id", "expense_date", "arrive_at"),
+}
+USUAL_FIELDS = ("expense_id", "employee_id", "amount")
+
+
+def evidence(rows: DataFrame, ledger: DataFrame, fields: dict[str, tuple[str, ...]] = EVIDENCE_FIELDS) -> DataFrame:
+    """(evidence_id, _src_row, field, value): one row per cell that findings point to, numbered by its first use:
+    in the order of findings, their rows, and the fields of their type. A field that the ledger lacks is empty."""
+    first = rows.groupBy("rule_order", "finding_type", "finding_key").agg(F.min("_src_row").alias("first_row"))
+    of_type = F.coalesce(*[F.when(F.col("finding_type") == t, F.array(*map(F.lit, f))) for t, f in fields.items()], F.array(*map(F.lit, USUAL_FIELDS)))
+    used = rows.select("rule_order", "finding_type", "finding_key", "_src_row").join(first, ["rule_order", "finding_type", "finding_key"])
+    used = used.select("rule_order", "first_row", "finding_key", "_src_row", F.posexplode(of_type).alias("place", "field"))
+    used = used.groupBy("_src_row", "field").agg(F.min(F.struct("rule_order", "first_row", "finding_key", "_src_row", "place")).alias("use"))
+    used = used.select("_src_row", "field", "use.rule_order", "use.first_row", "use.finding_key", "use.place")
+    out = numbered(used, ["rule_order"], "first_row", ["finding_key", "_src_row", "place"], "_no")
+    names = sorted({f for x in fields.values() for f in x} | set(USUAL_FIELDS))
+    cells = ledger.select("_src_row", F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string") if n in ledger.columns else F.lit(None).cast("string"))]).alias("cells"))
+    out = out.join(cells, "_src_row")
+    return out.select(F.format_string("EV-%06d", "_no").alias("evidence_id"), "_src_row", "field", F.coalesce(F.col("cells")[F.col("field")], F.lit("")).alias("value"))
+
+
+def evidence_refs(rows: DataFrame, cells: DataFrame, fields: dict[str, tuple[str, ...]] = EVIDENCE_FIELDS) -> DataFrame:
+    """(finding_type, finding_key, evidence_id): what each finding points to, a row each."""
+    of_type = F.coalesce(*[F.when(F.col("finding_type") == t, F.array(*map(F.lit, f))) for t, f in fields.items()], F.array(*map(F.lit, USUAL_FIELDS)))
+    used = rows.select("finding_type", "finding_key", "_src_row", F.explode(of_type).alias("field"))
+    return used.join(cells, ["_src_row", "field"]).select("finding_type", "finding_key", "evidence_id").distinct()
+
+
+def entities(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(finding_type, finding_key, entity_type, entity): the employees and vendors of each finding's rows."""
+    pairs = F.array(*[F.struct(F.lit(t).alias("entity_type"), F.col(c).cast("string").alias("entity")) for t, c in (("employee", "employee_id"), ("vendor", "vendor_name")) if c in ledger.columns])
+    named = rows.select("finding_type", "finding_key", "_src_row").join(ledger.select("_src_row", F.explode(pairs).alias("x")), "_src_row")
+    return named.select("finding_type", "finding_key", "x.entity_type", "x.entity").filter("entity IS NOT NULL").distinct()
 
 
 def orphans(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -93,19 +198,37 @@ def orphans(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return rows.join(ledger.select("_src_row"), "_src_row", "left_anti")
 
 
-def suppressed(rows: DataFrame, ledger: DataFrame, allowed: DataFrame, fields: tuple[str, ...] = ("expense_id", "employee_id", "employee_name", "vendor_name", "invoice_number", "expense_type")) -> tuple[DataFrame, DataFrame]:
+ALLOWED_BY = ("expense_id", "employee_id", "employee_name", "vendor_name", "invoice_number", "expense_type")
+
+
+def allow_list(raw: DataFrame) -> DataFrame:
+    """The entries of an allow-list table that fill some field to match by, or amount_max; blank cells are wild."""
+    from auditspark.functions import match_key, norm_text
+
+    cell = lambda f: norm_text(F.col(f)) if f in raw.columns else F.lit(None).cast("string")
+    out = raw.select(*[match_key(cell(f)).alias(f) for f in ALLOWED_BY], cell("amount_max").alias("amount_max"), cell("reason").alias("reason"))
+    return out.filter(F.coalesce(*ALLOWED_BY, F.col("amount_max")).isNotNull())
+
+
+def suppressed(rows: DataFrame, ledger: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, suppressed) member rows: a finding is suppressed if every one of its rows matches some entry of
-    the allow-list in all its filled cells, compared by match key, and in amount_max."""
-    from auditspark.functions import match_key
-
-    entries = allowed.select(*[match_key(F.col(f)).alias(f"a_{f}") if f in allowed.columns else F.lit(None).cast("string").alias(f"a_{f}") for f in fields], (F.col("amount_max").try_cast("double") if "amount_max" in allowed.columns else F.lit(None).cast("double")).alias("a_max"))
-    entries = entries.filter(F.coalesce(*[F.col(f"a_{f}") for f in fields], F.col("a_max").cast("string")).isNotNull())
-    cells = ledger.select("_src_row", F.col("amount").alias("_amount"), *[match_key(F.col(f).cast("string")).alias(f"k_{f}") if f in ledger.columns else F.lit(None).cast("string").alias(f"k_{f}") for f in fields])
-    fits = F.col("a_max").isNull() | (F.col("_amount") <= F.col("a_max"))
-    for f in fields:
-        fits = fits & (F.col(f"a_{f}").isNull() | (F.col(f"a_{f}") == F.col(f"k_{f}")))
-    allowed_rows = cells.join(entries, fits, "left_semi").select("_src_row", F.lit(True).alias("_allowed"))
-    judged = rows.join(allowed_rows, "_src_row", "left")
+    the allow-list in all its filled cells, compared by match key, and in amount_max. Entries that fill the same
+    cells, of which there are 64 kinds at most, are joined on them; those with an amount alone are one number."""
+    from auditspark.functions import amount, match_key
+
+    entries = allow_list(allowed).withColumn("_max", amount(F.col("amount_max"))).filter("amount_max IS NULL OR _max IS NOT NULL")
+    filled = F.concat(*[F.col(f).isNotNull().cast("int").cast("string") for f in ALLOWED_BY])
+    cells = ledger.select("_src_row", F.col("amount").alias("_amount"), *[(match_key(F.col(f).cast("string")) if f in ledger.columns else F.lit(None).cast("string")).alias(f) for f in ALLOWED_BY])
+    hits = None
+    for r in entries.select(filled.alias("filled")).distinct().collect():
+        by = [f for f, bit in zip(ALLOWED_BY, r["filled"], strict=True) if bit == "1"]
+        # Of entries that are alike, the most generous one counts; without an amount any will do.
+        one = entries.filter(filled == r["filled"]).groupBy(*by).agg(F.max(F.coalesce("_max", F.lit(float("inf")))).alias("_most"))
+        hit = cells.join(one, by).filter(F.col("_amount") <= F.col("_most")) if by else cells.filter(F.col("_amount") <= one.scalar())
+        hits = hit.select("_src_row") if hits is None else hits.union(hit.select("_src_row"))
+    if hits is None:
+        return rows, rows.filter("false")
+    judged = rows.join(hits.distinct().withColumn("_allowed", F.lit(True)), "_src_row", "left")
     whole = judged.groupBy("finding_type", "finding_key").agg(F.bool_and(F.col("_allowed").isNotNull()).alias("_all"))
     marked = rows.join(whole, ["finding_type", "finding_key"])
     return marked.filter("NOT _all").drop("_all"), marked.filter("_all").drop("_all")

@@ -31,7 +31,7 @@ LEDGER = {
     "check_in": "CAST(o_orderdate AS DATE)",
     "check_out": "days(CAST(o_orderdate AS DATE); o_orderkey % 4)",
     "nights": "CAST(o_orderkey % 3 + 1 AS DOUBLE)",
-    "weekday": "'week ' || (o_orderkey % 7 + 1)",
+    "weekday": "CASE o_orderkey % 8 WHEN 0 THEN 'week 1' WHEN 1 THEN 'Tue' WHEN 2 THEN '星期三' WHEN 3 THEN '周四' WHEN 4 THEN 'week Fri' WHEN 5 THEN '天' WHEN 6 THEN '7' ELSE 'Sunday' END",
     "row_limit": "CAST(CASE WHEN o_orderkey % 13 = 0 THEN floor(o_totalprice / 40000) * 20000 ELSE 1000000 END AS DOUBLE)",
     "item": "'item ' || (o_orderkey % 25)",
     "unit": "CAST(NULL AS STRING)",
