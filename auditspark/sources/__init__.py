@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auditspark import functions as fn
 
@@ -53,9 +54,15 @@ NUMBERS = ("amount", "unit_price", "quantity", "row_limit", "nights")
 
 def with_ordinals(df: DataFrame, first: int = 2) -> DataFrame:
     """Adds _src_row, the record's ordinal in the source; the header is row 1. Rows are numbered within
-    their partitions and shifted by the counts of those before, which needs one number a partition."""
-    schema = df.schema.add("_src_row", "long")
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first)).toDF(schema)
+    their partitions and shifted by the counts of those before, one number a partition."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_at", 33)
+    counts = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = at.withColumn("_part", part).join(F.broadcast(counts), "_part")
+    inner = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(*df.columns, (inner + F.col("_before") + first).cast("long").alias("_src_row"))
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +84,7 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return docs.filter(size >= 20), docs.filter(size < 20)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
@@ -93,18 +100,18 @@ def read_relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return top.select(F.explode("nodes").alias("n")).select("n.*"), edges
 
 
-def read_config(path: str, allowed: set[str]) -> dict:
-    """A JSON object of known keys; keys with a leading underscore are comments."""
+def read_config(path: str, allowed: set[str], comments: bool = True) -> dict:
+    """A JSON object of known keys; with `comments`, keys with a leading underscore are such."""
     import difflib
 
-    config = json.loads(Path(path).read_text(encoding="utf-8"))
+    config = json.loads(Path(path).read_text(encoding="utf-8-sig"))
     if not isinstance(config, dict):
         raise ValueError(f"{path}: not a JSON object")
     for k in config:
-        if k not in allowed and not k.startswith("_"):
+        if k not in allowed and not (comments and k.startswith("_")):
             near = difflib.get_close_matches(k, sorted(allowed), 1)
             raise ValueError(f"{path}: unknown key {k}" + (f", perhaps {near[0]}" if near else ""))
-    return {k: v for k, v in config.items() if not k.startswith("_")}
+    return {k: v for k, v in config.items() if k in allowed}
 
 
 def inside(root: str, relative: str) -> str:
@@ -120,6 +127,9 @@ def map_columns(headers: list[str], aliases: dict[str, tuple[str, ...]] = LEDGER
     """(canonical -> header, warnings): explicit headers win; a name that several headers fit stays unmapped,
     with a warning; a missing required one raises."""
     out, warnings = dict(explicit or {}), []
+    lost = [h for h in out.values() if h not in headers]
+    if lost:
+        raise ValueError(f"no such column: {', '.join(lost)}")
     by_key: dict[str, list[str]] = {}
     for h in headers:
         by_key.setdefault(fn.header_key(h), []).append(h)
