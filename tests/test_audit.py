@@ -9,7 +9,7 @@ from auditspark import functions as fn
 from auditspark import sources, streaming
 from auditspark.operators import casework, expense, external, procurement, relations, sqlgen
 from auditspark.operators.expense import EXPENSE
-from auditspark.plans import evidence, findings, orphans, run_rules, suppressed
+from auditspark.plans import entities, evidence, evidence_refs, findings, orphans, run_rules, suppressed
 
 DAY = dt.date(2026, 3, 2)  # a Monday
 
@@ -41,10 +41,10 @@ def test_near_duplicates_leave_exact_ones_out(spark):
 
 def test_split_counts_only_rows_from_the_start_on(spark):
     e = ledger(spark, [(1, "A", 60, 0), (2, "A", 50, 0), (3, "A", 45, 1)], vendor_name=["V"] * 3)
-    got = EXPENSE.rules["split-expense"].rows(e, {"approval_thresholds": [100.0], "split_window_days": 0})
+    got = EXPENSE.rules["split-expense"].rows(e, {"approval_thresholds": [{"amount": 100}], "split_window_days": 0})
     assert rows_of(got) == [1, 2]
-    wide = EXPENSE.rules["split-expense"].rows(e, {"approval_thresholds": [94.0], "split_window_days": 1})
-    assert sorted((r["finding_key"], r["_src_row"]) for r in wide.collect()) == [("94.0|1", 1), ("94.0|1", 2), ("94.0|1", 3), ("94.0|2", 2), ("94.0|2", 3)]
+    wide = EXPENSE.rules["split-expense"].rows(e, {"approval_thresholds": [{"amount": "94"}], "split_window_days": 1})
+    assert sorted((r["finding_key"], r["_src_row"]) for r in wide.collect()) == [("0|1", 1), ("0|1", 2), ("0|1", 3), ("0|2", 2), ("0|2", 3)]
 
 
 def test_runs_and_outliers(spark):
@@ -52,7 +52,7 @@ def test_runs_and_outliers(spark):
     assert rows_of(EXPENSE.rules["sequential-invoice"].rows(e, {})) == [0, 1, 2]
     assert rows_of(EXPENSE.rules["robust-outlier"].rows(e, {})) == [5]
     assert rows_of(EXPENSE.rules["consecutive-nightly-invoicing"].rows(e, {})) == list(range(6))
-    assert rows_of(EXPENSE.rules["high-frequency-small-amount"].rows(e, {"high_frequency_days": 2, "high_frequency_count": 3})) == [0, 1, 2, 3, 4]
+    assert rows_of(EXPENSE.rules["high-frequency-small-amount"].rows(e, {"high_frequency_window_days": 2, "high_frequency_min_count": 3})) == [0, 1, 2, 3, 4]
 
 
 def test_self_approval_needs_a_whole_name(spark):
@@ -69,7 +69,12 @@ def test_all_rules_with_scores_and_lineage(spark):
     assert found["weekend-signal"]["risk_score"] == 1
     assert any("large-amount" in n for n in notes)
     assert orphans(rows, e).count() == 0
-    assert [r["evidence_id"] for r in evidence(rows, e, ["amount", "invoice_number"]).orderBy("evidence_id").collect()] == [f"EV-{i:06d}" for i in range(1, 5)]
+    cells = evidence(rows, e).orderBy("evidence_id").collect()
+    assert [(r["evidence_id"], r["_src_row"], r["field"], r["value"]) for r in cells[:6]] == [("EV-000001", 2, "expense_id", "X2"), ("EV-000002", 2, "invoice_number", "I1"), ("EV-000003", 2, "amount", "9000.0"), ("EV-000004", 3, "expense_id", "X3"), ("EV-000005", 3, "invoice_number", "I1"), ("EV-000006", 3, "amount", "9000.0")]
+    assert [r["evidence_id"] for r in cells] == [f"EV-{i:06d}" for i in range(1, len(cells) + 1)] and len({(r["_src_row"], r["field"]) for r in cells}) == len(cells)
+    refs = evidence_refs(rows, evidence(rows, e)).filter("finding_type = 'weekend-signal'").groupBy("finding_key").count().collect()
+    assert [(r["finding_key"], r["count"]) for r in sorted(refs)] == [("2", 3), ("3", 3)]
+    assert {(r["entity_type"], r["entity"]) for r in entities(rows, e).collect()} == {("employee", "A"), ("vendor", "V")}
     allowed = spark.createDataFrame([("a", None)], "employee_id string, amount_max string")
     kept, dropped = suppressed(rows, e, allowed)
     assert kept.count() == 0 and dropped.count() == rows.count()
@@ -77,7 +82,7 @@ def test_all_rules_with_scores_and_lineage(spark):
 
 def test_empty_ledger_gives_no_finding(spark):
     e = ledger(spark, [(1, "A", 1, 0)], invoice_number=["I"], vendor_name=["V"], expense_type=["t"]).filter("false")
-    rows, _ = run_rules(EXPENSE, e, {"weekend_check": True, "lodging_checks": True})
+    rows, _ = run_rules(EXPENSE, e, {"weekend_check": True, "lodging_cross_check": True})
     assert rows.count() == 0
 
 
@@ -103,12 +108,86 @@ def test_normalise_keeps_bad_rows(spark, tmp_path):
         sources.map_columns(["x"], required=("amount",))
 
 
+def test_parity_of_rules(spark):
+    """A limit each, three near duplicates, later starts of a run, any stay before a journey."""
+    e = ledger(spark, [(1, "A", 500, 0), (2, "A", 90, 1), (3, "A", 95, 2)], expense_type=["hotel", "meal", "meal"], vendor_name=["V", "W", "W"])
+    limits = {"limits": [{"expense_type": "hotel", "max_amount": 400}, {"max_amount": "450"}, {"currency": "usd", "max_amount": 1}]}
+    assert sorted((r["finding_key"], r["_src_row"]) for r in EXPENSE.rules["policy-threshold"].rows(e, limits).collect()) == [("1|0", 1), ("1|1", 1)]
+    assert rows_of(EXPENSE.rules["near-duplicate"].rows(e, {})) == []
+    more = ledger(spark, [(2, "A", 90, 1), (3, "A", 95, 2), (4, "A", 99, 3)], expense_type=["meal", "meal", "toll"], vendor_name=["W"] * 3)
+    assert rows_of(EXPENSE.rules["near-duplicate"].rows(more, {})) == [2, 3, 4]
+    assert rows_of(EXPENSE.rules["near-duplicate"].rows(more, {"fixed_amount_types": ["meal"]})) == [2, 3, 4]
+    assert rows_of(EXPENSE.rules["near-duplicate"].rows(more, {"multi_occurrence_types": ["meal", "toll"]})) == []
+    run = ledger(spark, [(i, "A", 1, d) for i, d in enumerate([0, 50, 51, 52, 90])], invoice_number=["N10", "N11", "N12", "N13", "N13"], vendor_name=["V"] * 5)
+    assert rows_of(EXPENSE.rules["sequential-invoice"].rows(run, {})) == [1, 2, 3]
+    at = [dt.datetime(2026, 3, 2, 12), None, None]
+    gone = [None, dt.datetime(2026, 3, 1, 9), dt.datetime(2026, 3, 3, 9)]
+    rows = [(i, f"X{i}", "A", 10.0, DAY, "CNY", ["meal", "大巴", "bus"][i], at[i], gone[i], ["P", "P", "P"][i], "P") for i in range(3)]
+    seg = spark.createDataFrame(rows, "_src_row long, expense_id string, employee_id string, amount double, expense_date date, currency string, expense_type string, check_out_at timestamp, depart_at timestamp, origin_city string, dest_city string")
+    assert sorted((r["finding_key"], r["_src_row"]) for r in EXPENSE.rules["checkout-before-transport"].rows(seg, {}).collect()) == [("0-1", 0), ("0-1", 1)]
+    names = spark.createDataFrame([("week Mon", 0), ("天", 6), ("3", None), ("周3", 2), ("week 8", None), ("Thursday", 3)], "w string, want int")
+    assert names.filter(~fn.weekday_of(F.col("w")).eqNullSafe(F.col("want"))).count() == 0
+    assert expense.approval_coverage(e.withColumn("approver", F.lit("张三"))).first()["hint"]
+    assert not expense.approval_coverage(e.withColumn("approver", F.lit("E1"))).first()["hint"]
+
+
+def test_windows_and_medians_against_plain_python(spark):
+    import itertools
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("AB"), rng.choice([20, 40, 60, 99, 120]), rng.randint(0, 40)) for i in range(60)]
+    vendors = [rng.choice(["V", "W", None]) for _ in rows]
+    e = ledger(spark, rows, vendor_name=vendors, expense_type=["t"] * 60)
+    want = set()
+    for who in "AB":
+        mine = sorted(((d, r, a, v) for (r, w, a, d), v in zip(rows, vendors, strict=True) if w == who))
+        for i, (d, r, _, _) in enumerate(mine):
+            window = [x for x in mine[i:] if x[0] - d <= 2]
+            if len(window) >= 2 and all(x[2] < 100 for x in window) and sum(x[2] for x in window) > 100 and len({x[3] for x in window} - {None}) >= 2:
+                want |= {(f"0|{r}", x[1]) for x in window}
+    policy = {"approval_thresholds": [{"amount": 100}], "split_window_days": 2}
+    assert {(r["finding_key"], r["_src_row"]) for r in expense.split_cross_merchant(e, policy).collect()} == want and want
+    values = [round(rng.uniform(-5, 5), 1) for _ in range(101)] + [0.0] * 30 + [1e9, -1e-9]
+    for k in (len(values), len(values) - 1, 1, 2):
+        hist = spark.createDataFrame([("g", None, v) for v in values[:k]] + [("h", "x", 3.0)], "a string, b string, v double").groupBy("a", "b", "v").agg(F.count("*").alias("_n"))
+        got = {r["a"]: r["m"] for r in expense.medians(hist, ["a", "b"], "v", "m").collect()}
+        assert got == {"g": pytest.approx(statistics.median(values[:k])), "h": 3.0}
+    spans = [(i, "A", *sorted([rng.randint(0, 40), rng.randint(0, 40)], reverse=i % 7 == 0)) for i in range(40)]
+    at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    df = spark.createDataFrame([(i, k, at(a), at(b)) for i, k, a, b in spans], "_src_row long, k string, s timestamp, e timestamp")
+    pairs = {(x[0], y[0]) for x, y in itertools.combinations(spans, 2) if x[2] < y[3] and y[2] < x[3]}
+    assert {(r["row_a"], r["row_b"]) for r in expense.overlaps(df, "k", "s", "e", 6 * 3600).collect()} == pairs
+
+
+def test_allow_lists(spark):
+    e = ledger(spark, [(1, "A", 50, 0), (2, "B", 500, 0), (3, "A", 500, 0)], vendor_name=["V 1", "v1", "W"], expense_type=["t"] * 3)
+    rows = e.select(F.lit("x").alias("finding_type"), F.col("expense_id").alias("finding_key"), "_src_row", "amount").unionByName(e.filter("_src_row < 3").select(F.lit("y").alias("finding_type"), F.lit("both").alias("finding_key"), "_src_row", "amount"))
+    entry = lambda *r: spark.createDataFrame([r], "employee_id string, vendor_name string, amount_max string, reason string")
+    gone = lambda allowed: sorted({(r["finding_type"], r["finding_key"]) for r in suppressed(rows, e, allowed)[1].collect()})
+    assert gone(entry(None, "V-1", None, "r")) == [("x", "X1"), ("x", "X2"), ("y", "both")]
+    assert gone(entry(None, "V-1", "100", "r")) == [("x", "X1")]
+    assert gone(entry(None, None, "60", "r").unionByName(entry("a", "w", None, "r"))) == [("x", "X1"), ("x", "X3")]
+    assert gone(entry(None, None, None, "r")) == []
+
+
 def test_side_tables(spark):
     e = ledger(spark, [(1, "A", 100, 0), (2, "A", 100, 5)], expense_type=["travel", "travel"], dest_city=["X", "X"], vendor_name=["V", "W"])
     trips = spark.createDataFrame([(1, "A", DAY, DAY + dt.timedelta(1))], "_src_row long, employee_id string, start_date date, end_date date")
     assert rows_of(external.without_travel_request(e, trips, {})) == [2]
     paid = spark.createDataFrame([(1, "X1", None, "v"), (2, "X1", None, "other"), (3, "X2", "Q", "other")], "_src_row long, expense_id string, issuer string, payee string")
     assert rows_of(external.payee_mismatch(e, paid)) == [2]
+    open_end = spark.createDataFrame([(1, "A", DAY + dt.timedelta(4), None)], "_src_row long, employee_id string, start_date date, end_date date")
+    assert rows_of(external.without_travel_request(e, open_end, {})) == [1]
+    home = {"travel_cross_check": {"company_cities": ["X"]}}
+    assert rows_of(external.without_travel_request(e, trips, home)) == [] and rows_of(external.travel_like(e.withColumn("expense_type", F.lit("出差补贴")), home)) == [1, 2]
+    sent = spark.createDataFrame([("X1", "Road 1", "3号楼 5"), ("X2", "Road", None)], "expense_id string, from_addr string, to_addr string")
+    assert rows_of(external.private_address(e, sent, {})) == [1]
+    assert tuple(external.courier_coverage(e.withColumn("expense_type", F.lit("Courier fee")), sent.filter("expense_id = 'X1'"), {}).first()) == (2, 1)
+    places = spark.createDataFrame([("外勤", 1.0, 1.0, "hq", False), (None, 31.0, 121.0, None, True), (None, 31.1, 121.0, "hq", False), (None, None, None, "our hq", True), (None, None, None, "else", False), (None, None, None, None, None)], "flag string, lat double, lon double, place string, want boolean")
+    verdict = fn.office_verdict(F.col("flag"), F.col("lat"), F.col("lon"), F.col("place"), [(31.0, 121.0), (31.1, 121.0, 0.0001), (31.1, 121.1, 500)], ["hq"])
+    assert places.withColumn("got", verdict).filter("flag IS NOT NULL OR lat <> 31.1 OR lat IS NULL").filter("NOT (got <=> want)").count() == 0
 
 
 def test_bids(spark):
@@ -116,6 +195,49 @@ def test_bids(spark):
     got = procurement.bid_similarity(bids, {}).collect()
     assert [(r["bid_a"], r["bid_b"], round(r["similarity"], 6)) for r in got] == [(1, 2, 1.0)]
     assert [r["prices"] for r in procurement.bid_price_clusters(bids, {}).collect()] == [[100.0, 100.5, 101.0]]
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcd ef", k=rng.randint(5, 40))) for _ in range(30)]
+    texts += [t[:-3] + "xyz" for t in texts[:8]]
+    counts = [Counter(c[i : i + k] for c in ["".join(t.split())] for k in (2, 3) for i in range(len(c) - k + 1)) for t in texts]
+    seen = Counter(g for c in counts for g in c)
+    vectors = [{g: k / sum(c.values()) * (math.log((1 + len(texts)) / (1 + seen[g])) + 1) for g, k in c.items()} for c in counts]
+    length = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    alike = lambda i, j: sum(x * vectors[j].get(g, 0) for g, x in vectors[i].items()) / length[i] / length[j]
+    want = {(i, j): alike(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i % 2 == j % 2 and alike(i, j) >= 0.4}
+    frame = spark.createDataFrame([(i, f"L{i % 2}", t) for i, t in enumerate(texts)], "bid_id long, lot_id string, text string")
+    near = procurement.bid_similarity(frame, {"bid_ngram_max": 3, "bid_similarity_threshold": 0.4}).collect()
+    assert {(r["bid_a"], r["bid_b"]): round(r["similarity"], 9) for r in near} == {k: round(v, 9) for k, v in want.items()} and len(want) > 5
+
+
+def test_bid_documents(spark, tmp_path):
+    (tmp_path / "bids").mkdir()
+    (tmp_path / "bids" / "a.txt").write_text("A whole offer, long ENOUGH to read", encoding="utf-8")
+    (tmp_path / "bids" / "b.md").write_text("short", encoding="utf-8")
+    docs = spark.read.text([f"{tmp_path}/bids/*.txt", f"{tmp_path}/bids/*.md"], wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    bids = spark.createDataFrame([(1, "bids/a.txt"), (2, "./bids/../bids/b.md"), (3, "../x.txt"), (4, "bids/c.txt"), (5, "bids/d.pdf"), (6, None), (7, "bids/b.md")], "bid_id long, document_path string")
+    good, bad = procurement.bid_documents(bids, docs, str(tmp_path))
+    assert [(r["bid_id"], r["text"]) for r in good.collect()] == [(1, "a whole offer, long enough to read")]
+    assert {r["bid_id"]: r["warning"] for r in bad.collect()} == {2: "not found", 3: "leads out of the folder", 4: "not found", 5: "neither .txt nor .md", 7: "too short"}
+
+
+def test_shared_attributes_grow_with_the_parties(spark):
+    v = spark.createDataFrame([(i, f"V{i}", "acc 1") for i in range(50)], "_src_row long, vendor_id string, bank_account string")
+    s = spark.createDataFrame([(i, f"E{i}", "ACC-1") for i in range(40)], "_src_row long, employee_id string, bank_account string")
+    assert procurement.shared_edges(v, {}).count() == 49 and procurement.shared_edges(v, {"all_pairs": True}).count() == 50 * 49 // 2
+    tied = procurement.employee_vendor_shared(v, s, {})
+    assert tied.count() == 89 and tied.select("employee").distinct().count() == 40 and tied.select("vendor").distinct().count() == 50
+    assert procurement.employee_vendor_shared(v, s, {"whitelists": {"bank_account": ["acc1"]}}).count() == 0
+
+
+def test_names_are_matched(spark):
+    nodes = spark.createDataFrame([("n1", "甲乙有限公司", "91310000MA1FL4AB2C"), ("n2", "丙丁集团", None), ("n3", "丙丁集团北京分公司", None)], "node_id string, name string, canonical_id string")
+    names = spark.createDataFrame([("其他 91310000MA1FL4AB2C",), ("丙丁集团（总部）",), ("甲乙",), ("无关",)], "name string")
+    got = {r["name"]: r["node_id"] for r in relations.match_nodes(names, nodes).collect()}
+    assert got == {"其他 91310000MA1FL4AB2C": "n1", "丙丁集团（总部）": "n2", "甲乙": "n1"}
 
 
 def test_paths_and_decision(spark):
