@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import checkpoint, table
 
 K = 10
-#: The index is fitted on at most SAMPLE vectors; all are indexed. PARTITIONS parts of the neighbour
-#: graph of LINKS links a vector; as many are searched as the sample needs for the recall RECALL.
-SAMPLE, PARTITIONS, LINKS, RECALL = 8_000, 32, 10, 0.97
+#: The index is fitted on about SAMPLE vectors at most; all are indexed. The neighbour graph, of LINKS links a
+#: vector, has a partition for every ROWS rows of the table, PARTITIONS at most, as each needs 20 vectors of
+#: the sample; as many are searched as the sample needs for the recall RECALL.
+SAMPLE, ROWS, PARTITIONS, LINKS, RECALL = 8_000, 2_048, 256, 10, 0.97
+#: Vectors of another length than most stand in so many partitions by their length, each searched whole.
+OTHER = 64
 #: Rows of a partition, and queries, that meet in one task.
 BLOCK, QUERIES = 8_192, 20_000
 HIDDEN, PASSES = 128, 30
@@ -156,63 +159,83 @@ def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
+def partitions(rows: int) -> int:
+    """A power of two: one partition for every ROWS rows, within bounds."""
+    return min(PARTITIONS, 1 << max(0, (rows - 1) // ROWS).bit_length())
+
+
 def search(df: DataFrame, queries: F.Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """The k nearest found to every row that `queries` (over vec_id) selects, among all other rows:
     query_id, rank, vec_id, score (Euclidean distance, exact), nearest first, ties to smaller ids.
 
-    Vectors null, zero, or with null or non-finite components, and rows without an id, take no part,
-    nor do vectors of another length than the most. Rows of the query's own id are no candidates; other
-    rows with the same id each are. With fewer candidates than k, all found are returned; an empty table
-    gives no row. Partitions are dealt over blocks of at most about BLOCK rows, however many equal
-    vectors one holds, and queries over groups, so that neither fills a task."""
+    Vectors null, zero, or with null or non-finite components, and rows without an id, take no part. Vectors
+    of different lengths have no distance: each is compared with those of its own length, all of them if
+    its length is not the most frequent one. Rows of the query's own id are no candidates; other rows with
+    the same id each are. A query searches as many partitions as the index asks for, and more until they
+    hold k rows; with fewer candidates than k all are returned; an empty table gives no row. Partitions are
+    dealt over blocks of at most about BLOCK rows, however many equal vectors one holds, and the queries of
+    a partition over groups of about QUERIES, so that neither fills a task."""
     spark = df.sparkSession
     rows = valid(df, id_col, vec_col)
     kind = rows.schema["vec_id"].dataType.simpleString()
     common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("vec") == common["d"])
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toPandas()
-    router = fit(np.stack(drawn["vec"].to_numpy()))
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    d, n = common["d"], common["count"]
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    drawn = rows.filter((F.size("vec") == d) & (place < int((1 << 30) * min(1.0, 1.1 * sample / n)))).orderBy(place, "vec_id").limit(sample).select("vec").toArrow()
+    router = fit(drawn["vec"].combine_chunks().flatten().to_numpy().reshape(-1, d), partitions(n))
     parts = len(router.b2)
 
-    def routed(batches: Iterator[pd.DataFrame], searched: int) -> Iterator[pd.DataFrame]:
+    def routed(batches: Iterator[pd.DataFrame], searched: int, held: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                order = np.argsort(-router.scores(np.stack(batch["vec"].to_numpy())), axis=1, kind="stable")[:, :searched]
-                at = np.repeat(np.arange(len(batch)), order.shape[1])
-                yield pd.DataFrame({"part": order.ravel().astype(np.int32), "vec_id": batch["vec_id"].to_numpy()[at], "vec": batch["vec"].to_numpy()[at]})
+            size = batch["vec"].map(len).to_numpy()
+            rest = batch[size != d]
+            if len(rest):
+                yield pd.DataFrame({"part": (PARTITIONS + size[size != d] % OTHER).astype(np.int32), "vec_id": rest["vec_id"], "vec": rest["vec"]})
+            batch = batch[size == d]
+            if not len(batch):
+                continue
+            order = np.argsort(-router.scores(np.stack(batch["vec"].to_numpy())), axis=1, kind="stable")
+            many = np.full(len(batch), min(searched, parts))
+            if held is not None:  # at least k rows besides the query's own
+                many = np.maximum(many, np.minimum((np.cumsum(held[order], axis=1) <= k).sum(1) + 1, parts))
+            at, upto = np.repeat(np.arange(len(batch)), many), np.arange(order.shape[1])[None] < many[:, None]
+            yield pd.DataFrame({"part": order[upto].astype(np.int32), "vec_id": batch["vec_id"].to_numpy()[at], "vec": batch["vec"].to_numpy()[at]})
 
     schema = f"part int, vec_id {kind}, vec array<double>"
     placed = rows.mapInPandas(lambda b: routed(b, 1), schema)
-    asked = rows.filter(queries).mapInPandas(lambda b: routed(b, router.searched), schema)
-    size = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    n_queries = rows.filter(queries).count()
-    groups = max(1, -(-n_queries // QUERIES))
-    blocks = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, max(1, -(-size.get(p, 0) // BLOCK)))])
-    block_of = blocks[F.col("part")]
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), block_of)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (block_of - 1).cast("long")))).withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    held = np.zeros(parts, np.int64)
+    for r in sizes.filter(F.col("part") < PARTITIONS).collect():
+        held[r["part"]] = r["rows"]
+    asked = rows.filter(queries).mapInPandas(lambda b: routed(b, router.searched, held), schema)
+    # One row a partition: PARTITIONS + OTHER at most.
+    deal = sizes.join(asked.groupBy("part").agg(F.count("*").alias("asked")), "part").select(F.col("part").alias("of"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / QUERIES).cast("int").alias("groups"))
+    deal = F.broadcast(checkpoint(deal))
+    own = lambda salt, n_: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n_)).cast("int")
+    every = lambda n_: F.explode(F.sequence(F.lit(0), F.col(n_) - 1))
+    placed = placed.join(deal, F.col("part") == F.col("of")).withColumn("block", own(1, "blocks")).withColumn("group", every("groups"))
+    asked = asked.join(deal, F.col("part") == F.col("of")).withColumn("group", own(2, "groups")).withColumn("block", every("blocks")).select("part", "block", "group", "vec_id", "vec")
     placed = placed.select(*[F.col(c).alias(f"r_{c}") for c in ("part", "block", "group", "vec_id", "vec")])
 
-    def found(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
-        if not len(q) or not len(r):
-            return pd.DataFrame(columns=columns)
+    def nearest_of(q: pd.DataFrame, r: pd.DataFrame) -> Iterator[tuple]:
         x, ids = np.stack(r["r_vec"].to_numpy()), r["r_vec_id"].to_numpy()
-        out = []
         for a in range(0, len(q), 256):
-            y, own = np.stack(q["vec"].iloc[a : a + 256].to_numpy()), q["vec_id"].iloc[a : a + 256].to_numpy()
-            d = distances(y, x)
-            d[own[:, None] == ids[None]] = np.inf
-            limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            y, own_ = np.stack(q["vec"].iloc[a : a + 256].to_numpy()), q["vec_id"].iloc[a : a + 256].to_numpy()
+            far = distances(y, x)
+            far[own_[:, None] == ids[None]] = np.inf
+            limit = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
             for i in range(len(y)):
                 # The product's error is far below this margin, so all ties are among the reranked.
-                at = np.flatnonzero((d[i] <= limit[i] + 1e-9 * (1 + limit[i] + (y[i] ** 2).sum())) & np.isfinite(d[i]))
+                at = np.flatnonzero((far[i] <= limit[i] + 1e-9 * (1 + limit[i] + (y[i] ** 2).sum())) & np.isfinite(far[i]))
                 exact = np.sqrt(((x[at] - y[i]) ** 2).sum(1))
-                best = np.lexsort((ids[at], exact))[:k]
-                out += [(own[i], ids[at[j]], exact[j]) for j in best]
-        return pd.DataFrame(out, columns=columns)
+                yield from ((own_[i], ids[at[j]], exact[j]) for j in np.lexsort((ids[at], exact))[:k])
+
+    def found(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        q_size, r_size = q["vec"].map(len), r["r_vec"].map(len)
+        out = [x for s in sorted(set(q_size) & set(r_size)) for x in nearest_of(q[q_size == s], r[r_size == s])]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     pairs = asked.groupBy("part", "block", "group").cogroup(placed.groupBy("r_part", "r_block", "r_group")).applyInPandas(found, f"query_id {kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
