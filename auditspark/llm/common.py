@@ -91,6 +91,19 @@ def sieved(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return both.select(*rows.columns, F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False)).alias("maybe"))
 
 
+def frequent(rows: DataFrame, times: str, top: int) -> DataFrame:
+    """The rows of the highest classes of `times` that hold `top` rows at most together. Classes are an eighth of a
+    doubling wide, so few numbers come to the driver."""
+    scale = F.floor(F.log2(times) * 8)
+    left, least = top, None
+    for r in rows.groupBy(scale.alias("scale")).count().orderBy(F.desc("scale")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["scale"]
+    return rows.filter(F.lit(False) if least is None else scale >= least)
+
+
 # --- numpy helpers for Python stages -------------------------------------------------------------
 
 #: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BASE, U64, checkpoint, mix, table
+from .common import BASE, U64, checkpoint, frequent, mix, table
 
 #: The model reads code points as they are, four at a time: three of CODE bits make a context of 63 bits.
 ORDER, CODE = 4, 21
 #: Characters of the small alphabet of kneser_ney(), and their bits.
 CLASSES, BITS = 32, 5
-#: Weights that a scan of the texts holds; a larger model takes more scans.
-SLICE = 2_000_000
+#: The weights of the most frequent n-grams, so many at most, are sent to every task; others are joined.
+TOP = 1_000_000
 #: N-grams that a counting task holds before it gives them out.
 HELD = 2_000_000
 #: Parts over which the rows of a language are dealt to meet what is known of the language.
@@ -182,7 +182,7 @@ def count_grams(narrow: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "context", "last").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
 
 
-def chunks(texts, chars: int = 1_000_000) -> Iterator[list[str]]:
+def chunks(texts, chars: int = 400_000) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -212,8 +212,8 @@ def cuts(counts: DataFrame) -> DataFrame:
 
 
 def train(narrow: DataFrame) -> DataFrame:
-    """narrow(lang, text) -> (key, logp): log10 of the probability that interpolated modified Kneser-Ney
-    smoothing gives the last character of each n-gram of each language, by the n-gram's hash.
+    """narrow(lang, text) -> (key, n, logp): how often each n-gram of each language occurs, and log10 of the probability that interpolated modified Kneser-Ney
+    smoothing gives its last character, by the n-gram's hash.
 
     Every language has its own counts of its own characters. Each order is a table of its n-grams, joined
     with the next lower one, so the model grows with the data and no task holds a language. As the
@@ -227,45 +227,56 @@ def train(narrow: DataFrame) -> DataFrame:
     # All characters that a language has, and one that it has not, are alike below the lowest order.
     lower = tables[0].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("lower")).withColumn("rest", F.lit(0).cast("long"))
     for c in tables:
+        lower = lower.select("lang", "rest", "lower")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         same = Window.partitionBy("lang", "context")
         c = by_language(c, cuts(c)).withColumn("cut", cut).withColumn("all", F.sum("n").over(same)).withColumn("weight", F.sum("cut").over(same) / F.col("all"))
         prob = F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("all") + F.col("weight") * F.col("lower")
-        lower = c.join(lower, ["lang", "rest"]).select("lang", F.col("key").alias("rest"), prob.alias("lower"))
-    return lower.select(F.col("rest").alias("key"), F.log10(F.greatest(F.col("lower"), F.lit(1e-12))).alias("logp"))
+        lower = c.join(lower, ["lang", "rest"]).select("lang", F.col("key").alias("rest"), "n", prob.alias("lower"))
+    return lower.select(F.col("rest").alias("key"), "n", F.log10(F.greatest(F.col("lower"), F.lit(1e-12))).alias("logp"))
 
 
-def scores(narrow: DataFrame, weights: DataFrame, kind: str, id_col: str, whole: bool) -> DataFrame:
-    """narrow(rid, id, lang, text) -> rid and logp, the sum over the n-grams of each text that weights(key, logp)
-    has; whole adds the other columns of a scored row."""
-    got = weights.toArrow()
+def scores(narrow: DataFrame, model: DataFrame, kind: str, top: int) -> DataFrame:
+    """narrow(rid, id, lang, text) -> rid, id, lang, the measures of the text, n_chars, and logp, the sum over its
+    n-grams by model(key, n, logp). The most frequent n-grams are added up in the scan of the texts; the
+    others, which each text has few of, meet their weights in a join."""
+    got = frequent(model, "n", top).select("key", "logp").toArrow()
     held = narrow.sparkSession.sparkContext.broadcast((got["key"].to_numpy(), got["logp"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, weight = pd.Index(held.value[0]), np.append(held.value[1], 0.0)  # the last for all others
         for batch in batches:
             logp, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            rest: list = [None] * len(batch)
             place = pd.Series(np.arange(len(batch)), index=batch.index)
             for lang, part in batch.groupby("lang"):
                 at = place[part.index].to_numpy()
                 for texts in chunks(part["text"]):
                     key, _, _, sizes = grams(lang, texts)
+                    found = keys.get_indexer(key)
                     end = np.cumsum(sizes)
-                    total = np.concatenate([[0.0], np.cumsum(weight[keys.get_indexer(key)])])
+                    total = np.concatenate([[0.0], np.cumsum(weight[found])])
                     here, at = at[: len(texts)], at[len(texts) :]
                     logp[here], size[here] = total[end] - total[end - sizes], sizes
-            if not whole:
-                yield pd.DataFrame({"rid": batch["rid"], "logp": logp})
-                continue
+                    far = np.flatnonzero(found < 0)
+                    cuts_ = np.searchsorted(far, np.append(0, end))
+                    for i, a, b in zip(here.tolist(), cuts_[:-1].tolist(), cuts_[1:].tolist(), strict=True):
+                        rest[i] = key[far[a:b]]
             out = pd.DataFrame([measures(t) for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], index=batch.index)
-            yield pd.concat([batch[["rid", id_col, "lang"]], out], axis=1).assign(n_chars=size, logp=logp)
+            yield pd.concat([batch[["rid", "id", "lang"]], out], axis=1).assign(n_chars=size, logp=logp, rest=rest)
 
-    if not whole:
-        return narrow.select("rid", "lang", "text").mapInPandas(run, "rid long, logp double")
-    return narrow.mapInPandas(run, f"rid long, `{id_col}` {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, logp double")
+    schema = f"rid long, id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, logp double, rest array<long>"
+    scored = checkpoint(narrow.mapInPandas(run, schema))
+    asked = scored.select("rid", F.explode("rest").alias("key")).groupBy("rid", "key").agg(F.count("*").alias("times"))
+    told = asked.join(model.select("key", F.col("logp").alias("weight")), "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("weight")).alias("more"))
+    # Rows that repeat have one key, and so many times the sums.
+    same = scored.groupBy("rid").agg(F.count("*").alias("same"))
+    more = same.join(told, "rid").select(F.col("rid").alias("of"), (F.col("more") / F.col("same")).alias("more"))
+    out = scored.drop("rest").join(more, F.col("rid") == F.col("of"), "left")
+    return out.withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0))).drop("of", "more")
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
     """One row per input row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, and then lang, n_chars, log_perplexity (log10 a character), band_low, band_high.
 
@@ -275,24 +286,18 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     come from a histogram of the scores over all documents. Repeated rows are judged each by itself;
     an empty table gives no row."""
     lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.coalesce(F.col(text_col), F.lit(""))
-    narrow = docs.select(F.xxhash64(F.col(id_col), lang, text).alias("rid"), F.col(id_col), lang.alias("lang"), text.alias("text"))
-    model = checkpoint(train(narrow))
-    slices = max(1, -(-model.count() // SLICE))
-    own = [model.filter(F.pmod("key", F.lit(slices)) == k) for k in range(slices)]
-    kind = narrow.schema[id_col].dataType.simpleString()
-    scored = checkpoint(scores(narrow, own[0], kind, id_col, True))
-    for weights in own[1:]:
-        more = scores(narrow, weights, kind, id_col, False).groupBy("rid").agg(F.max("logp").alias("more"))
-        scored = checkpoint(scored.join(more, "rid").withColumn("logp", F.col("logp") + F.col("more")).drop("more"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    through = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make floats of integers beside nulls
+    narrow = docs.select(F.xxhash64(F.col(id_col), lang, text).alias("rid"), F.col(id_col).cast(through).alias("id"), lang.alias("lang"), text.alias("text"))
+    scored = checkpoint(scores(narrow, checkpoint(train(narrow)), through, top))
     scored = scored.withColumn("log_perplexity", -F.col("logp") / F.greatest(F.col("n_chars"), F.lit(1))).drop("logp")
     scored = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    key = F.col("lang")
     out = by_language(scored, band_centres(scored), "left")
     half = WIDTH * F.coalesce(F.col("deviation"), F.lit(0.05)) + SHORT / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     centre = F.coalesce(F.col("centre"), F.col("log_perplexity"))
     out = out.withColumn("band_low", centre - half).withColumn("band_high", centre + half)
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("band_low"), F.col("band_high"))
-    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), key, "n_chars", "log_perplexity", "band_low", "band_high")
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "n_chars", "log_perplexity", "band_low", "band_high")
 
 
 def band_centres(scored: DataFrame) -> DataFrame:
