@@ -82,7 +82,7 @@ def class_id(s: np.ndarray) -> int:
     return int.from_bytes(fingerprint(s)[:8], "little", signed=True)
 
 
-def slices(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
+def slices(batch: pd.DataFrame, chars: int = 400_000) -> Iterator[pd.DataFrame]:
     for _, part in batch.groupby(batch["text"].str.len().fillna(0).cumsum() // chars, sort=False):
         yield part
 

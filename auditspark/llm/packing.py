@@ -67,7 +67,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = cached(("packing", path), lambda: Encoder(path))
         for batch in batches:
-            for _, part in batch.groupby(batch["text"].str.len().cumsum() // 1_000_000, sort=False):
+            for _, part in batch.groupby(batch["text"].str.len().cumsum() // 400_000, sort=False):
                 rows = [(d, i, a, min(capacity, len(x) - a), zlib.crc32(x[a : a + capacity].tobytes())) for d, x in zip(part["doc_id"], encode(list(part["text"])), strict=True) for i, a in enumerate(range(0, len(x), capacity))]
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield out

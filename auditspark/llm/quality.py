@@ -230,7 +230,7 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _chunks(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
+def _chunks(batch: pd.DataFrame, chars: int = 400_000) -> Iterator[pd.DataFrame]:
     size = batch["text"].str.len().cumsum() // chars
     for _, part in batch.groupby(size, sort=False):
         yield part

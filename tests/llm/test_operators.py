@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -114,9 +115,53 @@ def test_neighbours(spark):
         exact += 10
     assert set(got.query_id) == set(range(0, 600, 100)) and found >= 0.9 * exact
     few = neighbours.search(df.filter("vec_id < 4"), F.col("vec_id") == 0)
+    again = neighbours.search(df.unionByName(df.filter("vec_id < 40")).withColumn("part", F.lit(1)).withColumn("vec", F.lit("clash")), F.col("vec_id") % 100 == 0)
+    assert again.groupBy("query_id").count().filter("count NOT IN (10, 20)").count() == 0
     assert few.count() == 3 and neighbours.search(df.filter("vec_id >= 1000"), F.lit(True)).count() == 0
 
 
+def exact_neighbours(ids, x, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    d[ids == ids[q]] = np.inf
+    order = np.lexsort((ids, d))[:k]
+    return [(int(ids[j]), d[j]) for j in order if np.isfinite(d[j])]
+
+
+def test_neighbours_of_other_lengths(spark, monkeypatch):
+    """Vectors of rare lengths are searched exactly, over several blocks and groups; none is lost."""
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "QUERIES", 2)
+    rng = np.random.default_rng(3)
+    x = {d: rng.normal(size=(n, d)) for d, n in ((8, 90), (5, 40), (69, 30), (2, 1))}
+    rows, at = [], {}
+    for d, v in x.items():
+        at[d] = np.arange(len(rows), len(rows) + len(v))
+        rows += [(len(rows) + i, r.tolist()) for i, r in enumerate(v)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).toPandas()
+    for d in (5, 69):  # one bucket holds both
+        for q in range(len(x[d])):
+            if at[d][q] % 5 == 0:
+                mine = got[got.query_id == at[d][q]].sort_values("rank")
+                want = exact_neighbours(at[d], x[d], q)
+                assert list(mine.vec_id) == [w[0] for w in want] and np.allclose(mine.score, [w[1] for w in want], rtol=0, atol=1e-12)
+    assert got.groupby("query_id").size().eq(10).all() and set(got.query_id) == {i for i in range(160) if i % 5 == 0}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_neighbours_recall(spark, monkeypatch):
+    """Against exact search, over many partitions."""
+    monkeypatch.setattr(neighbours, "ROWS", 64)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = neighbours.search(df, F.col("vec_id") % 100 == 0).toPandas()
+    held = neighbours.valid(df, "vec_id", "embedding").toPandas()
+    ids, x = held["vec_id"].to_numpy(), np.stack(held["vec"].to_numpy())
+    found = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        want = {i for i, _ in exact_neighbours(ids, x, q)}
+        found, total = found + len(want & set(got[got.query_id == ids[q]].vec_id)), total + len(want)
+    assert neighbours.partitions(len(ids)) >= 32 and total >= 100 and found >= 0.93 * total
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -536,10 +581,10 @@ def test_joined_model_agrees_with_dense(spark):
         assert [got[k] for k in rules.grams("ru", [t])[0].tolist()] == pytest.approx(want, abs=1e-9)
 
 
-@pytest.mark.parametrize("room", [2_000_000, 300])
-def test_every_script_keeps_its_letters(spark, monkeypatch, room):
-    """Letters dealt anew within their parity are worse than prose; a model in slices gives the same."""
-    monkeypatch.setattr(rules, "SLICE", room)
+@pytest.mark.parametrize("top", [1_000_000, 300, 0])
+def test_every_script_keeps_its_letters(spark, top):
+    """Letters dealt anew within their parity are worse than prose, whether n-grams are sent to the tasks or
+    joined."""
     rng, rows = random.Random(8), []
     for lang, first in (("ru", 0x430), ("zh", 0x4E00)):
         letters = [chr(first + i) for i in range(30)]
@@ -550,7 +595,12 @@ def test_every_script_keeps_its_letters(spark, monkeypatch, room):
             if i >= 55:
                 text = "".join(c if c == " " else rng.choice(swap[(ord(c) - first) % 2]) for c in text)
             rows.append((i, text, lang))
-    got = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string")
+    got = rules.apply_rules(docs, top=top).toPandas()
+    model = {r["key"]: r["logp"] for r in rules.train(docs).collect()}
+    for r in got.itertuples():
+        lang, text = r.lang, next(t for i, t, of in rows if i == r.doc_id and of == r.lang)
+        assert r.log_perplexity == pytest.approx(-math.fsum(model[k] for k in rules.grams(lang, [text])[0].tolist()) / len(text), abs=1e-9)
     for lang in ("ru", "zh"):
         mine = got[got.lang == lang]
         assert mine[mine.doc_id >= 55].log_perplexity.min() > 1.2 * mine[mine.doc_id < 55].log_perplexity.max()
