@@ -110,12 +110,12 @@ def normalised(spark, sf_dir):
 @query(
     "normalised_ledger",
     f"""WITH {RAW_SQL} SELECT id AS _src_row, 'X' || id AS expense_id, CASE WHEN id % 2 = 0 THEN 'E' ELSE 'Name ' END || o_custkey AS employee_id, CAST(day AS VARCHAR) AS expense_date, round(r.o_totalprice + CASE WHEN id % 3 = 0 THEN 0.25 ELSE 0 END, 6) AS amount,
-    CASE WHEN id % 5 = 0 THEN 'USD' ELSE 'CNY' END AS currency, CASE WHEN id % 4 > 0 THEN round((r.o_totalprice + CASE WHEN id % 3 = 0 THEN 0.25 ELSE 0 END) / (id % 4), 2) ELSE -1 END AS unit_price
+    CASE WHEN id % 5 = 0 THEN 'USD' ELSE 'CNY' END AS currency, CASE WHEN id % 4 > 0 THEN floor((r.o_totalprice + CASE WHEN id % 3 = 0 THEN 0.25 ELSE 0 END) / (id % 4)) ELSE -1 END AS unit_price
     FROM r JOIN orders ON id = o_orderkey WHERE NOT (no_id OR no_staff OR no_day OR no_amount)""",
 )
 def normalised_ledger(spark, sf_dir):
     clean, _ = normalised(spark, sf_dir)
-    return clean.select("_src_row", "expense_id", "employee_id", F.col("expense_date").cast("string").alias("expense_date"), "amount", "currency", F.coalesce(F.round("unit_price", 2), F.lit(-1.0)).alias("unit_price"))
+    return clean.select("_src_row", "expense_id", "employee_id", F.col("expense_date").cast("string").alias("expense_date"), "amount", "currency", F.coalesce(F.floor("unit_price").cast("double"), F.lit(-1.0)).alias("unit_price"))
 
 
 @query(

@@ -12,7 +12,7 @@ _WORDS = {
 LEDGER = {
     "_src_row": "o_orderkey",
     "expense_id": "CAST(o_orderkey AS STRING)",
-    "employee_id": "CAST(o_custkey AS STRING)",
+    "employee_id": "CAST(CAST(floor(o_custkey / 5) AS BIGINT) AS STRING)",
     "employee_name": "'name ' || o_custkey",
     "department": "'dept ' || (o_custkey % 7)",
     "expense_type": "CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'hotel' WHEN o_orderkey % 11 = 1 THEN 'flight' ELSE o_orderpriority END",
@@ -21,8 +21,8 @@ LEDGER = {
     "expense_date": "CAST(o_orderdate AS DATE)",
     "submit_date": "days(CAST(o_orderdate AS DATE); o_orderkey % 130 - 5)",
     "vendor_name": "'Vendor ' || (o_orderkey % 40)",
-    "invoice_number": "CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN 'X@#' || o_orderkey ELSE 'INV' || lpad(CAST(o_orderkey * 7 % 300 AS STRING), 6, '0') END",
-    "approver": "CASE WHEN o_orderkey % 50 = 0 THEN 'boss; ' || o_custkey WHEN o_orderkey % 3 = 0 THEN 'Team Lead' ELSE 'director' END",
+    "invoice_number": "CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 97 = 0 THEN 'X@#' || o_orderkey WHEN o_orderkey % 10 < 3 THEN 'INV' || lpad(CAST(o_orderkey * 7 % 300 AS STRING), 6, '0') ELSE 'N' || lpad(CAST(CAST(floor(o_orderkey / 40) AS BIGINT) AS STRING), 9, '0') END",
+    "approver": "CASE WHEN o_orderkey % 50 = 0 THEN 'boss; ' || CAST(floor(o_custkey / 5) AS BIGINT) WHEN o_orderkey % 3 = 0 THEN 'Team Lead' ELSE 'director' END",
     "pnr": "'P' || (o_orderkey % 5000)",
     "ticket_number": "'T-' || (o_orderkey % 12000)",
     "issue_date": "days(CAST(o_orderdate AS DATE); o_orderkey % 9 - 6)",
@@ -36,7 +36,7 @@ LEDGER = {
     "item": "'item ' || (o_orderkey % 25)",
     "unit": "CAST(NULL AS STRING)",
     "unit_price": "CAST(NULL AS DOUBLE)",
-    "status": "CASE WHEN o_orderkey % 20 = 0 THEN 'Rejected' ELSE 'approved' END",
+    "status": "CASE WHEN o_orderkey % 23 = 0 THEN 'Rejected' ELSE 'approved' END",
     "depart_at": "hours(o_orderdate; o_orderkey % 24)",
     "arrive_at": "hours(o_orderdate; o_orderkey % 24 + 5)",
     "check_out_at": "hours(o_orderdate; 12)",

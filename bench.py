@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from auditspark import catalogue
 
-HEADLINE = ("dup_person_day", "exact_duplicate_employee_date_amount", "split_expense", "robust_outlier", "sequential_invoice", "space_time_conflict", "high_frequency_small_amount", "near_duplicate_days", "price_outlier", "buyer_vendor_concentration", "process_order", "shipment_amount_mismatch", "price_above_reference", "segment_overlap", "timeline", "purchase_graph", "sql_duplicate_invoice")
+HEADLINE = ("all_expense_findings", "dup_person_day", "exact_duplicate_employee_date_amount", "split_expense", "robust_outlier", "sequential_invoice", "space_time_conflict", "high_frequency_small_amount", "near_duplicate_days", "price_outlier", "buyer_vendor_concentration", "process_order", "shipment_amount_mismatch", "price_above_reference", "segment_overlap", "timeline", "purchase_graph", "sql_duplicate_invoice")
 
 
 def main() -> None:
