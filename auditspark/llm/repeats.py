@@ -59,7 +59,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> pd.DataFrame:
     return pd.DataFrame({"i": i, "anchor": value[p].view(np.int64), "p": p - begin[i], "lo": lo - begin[i], "hi": hi - begin[i], "seg": seg.view(np.int64)})
 
 
-def slices(batch: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def slices(batch: pd.DataFrame, chars: int = 500_000) -> Iterator[pd.DataFrame]:
     for _, part in batch.groupby(batch["text"].str.len().cumsum() // chars, sort=False):
         yield part
 
@@ -149,18 +149,22 @@ def split_hot(rows: DataFrame, hot_rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rows(rid, text) -> (rid, spans): the byte spans (a, b) of windows that also start elsewhere.
 
-    Only windows whose anchor occurs twice can repeat. Equal segments are counted before anything is
-    shuffled: both repeat whole. Where one anchor has several different segments, one text of each
-    goes into a collection for column-wise construction, about COLLECTION a task."""
+    Only windows whose anchor occurs twice can repeat. Equal segments of an anchor repeat whole; those of
+    its most frequent segment are known as such when occurrences meet their anchor. Where segments differ,
+    one text of each goes into a collection for column-wise construction, about COLLECTION a task."""
     spark = rows.sparkSession
     places = occurrences(rows, length, gram)
     # Stored apart from its aggregation, so that the join can split a hot anchor's rows over tasks.
-    twice = checkpoint(places.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"))
-    held = checkpoint(places.join(twice, "anchor").select("rid", "anchor", "p", "lo", "hi", "seg"))
+    usual = F.max(F.struct("copies", "seg"))
+    twice = places.groupBy("anchor", "seg").agg(F.count("*").alias("copies")).groupBy("anchor").agg(F.sum("copies").alias("k"), usual.alias("usual")).filter("k > 1")
+    twice = checkpoint(twice.select("anchor", F.when(F.col("usual.copies") > 1, F.col("usual.seg")).alias("usual"), (F.col("usual.copies") == F.col("k")).alias("alike")))
+    whole_ = F.coalesce(F.col("seg") == F.col("usual"), F.lit(False))
+    found = checkpoint(places.join(twice, "anchor").select("rid", "anchor", "p", "lo", "hi", "seg", "alike", whole_.alias("whole")))
+    held = found.filter("NOT alike").drop("alike")
     kinds = held.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("kinds"))
     hot = checkpoint(kinds.filter(F.col("kinds") > HOT).select("anchor"))
     if not hot.isEmpty():
-        apart = split_hot(rows, held.join(hot, "anchor"), length)
+        apart = split_hot(rows, held.join(hot, "anchor"), length).withColumn("whole", F.lit(False))
         held = checkpoint(held.join(hot, "anchor", "left_anti").unionByName(apart))
         kinds = held.select("anchor", "seg").distinct().groupBy("anchor").agg(F.count("*").alias("kinds"))
 
@@ -197,7 +201,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     matched = checkpoint(texts.repartition(parts, "anchor").mapInPandas(construct, "anchor long, seg long, a int, b int"))
     copied = segments.filter("copies > 1").select("anchor", "seg")
-    whole = held.join(copied, ["anchor", "seg"], "left_semi").select("rid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    whole = found.filter("whole").select("rid", "lo", "hi").unionByName(held.filter("NOT whole").join(copied, ["anchor", "seg"], "left_semi").select("rid", "lo", "hi"))
+    whole = whole.select("rid", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     partly = held.join(matched, ["anchor", "seg"]).select("rid", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b") + length).alias("b"))
     return whole.unionByName(partly).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
