@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditspark.functions import contains_any, match_key, weekday_of
-from auditspark.plans import Policy, Registry, members
+from auditspark.plans import Policy, Registry, members, settled
 
 EXPENSE = Registry()
 rule = EXPENSE.rule
@@ -96,10 +96,9 @@ def near_duplicate_pairs(e: DataFrame, p: Policy) -> DataFrame:
 @rule("near-duplicate", 2, "moderate", needs=("vendor_name",))
 def near_duplicate(e: DataFrame, p: Policy) -> DataFrame:
     """One finding of all rows in some pair, if they are three or more."""
-    pairs = near_duplicate_pairs(e, p)
-    rows = pairs.select(F.col("row_a").alias("_src_row")).union(pairs.select("row_b")).distinct()
+    rows = near_duplicate_pairs(e, p).select(F.explode(F.array("row_a", "row_b")).alias("_src_row")).distinct()
     hit = members(e.join(rows, "_src_row", "left_semi"))
-    return hit.filter(hit.agg(F.count("*")).scalar() >= 3)
+    return hit.filter(rows.agg(F.count("*")).scalar() >= 3)
 
 
 @rule("policy-threshold", 3, "strong", needs=("expense_type",))
@@ -220,26 +219,29 @@ def medians(hist: DataFrame, keys: list[str], value: str, name: str) -> DataFram
     return at.groupBy(*keys).agg((0.5 * F.min(F.when(holds(low), v)) + 0.5 * F.min(F.when(holds(high), v))).alias(name))
 
 
-def on_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a joined with the other columns of b, a row for each group; null keys are equal."""
-    right = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return a.join(right, same).drop(*[f"_k{i}" for i in range(len(keys))])
+#: Rows of a group whose values one task may hold; medians of larger groups come from histograms.
+GROUP = 100_000
 
 
 def robust_outliers(e: DataFrame, keys: list[str], value: str, least: int = 5, z: float = 3.5, flat_ratio: float | None = None) -> DataFrame:
     """Rows far above the median of their group: 0.6745 (x - median) / MAD above z, the MAD not 0; with
-    flat_ratio, groups of MAD 0 give rows of so many times the group's least. Adds _median, _mad, _z.
-    Both medians come from one histogram of the groups, which is counted before any shuffle."""
-    hist = e.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    size = hist.groupBy(*keys).agg(F.sum("_n").alias("_size"), F.min(value).alias("_least")).filter(F.col("_size") >= least)
-    hist = on_keys(hist, size.select(*keys, "_size"), keys).drop("_size")
-    known = on_keys(size, medians(hist, keys, value, "_median"), keys)
-    away = on_keys(hist, known.select(*keys, "_median"), keys).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
-    known = on_keys(known, medians(away.groupBy(*keys, "_away").agg(F.sum("_n").alias("_n")), keys, "_away", "_mad"), keys)
-    scored = on_keys(e, known, keys).withColumn("_z", F.when(F.col("_mad") != 0, 0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad")))
+    flat_ratio, groups of MAD 0 give rows of so many times the group's least. Adds _median, _mad, _z. Null keys
+    are equal. Groups are counted first; those of up to GROUP rows have their medians taken in a task, larger
+    ones by medians()."""
+    by = [f"_by{i}" for i in range(len(keys))]
+    e = e.withColumns({b: F.concat(F.col(k).isNull().cast("string"), F.coalesce(F.col(k).cast("string"), F.lit(""))) for b, k in zip(by, keys, strict=True)})
+    size = settled(e.groupBy(*by).agg(F.count("*").alias("_size"), F.min(value).alias("_least")).filter(F.col("_size") >= least))
+    small = e.join(size.filter(F.col("_size") <= GROUP), by)
+    small = small.join(small.groupBy(*by).agg(F.median(value).alias("_median")), by)
+    small = small.join(small.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("_median"))).alias("_mad")), by)
+    scored, hot = small, size.filter(F.col("_size") > GROUP)
+    if not hot.isEmpty():
+        large = e.join(hot, by)
+        hist = settled(large.groupBy(*by, value).agg(F.count("*").alias("_n")))
+        middle = settled(medians(hist, by, value, "_median"))
+        away = hist.join(middle, by).groupBy(*by, F.abs(F.col(value) - F.col("_median")).alias("_away")).agg(F.sum("_n").alias("_n"))
+        scored = small.unionByName(large.join(middle, by).join(medians(away, by, "_away", "_mad"), by))
+    scored = scored.drop(*by).withColumn("_z", F.when(F.col("_mad") != 0, 0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad")))
     hit = F.coalesce(F.col("_z") > z, F.lit(False))
     if flat_ratio is not None:
         hit = hit | ((F.col("_mad") == 0) & (F.col(value) >= flat_ratio * F.col("_least")) & (F.col("_least") > 0))

@@ -5,6 +5,7 @@ _src_row and amount. A finding that covers a large share of a ledger so never ga
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -82,10 +83,9 @@ def run_rules(registry: Registry, ledger: DataFrame, policy: Policy) -> tuple[Da
     if tests:
         hit = ledger.select("_src_row", F.col("amount").cast("double").alias("amount"), F.explode(F.array_compact(F.array(*tests))).alias("hit"))
         out.append(hit.select("hit.*", "_src_row", "amount"))
-    whole = out[0]
-    for rows in out[1:]:
-        whole = whole.unionByName(rows)
-    return whole, notes
+    while len(out) > 1:  # pairs of pairs, as each union looks through all it holds
+        out = [a.unionByName(b) for a, b in zip(out[::2], out[1::2], strict=False)] + out[len(out) // 2 * 2 :]
+    return out[0], notes
 
 
 def priority(score) -> F.Column:
@@ -101,10 +101,22 @@ def adjusted(score, strength, amount, large: float = 5000.0) -> F.Column:
 CELL = 100_000
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, so that long plans are run, and planned, once. Only a local
+    session without that setting (tests) gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, groups: list[str], position: str, order: list[str], name: str) -> DataFrame:
     """df with `name`, 1 for the first row in the order of groups, position and order. Rows are numbered in cells
     of CELL positions and shifted by the rows of the cells before, so only counts of cells meet in one task."""
-    celled = df.withColumn("_cell", F.floor(F.col(position) / CELL))
+    celled = settled(df.withColumn("_cell", F.floor(F.col(position) / CELL)))
     counts = celled.groupBy(*groups, "_cell").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy(*groups, "_cell").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(*groups, "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -115,7 +127,7 @@ def numbered(df: DataFrame, groups: list[str], position: str, order: list[str],
 def findings(rows: DataFrame, policy: Policy, prefix: str = "EXP", adjust: bool = True) -> DataFrame:
     """One row per finding from member rows: id in the order of rules and first rows, counts, score and
     priority."""
-    found = rows.groupBy("rule_order", "finding_type", "score", "strength", "finding_key").agg(F.count("*").alias("n_rows"), F.max("amount").alias("max_amount"), F.min("_src_row").alias("first_row"))
+    found = settled(rows.groupBy("rule_order", "finding_type", "score", "strength", "finding_key").agg(F.count("*").alias("n_rows"), F.max("amount").alias("max_amount"), F.min("_src_row").alias("first_row")))
     scored = found.withColumn("risk_score_base", F.col("score"))
     if adjust:
         scored = scored.withColumn("score", adjusted(F.col("score"), F.col("strength"), F.col("max_amount"), float(policy.get("large_amount_threshold", 5000))))

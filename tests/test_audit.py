@@ -131,7 +131,7 @@ def test_parity_of_rules(spark):
     assert not expense.approval_coverage(e.withColumn("approver", F.lit("E1"))).first()["hint"]
 
 
-def test_windows_and_medians_against_plain_python(spark):
+def test_windows_and_medians_against_plain_python(spark, monkeypatch):
     import itertools
     import random
     import statistics
@@ -154,6 +154,11 @@ def test_windows_and_medians_against_plain_python(spark):
         hist = spark.createDataFrame([("g", None, v) for v in values[:k]] + [("h", "x", 3.0)], "a string, b string, v double").groupBy("a", "b", "v").agg(F.count("*").alias("_n"))
         got = {r["a"]: r["m"] for r in expense.medians(hist, ["a", "b"], "v", "m").collect()}
         assert got == {"g": pytest.approx(statistics.median(values[:k])), "h": 3.0}
+    rows = spark.createDataFrame([(i, rng.choice(["g", "h", None]), round(rng.lognormvariate(3, 1), 1)) for i in range(400)], "i long, k string, v double")
+    outliers = lambda: sorted((r["i"], round(r["_z"], 9)) for r in expense.robust_outliers(rows, ["k"], "v", 5, 2.0).collect())
+    plain = outliers()
+    monkeypatch.setattr(expense, "GROUP", 50)
+    assert outliers() == plain and plain and any(r["k"] is None for r in rows.filter(F.col("i").isin([i for i, _ in plain])).collect())
     spans = [(i, "A", *sorted([rng.randint(0, 40), rng.randint(0, 40)], reverse=i % 7 == 0)) for i in range(40)]
     at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
     df = spark.createDataFrame([(i, k, at(a), at(b)) for i, k, a, b in spans], "_src_row long, k string, s timestamp, e timestamp")
