@@ -225,7 +225,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     Every byte covered by a `length`-byte string that also starts anywhere else is removed, judged on the
     input. Null text is empty (with keep_columns it stays null). Repeated rows are each other's
     copies and lose all that is long enough. Bytes are cut where they are; kept_text drops the halves
-    of characters that a cut leaves. Shorter texts stay whole; an empty table gives no row."""
+    of characters that a cut leaves. Shorter texts stay whole; ids, null ones too, pass unchanged; an empty
+    table gives no row."""
     key = F.xxhash64(docs[id_col], docs[text_col])
     rows = docs.select(key.alias("rid"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     spans = checkpoint(repeated_spans(rows.filter(F.octet_length("text") >= length), length, gram))
@@ -241,7 +242,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         text = F.when(F.col("_spans").isNull(), F.col(f"_row.{text_col}")).otherwise(cut(F.col(f"_row.{text_col}"), F.col("_spans")))
         return both.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
-    source = docs.select(docs[id_col].alias("doc_id"), key.alias("rid"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(spans, "rid", "left").drop("rid")
+    kind = docs.schema[id_col].dataType.simpleString()
+    through = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make floats of integers beside nulls
+    source = docs.select(docs[id_col].cast(through).alias("doc_id"), key.alias("rid"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(spans, "rid", "left").drop("rid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,8 +256,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     out.append((doc, len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in cuts], kept.decode("utf-8", "ignore")))
                 yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>, kept_text string")
+    out = source.mapInPandas(run, f"doc_id {through}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>, kept_text string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def without(data: bytes, cuts: list[tuple[int, int]]) -> bytes:

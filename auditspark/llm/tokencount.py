@@ -137,8 +137,11 @@ def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "do
 
     Only the two named columns are read. A null text counts as empty: 0 bytes, 0 tokens. Special
     strings inside a text are one token each, as the library's default has it. Whole texts count,
-    however long; repeated rows count each by itself; an empty table gives no row."""
-    narrow = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    however long; repeated rows count each by itself; ids, null ones too, pass unchanged; an empty table
+    gives no row."""
+    kind = df.schema[id_col].dataType.simpleString()
+    through = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make floats of integers beside nulls
+    narrow = df.select(F.col(id_col).cast(through).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = cached(("tokencount", path), lambda: Counter(path))
@@ -148,7 +151,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, id_col: str = "do
             out = pd.DataFrame({id_col: batch[id_col], "n_bytes": size, "n_tokens": n})
             yield out.assign(over_limit=out["n_tokens"] > limit)
 
-    return narrow.mapInPandas(run, f"`{id_col}` {narrow.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return narrow.mapInPandas(run, f"`{id_col}` {through}, n_bytes long, n_tokens long, over_limit boolean").withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
 
 
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

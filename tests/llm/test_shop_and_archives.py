@@ -287,3 +287,29 @@ def test_words_outside_repeated_grams_are_masked():
     assert list(zip(start.tolist(), end.tolist(), strict=True)) == [(100, 120), (1000, 1015), (2015, 2035)]
     two = np.repeat([0, 1], [2015, 20])  # the second copy is another document's
     assert [s for s in periodic.segments(ids, two, 12)[0].tolist()] == [1000]
+
+
+# --- ids beside nulls ----------------------------------------------------------------------------
+
+
+def test_large_ids_beside_nulls(spark):
+    """Every operator on documents gives back ids that no double holds, also where a batch has null ids."""
+    import public_tokenizers
+
+    from auditspark.llm import jaccard, lm, mixing, packing, repeats, rules, tokencount
+
+    big, text = 2**53 + 1, " ".join(f"w{i}" for i in range(150))
+    docs = spark.createDataFrame([(None, text, "en", "s"), (big, text, "en", "s"), (big + 2, None, "en", None)], "doc_id long, text string, lang string, source string").coalesce(1)
+    ways = {
+        "tokens": lambda d: tokencount.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json")),
+        "pack": lambda d: packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json")),
+        "repeats": repeats.remove_repeats,
+        "repeats with columns": lambda d: repeats.remove_repeats(d, keep_columns=True),
+        "mix": mixing.mixed,
+        "join": jaccard.join_documents,
+        "rules": rules.apply_rules,
+        "lm": lambda d: lm.score_documents(d, public_tokenizers.path("piece_bpe_32k.model")),
+        "runs": periodic.find_runs,
+    }
+    for name, way in ways.items():
+        assert {r["doc_id"] for r in way(docs).collect()} == {None, big, big + 2}, name
