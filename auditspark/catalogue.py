@@ -62,10 +62,10 @@ def by_finding(rows: DataFrame) -> DataFrame:
     return rows.groupBy("finding_key").agg(F.min("_src_row").alias("first_row"), F.count("*").alias("n_rows"), F.max("amount").alias("max_amount")).drop("finding_key")
 
 
-def expense_rule(finding_type: str, sql: str) -> None:
+def expense_rule(finding_type: str, sql: str, **policy) -> None:
     """A query of a ledger rule: its findings with first row, rows and largest amount."""
     rule = EXPENSE.rules[finding_type]
-    query(finding_type.replace("-", "_"), f"WITH {LEDGER_SQL} {sql}")(lambda spark, sf_dir: by_finding(rule.rows(ledger(spark, sf_dir), POLICY)))
+    query(finding_type.replace("-", "_"), f"WITH {LEDGER_SQL} {sql}")(lambda spark, sf_dir: by_finding(rule.rows(ledger(spark, sf_dir), POLICY | policy)))
 
 
 def grouped(keys: str, having: str = "COUNT(*) > 1", where: str = "TRUE") -> str:
@@ -134,7 +134,7 @@ expense_rule("lodging-night-mismatch", each("expense_type = 'hotel' AND check_ou
 _said = "CASE _src_row % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 7 WHEN 7 THEN 7 END"
 expense_rule("weekday-mismatch", each(f"{_said} <> isodow(expense_date)"))
 expense_rule("row-limit-exceeded", each("row_limit > 0 AND amount > row_limit"))
-expense_rule("checkout-before-transport", """SELECT LEAST(m._src_row, h._src_row) AS first_row, CASE WHEN m._src_row = h._src_row THEN 1 ELSE 2 END::BIGINT AS n_rows, GREATEST(m.amount, h.amount) AS max_amount FROM e m JOIN e h ON h.employee_id = m.employee_id AND h.dest_city = m.origin_city AND m.depart_at < h.check_out_at WHERE m.expense_type = 'flight'""")
+expense_rule("checkout-before-transport", """SELECT LEAST(m._src_row, h._src_row) AS first_row, CASE WHEN m._src_row = h._src_row THEN 1 ELSE 2 END::BIGINT AS n_rows, GREATEST(m.amount, h.amount) AS max_amount FROM e m JOIN e h ON h.employee_id = m.employee_id AND h.dest_city = m.origin_city AND m.depart_at < h.check_out_at WHERE m.expense_type = 'flight'""", all_pairs=True)
 expense_rule("segment-overlap", """SELECT LEAST(a._src_row, b._src_row) AS first_row, CAST(2 AS BIGINT) AS n_rows, GREATEST(a.amount, b.amount) AS max_amount FROM e a JOIN e b ON a.employee_id = b.employee_id AND a._src_row < b._src_row AND a.depart_at < b.arrive_at AND b.depart_at < a.arrive_at
     WHERE a.expense_type = 'flight' AND b.expense_type = 'flight'""")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditspark import functions as fn
@@ -9,7 +11,7 @@ from auditspark import sources
 from auditspark.catalogue import ISSUES, LEDGER_SQL, ORDERS_SQL, POLICY, case_tables, company_graph, employees, ledger, orders, query, vendors
 from auditspark.operators import casework, expense, external, procurement, relations, scoring
 from auditspark.operators.expense import EXPENSE
-from auditspark.plans import Registry, allow_list, entities, evidence, evidence_refs, findings, members, run_rules, suppressed
+from auditspark.plans import Registry, allow_list, entities, evidence, evidence_refs, findings, members, run_rules, shared_folder, suppressed
 from auditspark.sources import cases, reports, tables
 
 
@@ -382,3 +384,21 @@ def case_entities(spark, sf_dir):
 def first_orders(spark, sf_dir):
     """The first order of each buyer, first in source order on one day."""
     return external.first_per_key(orders(spark, sf_dir), ["buyer"], [F.col("order_date"), F.col("_src_row")]).select("buyer", F.col("order_date").cast("string").alias("first_day"))
+
+
+@query(
+    "stay_conflicts",
+    f"""WITH {LEDGER_SQL} SELECT h._src_row AS stay, COUNT(*) AS n_journeys, FIRST(m._src_row ORDER BY m.depart_at DESC, m._src_row) AS journey FROM e m JOIN e h ON h.employee_id = m.employee_id AND h.dest_city = m.origin_city AND m.depart_at < h.check_out_at WHERE m.expense_type = 'flight' GROUP BY 1""",
+)
+def stay_conflicts(spark, sf_dir):
+    return expense.stay_conflicts(ledger(spark, sf_dir))
+
+
+@query("quoted_csv", "SELECT doc_id, lang, source, md5(regexp_replace(coalesce(text, ''), '\r+\n', '\n', 'g')) AS text_md5 FROM documents")
+def quoted_csv(spark, sf_dir):
+    """The documents, written as CSV with quoted line breaks and read by ranges."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = sources.read_delimited(spark, path)
+    return back.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "lang", "source", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))

@@ -123,32 +123,57 @@ def policy_threshold(e: DataFrame, p: Policy) -> DataFrame:
 CELL = 64
 
 
+#: Source rows of one day and group that are scanned together.
+STRETCH = 1 << 18
+
+
+def same_group(keys: list[str]) -> F.Column:
+    """One text for each combination of keys; null keys are equal."""
+    return F.to_json(F.struct(*keys))
+
+
 def split_windows(e: DataFrame, keys: list[str], limit: float, span: int, distinct: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(starts, numbered). starts: the rows from which the rows of their group within `span` days, themselves
     included, in date then row order, are two or more, each under the limit, together above it, and of two
     known `distinct` values or more; with _rn, the place in the group, _end, the last row's, n_rows and total.
 
-    Every figure of a window is a difference of running figures at its two ends, so no frame is collected."""
-    order = ["expense_date", "_src_row"]
-    rows = Window.partitionBy(*keys).orderBy(*order)
-    upto = rows.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(day()).rangeBetween(Window.unboundedPreceding, span)
-    money = F.col("amount").cast("decimal(18,2)")
-    large = (F.col("amount") >= limit).cast("long")
-    w = e.withColumn("_rn", F.row_number().over(rows)).withColumn("_sum", F.sum(money).over(upto)).withColumn("_large", F.sum(large).over(upto))
+    Every figure of a window is a difference of running figures at its two ends, so no frame is collected. The
+    figures run in two levels: rows within a cell, a day of a group and at most STRETCH source rows of it, and cells
+    within their group, of which there are as many as days. So a group that holds much of a ledger is dealt over
+    tasks by its days."""
+    own = ["_group", "_day", "_cell"]
+    money, large = F.col("amount").cast("decimal(18,2)"), (F.col("amount") >= limit).cast("long")
+    rows = e.withColumn("_group", same_group(keys)).withColumn("_day", day()).withColumn("_cell", F.floor(F.col("_src_row") / STRETCH)).filter("_day IS NOT NULL")
+    inner = Window.partitionBy(*own).orderBy("_src_row")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    w = rows.withColumn("_rn", F.row_number().over(inner)).withColumn("_sum", F.sum(money).over(upto)).withColumn("_large", F.sum(large).over(upto))
+    figures = [F.count("*").alias("n"), F.sum(money).alias("s"), F.sum(large).alias("l")]
     if distinct:  # a window holds two values if the known value changes between two of its rows
-        before = F.last(distinct, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
-        w = w.withColumn("_turn", F.coalesce((F.col(distinct) != before).cast("long"), F.lit(0)))
-        w = w.withColumn("_turns", F.sum("_turn").over(upto))
-        back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        seen = F.last(distinct, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1))
+        w = w.withColumn("_turn", F.coalesce((F.col(distinct) != seen).cast("long"), F.lit(0))).withColumn("_turns", F.sum("_turn").over(upto))
+        back = Window.partitionBy(*own).orderBy(F.desc("_src_row")).rowsBetween(Window.unboundedPreceding, 0)
         w = w.withColumn("_from", F.last(F.when(F.col(distinct).isNotNull(), F.col("_turns")), ignorenulls=True).over(back))
-    w = w.withColumn("_end", F.count("*").over(ahead)).withColumn("_sum_end", F.sum(money).over(ahead)).withColumn("_large_end", F.sum(large).over(ahead))
-    w = w.withColumn("n_rows", (F.col("_end") - F.col("_rn") + 1).cast("int")).withColumn("total", (F.col("_sum_end") - F.col("_sum") + money).cast("decimal(28,2)"))
-    good = (F.col("n_rows") >= 2) & (F.col("total") > limit) & (F.col("_large_end") - F.col("_large") + large == 0)
+        known = F.when(F.col(distinct).isNotNull(), F.col("_src_row"))
+        figures += [F.sum("_turn").alias("t"), F.min_by(distinct, known).alias("first"), F.max_by(distinct, known).alias("last")]
+    cells = (w if distinct else rows).groupBy(*own).agg(*figures)
+    order = Window.partitionBy("_group").orderBy("_day", "_cell")
+    before, ahead = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_group").orderBy("_day").rangeBetween(Window.unboundedPreceding, span)
+    sums = ["n", "s", "l"]
     if distinct:
-        w = w.withColumn("_turns_end", F.sum("_turn").over(ahead))
-        good = good & (F.col("_turns_end") > F.col("_from"))
-    return w.filter(good), w.select(*keys, "_rn", "_src_row", "amount")
+        cells = cells.withColumn("edge", F.coalesce((F.col("first") != F.last("last", ignorenulls=True).over(before)).cast("long"), F.lit(0))).withColumn("t", F.col("t") + F.col("edge"))
+        sums.append("t")
+    cells = cells.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums], *[F.sum(c).over(ahead).alias(f"{c}_ahead") for c in sums])
+    if distinct:
+        at_first = F.when(F.col("first").isNotNull(), F.col("t_before") + F.col("edge"))
+        cells = cells.withColumn("next", F.first(at_first, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    w = w.join(cells.drop("n", "s", "l", "t", "first", "last"), own)
+    w = w.withColumn("_rn", F.col("_rn") + F.col("n_before")).withColumn("_end", F.col("n_ahead")).withColumn("n_rows", (F.col("_end") - F.col("_rn") + 1).cast("int"))
+    w = w.withColumn("total", (F.col("s_ahead") - F.col("s_before") - F.col("_sum") + money).cast("decimal(28,2)"))
+    good = (F.col("n_rows") >= 2) & (F.col("total") > limit) & (F.col("l_ahead") - F.col("l_before") - F.col("_large") + large == 0)
+    if distinct:
+        good = good & (F.col("t_ahead") > F.coalesce(F.col("t_before") + F.col("edge") + F.col("_from"), F.col("next")))
+    kept = [*e.columns, "_rn", "_end", "n_rows", "total"]
+    return w.filter(good).select(*kept), w.select(*keys, "_rn", "_src_row", "amount")
 
 
 def window_rows(starts: DataFrame, numbered: DataFrame, keys: list[str]) -> DataFrame:
@@ -255,26 +280,58 @@ def outlier(e: DataFrame, p: Policy) -> DataFrame:
     return members(rows.filter((F.col("amount") < float(p.get("large_amount_threshold", 5000))) & (F.col("amount") >= float(p.get("outlier_min_amount", 0) or float("-inf")))), "_src_row")
 
 
+#: Numbers of a group that are scanned together.
+NUMBERS = 1 << 10
+
+
+def number_runs(rows: DataFrame, row: F.Column) -> DataFrame:
+    """rows(_group, _no) as (_group, run, _no, base, row): the rows in runs of numbers that rise by one, run being the
+    first number, of two numbers or more. A number that several rows have ends a run with the least of them and
+    begins one with the largest.
+
+    Rows become one for each number, which knows whether the numbers beside it are there; others are left out.
+    The first number of a run is looked up in the number's stretch of NUMBERS; where a run enters a stretch from the
+    one before, it is carried over the stretches' edges, for which only stretches stand that a run crosses."""
+    no = F.col("_no")
+    step = lambda n, role, held: F.struct(n.cast("decimal(38,0)").alias("no"), F.lit(role).alias("role"), held.alias("row"))
+    none = F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType)
+    marks = rows.select("_group", F.explode(F.array(step(no, 0, row), step(no + 1, 1, none), step(no - 1, 2, none))).alias("m")).select("_group", F.col("m.no").alias("_no"), "m.role", "m.row")
+    n = marks.groupBy("_group", "_no").agg(F.count(F.when(F.col("role") == 0, 1)).alias("n"), F.bool_or(F.col("role") == 1).alias("after"), F.bool_or(F.col("role") == 2).alias("goes_on"), F.min("row").alias("low"), F.max("row").alias("high"))
+    n = n.filter((F.col("n") > 0) & (F.col("after") | F.col("goes_on"))).withColumn("base", (no - no % NUMBERS).cast("decimal(38,0)"))
+    n = n.withColumn("begins", F.when((F.col("n") > 1) | ~F.col("after"), no))
+    edges = n.groupBy("_group", "base").agg(F.max("begins").alias("held"), F.bool_or((no == F.col("base")) & F.col("after")).alias("enters"), F.bool_or((no == F.col("base") + (NUMBERS - 1)) & F.col("goes_on")).alias("leaves"))
+    order = Window.partitionBy("_group").orderBy("base").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.filter("enters OR leaves").withColumn("carried", F.last("held", ignorenulls=True).over(order)).filter("enters").select("_group", "base", "carried")
+    inner = Window.partitionBy("_group", "base").orderBy("_no")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    n = n.join(carried, ["_group", "base"], "left").withColumn("run", F.coalesce(F.last("begins", ignorenulls=True).over(upto), F.col("carried")))
+    arrives = F.when((F.col("n") > 1) & F.col("after"), F.struct(F.coalesce(F.lag("run").over(inner), F.col("carried")).alias("run"), F.col("low").alias("row")))
+    both = n.withColumn("arrives", arrives).select("_group", "_no", "base", F.explode(F.array_compact(F.array(F.struct("run", F.col("high").alias("row")), F.col("arrives")))).alias("x"))
+    return both.select("_group", "x.run", "_no", "base", "x.row")
+
+
 @rule("sequential-invoice", 3, "moderate", needs=("invoice_number", "vendor_name"))
 def sequential_invoice(e: DataFrame, p: Policy) -> DataFrame:
     """In each vendor and currency, the first invoices, three or more, whose numbers rise by one up to the end of
     their run and that are dated within sequential_invoice_window_days. A number that repeats ends a run.
 
-    Numbers without a neighbour are left out before the runs are numbered."""
+    Counts and dates from a row to the end of its run are those in its stretch of numbers and those of the stretches
+    behind, so a long run is dealt over tasks."""
     rows = e.withColumn("_vendor", match_key(F.col("vendor_name"))).withColumn("_no", F.regexp_extract("invoice_number", r"(\d{2,})", 1).try_cast("decimal(38,0)")).filter("_no IS NOT NULL")
     keys = ["_vendor", "currency"]
-    numbers = rows.select(*keys, "_no").distinct()
-    beside = numbers.select(*keys, F.explode(F.array(F.col("_no") - 1, F.col("_no") + 1)).alias("_no")).withColumn("_no", F.col("_no").cast("decimal(38,0)")).distinct()
-    right = beside.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate([*keys, "_no"])])
-    rows = rows.join(right, F.col("_vendor").eqNullSafe(F.col("_b0")) & F.col("currency").eqNullSafe(F.col("_b1")) & (F.col("_no") == F.col("_b2")), "left_semi")
-    runs = islands(rows, keys, F.col("_no"), [F.col("_no"), F.col("expense_date"), F.col("_src_row")])
-    back = Window.partitionBy(*keys, "_run").orderBy(F.desc("_no")).rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("_left", F.count("*").over(back)).withColumn("_span", F.datediff(F.max("expense_date").over(back), F.min("expense_date").over(back)))
-    good = runs.filter((F.col("_left") >= 3) & (F.col("_span") <= int(p.get("sequential_invoice_window_days", 3))))
-    first = good.groupBy(*keys).agg(F.min(F.struct("_run", "_no")).alias("_at"))
-    right = first.select(F.col("_vendor").alias("_g0"), F.col("currency").alias("_g1"), F.col("_at._run").alias("_g2"), F.col("_at._no").alias("_g3"))
-    same = F.col("_vendor").eqNullSafe(F.col("_g0")) & F.col("currency").eqNullSafe(F.col("_g1")) & (F.col("_run") == F.col("_g2")) & (F.col("_no") >= F.col("_g3"))
-    return members(runs.join(right, same, "left_semi"), *keys)
+    runs = number_runs(rows.withColumn("_group", same_group(keys)), F.struct("expense_date", "_src_row", "amount", *keys))
+    runs = runs.withColumn("date", F.col("row.expense_date"))
+    piece = ["_group", "run", "base"]
+    back = Window.partitionBy("_group", "run").orderBy(F.desc("base")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = runs.groupBy(*piece).agg(F.count("*").alias("k"), F.min("date").alias("a"), F.max("date").alias("b"))
+    behind = behind.select(*piece, F.coalesce(F.sum("k").over(back), F.lit(0)).alias("k"), F.min("a").over(back).alias("a"), F.max("b").over(back).alias("b"))
+    on = Window.partitionBy(*piece).orderBy(F.desc("_no")).rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.join(behind, piece).withColumn("left", F.count("*").over(on) + F.col("k"))
+    runs = runs.withColumn("days", F.datediff(F.greatest(F.max("date").over(on), "b"), F.least(F.min("date").over(on), "a")))
+    good = runs.filter((F.col("left") >= 3) & (F.col("days") <= int(p.get("sequential_invoice_window_days", 3))))
+    first = good.groupBy("_group").agg(F.min(F.struct("run", "_no")).alias("at")).select(F.col("_group").alias("_g"), "at.run", F.col("at._no").alias("_from"))
+    hit = runs.join(first, (F.col("_group") == F.col("_g")) & (runs["run"] == first["run"]) & (F.col("_no") >= F.col("_from")), "left_semi")
+    return members(hit.select("row.*"), *keys)
 
 
 @rule.each("invoice-format-anomaly", 3, "moderate", needs=("invoice_number",), key=())
@@ -480,14 +537,43 @@ def transport(e: DataFrame) -> DataFrame:
     return e.filter(F.lower(F.trim("expense_type")).isin(*TRANSPORT))
 
 
+def stays_and_journeys(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stays, journeys), each (employee_id, city, at, _src_row): when lodging was left, and when journeys departed."""
+    row = lambda df, city, at: df.select("employee_id", F.col(city).alias("city"), F.col(at).alias("at"), "_src_row").dropna()
+    return row(e, "dest_city", "check_out_at"), row(transport(e), "origin_city", "depart_at")
+
+
+def stay_conflicts(e: DataFrame) -> DataFrame:
+    """(stay, n_journeys, journey): the stays before whose end their person departs from their city, how often, and the
+    last such journey (of several at one time the smallest row). A row for each stay, however many journeys.
+
+    Departures are swept in time order, within a person's and city's day and over its days, of which only counts
+    and last departures meet; no stay is joined to journeys."""
+    stays, journeys = stays_and_journeys(e)
+    group = ["employee_id", "city"]
+    both = stays.withColumn("gone", F.lit(0)).unionByName(journeys.withColumn("gone", F.lit(1))).withColumn("date", F.to_date("at"))
+    departure = F.when(F.col("gone") == 1, F.struct("at", (-F.col("_src_row")).alias("row")))
+    days = both.groupBy(*group, "date").agg(F.sum("gone").alias("n"), F.max(departure).alias("last"))
+    earlier = Window.partitionBy(*group).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*group, "date", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.max("last").over(earlier).alias("last"))
+    inner = Window.partitionBy(*group, "date").orderBy("at", "gone").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.join(days, [*group, "date"]).withColumn("n_journeys", F.sum("gone").over(inner) + F.col("n")).withColumn("last", F.coalesce(F.max(departure).over(inner), F.col("last")))
+    return swept.filter("gone = 0 AND n_journeys > 0").select(F.col("_src_row").alias("stay"), "n_journeys", (-F.col("last.row")).alias("journey"))
+
+
+def stay_pairs(e: DataFrame) -> DataFrame:
+    """(stay, journey): every stay and journey of stay_conflicts, as many as a person's stays times journeys."""
+    stays, journeys = stays_and_journeys(e)
+    s, j = stays.withColumnsRenamed({"at": "left", "_src_row": "stay"}), journeys.withColumnsRenamed({"_src_row": "journey"})
+    return s.join(j, ["employee_id", "city"]).filter("at < left").select("stay", "journey")
+
+
 @rule("checkout-before-transport", 4, "strong", needs=("expense_type", "check_out_at", "depart_at", "origin_city", "dest_city"))
 def checkout_after_departure(e: DataFrame, p: Policy) -> DataFrame:
-    """A stay and a journey of one person from the city of the stay that departs before the stay is over: one
-    finding for each such pair, both rows its members."""
-    stay = e.filter("check_out_at IS NOT NULL AND dest_city IS NOT NULL").select(F.col("employee_id").alias("_emp"), F.col("dest_city").alias("_city"), F.col("check_out_at").alias("_out"), F.col("_src_row").alias("_stay"))
-    move = transport(e).filter("depart_at IS NOT NULL")
-    hit = move.join(stay, (F.col("employee_id") == F.col("_emp")) & (F.col("origin_city") == F.col("_city")) & (F.col("depart_at") < F.col("_out")))
-    pairs = hit.select(F.concat_ws("-", "_stay", "_src_row").alias("_pair"), F.explode(F.array_distinct(F.array("_stay", "_src_row"))).alias("_row"))
+    """A stay and a journey of one person from the city of the stay that departs before the stay is over, both rows
+    members: one finding for each such stay, with its last such journey; with all_pairs one for each pair."""
+    found = stay_pairs(e) if p.get("all_pairs") else stay_conflicts(e)
+    pairs = found.select(F.concat_ws("-", "stay", "journey").alias("_pair"), F.explode(F.array_distinct(F.array("stay", "journey"))).alias("_row"))
     return members(e.join(pairs, F.col("_src_row") == F.col("_row")), "_pair")
 
 

@@ -116,25 +116,42 @@ def decide(pairs: DataFrame, found: DataFrame, c: Context) -> DataFrame:
     return j.select("source", "target", status.alias("status"), "n_paths", F.coalesce("historical", F.lit(False)).alias("historical"))
 
 
-#: Pairs of names and nodes that are compared by containment at most.
-COMPARED = 50_000_000
+#: Characters of the strings by which names are indexed.
+GRAM = 3
+
+
+def grams(text: F.Column, n: F.Column) -> F.Column:
+    """The distinct strings of n characters of a text."""
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, n)))
+
+
+def contained(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
+    """(part, whole): the texts of parts that texts of wholes contain; neither side holds a text twice or empty ones.
+
+    Every text of wholes is indexed by its strings of up to GRAM characters. A part looks only under one of its own,
+    that which fewest wholes have (a shorter part under itself), and what it finds there is compared."""
+    index = wholes.select(whole, F.explode(F.flatten(F.array(*[grams(F.col(whole), F.lit(n)) for n in range(1, GRAM + 1)]))).alias("gram"))
+    own = parts.select(part, F.explode(grams(F.col(part), F.least(F.length(part), F.lit(GRAM)))).alias("gram"))
+    counted = own.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = counted.groupBy(part).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("at")).filter("at.n > 0").select(part, "at.gram")
+    return rarest.join(index, "gram").filter(F.contains(F.col(whole), F.col(part))).select(part, whole)
 
 
 def match_nodes(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, node_id): names(name) found in nodes(node_id, name, canonical_id) by registration number, else
-    equal name, else containment either way; the smallest id of equally good ones. Only names that neither
-    number nor equality finds are held against all nodes, and no more than COMPARED pairs of them."""
+    equal name, else containment either way; the smallest id of equally good ones. Names that neither number nor
+    equality finds are looked up in an index of the nodes' names, and these in one of them."""
     n = nodes.select("node_id", company_name(F.col("name")).alias("node_name"), "canonical_id")
     wanted = names.select("name").distinct().withColumn("clean", company_name(F.col("name"))).withColumn("code", F.regexp_extract("name", REGISTRATION, 0))
     by_code = wanted.filter("code <> ''").join(n.select("node_id", F.col("canonical_id").alias("code")), "code").groupBy("name").agg(F.min("node_id").alias("by_code"))
     by_name = wanted.join(n.select("node_id", F.col("node_name").alias("clean")), "clean").groupBy("name").agg(F.min("node_id").alias("by_name"))
     sure = wanted.join(by_code, "name", "left").join(by_name, "name", "left").select("name", "clean", F.coalesce("by_code", "by_name").alias("node_id"))
-    left = sure.filter("node_id IS NULL").select("name", "clean")
-    if left.count() * n.count() > COMPARED:
-        raise ValueError(f"more than {COMPARED} pairs of names and nodes to compare by containment")
-    held = F.contains(F.col("clean"), F.col("node_name")) | F.contains(F.col("node_name"), F.col("clean"))
-    near = left.filter("clean <> ''").join(n.filter("node_name <> ''"), held).groupBy("name").agg(F.min("node_id").alias("node_id"))
-    return sure.filter("node_id IS NOT NULL").select("name", "node_id").unionByName(near)
+    left = sure.filter("node_id IS NULL AND clean <> ''").select("name", "clean")
+    mine, theirs = left.select("clean").distinct(), n.filter("node_name <> ''").groupBy("node_name").agg(F.min("node_id").alias("node_id"))
+    held = contained(theirs.select("node_name"), mine, "node_name", "clean").unionByName(contained(mine, theirs.select("node_name"), "clean", "node_name"))
+    near = held.join(theirs, "node_name").groupBy("clean").agg(F.min("node_id").alias("node_id"))
+    return sure.filter("node_id IS NOT NULL").select("name", "node_id").unionByName(left.join(near, "clean").select("name", "node_id"))
 
 
 def registration_number(text: str) -> str | None:

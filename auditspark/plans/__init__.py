@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -101,15 +101,20 @@ def adjusted(score, strength, amount, large: float = 5000.0) -> F.Column:
 CELL = 100_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder, so that long plans are run, and planned, once. Only a local
-    session without that setting (tests) gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session without that setting (tests) gets a folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditspark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that long plans are run, and planned, once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditspark import functions as fn
+from auditspark.sources.records import read_csv
 
 #: Names by which the columns of a ledger are known.
 LEDGER = {
@@ -66,9 +67,9 @@ def with_ordinals(df: DataFrame, first: int = 2) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, quoted line breaks allowed, all columns text, with _src_row and _src_file."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
-    return with_ordinals(raw).withColumn("_src_file", F.lit(path))
+    """A CSV with a header, quoted line breaks allowed, all columns text, with _src_row and _src_file. Many tasks
+    read a large file."""
+    return read_csv(spark, path).withColumn("_src_file", F.lit(path))
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
