@@ -453,7 +453,13 @@ def bid_price_pattern(spark, sf_dir):
     return procurement.bid_price_pattern(bids, {"bid_price_close_ratio": 20}).select("lot_id", "n_bids", "low", "high")
 
 
-@query("bid_price_subcluster")
+@query(
+    "bid_price_subcluster",
+    f"""WITH RECURSIVE {ORDERS_SQL}, b AS (SELECT item AS lot_id, unit_price AS price FROM po WHERE unit_price IS NOT NULL AND item IS NOT NULL), d AS (SELECT DISTINCT lot_id, price FROM b),
+    s AS (SELECT lot_id, MIN(price) AS first FROM d GROUP BY 1 UNION ALL SELECT s.lot_id, n.next FROM s, LATERAL (SELECT MIN(d.price) AS next FROM d WHERE d.lot_id = s.lot_id AND d.price > s.first AND (d.price - s.first) / GREATEST(s.first, 0.01) > 3 * 0.02) n WHERE n.next IS NOT NULL),
+    c AS (SELECT b.lot_id, MAX(s.first) AS first, b.price, COUNT(*) AS k FROM (SELECT *, ROW_NUMBER() OVER () AS i FROM b) b JOIN s ON s.lot_id = b.lot_id AND s.first <= b.price GROUP BY b.lot_id, b.price, b.i)
+    SELECT lot_id, first, COUNT(*) AS n_bids, MAX(price) AS high, MEDIAN(price) AS median FROM c GROUP BY 1, 2 HAVING COUNT(*) >= 3 AND (MAX(price) - first) / MEDIAN(price) <= 2 * 0.02""",
+)
 def bid_price_subcluster(spark, sf_dir):
     bids = orders(spark, sf_dir).select(F.col("item").alias("lot_id"), F.col("unit_price").alias("price"))
     return procurement.bid_price_clusters(bids, {"bid_price_close_ratio": 0.02})

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auditspark.functions import char_ngrams, match_key
-from auditspark.operators.expense import robust_outliers, split_windows, thresholds
+from auditspark.operators.expense import medians, robust_outliers, split_windows, thresholds
 from auditspark.operators.external import one_of_each
-from auditspark.plans import Policy
+from auditspark.plans import Policy, settled
 
 #: Attributes that vendors or employees may share: score and strength of a finding.
 SHARED = {"bank_account": (4, "strong"), "phone": (3, "strong"), "email": (3, "strong"), "address": (1, "weak"), "legal_representative": (2, "moderate")}
@@ -165,26 +167,68 @@ def bid_price_pattern(bids: DataFrame, p: Policy) -> DataFrame:
     return r.filter((F.col("n_bids") >= 3) & (F.col("median") > 0) & ((F.col("high") - F.col("low")) / F.col("median") <= float(p.get("bid_price_close_ratio", 0.01))))
 
 
+def price_cells(ratio: float):
+    """(cell, wide): cells that rise with the price, and how many behind its own a price reaches into at most: one is
+    log(1 + ratio) wide in the inverse hyperbolic sine, which is even below 0.01 and logarithmic above."""
+    return lambda c: F.floor(F.asinh(F.col(c) * 100) / math.log1p(ratio)), math.ceil(ratio / math.log1p(ratio)) + 1
+
+
+def price_clusters(prices: DataFrame, ratio: float) -> DataFrame:
+    """prices(lot_id, price), distinct -> (lot_id, first, next): the prices that begin a cluster when one goes up
+    through a lot and a price joins while (price - first) / max(first, 0.01) is at most `ratio`.
+
+    Every price is given the one that would begin the next cluster if it began one itself: prices and the ends of
+    their reach are swept together, within the few cells that a reach can touch; past these it is the least price
+    of a cell. The chain from a lot's least price is then followed by doubling: in every round all beginnings known
+    so far take a step of twice the length. A price at the very end of a reach is tried as the rule states it."""
+    cell, wide = price_cells(ratio)
+    joins = lambda a, b: (b - a) / F.greatest(a, F.lit(0.01)) <= ratio
+    x = F.col("price")
+    p = prices.withColumn("cell", cell("price"))
+    behind = Window.partitionBy("lot_id").orderBy("cell").rangeBetween(wide + 1, Window.unboundedFollowing)
+    far = p.groupBy("lot_id", "cell").agg(F.min("price").alias("least")).withColumn("far", F.min("least").over(behind)).drop("least")
+    end = x + ratio * F.greatest(x, F.lit(0.01))
+    asks = p.select("lot_id", "cell", (end - 1e-9 * F.abs(end)).alias("at"), x.alias("asker"))
+    points = p.select("lot_id", F.explode(F.sequence(F.col("cell") - wide, F.col("cell"))).alias("cell"), x.alias("at"), F.lit(None).cast("double").alias("asker"))
+    both = asks.unionByName(points).withColumn("point", F.when(F.col("asker").isNull(), F.col("at")))
+    higher = Window.partitionBy("lot_id", "cell").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("lot_id", "cell").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    swept = both.withColumn("second", F.when(F.col("asker").isNull(), F.last("point", ignorenulls=True).over(higher)))
+    swept = swept.withColumn("near", F.min(F.when(F.col("asker").isNull(), F.struct("point", "second"))).over(after)).filter("asker IS NOT NULL")
+    one, two = F.col("near.point"), F.col("near.second")
+    found = F.when(~joins(F.col("asker"), one), one).when(~joins(F.col("asker"), two), two)
+    nexts = settled(swept.join(far, ["lot_id", "cell"]).select("lot_id", F.col("asker").alias("first"), F.coalesce(found, F.col("far")).alias("next")))
+
+    begun, known = prices.groupBy("lot_id").agg(F.min("price").alias("first")), -1
+    jump = nexts.filter("next IS NOT NULL").select("lot_id", "first", F.col("next").alias("to"))
+    while True:
+        step = begun.join(jump, ["lot_id", "first"]).select("lot_id", F.col("to").alias("first"))
+        begun = settled(begun.unionByName(step).distinct())
+        if known == (known := begun.count()):
+            return begun.join(nexts, ["lot_id", "first"])
+        onward = jump.select("lot_id", F.col("first").alias("to"), F.col("to").alias("then"))
+        jump = settled(jump.join(onward, ["lot_id", "to"]).select("lot_id", "first", F.col("then").alias("to")))
+
+
+def bid_cluster_prices(bids: DataFrame, p: Policy) -> DataFrame:
+    """(lot_id, first, price, n): the different prices of every lot with the first of their cluster and how many bids
+    have them. A cluster's prices are found in the cells that its first one reaches."""
+    ratio = max(3 * float(p.get("bid_price_close_ratio", 0.01)), 1e-9)
+    cell, wide = price_cells(ratio)
+    counted = settled(bids.filter("price IS NOT NULL AND NOT isnan(price) AND lot_id IS NOT NULL").groupBy("lot_id", "price").agg(F.count("*").alias("n")))
+    firsts = price_clusters(counted.select("lot_id", "price"), ratio).withColumn("_cell", F.explode(F.sequence(cell("first"), cell("first") + wide)))
+    held = counted.withColumn("_cell", cell("price")).join(firsts, ["lot_id", "_cell"])
+    return held.filter((F.col("price") >= F.col("first")) & (F.col("next").isNull() | (F.col("price") < F.col("next")))).select("lot_id", "first", "price", "n")
+
+
 def bid_price_clusters(bids: DataFrame, p: Policy) -> DataFrame:
-    """bid-price-subcluster: (lot_id, prices) of three near prices or more in a lot, found by one pass over the
-    sorted prices: a price joins while it is within three ratios of the cluster's first."""
-    ratio = float(p.get("bid_price_close_ratio", 0.01))
-    prices = bids.filter("price IS NOT NULL").groupBy("lot_id").agg(F.array_sort(F.collect_list("price")).alias("prices"))
-    start = F.struct(F.array().cast("array<array<double>>").alias("done"), F.array().cast("array<double>").alias("open"))
-
-    def step(s, x):
-        first = F.element_at(s["open"], 1)
-        joins = (F.size(s["open"]) > 0) & ((x - F.when(F.size(s["open"]) > 0, first).otherwise(x)) / F.greatest(F.when(F.size(s["open"]) > 0, first).otherwise(x), F.lit(0.01)) <= 3 * ratio)
-        closed = F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-        return F.struct(F.when(joins, s["done"]).otherwise(closed).alias("done"), F.when(joins, F.concat(s["open"], F.array(x))).otherwise(F.array(x)).alias("open"))
-
-    def start_safe(c):
-        return F.concat(c["done"], F.array(c["open"]))
-
-    clusters = prices.select("lot_id", F.explode(F.aggregate("prices", start, step, start_safe)).alias("prices")).filter(F.size("prices") >= 3)
-    mid = F.size("prices") / 2
-    median = F.when(F.size("prices") % 2 == 1, F.element_at("prices", F.ceil(mid).cast("int"))).otherwise((F.element_at("prices", mid.cast("int")) + F.element_at("prices", (mid + 1).cast("int"))) / 2)
-    return clusters.filter((F.array_max("prices") - F.array_min("prices")) / median <= 2 * ratio)
+    """bid-price-subcluster: (lot_id, first, n_bids, high, median) of the clusters of three near prices or more in a
+    lot, found by one pass over the sorted prices: a price joins while it is within three ratios of the cluster's
+    first. bid_cluster_prices gives their prices."""
+    prices = settled(bid_cluster_prices(bids, p))
+    large = prices.groupBy("lot_id", "first").agg(F.sum("n").alias("n_bids"), F.max("price").alias("high")).filter("n_bids >= 3")
+    middle = medians(prices.withColumnRenamed("n", "_n"), ["lot_id", "first"], "price", "median")
+    return large.join(middle, ["lot_id", "first"]).filter((F.col("high") - F.col("first")) / F.col("median") <= 2 * float(p.get("bid_price_close_ratio", 0.01)))
 
 
 def new_vendor_large_order(vendors: DataFrame, po: DataFrame, p: Policy) -> DataFrame:

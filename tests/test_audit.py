@@ -199,7 +199,8 @@ def test_bids(spark):
     bids = spark.createDataFrame([(1, "L", "abcdef ghijkl", 100.0), (2, "L", "abcdef ghijkl", 100.5), (3, "L", "zzzz yyyy", 101.0), (4, "L", "qqqqq", 900.0)], "bid_id long, lot_id string, text string, price double")
     got = procurement.bid_similarity(bids, {}).collect()
     assert [(r["bid_a"], r["bid_b"], round(r["similarity"], 6)) for r in got] == [(1, 2, 1.0)]
-    assert [r["prices"] for r in procurement.bid_price_clusters(bids, {}).collect()] == [[100.0, 100.5, 101.0]]
+    assert [tuple(r) for r in procurement.bid_price_clusters(bids, {}).collect()] == [("L", 100.0, 3, 101.0, 100.5)]
+    assert sorted(r["price"] for r in procurement.bid_cluster_prices(bids, {}).collect() if r["first"] == 100.0) == [100.0, 100.5, 101.0]
     import math
     import random
     from collections import Counter

@@ -233,21 +233,27 @@ def test_paths_against_a_plain_search(spark):
     assert got == want and len(want) > 100
 
 
-def test_price_clusters_against_a_plain_pass(spark):
+@pytest.mark.parametrize("ratio", [0.01, 0.2])
+def test_price_clusters_against_a_plain_pass(spark, ratio):
+    """Also at the very ends of reaches, below a cent, below nothing, and in long chains of clusters."""
     rng = random.Random(4)
     rows = [(f"L{k}", round(rng.choice([100, 103, 120]) * (1 + rng.uniform(0, 0.03)), 2)) for k in range(12) for _ in range(rng.randint(1, 12))]
-    want = []
+    rows += [("chain", float(x)) for x in range(60, 1200)] + [("small", rng.uniform(-0.01, 0.03)) for _ in range(80)] + [("wide", round(10 ** rng.uniform(-3, 7), 3)) for _ in range(300)] + [("same", 5.0)] * 9 + [("gap", 1.0), ("gap", 1e6), ("gap", 1.01e6), ("gap", 1.005e6)]
+    want, members = [], []
     for lot in sorted({x for x, _ in rows}):
         done, cluster = [], []
         for p in sorted(v for x, v in rows if x == lot):
-            if cluster and (p - cluster[0]) / max(cluster[0], 0.01) <= 0.03:
+            if cluster and (p - cluster[0]) / max(cluster[0], 0.01) <= 3 * ratio:
                 cluster.append(p)
             else:
                 done.append(cluster)
                 cluster = [p]
-        want += [(lot, c) for c in [*done, cluster] if len(c) >= 3 and (max(c) - min(c)) / statistics.median(c) <= 0.02]
-    got = procurement.bid_price_clusters(spark.createDataFrame(rows, "lot_id string, price double"), {}).collect()
-    assert sorted((r["lot_id"], list(r["prices"])) for r in got) == sorted(want) and want
+        held = [c for c in [*done, cluster] if c]
+        members += [(lot, c[0], p) for c in held for p in set(c)]
+        want += [(lot, c[0], len(c), c[-1], pytest.approx(statistics.median(c))) for c in held if len(c) >= 3 and (max(c) - min(c)) / statistics.median(c) <= 2 * ratio]
+    bids, policy = spark.createDataFrame(rows, "lot_id string, price double"), {"bid_price_close_ratio": ratio}
+    assert sorted((r["lot_id"], r["first"], r["price"]) for r in procurement.bid_cluster_prices(bids, policy).collect()) == sorted(members)
+    assert sorted(map(tuple, procurement.bid_price_clusters(bids, policy).collect()), key=lambda r: r[:2]) == want and want
 
 
 # --- delimited files in ranges -------------------------------------------------------------------
