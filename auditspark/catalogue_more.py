@@ -12,7 +12,7 @@ from auditspark.catalogue import ISSUES, LEDGER_SQL, ORDERS_SQL, POLICY, case_ta
 from auditspark.operators import casework, expense, external, procurement, relations, scoring
 from auditspark.operators.expense import EXPENSE
 from auditspark.plans import Registry, allow_list, entities, evidence, evidence_refs, findings, members, run_rules, shared_folder, suppressed
-from auditspark.sources import cases, reports, tables
+from auditspark.sources import cases, reports, shapes, tables
 
 
 def read(spark, sf_dir, name):
@@ -402,3 +402,20 @@ def quoted_csv(spark, sf_dir):
     docs.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back = sources.read_delimited(spark, path)
     return back.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "lang", "source", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@query(
+    "click_items",
+    """SELECT click_id, CAST(i.value->>'$.sku' AS BIGINT) AS sku, CAST(i.value->>'$.qty' AS BIGINT) AS qty, props->>'$.device.os' AS os FROM clicks, json_each(CASE WHEN json_valid(props) THEN props END, '$.items') i""",
+)
+def click_items(spark, sf_dir):
+    """The items of clicks, whose properties change in shape."""
+    good, _ = shapes.parsed(read(spark, sf_dir, "clicks"), "props")
+    items = good.select("click_id", shapes.text_at(F.col("value"), "$.device.os").alias("os"), F.explode(shapes.list_at(F.col("value"), "$.items")).alias("i"))
+    return items.select("click_id", shapes.text_at(F.col("i"), "$.sku").cast("long").alias("sku"), shapes.text_at(F.col("i"), "$.qty").cast("long").alias("qty"), "os")
+
+
+@query("broken_properties", "SELECT kind, COUNT(*) AS n FROM clicks WHERE trim(props) <> '' AND NOT json_valid(props) GROUP BY 1")
+def broken_properties(spark, sf_dir):
+    """How many clicks of each kind have properties that are no JSON."""
+    return shapes.parsed(read(spark, sf_dir, "clicks"), "props")[1].groupBy("kind").agg(F.count("*").alias("n"))

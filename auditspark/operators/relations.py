@@ -206,15 +206,16 @@ class FileProvider(Provider):
 
     def __init__(self, spark, path: str):
         from auditspark.sources import read_relations
+        from auditspark.sources.shapes import read_json_file
 
         self._nodes, self._edges = read_relations(spark, path)
-        top = spark.read.json(path, multiLine=True)
-        said = top.first().asDict(recursive=True)
-        self._can, self._vouches = said.get("capabilities") or {}, bool(said.get("negative_semantics_supported"))
+        value = F.col("value")
+        said = read_json_file(spark, path)[0].select(F.try_variant_get(value, "$.capabilities", "map<string,variant>").alias("can"), F.try_variant_get(value, "$.negative_semantics_supported", "boolean").alias("vouches"))
+        first = said.select(F.map_filter("can", lambda _, v: F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False))).alias("can"), "vouches").select(F.map_keys("can").alias("can"), "vouches").first()
+        self._can, self._vouches = dict.fromkeys(first["can"] or [], True), bool(first["vouches"])
 
     def nodes(self) -> DataFrame:
-        known = self._nodes if "canonical_id" in self._nodes.columns else self._nodes.withColumn("canonical_id", F.lit(None).cast("string"))
-        return known.select("node_id", "name", "canonical_id")
+        return self._nodes.select("node_id", "name", "canonical_id")
 
     def edges(self) -> DataFrame:
         return self._edges

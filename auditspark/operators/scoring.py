@@ -57,7 +57,10 @@ def coverage(scenarios: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """(tool, n): how often each tool was used in a log of JSON lines; broken lines are left out."""
-    lines = spark.read.schema("type string, part struct<type string, tool string, name string>, tool string").json(path, mode="DROPMALFORMED")
-    tool = F.coalesce("part.tool", "part.name", "tool")
-    return lines.filter((F.col("type") == "tool_use") & tool.isNotNull()).groupBy(tool.alias("tool")).agg(F.count("*").alias("n"))
+    """(tool, n): how often each tool was used in a log of JSON lines, whatever else its records hold; lines that are
+    no JSON are left out."""
+    from auditspark.sources.shapes import read_json_lines, text_at
+
+    value = F.col("value")
+    lines = read_json_lines(spark, path)[0].select(text_at(value, "$.type").alias("type"), text_at(value, "$.part.tool", "$.part.name", "$.tool").alias("tool"))
+    return lines.filter("type = 'tool_use' AND tool IS NOT NULL").groupBy("tool").agg(F.count("*").alias("n"))

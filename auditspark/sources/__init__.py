@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from auditspark import functions as fn
 from auditspark.sources.records import read_csv
+from auditspark.sources.shapes import list_at, read_json_file, read_json_lines, text_at
 
 #: Names by which the columns of a ledger are known.
 LEDGER = {
@@ -90,15 +91,24 @@ def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Counts of findings by type and priority from a JSON-lines file; broken lines are left out."""
-    return spark.read.schema("finding_type string, risk_priority string").json(path, mode="DROPMALFORMED").groupBy("finding_type", "risk_priority").count()
+    """Counts of findings by type and priority from a JSON-lines file, of whatever types these are; lines that are no
+    JSON objects are left out."""
+    rows = read_json_lines(spark, path)[0].filter(F.schema_of_variant("value").startswith("OBJECT"))
+    return rows.groupBy(text_at(F.col("value"), "$.finding_type").alias("finding_type"), text_at(F.col("value"), "$.risk_priority").alias("risk_priority")).count()
+
+
+#: The fields of nodes and edges that are columns; others stay in `value`.
+NODE, EDGE = ("node_id", "name", "canonical_id"), ("from", "to", "relation_type")
 
 
 def read_relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a provider's JSON file."""
-    top = spark.read.json(path, multiLine=True)
-    edges = with_ordinals(top.select(F.explode("edges").alias("e")).select("e.*"), 1)
-    return top.select(F.explode("nodes").alias("n")).select("n.*"), edges
+    """(nodes, edges) of a provider's JSON file: known fields as text, all of them in value. Edges have _src_row,
+    their place in the file."""
+    top = read_json_file(spark, path)[0]
+    fields = lambda names: [text_at(F.col("value"), f"$.{n}").alias(n) for n in names]
+    edges = top.select(F.posexplode(list_at(F.col("value"), "$.edges")).alias("at", "value"))
+    nodes = top.select(F.explode(list_at(F.col("value"), "$.nodes")).alias("value"))
+    return nodes.select(*fields(NODE), "value"), edges.select(*fields(EDGE), (F.col("at") + 1).cast("long").alias("_src_row"), "value")
 
 
 def read_config(path: str, allowed: set[str], comments: bool = True) -> dict:

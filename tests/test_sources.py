@@ -334,3 +334,34 @@ def test_states_follow_from_summaries(spark):
     rng.shuffle(rows)
     got = records.states(spark.createDataFrame(rows, "file string, block long, begun_out long, begun_in long, end_out boolean, end_in boolean")).collect()
     assert {(r["file"], r["block"]): (r["inside"], r["before"]) for r in got} == want
+
+
+# --- records of changing shape -------------------------------------------------------------------
+
+
+def test_findings_and_events_of_mixed_types(spark, tmp_path):
+    lines = [{"finding_type": "a", "risk_priority": "high", "more": [1]}, {"finding_type": 5, "risk_priority": None}, {"finding_type": {"x": 1}, "risk_priority": True}, {"risk_priority": "high", "finding_type": "a"}, [1, 2], "text"]
+    (tmp_path / "f.jsonl").write_text("﻿" + "\n".join(map(json.dumps, lines)) + "\n{broken\n\n", encoding="utf-8")
+    got = {(r["finding_type"], r["risk_priority"]): r["count"] for r in sources.read_findings(spark, str(tmp_path / "f.jsonl")).collect()}
+    assert got == {("a", "high"): 2, ("5", None): 1, ('{"x":1}', "true"): 1}
+    broken = sources.read_json_lines(spark, str(tmp_path / "f.jsonl"))[1]
+    assert [r["text"] for r in broken.collect()] == ["{broken"]
+    log = [{"type": "tool_use", "part": {"tool": "read"}}, {"type": "tool_use", "part": "none", "tool": "run"}, {"type": "tool_use", "part": {"tool": None, "name": "read"}}, {"type": 3, "tool": "x"}, {"type": "tool_use", "tool": 7}]
+    (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, log)))
+    assert {r["tool"]: r["n"] for r in scoring.read_events(spark, str(tmp_path / "e.jsonl")).collect()} == {"read": 2, "run": 1, "7": 1}
+
+
+def test_relations_of_mixed_types(spark, tmp_path):
+    top = {"nodes": [{"node_id": 1, "name": "甲", "extra": {"a": [1]}}, {"node_id": "n2", "name": "乙", "canonical_id": 9131}], "edges": [{"from": 1, "to": "n2", "relation_type": "股东", "share": 0.5}, {"from": "n2", "to": 1, "relation_type": "UBO", "share": "half"}], "capabilities": {"web_search": True, "company_history": False, "odd": "yes"}, "negative_semantics_supported": True}
+    (tmp_path / "r.json").write_text(json.dumps(top, ensure_ascii=False, indent=1), encoding="utf-8")
+    p = relations.FileProvider(spark, str(tmp_path / "r.json"))
+    assert sorted(map(tuple, p.nodes().collect())) == [("1", "甲", None), ("n2", "乙", "9131")]
+    edges = p.edges().withColumn("share", sources.text_at(F.col("value"), "$.share")).collect()
+    assert sorted((r["_src_row"], r["from"], r["to"], r["share"]) for r in edges) == [(1, "1", "n2", "0.5"), (2, "n2", "1", "half")]
+    can = p.capabilities()
+    assert can["web_search"] and not can["company_history"] and p.negative_semantics()
+
+
+def test_empty_logs(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text("")
+    assert sources.read_findings(spark, str(tmp_path / "e.jsonl")).count() == 0 == scoring.read_events(spark, str(tmp_path / "e.jsonl")).count()
