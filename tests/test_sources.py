@@ -15,7 +15,7 @@ from auditspark import sources
 from auditspark.operators import casework, procurement, relations, scoring, sqlgen
 from auditspark.operators.expense import EXPENSE
 from auditspark.plans import entities, evidence, evidence_refs, findings, numbered, run_rules
-from auditspark.sources import cases, records, reports, sheets, tables
+from auditspark.sources import cases, records, reports, runs, sheets, tables
 
 
 def workbook(rows, second=None):
@@ -365,3 +365,74 @@ def test_relations_of_mixed_types(spark, tmp_path):
 def test_empty_logs(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("")
     assert sources.read_findings(spark, str(tmp_path / "e.jsonl")).count() == 0 == scoring.read_events(spark, str(tmp_path / "e.jsonl")).count()
+
+
+# --- runs ----------------------------------------------------------------------------------------
+
+
+def left(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file() and "part-" not in p.name and not p.name.startswith((".", "_"))} | {str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_dir() and (p / "_SUCCESS").exists()}
+
+
+def a_procurement_run(spark, tmp_path, folder="out", **other):
+    po = spark.createDataFrame([(1, "PO1", "b", "v1", 5.0, "CNY"), (2, "PO2", "b", "v2", 7.0, "CNY")], "_src_row long, po_id string, buyer string, vendor_id string, amount double, currency string")
+    found = spark.createDataFrame([("PRC-000001", "split-order", "high", 4, "v1"), ("PRC-000002", "overpayment", "low", 1, "v1")], "finding_id string, finding_type string, risk_priority string, risk_score int, vendor_id string")
+    cells = spark.createDataFrame([("EV-000001", "po_id", "PO1")], "evidence_id string, field string, value string")
+    (tmp_path / "in.csv").write_text("x\n", encoding="utf-8")
+    given = dict(tables={"purchase_orders": po}, bad=po.filter("false"), found=found, cells=cells, flat=found, graph=procurement.purchase_graph(po), handoff=None, mappings={"purchase_orders": {"amount": "金额"}}, notes=["n"], inputs=sources.file_hashes(spark, str(tmp_path / "in.csv")))
+    return runs.procurement_run(spark, str(tmp_path / folder), "folder", **(given | other))
+
+
+def test_a_procurement_run_leaves_its_files(spark, tmp_path):
+    made = a_procurement_run(spark, tmp_path)
+    out = tmp_path / "out"
+    assert left(out) == set(made["outputs"]) == {"normalized_purchase_orders.csv", "bad_rows.csv", "findings.csv", "findings.jsonl", "evidence.jsonl", "relationship_graph.json", "investigation_handoff.json", "data_quality.md", "summary.md", "dashboard.html", "run_manifest.json"}
+    assert json.loads((out / "run_manifest.json").read_text(encoding="utf-8")) == made
+    graph = spark.read.json(str(out / "relationship_graph.json"))
+    assert graph.groupBy("kind").count().collect() and graph.filter("kind = 'edge'").count() == 2 and graph.filter("kind = 'node'").count() == 3
+    with pytest.raises(FileExistsError):
+        a_procurement_run(spark, tmp_path)
+    assert not list(tmp_path.glob(".run-*"))
+
+
+def test_a_failed_run_leaves_nothing(spark, tmp_path):
+    broken = spark.createDataFrame([("EV-1", "f", "v")], "evidence_id string, field string, value string").withColumn("value", F.raise_error(F.lit("lost")).cast("string"))
+    (tmp_path / "out").mkdir()  # an empty folder is taken
+    with pytest.raises(Exception, match="lost"):
+        a_procurement_run(spark, tmp_path, cells=broken)
+    assert not list((tmp_path / "out").iterdir()) and not list(tmp_path.glob(".run-*"))
+    assert a_procurement_run(spark, tmp_path)["outputs"]
+
+
+def test_a_killed_run_has_no_manifest(spark, tmp_path, monkeypatch):
+    """What is written before the end lies in a hidden folder, as its cleaning may not come to pass."""
+    seen = []
+    monkeypatch.setattr(runs, "write_text", lambda spark, path, text: seen.append(path) or (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        a_procurement_run(spark, tmp_path)
+    assert seen and "/.run-" in seen[0] and not (tmp_path / "out").exists()
+
+
+def test_a_case_run_leaves_its_files(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "chat.csv").write_text("id,time,from,to,body\n1,2026-01-01 10:00,a,b,hello x@y.org\n2,2026-03-01 10:00,a,b,late\n3,never,a,b,?\n", encoding="utf-8")
+    (root / "access_log.csv").write_text("event_id,time,user,action,file,device\n7,2026-01-02 09:00,a,open,f1,d1\n", encoding="utf-8")
+    (root / "note.txt").write_text("first\n", encoding="utf-8")
+    scope = cases.check_case({"case_id": "c", "purpose": "p", "authorization_confirmed": True, "network_access": False, "date_range": {"start": "2026-01-01", "end": "2026-01-31"}, "persons_in_scope": ["a"], "allowed_sources": ["chat.csv", "access_log.csv", "note.txt"]}) or {}
+    scope = scope or {"case_id": "c", "purpose": "p", "date_range": {"start": "2026-01-01", "end": "2026-01-31"}, "persons_in_scope": ["a"], "allowed_sources": ["chat.csv", "access_log.csv", "note.txt"], "source_types": {}}
+    messages, out, bad = cases.read_messages(spark, str(root), "chat.csv", scope)
+    logs, _, _ = cases.read_logs(spark, str(root), "access_log.csv", scope)
+    issues = [{"id": "i", "keywords": ["hello"], "priority": "high"}]
+    corpus = messages.select(F.col("message_id").alias("evidence_id"), F.col("content").alias("text"), F.col("sender").alias("actor"))
+    matrix = casework.issue_matrix(corpus, issues)
+    ents, rels = casework.entities_and_relations(messages, logs)
+    views = {"timeline": casework.timeline(messages, logs), "entity_index": ents, "relationships": rels, "evidence_matrix": matrix, "hypothesis_register": casework.hypotheses(matrix, issues), "interview_plan": casework.interviews(casework.interview_plan(matrix, corpus), [{"id": "a"}], issues)}
+    listed = cases.inventory(spark, str(root), scope)
+    made = runs.case_run(spark, str(tmp_path / "case"), str(root), scope, listed, {"messages": messages, "logs": logs, "text_lines": cases.read_lines(spark, str(root), "note.txt")}, (out, bad), views, casework.leads(matrix, issues), corpus, [])
+    here = tmp_path / "case"
+    assert left(here) - {f"evidence/raw/{n}" for n in scope["allowed_sources"]} == set(made["outputs"]) - {"evidence/raw/"} and len(made["outputs"]) == 20
+    assert (here / "evidence" / "raw" / "chat.csv").read_bytes() == (root / "chat.csv").read_bytes()
+    chain = spark.read.json(str(here / "chain_of_custody.jsonl")).collect()
+    assert len(chain) == 6 and {r["target"] for r in chain if r["event"] == "copied_and_verified"} == {f"evidence/raw/{n}" for n in scope["allowed_sources"]}
+    assert "investigation-lead" in (here / "findings.jsonl").joinpath(next(p.name for p in (here / "findings.jsonl").glob("part-*.json") if p.stat().st_size)).read_text()
