@@ -128,8 +128,9 @@ STRETCH = 1 << 18
 
 
 def same_group(keys: list[str]) -> F.Column:
-    """One text for each combination of keys; null keys are equal."""
-    return F.to_json(F.struct(*keys))
+    """One text for each combination of keys; null keys are equal. It begins with a hash, so that texts differ early
+    where they are sorted."""
+    return F.concat(F.hex(F.xxhash64(*keys)), F.to_json(F.struct(*keys)))
 
 
 def split_windows(e: DataFrame, keys: list[str], limit: float, span: int, distinct: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -285,29 +286,34 @@ NUMBERS = 1 << 10
 
 
 def number_runs(rows: DataFrame, row: F.Column) -> DataFrame:
-    """rows(_group, _no) as (_group, run, _no, base, row): the rows in runs of numbers that rise by one, run being the
-    first number, of two numbers or more. A number that several rows have ends a run with the least of them and
-    begins one with the largest.
-
-    Rows become one for each number, which knows whether the numbers beside it are there; others are left out.
-    The first number of a run is looked up in the number's stretch of NUMBERS; where a run enters a stretch from the
-    one before, it is carried over the stretches' edges, for which only stretches stand that a run crosses."""
-    no = F.col("_no")
-    step = lambda n, role, held: F.struct(n.cast("decimal(38,0)").alias("no"), F.lit(role).alias("role"), held.alias("row"))
-    none = F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType)
-    marks = rows.select("_group", F.explode(F.array(step(no, 0, row), step(no + 1, 1, none), step(no - 1, 2, none))).alias("m")).select("_group", F.col("m.no").alias("_no"), "m.role", "m.row")
-    n = marks.groupBy("_group", "_no").agg(F.count(F.when(F.col("role") == 0, 1)).alias("n"), F.bool_or(F.col("role") == 1).alias("after"), F.bool_or(F.col("role") == 2).alias("goes_on"), F.min("row").alias("low"), F.max("row").alias("high"))
-    n = n.filter((F.col("n") > 0) & (F.col("after") | F.col("goes_on"))).withColumn("base", (no - no % NUMBERS).cast("decimal(38,0)"))
-    n = n.withColumn("begins", F.when((F.col("n") > 1) | ~F.col("after"), no))
-    edges = n.groupBy("_group", "base").agg(F.max("begins").alias("held"), F.bool_or((no == F.col("base")) & F.col("after")).alias("enters"), F.bool_or((no == F.col("base") + (NUMBERS - 1)) & F.col("goes_on")).alias("leaves"))
+    """rows(_group, _no) as (_group, run, base, slot, row): the rows in runs of numbers that rise by one, run being the
+    first number, of two numbers or more; a number is base + slot. A number that several rows have ends a run with the
+    least of them and begins one with the largest.
+
+    Numbers are counted first, and only rows of numbers beside others go on. The first number of a run is looked up
+    in the number's stretch of NUMBERS; where a run enters a stretch from the one before, it is carried over the
+    stretches' edges, for which only stretches stand that a run crosses."""
+    stretch, slot = ["_group", "base"], F.col("slot")
+    rows = rows.withColumn("slot", (F.col("_no") % NUMBERS).cast("int")).withColumn("base", (F.col("_no") - F.col("slot")).cast("decimal(38,0)"))
+    n = rows.groupBy(*stretch, "slot").agg(F.count("*").alias("n"))
+    moved = lambda at, by: n.filter(slot == at).select("_group", (F.col("base") + by).cast("decimal(38,0)").alias("base"), F.lit(True).alias("enters" if by > 0 else "leaves"))
+    inner = Window.partitionBy(*stretch).orderBy("slot")
+    n = n.withColumn("after", F.lag("slot").over(inner) == slot - 1).withColumn("goes_on", F.lead("slot").over(inner) == slot + 1)
+    n = n.join(moved(NUMBERS - 1, NUMBERS), stretch, "left").join(moved(0, -NUMBERS), stretch, "left")
+    n = n.withColumn("after", F.coalesce(F.when(slot == 0, F.col("enters")).otherwise(F.col("after")), F.lit(False))).withColumn("goes_on", F.coalesce(F.when(slot == NUMBERS - 1, F.col("leaves")).otherwise(F.col("goes_on")), F.lit(False)))
+    n = n.filter("after OR goes_on").withColumn("begins", F.when((F.col("n") > 1) | ~F.col("after"), slot))
+    n = settled(n.select(*stretch, "slot", "n", "after", "goes_on", F.last("begins", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("first")))
+    edges = n.groupBy(*stretch).agg(F.max(F.when(F.col("first") >= 0, F.col("first"))).alias("held"), F.bool_or((slot == 0) & F.col("after")).alias("enters"), F.bool_or((slot == NUMBERS - 1) & F.col("goes_on")).alias("leaves"))
     order = Window.partitionBy("_group").orderBy("base").rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.filter("enters OR leaves").withColumn("carried", F.last("held", ignorenulls=True).over(order)).filter("enters").select("_group", "base", "carried")
-    inner = Window.partitionBy("_group", "base").orderBy("_no")
-    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    n = n.join(carried, ["_group", "base"], "left").withColumn("run", F.coalesce(F.last("begins", ignorenulls=True).over(upto), F.col("carried")))
-    arrives = F.when((F.col("n") > 1) & F.col("after"), F.struct(F.coalesce(F.lag("run").over(inner), F.col("carried")).alias("run"), F.col("low").alias("row")))
-    both = n.withColumn("arrives", arrives).select("_group", "_no", "base", F.explode(F.array_compact(F.array(F.struct("run", F.col("high").alias("row")), F.col("arrives")))).alias("x"))
-    return both.select("_group", "x.run", "_no", "base", "x.row")
+    begun = F.when(F.col("held").isNotNull(), (F.col("base") + F.col("held")).cast("decimal(38,0)"))
+    carried = edges.filter("enters OR leaves").withColumn("carried", F.last(begun, ignorenulls=True).over(order)).filter("enters").select(*stretch, "carried")
+    n = n.join(carried, stretch, "left").withColumn("run", F.coalesce((F.col("base") + F.col("first")).cast("decimal(38,0)"), F.col("carried")))
+    came = F.when((F.col("n") > 1) & F.col("after"), F.coalesce(F.when(slot > 0, F.lag("run").over(inner)), F.col("carried")))
+    n = n.select(*stretch, "slot", "run", came.alias("came"))
+    held = rows.withColumn("row", row).select(*stretch, "slot", "row").join(n, [*stretch, "slot"])
+    ends = held.groupBy(*stretch, "slot", "run", "came").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    both = F.array(F.struct("run", F.col("high").alias("row")), F.struct(F.col("came").alias("run"), F.col("low").alias("row")))
+    return ends.select(*stretch, "slot", F.explode(F.filter(both, lambda x: x["run"].isNotNull())).alias("x")).select("_group", "x.run", "base", "slot", "x.row")
 
 
 @rule("sequential-invoice", 3, "moderate", needs=("invoice_number", "vendor_name"))
@@ -319,18 +325,19 @@ def sequential_invoice(e: DataFrame, p: Policy) -> DataFrame:
     behind, so a long run is dealt over tasks."""
     rows = e.withColumn("_vendor", match_key(F.col("vendor_name"))).withColumn("_no", F.regexp_extract("invoice_number", r"(\d{2,})", 1).try_cast("decimal(38,0)")).filter("_no IS NOT NULL")
     keys = ["_vendor", "currency"]
-    runs = number_runs(rows.withColumn("_group", same_group(keys)), F.struct("expense_date", "_src_row", "amount", *keys))
+    rows = settled(rows.select(same_group(keys).alias("_group"), "_no", F.struct("expense_date", "_src_row", "amount", *keys).alias("row")))
+    runs = settled(number_runs(rows, F.col("row")))
     runs = runs.withColumn("date", F.col("row.expense_date"))
     piece = ["_group", "run", "base"]
     back = Window.partitionBy("_group", "run").orderBy(F.desc("base")).rowsBetween(Window.unboundedPreceding, -1)
     behind = runs.groupBy(*piece).agg(F.count("*").alias("k"), F.min("date").alias("a"), F.max("date").alias("b"))
     behind = behind.select(*piece, F.coalesce(F.sum("k").over(back), F.lit(0)).alias("k"), F.min("a").over(back).alias("a"), F.max("b").over(back).alias("b"))
-    on = Window.partitionBy(*piece).orderBy(F.desc("_no")).rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy(*piece).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.join(behind, piece).withColumn("left", F.count("*").over(on) + F.col("k"))
     runs = runs.withColumn("days", F.datediff(F.greatest(F.max("date").over(on), "b"), F.least(F.min("date").over(on), "a")))
     good = runs.filter((F.col("left") >= 3) & (F.col("days") <= int(p.get("sequential_invoice_window_days", 3))))
-    first = good.groupBy("_group").agg(F.min(F.struct("run", "_no")).alias("at")).select(F.col("_group").alias("_g"), "at.run", F.col("at._no").alias("_from"))
-    hit = runs.join(first, (F.col("_group") == F.col("_g")) & (runs["run"] == first["run"]) & (F.col("_no") >= F.col("_from")), "left_semi")
+    first = good.groupBy("_group").agg(F.min(F.struct("run", "base", "slot")).alias("at")).select(F.col("_group").alias("_g"), "at.run", F.struct("at.base", "at.slot").alias("_from"))
+    hit = runs.join(first, (F.col("_group") == F.col("_g")) & (runs["run"] == first["run"]) & (F.struct("base", "slot") >= F.col("_from")), "left_semi")
     return members(hit.select("row.*"), *keys)
 
 
