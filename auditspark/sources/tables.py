@@ -162,14 +162,17 @@ CONFIG_KEYS = {
 }
 
 
+#: Keys of this library alone: every pair of a group instead of a row for each party or stay.
+OWN_KEYS = {"all_pairs"}
+
+
 def read_policy(path: str) -> dict:
     """A ledger's policy; keys that it may not have raise, those with a leading underscore are comments."""
-    return read_config(path, POLICY_KEYS)
+    return read_config(path, POLICY_KEYS | OWN_KEYS)
 
 
 def read_procurement_config(path: str) -> dict:
-    config = read_config(path, CONFIG_KEYS, comments=False)
-    return config
+    return read_config(path, CONFIG_KEYS | OWN_KEYS, comments=False)
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

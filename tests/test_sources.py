@@ -436,3 +436,8 @@ def test_a_case_run_leaves_its_files(spark, tmp_path):
     chain = spark.read.json(str(here / "chain_of_custody.jsonl")).collect()
     assert len(chain) == 6 and {r["target"] for r in chain if r["event"] == "copied_and_verified"} == {f"evidence/raw/{n}" for n in scope["allowed_sources"]}
     assert "investigation-lead" in (here / "findings.jsonl").joinpath(next(p.name for p in (here / "findings.jsonl").glob("part-*.json") if p.stat().st_size)).read_text()
+
+
+def test_own_policy_keys_are_known(tmp_path):
+    (tmp_path / "p.json").write_text('{"all_pairs": true}')
+    assert tables.read_policy(str(tmp_path / "p.json")) == tables.read_procurement_config(str(tmp_path / "p.json")) == {"all_pairs": True}
