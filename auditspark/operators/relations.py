@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from auditspark.plans import settled
+
 #: Strong relations with their weights (others 50), and the providers' words for them.
 WEIGHTS = {"ACTUAL_CONTROLLER": 100, "UBO": 95, "SHAREHOLDER": 90, "INVESTMENT": 90, "LEGAL_REP": 85, "PARTNER": 85, "BRANCH": 80, "DIRECTOR": 70, "EXECUTIVE": 70, "SUPERVISOR": 65}
 TERMS = {
@@ -67,27 +71,75 @@ def strong_edges(edges: DataFrame) -> DataFrame:
     return last.select("u", "v", "r.type").withColumn("weight", weight(F.col("type")))
 
 
-def paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 3, top: int = 3) -> DataFrame:
-    """For pairs(source, target): simple paths of strong edges of at most max_depth steps: (source, target,
-    nodes, types, length, weight, historical, rank), the best `top` by length, weight and currency.
+#: Links of a node, or nodes around a target, that one key of a join holds; those of larger ones are dealt over slots.
+SLOT = 10_000
+
+
+def dealt(links: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """(links with `slot`, (key, n, slots)): the n links of a key lie in so many slots, by what they lead to."""
+    counts = links.groupBy(key).agg(F.count("*").alias("n")).withColumn("slots", F.ceil(F.col("n") / SLOT).cast("int"))
+    hot = counts.filter("slots > 1").select(key, "slots")
+    slot = F.coalesce(F.pmod(F.xxhash64(other), F.col("slots")), F.lit(0)).cast("int")
+    return links.join(hot, key, "left").withColumn("slot", slot).drop("slots"), counts
+
+
+def in_slots(rows: DataFrame) -> DataFrame:
+    """Every row once for each of its `slots`."""
+    return rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+
+
+def around(targets: DataFrame, links: DataFrame, degree: DataFrame, radius: int) -> DataFrame:
+    """(target, node, dist): the nodes within radius steps of each of targets(target)."""
+    rim = targets.select("target", F.col("target").alias("node"), F.lit(0).alias("dist"))
+    found = rim
+    for dist in range(1, radius + 1):
+        wide = in_slots(rim.join(degree.select(F.col("u").alias("node"), "slots"), "node")).withColumnRenamed("node", "u")
+        rim = wide.join(links, ["u", "slot"]).select("target", F.col("v").alias("node")).distinct().join(found, ["target", "node"], "left_anti")
+        rim = settled(rim.withColumn("dist", F.lit(dist)))
+        found = found.unionByName(rim)
+    return found
 
-    One join a step extends all open paths of all pairs; a path through a node goes on only if no shorter
-    one of its pair reached that node."""
+
+def frontiers(edges: DataFrame, pairs: DataFrame, max_depth: int) -> Iterator[DataFrame]:
+    """The paths of 1 to max_depth steps that may lead from source to target, one frame for each number of steps.
+
+    Both ends are searched: all nodes within half the depth of a target are known beforehand, and a path that has
+    no more than that left goes on to these alone. It is extended by the links of its node, or, where its target has
+    fewer nodes around it than its node has links, by these nodes, if they are linked: a hub costs the fewer of
+    both. A path through a node goes on only if no shorter one of its pair reached that node; of equally short
+    ones the first by its nodes does."""
     adj = strong_edges(edges)
-    state = pairs.select("source", "target").distinct().withColumn("at", F.col("source")).withColumn("nodes", F.array("source")).withColumn("types", F.array().cast("array<string>")).withColumn("weight", F.lit(0.0))
-    seen, done = state.select("source", "target", F.col("at").alias("node")), None
+    links, degree = dealt(adj, "u", "v")
+    links, degree = settled(links), settled(degree)
+    half = max_depth // 2
+    near = around(pairs.select("target").distinct(), links, degree, half)
+    state = pairs.select("source", "target").distinct().withColumn("at", F.col("source")).withColumn("nodes", F.array("source")).withColumn("types", F.array().cast("array<string>")).withColumn("total", F.lit(0.0))
+    seen = state.select("source", "target", "at")
+    onward = ["source", "target", F.col("v").alias("at"), F.concat("nodes", F.array("v")).alias("nodes"), F.concat("types", F.array("type")).alias("types"), (F.col("total") + F.col("weight")).alias("total")]
+    unseen = ~F.array_contains("nodes", F.col("v"))
     for depth in range(1, max_depth + 1):
-        step = state.join(adj.withColumnRenamed("weight", "_w"), F.col("at") == F.col("u")).filter(~F.array_contains("nodes", F.col("v")))
-        step = step.select("source", "target", F.col("v").alias("at"), F.concat("nodes", F.array("v")).alias("nodes"), F.concat("types", F.array("type")).alias("types"), (F.col("weight") + F.col("_w")).alias("weight"))
-        hit = step.filter(F.col("at") == F.col("target"))
-        done = hit if done is None else done.unionByName(hit)
-        if depth == max_depth:
-            break
-        rest = step.filter(F.col("at") != F.col("target")).join(seen.withColumnRenamed("node", "at"), ["source", "target", "at"], "left_anti")
+        counted, left = state.join(degree.withColumnRenamed("u", "at"), "at"), max_depth - depth
+        if left > half:
+            step = in_slots(counted).withColumnRenamed("at", "u").join(links, ["u", "slot"]).filter(unseen).select(*onward)
+        else:
+            goal, size = dealt(near.filter(F.col("dist") <= left).select("target", F.col("node").alias("v")), "target", "v")
+            both = counted.join(size.select("target", F.col("n").alias("m"), F.col("slots").alias("parts")), "target").withColumnRenamed("at", "u")
+            few = in_slots(both.filter("n <= m")).join(links, ["u", "slot"]).join(goal.select("target", "v"), ["target", "v"], "left_semi")
+            many = in_slots(both.filter("n > m").drop("slots").withColumnRenamed("parts", "slots")).join(goal, ["target", "slot"])
+            many = many.drop("slot").join(links.drop("slot"), ["u", "v"])
+            step = few.filter(unseen).select(*onward).unionByName(many.filter(unseen).select(*onward))
+        step = settled(step)
+        yield step.withColumnRenamed("total", "weight")
         # Of several paths that reach a node at one depth, the first by its nodes goes on.
-        by = Window.partitionBy("source", "target", "at").orderBy("nodes")
-        state = rest.withColumn("_rn", F.row_number().over(by)).filter("_rn = 1").drop("_rn")
-        seen = seen.unionByName(state.select("source", "target", F.col("at").alias("node")))
+        ahead = step.filter(F.col("at") != F.col("target")).join(seen, ["source", "target", "at"], "left_anti")
+        state = ahead.groupBy("source", "target", "at").agg(F.min(F.struct("nodes", "types", "total")).alias("first")).select("source", "target", "at", "first.*")
+        seen = seen.unionByName(state.select("source", "target", "at"))
+
+
+def paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 3, top: int = 3) -> DataFrame:
+    """For pairs(source, target): simple paths of strong edges of at most max_depth steps: (source, target,
+    nodes, types, weight, length, historical, rank), the best `top` by length, weight and currency."""
+    done = reduce(DataFrame.unionByName, [step.filter(F.col("at") == F.col("target")) for step in frontiers(edges, pairs, max_depth)])
     done = done.withColumn("length", F.size("types")).withColumn("historical", F.exists("types", lambda t: t.startswith("HISTORICAL_")))
     by = Window.partitionBy("source", "target").orderBy("length", F.desc("weight"), "historical", "nodes")
     return done.drop("at").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
@@ -104,16 +156,36 @@ class Context:
     negative_semantics: bool = False
 
 
+def evidence_of(found: DataFrame) -> DataFrame:
+    return found.groupBy("source", "target").agg(F.count("*").alias("n_paths"), F.bool_or("historical").alias("historical"))
+
+
 def decide(pairs: DataFrame, found: DataFrame, c: Context) -> DataFrame:
     """(source, target, status, n_paths, historical): related, not related within the scope, or to verify. A
     path tells only of resolved, unambiguous entities; no path tells nothing unless the scope is
-    complete and a structured provider vouches for absences."""
-    have = found.groupBy("source", "target").agg(F.count("*").alias("n_paths"), F.bool_or("historical").alias("historical"))
-    j = pairs.select("source", "target").distinct().join(have, ["source", "target"], "left").fillna(0, ["n_paths"])
+    complete and a structured provider vouches for absences. What is decided is validated."""
+    clear = c.entities_resolved and not c.person_ambiguity
+    absent = clear and c.scope_complete and not c.provider_error and not c.only_web_search and c.negative_semantics
+    without = "NOT_RELATED_IN_SCOPE" if absent else "NEEDS_VERIFICATION"
+    j = pairs.select("source", "target").distinct().join(evidence_of(found), ["source", "target"], "left").fillna(0, ["n_paths"])
+    claims = j.select("source", "target", F.when(F.col("n_paths") > 0, "RELATED" if clear else "NEEDS_VERIFICATION").otherwise(without).alias("status"))
+    return validated(claims, found, c).drop("claimed", "downgraded")
+
+
+def validated(claims: DataFrame, found: DataFrame, c: Context) -> DataFrame:
+    """claims(source, target, status), whoever made them, held against the paths found: (source, target, claimed,
+    status, downgraded, n_paths, historical). With a path, resolved and unambiguous entities are related,
+    whatever was claimed. Without one, only the claim of no relation stands, and only if a structured provider that
+    vouches for absences answered for the complete scope. All else, a null claim too, is to be verified.
+    Rows that repeat each have their answer."""
     clear = c.entities_resolved and not c.person_ambiguity
-    absent = clear and c.structured_provider_used and c.scope_complete and not c.provider_error and not c.only_web_search and c.negative_semantics
-    status = F.when(F.lit(not clear), "NEEDS_VERIFICATION").when(F.col("n_paths") > 0, "RELATED").when(F.lit(absent), "NOT_RELATED_IN_SCOPE").otherwise("NEEDS_VERIFICATION")
-    return j.select("source", "target", status.alias("status"), "n_paths", F.coalesce("historical", F.lit(False)).alias("historical"))
+    absent = clear and c.structured_provider_used and c.scope_complete and not c.provider_error and c.negative_semantics
+    j = claims.select("source", "target", F.col("status").alias("claimed")).join(evidence_of(found), ["source", "target"], "left").fillna(0, ["n_paths"])
+    stands = F.lit(absent) & F.col("claimed").eqNullSafe("NOT_RELATED_IN_SCOPE")
+    status = F.when((F.col("n_paths") > 0) & F.lit(clear), "RELATED").when((F.col("n_paths") == 0) & stands, "NOT_RELATED_IN_SCOPE").otherwise("NEEDS_VERIFICATION")
+    j = j.withColumn("status", status)
+    downgraded = (F.col("status") == "NEEDS_VERIFICATION") & ~F.col("claimed").eqNullSafe("NEEDS_VERIFICATION")
+    return j.select("source", "target", "claimed", "status", downgraded.alias("downgraded"), "n_paths", F.coalesce("historical", F.lit(False)).alias("historical"))
 
 
 #: Characters of the strings by which names are indexed.

@@ -1,4 +1,4 @@
-"""Workbooks of the XLSX format, read by its ZIP and XML alone."""
+"""Workbooks of the XLSX format, read by its ZIP and XML alone, and workbooks as tables."""
 
 from __future__ import annotations
 
@@ -17,6 +17,23 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: The format's numbers of built-in date and time formats.
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+#: The days from which dates count.
+EPOCH, EPOCH_1904 = datetime(1899, 12, 30), datetime(1904, 1, 1)
+
+
+def is_date_format(number: int, code: str) -> bool:
+    """Whether a number's format, built in or by its code, shows a date or a time."""
+    return number in DATE_FORMATS or re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code).lower()) is not None
+
+
+def cell_text(number: float, epoch: datetime | None) -> str:
+    """A number as text: a date where an epoch is given and it can be one."""
+    if epoch is not None:
+        try:
+            return str(epoch + timedelta(seconds=round(number * 86_400)))
+        except (OverflowError, ValueError):
+            pass
+    return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
 
 
 class Workbook:
@@ -28,12 +45,12 @@ class Workbook:
         target = {r.get("Id"): r.get("Target") for r in links}
         self.sheets = {s.get("name"): "xl/" + target[s.get(LINK)].removeprefix("/xl/") for s in book.iter(MAIN + "sheet")}
         old = book.find(MAIN + "workbookPr")
-        self.epoch = datetime(1904, 1, 1) if old is not None and old.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+        self.epoch = EPOCH_1904 if old is not None and old.get("date1904") in ("1", "true") else EPOCH
         self.shared = ["".join(t.text or "" for t in s.iter(MAIN + "t")) for s in self._xml("xl/sharedStrings.xml", "sst")]
         styles = self._xml("xl/styles.xml", "styleSheet")
-        own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in styles.iter(MAIN + "numFmt")}
+        own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(MAIN + "numFmt")}
         formats = [int(x.get("numFmtId", 0)) for x in styles.findall(f"{MAIN}cellXfs/{MAIN}xf")]
-        self.dated = {i for i, f in enumerate(formats) if f in DATE_FORMATS or re.search("[ymdhs]", own.get(f, "").lower())}
+        self.dated = {i for i, f in enumerate(formats) if is_date_format(f, own.get(f, ""))}
 
     def _xml(self, name: str, empty: str | None = None) -> ElementTree.Element:
         if empty and name not in self.zip.namelist():
@@ -52,10 +69,7 @@ class Workbook:
             return "True" if value == "1" else "False"
         if kind != "n":
             return value
-        if int(cell.get("s", 0)) in self.dated:
-            return str(self.epoch + timedelta(seconds=round(float(value) * 86_400)))
-        number = float(value)
-        return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+        return cell_text(float(value), self.epoch if int(cell.get("s", 0)) in self.dated else None)
 
     def rows(self, sheet: str | None = None) -> Iterator[tuple[int, dict[int, str]]]:
         """(row, cells by column) of a sheet, by default the first."""
@@ -86,16 +100,18 @@ def column_number(letters: str) -> int:
     return n - 1
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """The rows below a sheet's header, all columns text, with _src_row, the row in the sheet, _src_sheet and
-    _src_file. Workbooks are opened in the tasks, one each; a sheet has at most 1,048,576 rows. With several
-    files, all must have the columns of the first."""
+    _src_file. Workbooks, XLSX or XLS by what they begin with, are opened in the tasks, one each; a sheet has at
+    most 1,048,576 rows. With several files, all must have the columns of the first."""
+    from auditspark.sources.xls import SIGNATURE, OldWorkbook
+
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                book = Workbook(bytes(content))
+                book = (OldWorkbook if content[:8] == SIGNATURE else Workbook)(bytes(content))
                 title, held = sheet or next(iter(book.sheets)), []
                 for row, cells in book.rows(sheet):
                     held.append((name, title, row, [cells.get(k) for k in range(max(cells, default=-1) + 1)]))

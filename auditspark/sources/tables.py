@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditspark import functions as fn
 from auditspark.sources import inside, map_columns, read_config, read_delimited
-from auditspark.sources.sheets import read_xlsx
+from auditspark.sources.sheets import read_workbook
 
 #: Names by which the columns of the ledger's side tables are known.
 TRAVEL_REQUESTS = {
@@ -176,13 +176,13 @@ def read_procurement_config(path: str) -> dict:
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A CSV or XLSX file by its suffix, all columns text, with _src_row, _src_sheet and _src_file."""
+    """A CSV, XLSX or XLS file by its suffix, all columns text, with _src_row, _src_sheet and _src_file."""
     kind = Path(path).suffix.lower()
     if kind == ".csv":
         return read_delimited(spark, path).withColumn("_src_sheet", F.lit(None).cast("string"))
-    if kind == ".xlsx":
-        return read_xlsx(spark, path, sheet)
-    raise ValueError(f"{path}: neither .csv nor .xlsx")
+    if kind in (".xlsx", ".xls"):
+        return read_workbook(spark, path, sheet)
+    raise ValueError(f"{path}: neither .csv nor .xlsx nor .xls")
 
 
 def headers(df: DataFrame) -> list[str]:

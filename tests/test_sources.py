@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import statistics
+import struct
 import zipfile
 
 import pytest
@@ -16,6 +17,7 @@ from auditspark.operators import casework, procurement, relations, scoring, sqlg
 from auditspark.operators.expense import EXPENSE
 from auditspark.plans import entities, evidence, evidence_refs, findings, numbered, run_rules
 from auditspark.sources import cases, records, reports, runs, sheets, tables
+from auditspark.sources.xls import SIGNATURE, OldWorkbook, short_number
 
 
 def workbook(rows, second=None):
@@ -233,6 +235,136 @@ def test_paths_against_a_plain_search(spark):
     assert got == want and len(want) > 100
 
 
+def compound(book, sector=512):
+    """A compound file of one stream: in sectors of its own, or, if it is small, in the small sectors of the root."""
+    pad = lambda b, n: b + bytes(-len(b) % n)
+    small = len(book) < 4096
+    body = pad(book, 64) if small else book
+    n = -(-len(body) // sector)
+    free, end = 0xFFFFFFFF, 0xFFFFFFFE
+    n_small = len(body) // 64
+    # Sector 0 is the table, 1 the entries, 2 the table of small sectors; the stream goes backwards from the file's end.
+    order = list(range(3 + n - 1, 2, -1))
+    table = [0xFFFFFFFD, end, end] + [end] + list(range(3, 3 + n - 1))
+    table += [free] * (sector // 4 - len(table))
+    assert len(table) == sector // 4
+
+    def entry(name, kind, first, size):
+        raw = name.encode("utf-16-le") + b"\0\0" if name else b""
+        return pad(raw, 64)[:64].ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + struct.pack("<III", free, free, free) + bytes(36) + struct.pack("<III", first, size, 0)
+
+    first = order[0]
+    entries = entry("Root Entry", 5, first if small else end, len(body) if small else 0) + entry("Other", 2, end, 0) + entry("Workbook", 2, 0 if small else first, len(book)) + bytes(128)
+    smalls = [*range(1, n_small), end] if small else []
+    smalls += [free] * (sector // 4 - len(smalls))
+    head = SIGNATURE + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIIII", 0, 1, 1, 0, 4096, 2, 1, end, 0, 0) + struct.pack("<108I", *[free] * 108)
+    sectors = [struct.pack(f"<{sector // 4}I", *table), entries, struct.pack(f"<{sector // 4}I", *smalls)]
+    parts = [pad(body[k * sector : (k + 1) * sector], sector) for k in range(n)]
+    return head + b"".join(sectors) + b"".join(parts[::-1])
+
+
+def old_workbook(cells, second, width=None):
+    """XLS of shared texts cut over records, numbers in each form, dates, truth values, errors and formulas."""
+    rec = lambda n, b: struct.pack("<HH", n, len(b)) + b
+    wide = lambda t: struct.pack("<HB", len(t), 1) + t.encode("utf-16-le")
+    bof = lambda kind: rec(0x0809, struct.pack("<HH", 0x0600, kind) + bytes(12))
+    shared = [v for _, _, v in cells if isinstance(v, str) and not v.startswith(("inline ", "=", "#"))]
+    body, cut = b"", None
+    for k, t in enumerate(shared):
+        if k == 1:  # its first half narrow in one record, the rest wide in the next; it has two runs of fonts and some phonetics
+            body += struct.pack("<HBHI", len(t), 8 | 4, 2, 5) + t[:3].encode("latin-1")
+            cut, body = body, b"\1" + t[3:].encode("utf-16-le") + bytes(8 + 5)
+        else:
+            body += wide(t)
+    strings = rec(0x00FC, struct.pack("<II", len(shared), len(shared)) + (cut or b"")) + rec(0x003C, body)
+
+    def cell(r, c, v):
+        at = struct.pack("<HHH", r, c, 0)
+        if isinstance(v, bool):
+            return rec(0x0205, at + bytes([v, 0]))
+        if isinstance(v, dt.datetime):
+            return rec(0x0203, struct.pack("<HHHd", r, c, 1, (v - dt.datetime(1899, 12, 30)) / dt.timedelta(days=1)))
+        if isinstance(v, int):
+            return rec(0x027E, at + struct.pack("<I", (v << 2 | 2) & 0xFFFFFFFF))
+        if isinstance(v, float):
+            return rec(0x0203, at + struct.pack("<d", v)) if v * 100 % 1 else rec(0x027E, at + struct.pack("<I", (round(v * 100) << 2 | 3) & 0xFFFFFFFF))
+        if isinstance(v, list):
+            return rec(0x00BD, struct.pack("<HH", r, c) + b"".join(struct.pack("<HI", 0, (x << 2 | 2) & 0xFFFFFFFF) for x in v) + struct.pack("<H", c + len(v) - 1))
+        if v.startswith("#"):
+            return rec(0x0205, at + bytes([42, 1]))
+        if v.startswith("="):
+            return rec(0x0006, at + bytes([0, 0, 0, 0, 0, 0, 255, 255]) + bytes(8)) + rec(0x0207, wide(v[1:]))
+        if v.startswith("inline "):
+            return rec(0x0204, at + wide(v[7:]))
+        return rec(0x00FD, at + struct.pack("<I", shared.index(v)))
+
+    sheets = [bof(0x10) + b"".join(cell(*x) for x in cells) + rec(0x0809, struct.pack("<HH", 0x0600, 0x20) + bytes(12)) + cell(0, 0, 99) + rec(0x000A, b"") + (bytes(0) if not width else b"".join(cell(9 + k, 0, k) for k in range(width))) + rec(0x000A, b""), bof(0x10) + b"".join(cell(*x) for x in second) + rec(0x000A, b"")]
+    styles = rec(0x041E, struct.pack("<H", 170) + wide('yyyy"y"mm')) + rec(0x00E0, bytes(20)) + rec(0x00E0, struct.pack("<HH", 0, 170) + bytes(16))
+
+    def start(places):
+        names = b"".join(rec(0x0085, struct.pack("<IBBBB", at, 0, 0, len(n), 1) + n.encode("utf-16-le")) for n, at in zip(["First", "Zweites"], places, strict=True))
+        return bof(5) + styles + names + strings + rec(0x000A, b"")
+
+    first = len(start([0, 0]))
+    return start([first, first + len(sheets[0])]) + b"".join(sheets)
+
+
+@pytest.mark.parametrize("width", [0, 600])
+def test_old_workbooks(spark, tmp_path, width):
+    """In small sectors and in large ones, whose chain runs backwards."""
+    day = dt.datetime(2026, 3, 2, 10, 30)
+    cells = [(0, c, v) for c, v in enumerate(["报销单号", "cost金额", "费用日期", "工号", "flag", "note", "more"])]
+    cells += [(1, 0, "X1"), (1, 1, 12.5), (1, 2, day), (1, 3, "inline E1"), (1, 4, True), (1, 5, "=done 完"), (1, 6, "#N/A")]
+    cells += [(4, 0, "X2"), (4, 1, -7), (4, 4, False), (4, 5, 0.125), (2, 0, [3, -4, 5])]
+    content = compound(old_workbook(cells, [(0, 0, "X1"), (1, 0, 5)], width))
+    (tmp_path / "a.xls").write_bytes(content)
+    got = tables.read_table(spark, str(tmp_path / "a.xls")).orderBy("_src_row")
+    assert got.columns[:7] == ["报销单号", "cost金额", "费用日期", "工号", "flag", "note", "more"]
+    rows = [tuple(r)[:8] for r in got.collect()]
+    assert rows[:3] == [("X1", "12.5", "2026-03-02 10:30:00", "E1", "True", "done 完", "#N/A", 2), ("3", "-4", "5", None, None, None, None, 3), ("X2", "-7", None, None, "False", "0.125", None, 5)]
+    assert len(rows) == 3 + width and (not width or rows[-1][0] == str(width - 1))
+    assert tables.read_table(spark, str(tmp_path / "a.xls"), "Zweites").first()["X1"] == "5"
+    with pytest.raises(ValueError, match="First, Zweites"):
+        list(OldWorkbook(content).rows("Third"))
+    for broken in (content[:1000], b"PK" + content[2:], content[:512] + struct.pack("<128I", *[1] * 128) + content[1024:]):
+        with pytest.raises(ValueError):
+            list(OldWorkbook(broken).rows())
+
+
+def test_numbers_of_four_bytes():
+    for x, v in ((1.0, 1 << 2 | 2), (-1.0, 0xFFFFFFFE), (1.23, 123 << 2 | 3), (1.5, 0x3FF80000), (0.015, 0x3FF80001), (-536870912.0, 0x80000002)):
+        assert short_number(v) == x
+
+
+def test_a_hub_costs_what_the_other_end_costs(spark, monkeypatch):
+    """s-hub, hub with many leaves, one leaf tied to t: paths to t go through the nodes around t, not through all leaves;
+    between two leaves, both ends are small. Slots split the hub's links."""
+    monkeypatch.setattr(relations, "SLOT", 500)
+    leaves = 5000
+    edges = [("s", "hub")] + [("hub", f"x{i}") for i in range(leaves)] + [("x7", "t"), ("y", "t"), ("s", "y")]
+    e = spark.createDataFrame([(i, a, b, "股东") for i, (a, b) in enumerate(edges)], "_src_row long, `from` string, `to` string, relation_type string")
+    pairs = spark.createDataFrame([("s", "t"), ("x1", "x2"), ("t", "s"), ("s", "nowhere"), ("s", "s")], "source string, target string")
+    steps = list(relations.frontiers(e, pairs, 3))
+    assert sum(s.count() for s in steps) < 60
+    got = {(r["source"], r["target"], r["rank"]): r["nodes"] for r in relations.paths(e, pairs).collect()}
+    assert got == {("s", "t", 1): ["s", "y", "t"], ("s", "t", 2): ["s", "hub", "x7", "t"], ("t", "s", 1): ["t", "y", "s"], ("t", "s", 2): ["t", "x7", "hub", "s"], ("x1", "x2", 1): ["x1", "hub", "x2"]}
+    hub = spark.createDataFrame([("hub", "t")], "source string, target string")
+    assert [r["nodes"] for r in relations.paths(e, hub).orderBy("rank").collect()] == [["hub", "x7", "t"], ["hub", "s", "y", "t"]]
+
+
+def test_claims_are_validated(spark):
+    claims = spark.createDataFrame([("a", "b", "NOT_RELATED_IN_SCOPE"), ("a", "c", "NOT_RELATED_IN_SCOPE"), ("a", "d", "RELATED"), ("a", "e", None), ("a", "c", "NOT_RELATED_IN_SCOPE")], "source string, target string, status string")
+    found = spark.createDataFrame([("a", "b", True), ("a", "b", False)], "source string, target string, historical boolean")
+    sure = relations.Context(entities_resolved=True, structured_provider_used=True, scope_complete=True, negative_semantics=True, only_web_search=True)
+    got = sorted(map(tuple, relations.validated(claims, found, sure).drop("source", "claimed").collect()))
+    verify = "NEEDS_VERIFICATION"
+    assert got == [("b", "RELATED", False, 2, True), ("c", "NOT_RELATED_IN_SCOPE", False, 0, False), ("c", "NOT_RELATED_IN_SCOPE", False, 0, False), ("d", verify, True, 0, False), ("e", verify, True, 0, False)]
+    for lacking in ({"entities_resolved": False}, {"structured_provider_used": False}, {"scope_complete": False}, {"provider_error": True}, {"person_ambiguity": True}, {"negative_semantics": False}):
+        c = relations.Context(**({"entities_resolved": True, "structured_provider_used": True, "scope_complete": True, "negative_semantics": True} | lacking))
+        got = {r["target"]: r["status"] for r in relations.validated(claims, found, c).collect()}
+        assert got["c"] == verify and got["b"] == ("RELATED" if c.entities_resolved and not c.person_ambiguity else verify)
+
+
 @pytest.mark.parametrize("ratio", [0.01, 0.2])
 def test_price_clusters_against_a_plain_pass(spark, ratio):
     """Also at the very ends of reaches, below a cent, below nothing, and in long chains of clusters."""
