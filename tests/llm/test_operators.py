@@ -308,14 +308,19 @@ def all_ways():
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     usual = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    weight = {i: 1 / (10 - model.get_score(i)) for i in usual} | {i: 1 / (10 + model.get_piece_size()) for i in range(model.get_piece_size()) if model.is_byte(i)}
-    total = sum(weight.values())
-    pieces = {model.id_to_piece(i): weight[i] / total for i in usual}
-    spelt = {int(model.id_to_piece(i)[3:-1], 16): weight[i] / total for i in weight if model.is_byte(i)}
-    longest = max(map(len, pieces))
+    plain = {i: 1 / (10 - model.get_score(i)) for i in usual} | {i: 1 / (10 + model.get_piece_size()) for i in range(model.get_piece_size()) if model.is_byte(i)}
 
     @functools.cache
-    def ways(word):
+    def at_scale(scale):
+        weight = {i: w**scale for i, w in plain.items()}
+        total = sum(weight.values())
+        return {model.id_to_piece(i): weight[i] / total for i in usual}, {int(model.id_to_piece(i)[3:-1], 16): weight[i] / total for i in weight if model.is_byte(i)}
+
+    longest = max(len(model.id_to_piece(i)) for i in usual)
+
+    @functools.cache
+    def ways(word, scale=1.0):
+        pieces, spelt = at_scale(scale)
         word = "▁" + word
         alpha = [0.0]
         for b in range(1, len(word) + 1):
@@ -336,10 +341,14 @@ def test_lm_scores(docs, empty, all_ways, top):
     training = [ws for i, ws in rows if zlib.crc32(str(i).encode()) % 10]
     seen = collections.Counter(w for ws in training for w in [*ws, None])
     n, v = sum(seen.values()), len(seen)
-    n_words, p_end = n - len(training), (len(training) + 0.5) / (n + 1)
+    p_end = (len(training) + 0.5) / (n + 1)
+
+    fit = {scale: math.fsum(seen[w] * all_ways(w, scale) for w in seen if w is not None) for scale in lm.SCALES}
+    best = max(fit, key=fit.get)
 
     def score(ws):
-        each = [math.log10(1 - p_end) + np.logaddexp(math.log(0.95) + all_ways(w), math.log(0.05 * seen[w] / n_words) if seen[w] else -np.inf) / math.log(10) for w in ws]
+        """By the lattices alone, at the scale under which the training words are likeliest."""
+        each = [math.log10(1 - p_end) + all_ways(w, best) / math.log(10) for w in ws]
         return round(math.fsum([*each, math.log10(p_end)]), 5)
 
     want = sorted((i, zlib.crc32(str(i).encode()) % 10 == 0, len(ws) + 1, sum(seen[w] > 0 for w in [*ws, None]), n, round(sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*ws, None]), 5), score(ws)) for i, ws in rows)
@@ -361,7 +370,9 @@ def test_lattice_adds_up_all_segmentations(all_ways, monkeypatch):
     each = ["the", "inertia", "größe", "\U0001f600x", "", "漢字かな", "z" * 300, "internationalisation" * 8]
     for long_ in (64, 0, 1000):
         monkeypatch.setattr(lm, "LONG", long_)
-        assert lattice.forward(each) == pytest.approx([all_ways(w) for w in each], abs=1e-8)
+        got = lattice.forward(each)
+        for k, scale in enumerate(lm.SCALES):
+            assert got[k] == pytest.approx([all_ways(w, scale) for w in each], abs=1e-8)
 
 
 def brute_components(rows, size, percent):
