@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,8 +15,6 @@ from .common import BASE, U64, checkpoint, frequent, mix, table
 
 #: The model reads code points as they are, four at a time: three of CODE bits make a context of 63 bits.
 ORDER, CODE = 4, 21
-#: Characters of the small alphabet of kneser_ney(), and their bits.
-CLASSES, BITS = 32, 5
 #: The weights of the most frequent n-grams, so many at most, are sent to every task; others are joined.
 TOP = 1_000_000
 #: N-grams that a counting task holds before it gives them out.
@@ -55,70 +52,21 @@ def grams(lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return key.view(np.int64), context.view(np.int64), flat.astype(np.int32), sizes
 
 
-@dataclass
-class Model:
-    """Interpolated modified Kneser-Ney probabilities in sorted arrays, one set for each order: the
-    packed n-gram, log10 probability, and the log10 weight of backing off from it as a context."""
-
-    keys: list[np.ndarray]
-    logp: list[np.ndarray]
-    back: list[np.ndarray]
-
-    def score(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of the last class of each packed n-gram after the others."""
-        out, rest = np.zeros(len(key)), np.arange(len(key))
-        for n in range(ORDER, 0, -1):
-            part = key[rest] & ((1 << (BITS * n)) - 1)
-            at = np.minimum(np.searchsorted(self.keys[n - 1], part), len(self.keys[n - 1]) - 1)
-            hit = self.keys[n - 1][at] == part
-            out[rest[hit]] += self.logp[n - 1][at[hit]]
-            rest, part = rest[~hit], part[~hit]
-            if n > 1 and len(rest):
-                context = part >> BITS
-                at = np.minimum(np.searchsorted(self.keys[n - 2], context), len(self.keys[n - 2]) - 1)
-                hit = self.keys[n - 2][at] == context
-                out[rest[hit]] += self.back[n - 2][at[hit]]
-        return out
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts of counts 1, 2 and 3 or more from the counts of counts; fixed ones where these fail."""
-    n1, n2, n3, n4 = ((counts == k).sum() for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return np.array([0.0, 0.5, 1.0, 1.5])
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, 0.0, [0.0, 0.99, 1.99, 2.99])
-
-
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """The model of an alphabet of CLASSES characters, in dense tables, from packed n-grams of the highest
-    order and their counts. train() gives the same for any alphabet, in joins; tests hold it against this."""
-    full = np.zeros(CLASSES**ORDER, np.int64)
-    full[keys] = counts
-    tables = [full.reshape(-1, CLASSES)]
-    for n in range(ORDER - 1, 0, -1):  # below the highest order, how many classes precede the n-gram
-        tables.insert(0, (tables[0].reshape(CLASSES, -1) > 0).sum(0).reshape(-1, CLASSES))
-    prob = np.full((1, CLASSES), 1 / CLASSES)
-    model = Model([], [], [])
-    for n, c in enumerate(tables, 1):
-        d = discounts(c)
-        total = c.sum(1, keepdims=True)
-        cut = d[np.minimum(c, 3)]
-        weight = np.where(total > 0, cut.sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
-        lower = np.tile(prob, (CLASSES if n > 1 else 1, 1)) if n > 1 else prob
-        prob = np.maximum(c - cut, 0) / np.maximum(total, 1) + weight * lower.reshape(len(c), CLASSES)
-        if n > 1:
-            model.back[-1] = np.log10(np.maximum(weight.reshape(-1)[model.keys[-1]], 1e-12))
-        used = c.reshape(-1) > 0
-        if n < ORDER:  # contexts that begin texts end no longer n-gram, yet have weights to back off with
-            used |= tables[n].sum(1) > 0
-        seen = np.arange(CLASSES) if n == 1 else np.flatnonzero(used)
-        model.keys.append(seen.astype(np.int32))
-        model.logp.append(np.log10(np.maximum(prob.reshape(-1)[seen], 1e-12)))
-        model.back.append(np.zeros(len(seen)))
-        prob = prob.reshape(-1, CLASSES)
-    return model
+class SortedWeights:
+    """Weights of n-grams in two arrays, sorted by the n-grams' hashes and searched by bisection."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.weights = keys[order], weights[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, found) of each key; the weight of one that is not there is 0."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        each, back = np.unique(keys, return_inverse=True)  # in order, so that the search runs through the arrays once
+        at = np.minimum(np.searchsorted(self.keys, each), len(self.keys) - 1)
+        found = self.keys[at] == each
+        return np.where(found, self.weights[at], 0.0)[back], found[back]
 
 
 def measures(text: str) -> tuple[int, int, int, int, int]:
@@ -202,7 +150,8 @@ def by_language(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFr
 
 
 def cuts(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3): discounts() of the counts n of each language."""
+    """(lang, d1, d2, d3): discounts of counts 1, 2 and 3 or more of each language, from its counts of counts; fixed ones
+    where these fail."""
     n1, n2, n3, n4 = (F.col(f"_n{k}") for k in (1, 2, 3, 4))
     of = counts.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"_n{k}") for k in (1, 2, 3, 4)])
     y = n1 / (n1 + 2 * n2)
@@ -238,13 +187,12 @@ def train(narrow: DataFrame) -> DataFrame:
 
 def scores(narrow: DataFrame, model: DataFrame, kind: str, top: int) -> DataFrame:
     """narrow(rid, id, lang, text) -> rid, id, lang, the measures of the text, n_chars, and logp, the sum over its
-    n-grams by model(key, n, logp). The most frequent n-grams are added up in the scan of the texts; the
-    others, which each text has few of, meet their weights in a join."""
+    n-grams by model(key, n, logp). The most frequent n-grams are added up in the scan of the texts, from sorted
+    arrays; the others, which each text has few of, meet their weights in a join, sorted by hash in its parts."""
     got = frequent(model, "n", top).select("key", "logp").toArrow()
-    held = narrow.sparkSession.sparkContext.broadcast((got["key"].to_numpy(), got["logp"].to_numpy()))
+    held = narrow.sparkSession.sparkContext.broadcast(SortedWeights(got["key"].to_numpy(), got["logp"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, weight = pd.Index(held.value[0]), np.append(held.value[1], 0.0)  # the last for all others
         for batch in batches:
             logp, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             rest: list = [None] * len(batch)
@@ -253,12 +201,12 @@ def scores(narrow: DataFrame, model: DataFrame, kind: str, top: int) -> DataFram
                 at = place[part.index].to_numpy()
                 for texts in chunks(part["text"]):
                     key, _, _, sizes = grams(lang, texts)
-                    found = keys.get_indexer(key)
+                    weight, found = held.value.find(key)
                     end = np.cumsum(sizes)
-                    total = np.concatenate([[0.0], np.cumsum(weight[found])])
+                    total = np.concatenate([[0.0], np.cumsum(weight)])
                     here, at = at[: len(texts)], at[len(texts) :]
                     logp[here], size[here] = total[end] - total[end - sizes], sizes
-                    far = np.flatnonzero(found < 0)
+                    far = np.flatnonzero(~found)
                     cuts_ = np.searchsorted(far, np.append(0, end))
                     for i, a, b in zip(here.tolist(), cuts_[:-1].tolist(), cuts_[1:].tolist(), strict=True):
                         rest[i] = key[far[a:b]]

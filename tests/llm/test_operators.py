@@ -16,6 +16,8 @@ from tokenizers import Tokenizer
 
 from auditspark.llm import graph, jaccard, lm, mixing, neighbours, packing, quality, repeats, rules, tokencount, urls
 
+from . import kneser_ney as dense_model
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _rid string, rank int, n string"
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -512,12 +514,38 @@ def test_rules(docs, empty, texts):
     assert not (got.kept & got.base_failed).any() and len(got) == docs.count()
     inside = (got.log_perplexity >= got.band_low) & (got.log_perplexity <= got.band_high)
     assert (got.kept == (~got.base_failed & inside)).all() and rules.apply_rules(empty).count() == 0
+    # Bands from the scores themselves, sorted: the histogram is at most a step away.
+    for _, part in got.groupby("lang"):
+        passed = np.sort(part.log_perplexity[~part.base_failed].to_numpy())
+        if not len(passed):
+            continue
+        centre = passed[(len(passed) - 1) // 2]
+        deviation = np.sort(np.abs(passed - centre))[(len(passed) - 1) // 2]
+        half = rules.WIDTH * max(deviation, 1 / rules.STEP) + rules.SHORT / np.sqrt(np.maximum(part.n_chars, 1))
+        near = (0.5 + 2 * rules.WIDTH) / rules.STEP
+        assert np.allclose(part.band_low, centre - half, rtol=0, atol=near) and np.allclose(part.band_high, centre + half, rtol=0, atol=near)
+
+
+def test_sorted_weights():
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 5000), [-(2**63), 2**63 - 1, 0]]))
+    rng.shuffle(keys)
+    weights = rng.normal(size=len(keys))
+    known = dict(zip(keys.tolist(), weights.tolist(), strict=True))
+    asked = np.concatenate([keys[:2000], keys[:50], rng.integers(-(2**63), 2**63 - 1, 3000), [-(2**63), 2**63 - 1, 1]])
+    held = rules.SortedWeights(keys, weights)
+    assert (np.diff(held.keys) > 0).all()
+    weight, found = held.find(asked)
+    assert weight.tolist() == [known.get(k, 0.0) for k in asked.tolist()] and found.tolist() == [k in known for k in asked.tolist()]
+    for h, k in ((held, keys[:0]), (rules.SortedWeights(keys[:0], weights[:0]), asked)):
+        weight, found = h.find(k)
+        assert len(weight) == len(found) == len(k) and not weight.any() and not found.any()
 
 
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(2)
     keys, counts = np.unique(rng.integers(0, 1 << 12, 4000), return_counts=True)
-    model = rules.kneser_ney(keys, counts)
+    model = dense_model.kneser_ney(keys, counts)
     for context in (0, 77, 4095, 12345):
         p = 10 ** model.score(np.array([(context << 5) | c for c in range(32)], np.int32))
         assert p.sum() == pytest.approx(1, abs=1e-6)
@@ -583,7 +611,7 @@ def test_joined_model_agrees_with_dense(spark):
         padded = [0, 0, 0] + [symbols.index(c) for c in t]
         found.update((a << 15) | (b << 10) | (c << 5) | d for a, b, c, d in zip(padded, padded[1:], padded[2:], padded[3:]))
     keys = np.array(sorted(found))
-    dense = dict(zip(keys.tolist(), rules.kneser_ney(keys, np.array([found[k] for k in keys.tolist()])).score(keys.astype(np.int32)).tolist(), strict=True))
+    dense = dict(zip(keys.tolist(), dense_model.kneser_ney(keys, np.array([found[k] for k in keys.tolist()])).score(keys.astype(np.int32)).tolist(), strict=True))
     other = [("xx", "noise " * 50)]
     got = {r["key"]: r["logp"] for r in rules.train(spark.createDataFrame([("ru", t) for t in texts] + other, "lang string, text string")).collect()}
     for t in texts:
