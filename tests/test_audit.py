@@ -278,3 +278,16 @@ def test_streaming_windows(spark, tmp_path):
     q = streaming.frequent_small_amounts(stream, days=1).writeStream.format("memory").queryName("busy").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert spark.sql("select max(n_rows) from busy").first()[0] == 12
+
+
+def test_copied_bids_are_tied_to_their_least(spark, monkeypatch):
+    rows = [(i, "L", "abcdef ghijkl") for i in range(60)] + [(100 + i, "L", f"ABCDEF ghijk{i}") for i in range(5)] + [(200, "M", "abcdef ghijkl"), (201, None, "abcdef ghijkl"), (202, "L", None), (203, "L", "a")]
+    bids = spark.createDataFrame(rows, "bid_id long, lot_id string, text string")
+    at = lambda p: {(r["bid_a"], r["bid_b"]): round(r["similarity"], 9) for r in procurement.bid_similarity(bids, p).collect()}
+    whole = at({"all_pairs": True, "bid_similarity_threshold": 0.3})
+    tied = at({"bid_similarity_threshold": 0.3})
+    assert len([1 for a, b in tied if b < 60]) == 59 and all(a == 0 for a, b in tied if b < 60)
+    assert len([1 for a, b in whole if b < 60]) == 60 * 59 // 2 and max(a for a, _ in whole) < 200
+    assert {k: whole[k] for k in tied} == tied and all(whole[a, b] == tied[0, b] for a, b in whole if a < 60 <= b)
+    monkeypatch.setattr(procurement, "BLOCK", 2)
+    assert at({"bid_similarity_threshold": 0.3}) == tied and len(tied) == 59 + 5
