@@ -46,13 +46,13 @@ def finding_ids(refs: DataFrame, cells: DataFrame) -> DataFrame:
     """(finding_type, expense_id): the expense ids that findings' evidence names, by refs(finding_type, evidence_id)
     and cells(evidence_id, field, value)."""
     ids = cells.filter("field = 'expense_id'").select("evidence_id", F.col("value").alias("expense_id"))
-    return refs.join(ids, "evidence_id").select("finding_type", "expense_id").distinct()
+    return refs.join(ids.hint("merge"), "evidence_id").select("finding_type", "expense_id").distinct()
 
 
 def coverage(scenarios: DataFrame, found: DataFrame) -> DataFrame:
     """scenarios(scenario, finding_type, expense_id), a row for each row that a scenario plants -> for each scenario
     its rows, those found under its type, and whether any was."""
-    hit = scenarios.join(found.withColumn("_hit", F.lit(1)), ["finding_type", "expense_id"], "left")
+    hit = scenarios.join(found.withColumn("_hit", F.lit(1)).hint("merge"), ["finding_type", "expense_id"], "left")
     return hit.groupBy("scenario").agg(F.count("*").alias("planted"), F.count("_hit").alias("found")).withColumn("covered", F.col("found") > 0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditspark import functions as fn
 from auditspark import sources, streaming
-from auditspark.operators import casework, expense, external, procurement, relations, sqlgen
+from auditspark.operators import casework, expense, external, procurement, relations, scoring, sqlgen
 from auditspark.operators.expense import EXPENSE
 from auditspark.plans import entities, evidence, evidence_refs, findings, orphans, run_rules, suppressed
 
@@ -291,3 +291,15 @@ def test_copied_bids_are_tied_to_their_least(spark, monkeypatch):
     assert {k: whole[k] for k in tied} == tied and all(whole[a, b] == tied[0, b] for a, b in whole if a < 60 <= b)
     monkeypatch.setattr(procurement, "BLOCK", 2)
     assert at({"bid_similarity_threshold": 0.3}) == tied and len(tied) == 59 + 5
+
+
+def test_evidence_broadcasts_no_ledger(spark):
+    e = spark.range(50).selectExpr("id AS _src_row", "CAST(id AS STRING) AS expense_id", "'e' AS employee_id", "CAST(id AS DOUBLE) AS amount")
+    rows = e.filter("_src_row % 2 = 0").select(F.lit(0).alias("rule_order"), F.lit("large-amount").alias("finding_type"), F.col("_src_row").cast("string").alias("finding_key"), "_src_row", "amount")
+    cells = evidence(rows, e)
+    refs = evidence_refs(rows, cells)
+    ids = scoring.finding_ids(refs, cells)
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_src_row" not in plan and "SortMergeJoin [_src_row" in plan
+    assert sorted(int(r[1]) for r in ids.collect()) == list(range(0, 50, 2))
+    assert cells.filter("field = 'currency' AND value = ''").count() == 25
