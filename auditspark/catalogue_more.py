@@ -84,8 +84,7 @@ def scalar_texts(spark, sf_dir):
     SELECT gram, COUNT(*) AS n, COUNT(DISTINCT p_partkey) AS texts FROM g GROUP BY 1""",
 )
 def text_ngrams(spark, sf_dir):
-    grams = read(spark, sf_dir, "part").select("p_partkey", F.explode(fn.char_ngrams(F.col("p_name"))).alias("gram"))
-    return grams.groupBy("gram", "p_partkey").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("n"), F.count("*").alias("texts"))
+    return procurement.ngram_counts(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
 
 
 # --- normalisation and quality --------------------------------------------------------------------

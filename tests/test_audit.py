@@ -303,3 +303,9 @@ def test_evidence_broadcasts_no_ledger(spark):
     assert "BroadcastHashJoin [_src_row" not in plan and "SortMergeJoin [_src_row" in plan
     assert sorted(int(r[1]) for r in ids.collect()) == list(range(0, 50, 2))
     assert cells.filter("field = 'currency' AND value = ''").count() == 25
+
+
+def test_ngram_counts_by_id(spark):
+    texts = spark.createDataFrame([(1, "ab ab"), (1, "ab ab"), (2, "abc"), (2, "xab"), (None, "ab"), (3, None), (4, "😀é b")], "id long, text string")
+    got = {r["gram"]: (r["n"], r["texts"]) for r in procurement.ngram_counts(texts, "id", "text", 2, 3).collect()}
+    assert got == {"ab": (7, 2), "ba": (2, 1), "aba": (2, 1), "bab": (2, 1), "bc": (1, 1), "abc": (1, 1), "xa": (1, 1), "xab": (1, 1), "😀é": (1, 1), "éb": (1, 1), "😀éb": (1, 1)}
