@@ -309,3 +309,13 @@ def test_ngram_counts_by_id(spark):
     texts = spark.createDataFrame([(1, "ab ab"), (1, "ab ab"), (2, "abc"), (2, "xab"), (None, "ab"), (3, None), (4, "😀é b")], "id long, text string")
     got = {r["gram"]: (r["n"], r["texts"]) for r in procurement.ngram_counts(texts, "id", "text", 2, 3).collect()}
     assert got == {"ab": (7, 2), "ba": (2, 1), "aba": (2, 1), "bab": (2, 1), "bc": (1, 1), "abc": (1, 1), "xa": (1, 1), "xab": (1, 1), "😀é": (1, 1), "éb": (1, 1), "😀éb": (1, 1)}
+
+
+def test_split_orders_pass_on_only_groups_that_could_split(spark, monkeypatch):
+    day = dt.date(2024, 3, 1)
+    rows = [(1, "b", 1, "c", 30.0), (2, "b", 1, "c", 30.0), (3, "b", 2, "c", 45.0), (4, "b", 3, "c", 20.0), (5, "b", 3, "c", 20.0), (6, None, 4, None, 49.0), (7, None, 4, None, 49.0), (8, "d", 1, "c", 60.0), (9, "d", 1, "c", -10.0), (10, "d", 1, "c", 20.0)]
+    po = spark.createDataFrame([(*r, "CNY", day) for r in rows], "_src_row long, buyer string, vendor_id long, category string, amount double, currency string, order_date date")
+    seen, scan = [], procurement.split_windows
+    monkeypatch.setattr(procurement, "split_windows", lambda e, *a: (seen.append(sorted(r[0] for r in e.select("_src_row").collect())), scan(e, *a))[1])
+    found = procurement.split_orders(po, {"approval_thresholds": [{"amount": 50}]})
+    assert [(r["_src_row"], r["n_rows"], r["total"]) for r in found.orderBy("_src_row").collect()] == [(1, 2, 60.0), (6, 2, 98.0)] and seen == [[1, 2, 6, 7]]
