@@ -319,3 +319,10 @@ def test_split_orders_pass_on_only_groups_that_could_split(spark, monkeypatch):
     monkeypatch.setattr(procurement, "split_windows", lambda e, *a: (seen.append(sorted(r[0] for r in e.select("_src_row").collect())), scan(e, *a))[1])
     found = procurement.split_orders(po, {"approval_thresholds": [{"amount": 50}]})
     assert [(r["_src_row"], r["n_rows"], r["total"]) for r in found.orderBy("_src_row").collect()] == [(1, 2, 60.0), (6, 2, 98.0)] and seen == [[1, 2, 6, 7]]
+
+
+def test_robust_outliers_scan_rows_twice(spark):
+    e = spark.createDataFrame([(i, "g" if i % 2 else None, float(i % 7 + 1000 * (i == 41))) for i in range(60)], "_src_row long, g string, x double")
+    found = expense.robust_outliers(e, ["g"], "x")
+    assert [r[0] for r in found.select("_src_row").collect()] == [41]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [_src_row") == 1
