@@ -388,6 +388,33 @@ def test_price_clusters_against_a_plain_pass(spark, ratio):
     assert sorted(map(tuple, procurement.bid_price_clusters(bids, policy).collect()), key=lambda r: r[:2]) == want and want
 
 
+@pytest.mark.parametrize("limit", [0, 20, 1_000_000])
+def test_price_clusters_of_large_and_small_lots(spark, monkeypatch, limit):
+    """Whether all lots are chained, those of over 20 bids, or none: then nothing is chained at all."""
+    rng = random.Random(5)
+    rows = [(k, round(10 ** rng.uniform(0, 2), 2)) for k in range(6) for _ in range(8 * k)] + [(1, 7.0)] * 5 + [(9, -0.0), (9, 0.0), (9, 0.0001), (None, 1.0), (9, None), (9, float("nan"))]
+    bids, policy = spark.createDataFrame(rows, "lot_id int, price double"), {"bid_price_close_ratio": 0.05}
+    chained = []
+    plain = procurement.price_clusters
+    monkeypatch.setattr(procurement, "price_clusters", lambda *a: chained.append(1) or plain(*a))
+    monkeypatch.setattr(procurement, "LOT", limit)
+    clusters = sorted(map(tuple, procurement.bid_price_clusters(bids, policy).collect()))
+    prices = sorted(map(tuple, procurement.bid_cluster_prices(bids, policy).collect()))
+    want, members = [], []
+    for lot in sorted({k for k, v in rows if k is not None}):
+        done = []
+        for p in sorted(v for k, v in rows if k == lot and v is not None and v == v):
+            if done and (p - done[-1][0]) / max(done[-1][0], 0.01) <= 3 * 0.05:
+                done[-1].append(p)
+            else:
+                done.append([p])
+        members += [(lot, c[0], p, c.count(p)) for c in done for p in set(c)]
+        want += [(lot, c[0], len(c), c[-1], statistics.median(c)) for c in done if len(c) >= 3 and statistics.median(c) and (c[-1] - c[0]) / statistics.median(c) <= 0.1]
+    assert prices == sorted(members)
+    assert [r[:4] for r in clusters] == [r[:4] for r in want] and [r[4] for r in clusters] == pytest.approx([r[4] for r in want]) and want
+    assert bool(chained) == (limit < 1_000_000)
+
+
 # --- delimited files in ranges -------------------------------------------------------------------
 
 VALUES = ["a", "", "1.5", '"q,\nr"', '"x ""\n"" y"', 'pl"ain', '"\n\n\n"', '"u"v', '"u"v\nw', "é", '" "', '""', "  ", "x\ny"]
