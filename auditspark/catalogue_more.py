@@ -136,8 +136,9 @@ def quarantined_ledger(spark, sf_dir):
 def normalised_orders(spark, sf_dir):
     raw = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS _src_row", "concat('PO', l_orderkey) AS `PO号`", "CAST(l_suppkey AS STRING) AS `供应商编号`", "CASE WHEN l_orderkey % 29 <> 0 THEN 'b' END AS `采购员`", "CASE WHEN l_orderkey % 31 = 0 THEN '?' ELSE '¥ 1,200.5' END AS `单价`", "'5' AS `总金额`", "'2026.3.1' AS `下单日期`", "CASE WHEN l_partkey % 7 = 0 THEN 'many' ELSE CAST(l_quantity AS STRING) END AS `数量`")
     mapping, _ = sources.map_columns([c for c in raw.columns if not c.startswith("_")], tables.PURCHASE_ORDERS, None, tables.REQUIRED["purchase_orders"])
-    rows, bad = tables.normalise_table(raw, "purchase_orders", mapping)
-    outcome = rows.select(F.lit("kept").alias("outcome"), F.col("quantity").isNotNull().alias("q")).unionByName(bad.select(F.col("reasons").alias("outcome"), F.lit(False).alias("q")))
+    good = F.col("_reasons") == ""
+    judged = tables.judged_table(raw, "purchase_orders", mapping)
+    outcome = judged.select(F.when(good, "kept").otherwise(F.col("_reasons")).alias("outcome"), (good & F.col("quantity").isNotNull()).alias("q"))
     return outcome.groupBy("outcome").agg(F.count("*").alias("n_rows"), F.count_if(F.col("q")).alias("with_quantity"))
 
 

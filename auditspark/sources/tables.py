@@ -215,15 +215,22 @@ def find_table(root: str, table: str, config: dict | None = None, required: bool
     return None
 
 
-def normalise_table(raw: DataFrame, table: str, mapping: dict[str, str], default_currency: str = "CNY") -> tuple[DataFrame, DataFrame]:
-    """(rows, bad): the table's canonical columns. Rows without a required value, or with one that cannot be read,
-    are bad and keep their reasons and record; optional numbers and dates that cannot be read are null."""
+def judged_table(raw: DataFrame, table: str, mapping: dict[str, str], default_currency: str = "CNY") -> DataFrame:
+    """Every row with the table's canonical columns, _reasons, empty if it is good, and its record as _raw."""
     text = {n: fn.norm_text(F.col(f"`{mapping[n]}`")) if n in mapping else F.lit(None).cast("string") for n in PROCUREMENT[table]}
-    read = lambda n: fn.amount(text[n]) if n in NUMBERS else fn.date_value(text[n], DATE_FORMATS, chinese=False) if n in DATES else fn.currency(text[n], default_currency) if n == "currency" else text[n]
-    reasons = F.array_compact(F.array(*[F.when(text[n].isNull(), f"{n} is empty").when(read(n).isNull(), f"{n} cannot be read") for n in REQUIRED[table]]))
+    read = lambda n, t: fn.amount(t) if n in NUMBERS else fn.date_value(t, DATE_FORMATS, chinese=False) if n in DATES else fn.currency(t, default_currency) if n == "currency" else t
+    lacks = lambda n: lambda t: F.when(t.isNull(), f"{n} is empty").when(read(n, t).isNull(), f"{n} cannot be read")
+    reasons = F.array_compact(F.array(*[fn.once(text[n], lacks(n)) for n in REQUIRED[table]]))
     record = F.to_json(F.struct(*[F.col(f"`{h}`").alias(n) for n, h in mapping.items()]))
     sheet = [F.col(c) for c in ("_src_row", "_src_sheet", "_src_file") if c in raw.columns]
-    full = raw.select(*sheet, *[read(n).alias(n) for n in PROCUREMENT[table]], F.concat_ws("；", reasons).alias("_reasons"), record.alias("_raw"))
+    return raw.select(*sheet, *[read(n, text[n]).alias(n) for n in PROCUREMENT[table]], F.concat_ws("；", reasons).alias("_reasons"), record.alias("_raw"))
+
+
+def normalise_table(raw: DataFrame, table: str, mapping: dict[str, str], default_currency: str = "CNY") -> tuple[DataFrame, DataFrame]:
+    """(rows, bad): the table's canonical columns. Rows without a required value, or with one that cannot be read,
+    are bad and keep their reasons and record; optional numbers and dates that cannot be read are null. Each reads
+    the table anew; judged_table gives both at once."""
+    full = judged_table(raw, table, mapping, default_currency)
     bad = full.filter("_reasons <> ''").select(F.lit(table).alias("table"), "_src_row", F.col("_reasons").alias("reasons"), F.col("_raw").alias("raw_record"))
     return full.filter("_reasons = ''").drop("_reasons", "_raw"), bad
 

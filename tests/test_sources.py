@@ -600,3 +600,17 @@ def test_a_case_run_leaves_its_files(spark, tmp_path):
 def test_own_policy_keys_are_known(tmp_path):
     (tmp_path / "p.json").write_text('{"all_pairs": true}')
     assert tables.read_policy(str(tmp_path / "p.json")) == tables.read_procurement_config(str(tmp_path / "p.json")) == {"all_pairs": True}
+
+
+def test_cells_are_cleaned_once_a_use(spark):
+    """Filters write out what they name: cleaning named twice a step, in steps upon steps, doubled with each."""
+    raw = spark.createDataFrame([(1, " PO　1 ", "7", "b", "(1,200.5)", "¥5", "2026.3.1 08:00", "many"), (2, "２", None, " ", "?", "1e999", "2026-13-1", "5")], "_src_row long, po_id string, vendor_id string, buyer_id string, unit_price string, total_amount string, order_date string, quantity string")
+    mapping = {c: c for c in raw.columns if c != "_src_row"}
+    rows, bad = tables.normalise_table(raw, "purchase_orders", mapping)
+    got = rows.select("po_id", "unit_price", "total_amount", F.col("order_date").cast("string"), "quantity").collect()
+    assert [tuple(r) for r in got] == [("PO 1", -1200.5, 5.0, "2026-03-01", None)]
+    assert [tuple(r) for r in bad.select("_src_row", "reasons").collect()] == [(2, "vendor_id is empty；buyer_id is empty；unit_price cannot be read；order_date cannot be read")]
+    judged = tables.judged_table(raw, "purchase_orders", mapping).orderBy("_src_row").collect()
+    assert [(r["_src_row"], r["_reasons"] == "", r["quantity"]) for r in judged] == [(1, True, None), (2, False, 5.0)]
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2 * (len(tables.REQUIRED["purchase_orders"]) + 2)
