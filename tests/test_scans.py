@@ -39,6 +39,32 @@ def test_split_windows(spark, monkeypatch, stretch, distinct):
     assert got == want and want
 
 
+@pytest.mark.parametrize("distinct", [False, True])
+@pytest.mark.parametrize("whole", [0, 20, 256])
+def test_split_windows_of_large_and_small_groups(spark, monkeypatch, whole, distinct):
+    """Whether all groups are dealt by day, those of over 20 rows, or none: then there is one scan, without cells."""
+    monkeypatch.setattr(expense, "WHOLE", whole)
+    rng = random.Random(whole)
+    rows = [(i, rng.choice(["A"] * 9 + ["B", None]), rng.choice(["V", "W", None]), rng.choice(["CNY", None]), rng.choice([20.0, 40.0, 60.0, 99.0, 120.0, -10.0]), rng.randint(0, 30), None) for i in range(200)]
+    keys = ["employee_id", "currency"] if distinct else ["employee_id", "vendor_name", "currency"]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[1], r[3]) if distinct else (r[1], r[2], r[3]), []).append(r)
+    want, members = set(), set()
+    for g in groups.values():
+        g.sort(key=lambda r: (r[5], r[0]))
+        for i, r in enumerate(g):
+            held = [x for x in g[i:] if x[5] - r[5] <= 3]
+            if len(held) >= 2 and all(x[4] < 100 for x in held) and sum(x[4] for x in held) > 100 and (not distinct or len({x[2] for x in held} - {None}) >= 2):
+                want.add((r[0], i + 1, i + len(held), len(held), sum(x[4] for x in held)))
+                members |= {(r[0], x[0]) for x in held}
+    starts, numbered = expense.split_windows(ledger(spark, rows), keys, 100.0, 3, "vendor_name" if distinct else None)
+    got = {(r["_src_row"], r["_rn"], r["_end"], r["n_rows"], float(r["total"])) for r in starts.collect()}
+    assert got == want and want
+    assert {(r["_start"], r["_src_row"]) for r in expense.window_rows(starts, numbered, keys).collect()} == members
+    assert ("_cell" in starts._jdf.queryExecution().optimizedPlan().toString()) == (whole < 256)
+
+
 def test_windows_of_a_hot_group_are_dealt_by_day(spark):
     """No scan over rows is partitioned by the group alone: such windows stand over cells only."""
     e = ledger(spark, [(i, "A", "V", "CNY", 60.0, i % 40, None) for i in range(400)])
