@@ -266,6 +266,54 @@ def test_repeats_with_hot_anchors_split(docs, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_repeats(rows.collect(), 60)
 
 
+def brute_cut(rows, length, words):
+    """{doc_id: text} without the bytes of strings of `length` bytes, or of words + 1 words, that start twice."""
+    data = [(r["text"] or "").encode() for r in rows]
+    spots = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    tokens = [tuple(b[x:y] for x, y in s) for b, s in zip(data, spots, strict=True)]
+    seen = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    passages = collections.Counter(t[i : i + words + 1] for t in tokens for i in range(len(t) - words))
+    out = {}
+    for r, b, s, t in zip(rows, data, spots, tokens, strict=True):
+        gone = bytearray(len(b))
+        found = [(i, i + length) for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1]
+        found += [(s[i][0], s[i + words][1]) for i in range(len(t) - words) if passages[t[i : i + words + 1]] > 1]
+        for x, y in found:
+            gone[x:y] = b"\1" * (y - x)
+        out[r["doc_id"]] = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return out
+
+
+@pytest.mark.parametrize("length,gram,words,hot", [(400, 100, 50, repeats.HOT), (60, 20, 8, repeats.HOT), (400, 100, 8, 2)])
+def test_repeats_of_words(docs, monkeypatch, length, gram, words, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 10_000)
+    want = brute_cut(rows.collect(), length, words)
+    assert want != brute_cut(rows.collect(), length, 10_000) or words == 50
+    got = repeats.remove_repeats(rows, length, gram, words=words).select("doc_id", "kept_text")
+    assert dict(map(tuple, got.collect())) == want
+    kept = repeats.remove_repeats(rows, length, gram, keep_columns=True, words=words).select("doc_id", "text")
+    assert {i: t or "" for i, t in kept.collect()} == want
+
+
+def test_passages_of_over_50_words_go(spark):
+    """Planted passages of 51 to 60 words, under 400 bytes and with other white space in each document; one of 50 stays."""
+    own = lambda d, n: [f"d{d}n{i}" for i in range(n)]
+    rows, want = [], {}
+    for k, n in enumerate([50, 51, 54, 60]):
+        passage = [f"p{k}w{i}"[:6] for i in range(n)]
+        assert len(" ".join(passage)) < 400
+        for d, gap in ((2 * k, " "), (2 * k + 1, "\n")):
+            before, after = own(d, 70), own(100 + d, 70)
+            rows.append((d, " ".join(before) + " " + gap.join(passage) + " " + " ".join(after)))
+            want[d] = before + (passage if n == 50 else []) + after
+    rows.append((99, " ".join(own(99, 300))))
+    want[99] = own(99, 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.remove_repeats(docs, keep_columns=True, words=50).collect()
+    assert {r["doc_id"]: r["text"].split() for r in got} == want
+
+
 def test_columnwise_finds_windows_that_hold_the_gram():
     parts = [b"abcabcab", b"xbcabcab", b"abcabcaz", b"abc"]
     found = repeats.columnwise(parts, np.array([3, 3, 3, 0]), 4)
