@@ -314,6 +314,17 @@ def test_passages_of_over_50_words_go(spark):
     assert {r["doc_id"]: r["text"].split() for r in got} == want
 
 
+def test_components_of_stars_need_no_round(spark):
+    """Each round is some 1,000 tasks at 211 partitions, which the driver keeps track of."""
+    links = spark.createDataFrame([(1, 5), (9, 1), (1, 7), (2, 4), (3, 3)], "a long, b long")
+    assert {r["node"]: r["label"] for r in graph.components(links, rounds=0).collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 2: 2, 4: 2}
+    for more in ((5, 9), (4, 6), (0, 1)):  # a ray with two ends, a chain, a centre that is a ray
+        open_ = links.unionByName(spark.createDataFrame([more], "a long, b long"))
+        with pytest.raises(RuntimeError):
+            graph.components(open_, rounds=0)
+        assert len({r["node"] for r in graph.components(open_).collect()}) == len({1, 2, 4, 5, 7, 9, *more})
+
+
 def test_columnwise_finds_windows_that_hold_the_gram():
     parts = [b"abcabcab", b"xbcabcab", b"abcabcaz", b"abc"]
     found = repeats.columnwise(parts, np.array([3, 3, 3, 0]), 4)
