@@ -293,6 +293,37 @@ def test_copied_bids_are_tied_to_their_least(spark, monkeypatch):
     assert at({"bid_similarity_threshold": 0.3}) == tied and len(tied) == 59 + 5
 
 
+def test_bid_ngrams_are_not_written(spark, monkeypatch):
+    """Only texts and the counts of n-grams are settled; pairs equal plain loops whatever the sizes of blocks, tiles and the table sent."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abé汉\U0001f600 ", k=rng.randint(60, 300))) for _ in range(60)]
+    texts += [t[::-1] + "x" * i for i, t in enumerate(texts[:9])] + texts[:4]
+    lots = [None if i % 11 == 0 else f"L{i % 2}" for i in range(len(texts))]
+    counts = [Counter(c[i : i + k] for c in ["".join(t.split())] for k in range(2, 6) for i in range(len(c) - k + 1)) for t in texts]
+    seen = Counter(g for c in counts for g in c)
+    vectors = [{g: k / sum(c.values()) * (math.log((1 + len(texts)) / (1 + seen[g])) + 1) for g, k in c.items()} for c in counts]
+    length = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    alike = lambda i, j: sum(x * vectors[j].get(g, 0) for g, x in vectors[i].items()) / length[i] / length[j]
+    want = {(i, j): round(s, 9) for i in range(len(texts)) for j in range(i + 1, len(texts)) if lots[i] and lots[i] == lots[j] and (s := alike(i, j)) >= 0.2}
+    assert 50 < len(want) < 1700 and any(s < 0.3 for s in want.values())
+    rows, settled = [], procurement.settled
+    monkeypatch.setattr(procurement, "settled", lambda df: (out := settled(df), rows.append(out.count()))[0])
+    bids = spark.createDataFrame([(i, lots[i], t) for i, t in enumerate(texts)], "bid_id long, lot_id string, text string")
+    at = lambda: {(r["bid_a"], r["bid_b"]): round(r["similarity"], 9) for r in procurement.bid_similarity(bids, {"bid_similarity_threshold": 0.2, "all_pairs": True}).collect()}
+    assert at() == want
+    assert sum(rows) < len(seen) + 3 * len(texts) < sum(map(len, counts)) / 2
+    for name, value in {"TILE": 7, "LIGHT": 4, "COLUMNS": 10, "COMMON": 200}.items():
+        monkeypatch.setattr(procurement, name, value, raising=False)
+    assert at() == want
+    monkeypatch.setattr(procurement, "BLOCK", 10)
+    monkeypatch.setattr(procurement, "COMMON", 0, raising=False)
+    assert at() == want
+
+
 def test_evidence_broadcasts_no_ledger(spark):
     e = spark.range(50).selectExpr("id AS _src_row", "CAST(id AS STRING) AS expense_id", "'e' AS employee_id", "CAST(id AS DOUBLE) AS amount")
     rows = e.filter("_src_row % 2 = 0").select(F.lit(0).alias("rule_order"), F.lit("large-amount").alias("finding_type"), F.col("_src_row").cast("string").alias("finding_key"), "_src_row", "amount")
