@@ -324,6 +324,65 @@ def test_bid_ngrams_are_not_written(spark, monkeypatch):
     assert at() == want
 
 
+def test_keys_are_what_they_were(spark):
+    """Every character is kept or left out as by the class [^0-9a-z一-鿿], with and without @; no class reaches beyond Latin negated."""
+    import re
+
+    signs = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(signs[i : i + 500]) for i in range(0, len(signs), 500)] + ["Vendor 7", "--", "", None, "住宿 @ Hotel"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), fn.match_key(F.col("t")).alias("key"), fn.match_key(F.col("t"), "@").alias("mail"))
+    for r in frame.collect():
+        for got, kept in ((r["key"], ""), (r["mail"], "@")):
+            assert got == (r["low"] and re.sub(f"[^0-9a-z一-鿿{kept}]", "", r["low"]) or None)
+    assert "[^" not in fn.all_but("@") and fn.all_but("b@") == fn.all_but("@")
+
+
+def test_few_groups_are_sent_to_the_rows(spark, monkeypatch):
+    e = ledger(spark, [(i, f"E{i % 40}", i % 7, i % 3) for i in range(400)], invoice_number=[None if i % 11 == 0 else f"I{i // 3}" for i in range(400)], dest_city=[None if i % 5 == 0 else f"C{i % 9}" for i in range(400)])
+    plan = lambda kind: EXPENSE.rules[kind].rows(e, {})._jdf.queryExecution().executedPlan().toString()
+    kinds = ("exact-duplicate-invoice", "space-time-conflict", "cross-employee-invoice")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert all("BroadcastHashJoin" in plan(k) and "SortAggregate" not in plan(k) for k in kinds)
+        few = {k: rows_of(EXPENSE.rules[k].rows(e, {})) for k in kinds}
+        monkeypatch.setattr(expense, "SENT", -1)
+        assert all("SortMergeJoin" in plan(k) for k in kinds) and {k: rows_of(EXPENSE.rules[k].rows(e, {})) for k in kinds} == few
+        assert "SortAggregate" not in e.groupBy("employee_id").agg(expense.differ("dest_city"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shared = {}
+    for r in e.filter("invoice_number IS NOT NULL").collect():
+        shared.setdefault(r["invoice_number"], []).append(r)
+    assert few["cross-employee-invoice"] == sorted(r["_src_row"] for g in shared.values() if len({r["employee_id"] for r in g}) > 1 for r in g) != []
+
+
+def test_rows_without_neighbours_meet_none(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, f"E{rng.randrange(3)}", rng.choice([100, 105, 110, 300]), rng.randrange(-200, 900)) for i in range(250)]
+    e = ledger(spark, rows, vendor_name=[rng.choice(["V 1", "v1", "w"]) for _ in rows])
+    same = lambda a, b: a["employee_id"] == b["employee_id"] and a["vendor_name"].lower().replace(" ", "") == b["vendor_name"].lower().replace(" ", "")
+    data = e.collect()
+    gap = lambda a, b: (b["expense_date"] - a["expense_date"]).days
+    want = sorted((a["_src_row"], b["_src_row"]) for a in data for b in data if same(a, b) and (0 < gap(a, b) <= 7 or (gap(a, b) == 0 and a["_src_row"] < b["_src_row"])) and abs(a["amount"] - b["amount"]) <= 0.15 * max(a["amount"], b["amount"]) and not (a["amount"] == b["amount"] and gap(a, b) == 0))
+    met = []
+    monkeypatch.setattr(expense, "settled", lambda df, settled=expense.settled: (out := settled(df), met.append(out.count()))[0])
+    for spans in (1, 8):
+        monkeypatch.setattr(expense, "SPANS", spans, raising=False)
+        assert sorted(tuple(r) for r in expense.near_duplicate_pairs(e, {}).collect()) == want and len(want) > 20
+    alone = [a for a in data if not any(same(a, b) and abs(gap(a, b)) <= 7 and a is not b for b in data)]
+    assert met == [250 - len(alone)] * 2 and len(alone) > 20
+
+
+def test_long_and_short_numbers_run_alike(spark):
+    numbers = [7, 8, 9, 9, 10, 1022, 1023, 1024, 1025, 2047, 2048, 2049, 2050, 3000]
+    at = lambda far: rows_of(EXPENSE.rules["sequential-invoice"].rows(ledger(spark, [(i, "A", 1, i % 3) for i in range(14)], invoice_number=[f"N{n + far:020d}" for n in numbers], vendor_name=["V"] * 5 + ["W"] * 4 + [None] * 5), {}))
+    near = at(0)
+    assert near == at(1024 * 10**15) == at(1024 * 10**25) == [0, 1, 3, *range(5, 13)]
+
+
 def test_evidence_broadcasts_no_ledger(spark):
     e = spark.range(50).selectExpr("id AS _src_row", "CAST(id AS STRING) AS expense_id", "'e' AS employee_id", "CAST(id AS DOUBLE) AS amount")
     rows = e.filter("_src_row % 2 = 0").select(F.lit(0).alias("rule_order"), F.lit("large-amount").alias("finding_type"), F.col("_src_row").cast("string").alias("finding_key"), "_src_row", "amount")
